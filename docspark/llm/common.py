@@ -47,6 +47,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded rows and bytes, so that a worker's memory doesn't follow the length of texts."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", 3000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if conf.get(key, None) is None:  # where the user has not chosen
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def add_by_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], pa.Array]], kind: T.DataType, name: str) -> DataFrame:
     """Adds column ``name`` of type ``kind``, computed from ``text_col`` by Arrow batch.
 
@@ -62,12 +72,7 @@ def add_by_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Ar
             out = per_batch(batch.column(at).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, schema)
-
-
-def total(df: DataFrame, column) -> int:
-    """The driver learns one number."""
-    return int(df.agg(F.sum(column).alias("n")).first()["n"] or 0)
+    return arrow_map(df, run, schema)
 
 
 def most_frequent(counted: DataFrame, count_col: str, most: int) -> DataFrame:

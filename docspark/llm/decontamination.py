@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import free_name, materialize
+from docspark.llm.common import arrow_map, free_name, materialize
 
 WINDOW = 10
 SHARD_BYTES = 4_000_000
@@ -222,7 +222,7 @@ def _pass(df: DataFrame, fields: list[str], text_col: str, out: str, automaton)
                 rows.append({"n_words": len(words), "n_hit": sum(e - s for s, e in spans), "items": sorted(items), "words": [x for s in spans for x in s], "bytes": _places(text.encode(), spans) if spans else []})
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(rows, _ARROW)], [*fields, out])
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", span_limit: int = SPAN_LIMIT, coverage_limit: float = COVERAGE_LIMIT, **how) -> DataFrame:
@@ -255,4 +255,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
             columns[at] = pa.array(cleaned, pa.string())
             yield pa.RecordBatch.from_arrays(columns, fields)
 
-    return marked.mapInArrow(run, docs.schema)
+    return arrow_map(marked, run, docs.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.anchors import GRAM, LENGTH, anchors
-from docspark.llm.common import materialize
+from docspark.llm.common import arrow_map, materialize
 
 #: Bytes of a context before its anchor, and all in all.
 BEFORE = LENGTH - GRAM
@@ -60,7 +60,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([squeeze.compress(t) for t in texts], pa.binary())], ["uid", "doc_id", "n_bytes", "z"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "uid bigint, doc_id bigint, n_bytes bigint, z binary"), "packed")
+    return materialize(arrow_map(rows, run, "uid bigint, doc_id bigint, n_bytes bigint, z binary"), "packed")
 
 
 def _unpacked(column, lengths) -> Iterator[bytes]:
@@ -292,11 +292,11 @@ def _compare(batches) -> Iterator[pa.RecordBatch]:
 def repeated_spans(packed: DataFrame) -> DataFrame:
     """(uid, start, end): bytes covered by strings of LENGTH that also begin elsewhere; spans may overlap."""
     texts = packed.select("uid", "n_bytes", "z")
-    probes = texts.mapInArrow(_probe, "h bigint, c bigint, uid bigint, pos int, n int, last int")
-    marks = materialize(probes.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_settle, MARKS), "marks")
+    probes = arrow_map(texts, _probe, "h bigint, c bigint, uid bigint, pos int, n int, last int")
+    marks = materialize(arrow_map(probes.repartition("h").sortWithinPartitions("h", "c"), _settle, MARKS), "marks")
     wanted = marks.where("h IS NOT NULL").groupBy("uid").agg(F.collect_list(F.struct("h", "pos")).alias("marks"))  # at most a text's anchors
-    around = texts.join(wanted, "uid").select("uid", "n_bytes", "z", "marks").mapInArrow(_contexts, "h bigint, uid bigint, pos int, before int, context binary")
-    partly = around.repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "uid bigint, start int, end int")
+    around = arrow_map(texts.join(wanted, "uid").select("uid", "n_bytes", "z", "marks"), _contexts, "h bigint, uid bigint, pos int, before int, context binary")
+    partly = arrow_map(around.repartition("h").sortWithinPartitions("h"), _compare, "uid bigint, start int, end int")
     return marks.where("start IS NOT NULL").select("uid", "start", "end").unionByName(partly)
 
 
@@ -323,4 +323,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 removed.append(len(text) - len(kept[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return packed.join(spans, "uid", "left").select("doc_id", "n_bytes", "z", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<int>, kept binary")
+    return arrow_map(packed.join(spans, "uid", "left").select("doc_id", "n_bytes", "z", "spans"), run, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<int>, kept binary")
