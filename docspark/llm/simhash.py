@@ -30,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import materialize
+from docspark.llm.common import arrow_map, materialize
 from docspark.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-TILE = 2048
+TILE = 1024
 
 
 def _lowered_words(text: bytes) -> list[bytes]:
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return arrow_map(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), run, "doc_id bigint, fp bigint")
 
 
 def block_pairs(radius: int) -> list[int]:
@@ -80,40 +80,29 @@ def block_pairs(radius: int) -> list[int]:
     return [a | b for a, b in combinations(blocks, 2)]
 
 
-class _Forest:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def tile_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between ``fps``, by tiles in order of population counts."""
+    """A spanning forest of the links between ``fps``, by tiles in order of population counts.
+
+    Pairs are never listed: a row of a tile looks only at those of its neighbours that
+    are not yet of its tree, so memory is one tile of bits.
+    """
     ones = np.bitwise_count(fps)
     order = np.argsort(ones, kind="stable")
     fps, ones = fps[order], ones[order].astype(np.int64)
-    forest, links = _Forest(len(fps)), []
+    tree, links = np.arange(len(fps)), []
     for i in range(0, len(fps), TILE):
         rows = fps[i : i + TILE]
         for j in range(i, len(fps), TILE):
             if ones[j] - ones[min(i + TILE, len(fps)) - 1] > radius:
                 break  # later tiles lie further off still
             near = np.bitwise_count(rows[:, None] ^ fps[None, j : j + TILE]) <= radius
-            for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1) if i == j else near))):
-                if forest.join(i + a, j + b):
-                    links.append((int(order[i + a]), int(order[j + b])))
+            if i == j:
+                near = np.triu(near, 1)
+            for a in np.flatnonzero(near.any(axis=1)).tolist():
+                others = np.flatnonzero(near[a]) + j
+                while len(others := others[tree[others] != tree[i + a]]):
+                    links.append((int(order[i + a]), int(order[others[0]])))
+                    tree[tree == tree[others[0]]] = tree[i + a]
     return links
 
 
@@ -168,7 +157,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = nodes.select("fp", "node", F.posexplode(F.array(*[F.lit(m).cast("bigint").bitwiseAND(F.col("fp")) for m in signed])).alias("mask", "key"))
     dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return dealt.mapInArrow(lambda batches: _bucket_links(batches, radius), "a bigint, b bigint")
+    return arrow_map(dealt, lambda batches: _bucket_links(batches, radius), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
