@@ -7,7 +7,7 @@ which the tokenizer folds too, so it changes no count.
 
 Within a miss, counting goes by distinct words: a tokenizer of this kind cuts a
 text into words first and merges inside each, so a text's count is the sum of its
-words' counts, and the library encodes each word once. That holds for texts of
+words' counts, and the library merges each word once. That holds for texts of
 plain letters (ASCII, Latin-1, Latin Extended-A); any other text, and any with
 special strings, is given to the library whole.
 
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import materialize, shared_dir
+from docspark.llm.common import arrow_map, materialize, shared_dir
 
 #: Words whose counts a worker keeps.
-MEMO = 200_000
+MEMO = 400_000
 #: Texts that hold nothing else may be counted by words. The tokenizer's own word pattern over them.
 PLAIN = "\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ſ"
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
@@ -49,6 +49,16 @@ def _tokenizer(data: str):
     return tokenizer
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a vocabulary: itself if it prints, else the next free one from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(256, 512))
+    return [chr(b if b in prints else next(free)) for b in range(256)]
+
+
+_BYTE_LETTERS = dict(enumerate(byte_letters()))
+
+
 class Counter:
     """Counts the tokens of texts; keeps the counts of words."""
 
@@ -56,7 +66,7 @@ class Counter:
         self.tokenizer, self.by_words, self.memo = _tokenizer(data), by_words, {}
 
     def count(self, texts: list[str]) -> list[int]:
-        memo, out, later = self.memo, [0] * len(texts), []
+        memo, out, later, merge, letters = self.memo, [0] * len(texts), [], self.tokenizer.model.tokenize, _BYTE_LETTERS
         for i, text in enumerate(texts):
             if not self.by_words or _ODD.search(text):
                 later.append(i)
@@ -66,8 +76,8 @@ class Counter:
                 if len(memo) > MEMO:
                     memo.clear()
                     missing = list(set(words))
-                for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                    memo[w] = len(e.ids)
+                for w in missing:
+                    memo[w] = len(merge(w.encode().decode("latin-1").translate(letters)))
             out[i] = sum(map(memo.__getitem__, words))
         for i in later:
             out[i] = len(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
@@ -98,7 +108,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.count(batch.column(1).to_pylist()), pa.int64())], ["text_digest", "n_tokens"])
 
-    encoded = misses.mapInArrow(run, "text_digest binary, n_tokens bigint")
+    encoded = arrow_map(misses, run, "text_digest binary, n_tokens bigint")
     encoded.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)
     counts = _read(spark, cache_dir, schema, version)
     # runs at the same time may have appended a digest twice, with the same count
