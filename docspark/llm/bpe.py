@@ -17,7 +17,6 @@ table gives no rows (and an empty lexicon); other columns are passed on.
 
 from __future__ import annotations
 
-import heapq
 import json
 import mmap
 import re
@@ -32,41 +31,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import add_by_text, free_name, most_frequent
-from docspark.llm.token_counts import DIGITS, LETTERS, PLAIN, SPACES
+from docspark.llm.common import add_by_text, arrow_map, free_name, most_frequent
+from docspark.llm.token_counts import DIGITS, LETTERS, PLAIN, SPACES, byte_letters
 
 LEXICON_WORDS = 60_000
 #: Words whose ids a worker keeps besides.
-MEMO = 150_000
+MEMO = 400_000
 _ODD = re.compile(f"[^{PLAIN}]")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in the vocabulary: itself if it prints, else the next free one from 256 on."""
-    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    free = iter(range(256, 512))
-    return [chr(b if b in prints else next(free)) for b in range(256)]
-
-
 class Merges:
-    """A tokenizer file's vocabulary and ranked merges over ids."""
+    """A tokenizer file: its words, merges and the bytes of its ids."""
 
     def __init__(self, data: str):
         from tokenizers import Tokenizer
 
         spec = json.loads(data)
         vocabulary = spec["model"]["vocab"]
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(letters)}
-        self.of_byte = [vocabulary[c] for c in letters]
-        self.rank = {(vocabulary[a], vocabulary[b]): (i, vocabulary[a + b]) for i, (a, b) in enumerate(pairs)}
+        self.letter_of = dict(enumerate(letters))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(self.byte_of[c] for c in t) if all(c in self.byte_of for c in t) else t.encode() for t, i in vocabulary.items()}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.pre = Tokenizer.from_str(data).pre_tokenizer
+        tokenizer = Tokenizer.from_str(data)
+        self.pre, self.model = tokenizer.pre_tokenizer, tokenizer.model
 
     def words(self, text: str) -> list[str]:
         if not _ODD.search(text):
@@ -75,49 +66,8 @@ class Merges:
         return [bytes(of[c] for c in w).decode("utf-8", "surrogateescape") for w, _ in self.pre.pre_tokenize_str(text)]
 
     def merge(self, word: bytes) -> list[int]:
-        """The pair of least rank first, the leftmost of equals, until none is left."""
-        ids = [self.of_byte[b] for b in word]
-        rank = self.rank
-        if len(ids) > 48:
-            return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min((rank[p][0] for p in zip(ids, ids[1:]) if p in rank), default=None)
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                found = rank.get((ids[i], ids[i + 1])) if i + 1 < len(ids) else None
-                if found and found[0] == best:
-                    out.append(found[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap over a linked list: n log n for words of any length."""
-        n, rank = len(ids), self.rank
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*rank[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
-        heapq.heapify(heap)
-        while heap:
-            _, new, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue  # one of them was merged since
-            ids[i], ids[j], after[i] = new, -1, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-                p = (new, ids[after[i]])
-                if p in rank:
-                    heapq.heappush(heap, (*rank[p], i, *p))
-            if before[i] >= 0:
-                p = (ids[before[i]], new)
-                if p in rank:
-                    heapq.heappush(heap, (*rank[p], before[i], *p))
-        return [x for x in ids if x >= 0]
+        """Ids of one word: the pair of least rank is merged first, the leftmost of equals, until none is left (the library's model)."""
+        return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letter_of))]
 
 
 class Lexicon:
@@ -257,7 +207,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", most
             words = [x for x in words if 2 <= len(x[0]) <= 64]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], ["word", "n"])
 
-    counted = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = arrow_map(docs.select(F.col(f"`{text_col}`").cast("string")), run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     return [bytes(r["word"]) for r in most_frequent(counted, "n", most).select("word").toLocalIterator()]
 
 
@@ -289,4 +239,4 @@ def decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "ids", out: str
             texts = [b"".join(map(bytes_of, np.frombuffer(x.as_buffer(), "<u4").tolist())).decode("utf-8", "replace") if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
