@@ -18,11 +18,11 @@ table gives no rows; other columns are passed on.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,50 +36,68 @@ BACKOFF = 0.8
 #: Words of a text count up to this many in the posterior's sharpness.
 SHARPNESS = 40
 UNKNOWN = "und"
-_WORD = regex.compile(r"\p{L}+")
+#: Words that a worker keeps the scores of.
+MEMO = 300_000
+_WORD = re.compile(r"[^\W\d_]+")
 
 GUESS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 _ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
 
 class Model:
-    """Per language log frequencies of words and of n-grams of words (with ends marked)."""
+    """Per language log frequencies of words and of n-grams of words (with ends marked): token to one number a language."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+    def __init__(self, langs: list[str], words: dict[str, tuple[float, ...]], grams: dict[str, tuple[float, ...]]):
         self.langs, self.words, self.grams = langs, words, grams
-        self._seen: dict[str, np.ndarray] = {}
-
-    def of_word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        known = self._seen.get(word)
-        if known is None:
-            if len(self._seen) > 200_000:
-                self._seen.clear()
-            known = self._seen[word] = self._backoff(word)
-        return known
-
-    def _backoff(self, word: str) -> np.ndarray:
+
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+
+class Scorer(dict):
+    """Word to its row of ``rows``; words are looked up or backed off when first met, and forgotten when MEMO are kept."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+        self.rows = np.zeros((MEMO, len(model.langs)), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        known = self.model.words.get(word)
+        self.rows[at] = self._backoff(word) if known is None else known
+        return at
+
+    def _backoff(self, word: str) -> list[float]:
         marked = f"^{word[:64]}$"  # grams beyond say nothing new of a word's language
+        find = self.model.grams.get
         for step, n in enumerate(range(MAX_GRAM, 0, -1)):
-            found = [g for g in (self.grams.get(marked[i : i + n]) for i in range(len(marked) - n + 1)) if g is not None]
+            found = [g for i in range(len(marked) - n + 1) if (g := find(marked[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0) * BACKOFF ** (step + 1)
-        return np.zeros(len(self.langs))
+                weight = BACKOFF ** (step + 1) / len(found)
+                return [sum(x) * weight for x in zip(*found)]
+        return [0.0] * len(self.model.langs)
 
     def guess(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(w.lower() for w in _WORD.findall(text)) if text else None
-        if not counts or not self.langs:
+        langs = self.model.langs
+        counts = Counter(_WORD.findall(text.lower())) if text and langs else None
+        if not counts or not any(map(str.isalpha, counts)) and not any(c.isalpha() for w in counts for c in w):
             return UNKNOWN, 0.0
-        n = np.fromiter(counts.values(), float, len(counts))
-        mean = n @ np.array([self.of_word(w) for w in counts]) / n.sum()
-        p = np.exp((mean - mean.max()) * min(n.sum(), SHARPNESS))
-        best = int(p.argmax())
-        return self.langs[best], float(p[best] / p.sum())
-
-
-def _logs(rows, langs: list[str]) -> dict[str, np.ndarray]:
+        best, total, words = np.zeros(len(langs)), 0, list(counts)
+        for i in range(0, len(words), MEMO // 2):  # the whole text, in parts that the memo holds
+            part = words[i : i + MEMO // 2]
+            if len(self) + len(part) > MEMO:
+                self.clear()
+            n = np.fromiter(map(counts.__getitem__, part), np.float32, len(part))
+            best += n @ self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))]
+            total += n.sum()
+        mean = best / total
+        p = np.exp((mean - mean.max()) * min(total, SHARPNESS))
+        top = int(p.argmax())
+        return langs[top], float(p[top] / p.sum())
+
+
+def _logs(rows, langs: list[str]) -> dict[str, tuple[float, ...]]:
     """Smoothed log relative frequencies, less their mean over languages: what counts is the contrast."""
     counts: dict[str, np.ndarray] = {}
     for r in rows:
@@ -88,7 +106,7 @@ def _logs(rows, langs: list[str]) -> dict[str, np.ndarray]:
     out = {}
     for token, n in counts.items():
         log = np.log((n + 0.5) / totals)
-        out[token] = log - log.mean()
+        out[token] = tuple((log - log.mean()).tolist())
     return out
 
 
@@ -117,10 +135,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
 
     def make():
-        fitted = Model(*sent.value)
+        scorer = Model(*sent.value).scorer()
 
         def per_batch(texts: pa.Array) -> pa.Array:
-            guesses = [fitted.guess(t.as_py()) for t in texts]
+            guesses = [scorer.guess(t.as_py()) for t in texts]
             return pa.StructArray.from_arrays([pa.array([g[0] for g in guesses], pa.string()), pa.array([g[1] for g in guesses], pa.float64())], fields=list(_ARROW))
 
         return per_batch
