@@ -1,0 +1 @@
+"""A PySpark-native document analytics and retrieval engine."""
