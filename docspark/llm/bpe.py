@@ -36,28 +36,24 @@ from docspark.llm.token_counts import DIGITS, LETTERS, PLAIN, SPACES, byte_lette
 
 LEXICON_WORDS = 60_000
 #: Words whose ids a worker keeps besides.
-MEMO = 400_000
+MEMO = 120_000
 _ODD = re.compile(f"[^{PLAIN}]")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
 class Merges:
-    """A tokenizer file: its words, merges and the bytes of its ids."""
+    """A tokenizer file's words and merges, as workers need them."""
 
     def __init__(self, data: str):
         from tokenizers import Tokenizer
 
-        spec = json.loads(data)
-        vocabulary = spec["model"]["vocab"]
+        tokenizer = Tokenizer.from_str(data)
+        self.pre, self.model = tokenizer.pre_tokenizer, tokenizer.model
         letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.letter_of = dict(enumerate(letters))
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: bytes(self.byte_of[c] for c in t) if all(c in self.byte_of for c in t) else t.encode() for t, i in vocabulary.items()}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        tokenizer = Tokenizer.from_str(data)
-        self.pre, self.model = tokenizer.pre_tokenizer, tokenizer.model
 
     def words(self, text: str) -> list[str]:
         if not _ODD.search(text):
@@ -70,6 +66,14 @@ class Merges:
         return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letter_of))]
 
 
+def byte_table(data: str) -> dict[int, bytes]:
+    """The bytes of each id; special tokens are their strings."""
+    spec = json.loads(data)
+    byte_of = {c: b for b, c in enumerate(byte_letters())}
+    table = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in spec["model"]["vocab"].items()}
+    return table | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
 class Lexicon:
     """Word to ids by a minimal acyclic transducer over bytes, in one buffer.
 
@@ -229,12 +233,11 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out: st
 def decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with ``out``: the text of the ids; bytes that are no UTF-8 become the replacement character."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        tokenizer = f.read()
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
+        sent = docs.sparkSession.sparkContext.broadcast(byte_table(f.read()))  # of the vocabulary's fixed size
     at, out = docs.columns.index(ids_col), free_name(docs, out)
 
     def run(batches):
-        bytes_of = _merges(sent.value).bytes_of.__getitem__
+        bytes_of = sent.value.__getitem__
         for batch in batches:
             texts = [b"".join(map(bytes_of, np.frombuffer(x.as_buffer(), "<u4").tolist())).decode("utf-8", "replace") if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
