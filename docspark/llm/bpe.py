@@ -36,7 +36,7 @@ from docspark.llm.token_counts import DIGITS, LETTERS, PLAIN, SPACES, byte_lette
 
 LEXICON_WORDS = 60_000
 #: Words whose ids a worker keeps besides.
-MEMO = 120_000
+MEMO = 220_000
 _ODD = re.compile(f"[^{PLAIN}]")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,7 +57,22 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
         key = f"spark.sql.execution.arrow.{name}"
         if conf.get(key, None) is None:  # where the user has not chosen
             conf.set(key, str(most))
-    return df.mapInArrow(run, schema)
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(released, schema)
+
+
+def _give_back() -> None:
+    """A reused worker keeps what its last task freed; this returns it to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def add_by_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], pa.Array]], kind: T.DataType, name: str) -> DataFrame:

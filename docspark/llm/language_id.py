@@ -37,7 +37,7 @@ BACKOFF = 0.8
 SHARPNESS = 40
 UNKNOWN = "und"
 #: Words that a worker keeps the scores of.
-MEMO = 300_000
+MEMO = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 GUESS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
