@@ -73,4 +73,73 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_exact_dedup, op4_simhash, op5_decontamination, op6_kd_sharding, op7_secrets, op8_token_counts, op9_bpe, op10_suffix_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+_EXACT_DEDUP = r"""
+WITH rows AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
+)
+SELECT doc_id,
+  first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST) AS keep_id,
+  count(*) OVER (PARTITION BY norm) AS group_size,
+  row_number() OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST) = 1 AS kept,
+  sha256(norm) AS text_sha256
+FROM rows
+"""
+
+_WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_DECONTAMINATION = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS uid, doc_id, coalesce({_WORDS_SQL}, []) AS words FROM documents
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS_SQL} AS words FROM benchmark WHERE text IS NOT NULL
+), sized AS (
+  SELECT item, words, least({decontamination.WINDOW}, len(words)) AS size FROM items WHERE len(words) > 0
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(words[p : p + size - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS p FROM sized)
+), places AS (
+  SELECT uid, size, p, array_to_string(words[p : p + size - 1], ' ') AS win
+  FROM (SELECT uid, words, size, unnest(range(1, len(words) - size + 2)) AS p FROM docs, (SELECT DISTINCT size FROM sized))
+), hits AS (
+  SELECT uid, p, size, item FROM places JOIN windows USING (size, win)
+), covered AS (
+  SELECT uid, count(DISTINCT word) AS n FROM (SELECT uid, unnest(range(p, p + size)) AS word FROM (SELECT DISTINCT uid, p, size FROM hits)) GROUP BY uid
+), named AS (
+  SELECT uid, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY uid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (uid) LEFT JOIN named USING (uid)
+"""
+
+
+def _secrets_sql() -> str:
+    """Matches and the gaps between them by rule; running sums of both are offsets."""
+    parts = []
+    for k, rule in enumerate(secret_scan.RULES):
+        pattern = rule.spans.replace("'", "''")
+        parts.append(f"SELECT uid, {k} AS k, '{rule.name}' AS kind, {rule.length} AS least, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {rule.measured}) AS measured, string_split_regex(text, '{pattern}') AS g FROM rows WHERE regexp_matches(text, '{pattern}')")
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secret_scan.BASE)
+    base = ", ".join(f"'{k}'" for k in secret_scan.BASE)
+    return f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text FROM documents
+), found AS (
+  {" UNION ALL ".join(parts)}
+), each AS (
+  SELECT uid, k, kind, least, i, length(m[i]) AS n, length(g[i]) AS gap, length(measured[i]) AS size
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found)
+), placed AS (
+  SELECT *, sum(gap + n) OVER (PARTITION BY uid, k ORDER BY i) AS last FROM each
+), spans AS (
+  SELECT uid, k, kind, last - n AS first, kind || ':' || (last - n)::BIGINT || ':' || last::BIGINT AS span FROM placed WHERE size >= least
+), listed AS (
+  SELECT uid, {counts}, string_agg(span, ',' ORDER BY first, k) FILTER (kind IN ({base})) AS base, string_agg(span, ',' ORDER BY first, k) AS spans FROM spans GROUP BY uid
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM rows LEFT JOIN listed USING (uid)
+"""
+
+
+#: The other operators: XXH64 fingerprints and components, tokenizers, a learned model, a k-d tree and byte-wise matching have no
+#: SQL that runs on whole tables; PII's checksums and context have none that is plainer than the operator. Tests use brute force.
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": _EXACT_DEDUP, "op5_decontamination": _DECONTAMINATION, "op7_secrets": _secrets_sql()}
