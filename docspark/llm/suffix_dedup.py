@@ -14,8 +14,9 @@ comparing only where they pass an anchor of equal hash. In steps:
    fingerprint of the bytes; equal neighbours are confirmed byte by byte), is
    merge-scanned against the levels of the same anchor, and levels of like size
    merge, so that sizes grow geometrically. An anchor of over HOT_CONTEXTS contexts is
-   not one task's: its contexts are salted over tasks, each settles what repeats in its
-   batches and sends a digest for each string not yet known there, dealt by digest.
+   not one task's: the range of its strings is halved, and each context is dealt once for
+   each half, by the bytes that all strings of the half hold. Equal pieces are settled
+   on the way, and groups still too large are halved again, down to single strings.
 5. Spans go back to their texts, and what they cover is removed.
 
 The order inside the arrays is by fingerprint, not by alphabet: only equality of
@@ -33,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -49,11 +49,13 @@ WIDTH = BEFORE + LENGTH
 STRINGS = BEFORE + 1
 #: Contexts that one sorted array begins with.
 FAMILY_BATCH = 2048
-#: Contexts of one anchor that a family takes; those of larger ones are spread by SALTS.
-HOT_CONTEXTS, SALTS = 8192, 1024
+#: Contexts of one anchor that one family takes; larger groups are halved.
+HOT_CONTEXTS = 8192
 
 MARKS = "uid bigint, start int, end int, h bigint, pos int"
-COMPARED = "uid bigint, start int, end int, k0 bigint, k1 bigint"
+CONTEXTS = "h bigint, uid bigint, pos int, before int, context binary"
+#: Rows without a context are spans that are settled.
+PIECES = "h bigint, c bigint, uid bigint, pos int, before int, context binary, lo int, hi int, start int, end int"
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -170,7 +172,7 @@ def _settle(batches) -> Iterator[pa.RecordBatch]:
 def _contexts(batches) -> Iterator[pa.RecordBatch]:
     """Step 4, first half: the bytes around each occurrence to compare."""
     for batch in batches:
-        h, uid, pos, before, bytes_, hot = [], [], [], [], [], []
+        h, uid, pos, before, bytes_ = [], [], [], [], []
         for u, text, marks in zip(batch.column(0).to_pylist(), _unpacked(batch.column(2), batch.column(1)), batch.column(3).to_pylist()):
             for mark in marks:
                 p = mark["pos"]
@@ -180,16 +182,15 @@ def _contexts(batches) -> Iterator[pa.RecordBatch]:
                 pos.append(p)
                 before.append(p - s)
                 bytes_.append(text[s : p + LENGTH])
-                hot.append(mark["hot"])
             if len(h) > 20_000:
-                yield _context_batch(h, uid, pos, before, bytes_, hot)
-                h, uid, pos, before, bytes_, hot = [], [], [], [], [], []
+                yield _context_batch(h, uid, pos, before, bytes_)
+                h, uid, pos, before, bytes_ = [], [], [], [], []
         if h:
-            yield _context_batch(h, uid, pos, before, bytes_, hot)
+            yield _context_batch(h, uid, pos, before, bytes_)
 
 
-def _context_batch(h, uid, pos, before, bytes_, hot) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(uid, pa.int64()), pa.array(pos, pa.int32()), pa.array(before, pa.int32()), pa.array(bytes_, pa.binary()), pa.array(hot, pa.bool_())], ["h", "uid", "pos", "before", "context", "hot"])
+def _context_batch(h, uid, pos, before, bytes_) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(uid, pa.int64()), pa.array(pos, pa.int32()), pa.array(before, pa.int32()), pa.array(bytes_, pa.binary())], ["h", "uid", "pos", "before", "context"])
 
 
 _BASE = np.uint64(0x100000001B3)
@@ -264,72 +265,23 @@ class SuffixFamily:
             self.dup[cy[ok], sy[ok]] = True
 
 
-def _dup_spans(dup: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """The strings marked in ``dup``, joined within each context, as COMPARED rows without digests."""
-    edge = np.diff(np.pad(dup.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    i, s = np.nonzero(edge == 1)
-    e = np.nonzero(edge == -1)[1]
-    first = pos[i] - BEFORE
-    none = pa.nulls(len(i), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(uid[i], pa.int64()), pa.array((first + s).astype(np.int32)), pa.array((first + e - 1 + LENGTH).astype(np.int32)), none, none], _names(COMPARED))
-
-
-def _names(schema: str) -> list[str]:
-    return [field.split()[0] for field in schema.split(", ")]
-
-
-def _string_digests(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Of a batch of hot anchors' contexts: spans of the strings that repeat in it, and of each distinct string one row with its digest."""
-    uid, pos, before = part.column(1).to_numpy(), part.column(2).to_numpy().astype(np.int64), part.column(3).to_pylist()
-    digests, which, at, hashed = [], [], [], xxhash.xxh3_128_digest
-    for i, (b, context) in enumerate(zip(before, part.column(4).to_pylist())):
-        view, n = memoryview(context), max(0, len(context) - LENGTH + 1)
-        n = min(n, b + 1)  # the string must hold the anchor
-        digests += [hashed(view[k : k + LENGTH], BEFORE - b + k) for k in range(n)]
-        which.append(np.full(n, i))
-        at.append(np.arange(BEFORE - b, BEFORE - b + n))
-    if not digests:
-        return
-    key = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    which, at = np.concatenate(which), np.concatenate(at)
-    order = np.lexsort((key[:, 1], key[:, 0]))
-    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]).any(axis=1)])
-    run = np.cumsum(new) - 1
-    repeats = order[np.bincount(run)[run] > 1]
-    dup = np.zeros((len(uid), STRINGS), bool)
-    dup[which[repeats], at[repeats]] = True
-    yield _dup_spans(dup, uid, pos)
-    first = order[new]
-    start = (pos[which[first]] - BEFORE + at[first]).astype(np.int32)
-    rows = [uid[which[first]], start, start + np.int32(LENGTH), key[first, 0], key[first, 1]]
-    for i in range(0, len(first), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in rows], _names(COMPARED))
-
-
-def _repeated_digests(batches) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by digest to the spans of those that came from more than one batch."""
-    for t in _whole_groups(batches, ("k0",)):
-        k0, k1 = t.column("k0").to_numpy(), t.column("k1").to_numpy()
-        same = (k0[1:] == k0[:-1]) & (k1[1:] == k1[:-1])
-        again = pa.array(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-        yield from t.select(["uid", "start", "end"]).filter(again).combine_chunks().to_batches()
-
-
 def _compare(batches) -> Iterator[pa.RecordBatch]:
-    """Step 4, second half: spans of what repeats, from contexts sorted by anchor; for hot anchors also digests to compare."""
+    """Step 4, second half: spans of what repeats, from contexts sorted by anchor."""
     family, uid, pos = SuffixFamily(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def spans(upto: int):
+        """Of the first contexts of the family."""
+        edge = np.diff(np.pad(family.dup[:upto].astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        i, s = np.nonzero(edge == 1)
+        e = np.nonzero(edge == -1)[1]
+        return pa.RecordBatch.from_arrays([pa.array(uid[i], pa.int64()), pa.array((pos[i] - BEFORE + s).astype(np.int32)), pa.array((pos[i] - BEFORE + e - 1 + LENGTH).astype(np.int32))], ["uid", "start", "end"])
+
     for batch in batches:
         for at in range(0, batch.num_rows, FAMILY_BATCH):
             part = batch.slice(at, FAMILY_BATCH)
-            hot = part.column(5)
-            if hot.true_count:
-                yield from _string_digests(part.filter(hot))
-                part = part.filter(pc.invert(hot))
-                if not part.num_rows:
-                    continue
             h = part.column(0).to_numpy()
             if len(family.h) and family.h[-1] != h[0]:
-                yield _dup_spans(family.dup, uid, pos)
+                yield spans(len(family.h))
                 family, uid, pos = SuffixFamily(), uid[:0], pos[:0]
             # anchors that end in this part need no family
             open_ = int(np.flatnonzero(h == h[-1])[0])
@@ -339,10 +291,76 @@ def _compare(batches) -> Iterator[pa.RecordBatch]:
                 family.add(h[a:b], part.column(3).to_pylist()[a:b], part.column(4).to_pylist()[a:b])
                 uid, pos = np.concatenate([uid, part.column(1).to_numpy()[a:b]]), np.concatenate([pos, part.column(2).to_numpy()[a:b].astype(np.int64)])
                 if b == open_:
-                    yield _dup_spans(family.dup, uid, pos)
+                    yield spans(len(family.h))
                     family, uid, pos = SuffixFamily(), uid[:0], pos[:0]
     if len(family.h):
-        yield _dup_spans(family.dup, uid, pos)
+        yield spans(len(family.h))
+
+
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def _pieces(found: pa.Table, settled: pa.Table) -> Iterator[pa.RecordBatch]:
+    """``found`` as they are, and the spans of ``settled``, dealt anywhere."""
+    k, uid = settled.num_rows, settled.column("uid")
+    none = [pa.nulls(k, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())]
+    spans = pa.table([uid, pa.array(np.zeros(k, np.int64)), uid, *none, settled.column("start"), settled.column("end")], _names(PIECES))
+    yield from pa.concat_tables([found, spans]).combine_chunks().to_batches(20_000)
+
+
+def _halve(batches) -> Iterator[pa.RecordBatch]:
+    """From contexts of groups too large, with their range of strings (lo, hi), to the pieces for each half.
+
+    A piece holds all the half's strings; ``h`` sums up the bytes that every one of
+    them holds, so equal strings meet, and ``c`` the whole piece. Of pieces that are equal in
+    the batch one goes on.
+    """
+    for batch in batches:
+        rows: list[tuple] = []
+        for h, uid, pos, before, context, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            base, view = BEFORE - before, memoryview(context)
+            mid = (lo + hi) // 2
+            for a, z in ((lo, mid), (mid + 1, hi)):
+                first, last = max(a, base), min(z, base + len(context) - LENGTH)
+                if first > last:
+                    continue  # of this half the context has no string
+                piece = context[first - base : last + LENGTH - base]
+                key = xxhash.xxh3_64_intdigest(view[z - base : a + LENGTH - base], (h + a * STRINGS + z) % (1 << 64))
+                rows.append((key, xxhash.xxh3_64_intdigest(piece, first), uid, pos, BEFORE - first, piece, a, z, pos - BEFORE + first, pos - BEFORE + last + LENGTH))
+        if not rows:
+            continue
+        h, c = (np.fromiter((r[i] for r in rows), np.uint64, len(rows)).view(np.int64) for i in (0, 1))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        found = pa.table([pa.array(h), pa.array(c), *(pa.array([r[i + 2] for r in rows], t) for i, t in enumerate(kinds))], _names(PIECES))
+        order = np.lexsort((h, c))
+        new, several = _runs(c[order], h[order])
+        yield from _pieces(found.take(pa.array(order[new])), found.take(pa.array(order[several])))
+
+
+def _runs(c: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of (c, h): which begin a run of equals, and which are of a run of several."""
+    new = np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])])
+    run = np.cumsum(new) - 1
+    return new, np.bincount(run)[run] > 1
+
+
+def _settle_pieces(batches) -> Iterator[pa.RecordBatch]:
+    """From pieces sorted by (c, h) to one of each, and the spans of those that are several."""
+    for t in _whole_groups(batches, ("c",)):
+        spans = t.column("context").is_null().to_numpy()
+        done, t = t.filter(pa.array(spans)), t.filter(pa.array(~spans))
+        if t.num_rows:
+            new, several = _runs(t.column("c").to_numpy(), t.column("h").to_numpy())
+            settled = t.filter(pa.array(several))
+            yield from _pieces(t.filter(pa.array(new)), pa.concat_tables([done, settled]))
+        else:
+            yield from done.combine_chunks().to_batches()
+
+
+def _large(rows: DataFrame, hot_contexts: int) -> DataFrame:
+    """The anchors of over ``hot_contexts`` rows: at most one for so many rows."""
+    return materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_contexts).select("h"), "hot-anchors")
 
 
 def repeated_spans(packed: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -350,23 +368,37 @@ def repeated_spans(packed: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataF
     texts = packed.select("uid", "n_bytes", "z")
     probes = arrow_map(texts, _probe, "h bigint, c bigint, uid bigint, pos int, n int, last int")
     marks = materialize(arrow_map(probes.repartition("h").sortWithinPartitions("h", "c"), _settle, MARKS), "marks")
+
+    def around(partial: DataFrame) -> DataFrame:
+        wanted = partial.groupBy("uid").agg(F.collect_list(F.struct("h", "pos")).alias("marks"))  # at most a text's anchors
+        return arrow_map(texts.join(wanted, "uid").select("uid", "n_bytes", "z", "marks"), _contexts, CONTEXTS)
+
+    def compared(contexts: DataFrame) -> DataFrame:
+        return arrow_map(contexts.repartition("h").sortWithinPartitions("h"), _compare, "uid bigint, start int, end int")
+
+    spans = marks.where("start IS NOT NULL").select("uid", "start", "end")
     partial = marks.where("h IS NOT NULL").select("uid", "h", "pos")
-    hot = partial.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_contexts).select("h", F.lit(True).alias("hot"))
-    partial = partial.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = partial.groupBy("uid").agg(F.collect_list(F.struct("h", "pos", "hot")).alias("marks"))  # at most a text's anchors
-    around = arrow_map(texts.join(wanted, "uid").select("uid", "n_bytes", "z", "marks"), _contexts, "h bigint, uid bigint, pos int, before int, context binary, hot boolean")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("uid", "pos"), F.lit(SALTS))).otherwise(F.lit(0))
-    compared = materialize(arrow_map(around.repartition("h", salt).sortWithinPartitions("h"), _compare, COMPARED), "compared")
-    strings = compared.where("k0 IS NOT NULL").repartition("k0", "k1").sortWithinPartitions("k0", "k1")
-    crossing = arrow_map(strings, _repeated_digests, "uid bigint, start int, end int")
-    known = marks.where("start IS NOT NULL").unionByName(compared.where("k0 IS NULL"), allowMissingColumns=True)
-    return known.select("uid", "start", "end").unionByName(crossing)
+    hot = _large(partial, hot_contexts)
+    if hot.isEmpty():
+        return spans.unionByName(compared(around(partial)))
+    spans = spans.unionByName(compared(around(partial.join(hot, "h", "left_anti"))))
+    large = around(partial.join(hot, "h", "left_semi")).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(BEFORE))
+    while True:  # seven times at most, as ranges are halved from STRINGS to one
+        pieces = arrow_map(large, _halve, PIECES).repartition("c", "h").sortWithinPartitions("c", "h")
+        pieces = materialize(arrow_map(pieces, _settle_pieces, PIECES), "pieces")
+        spans = spans.unionByName(pieces.where("context IS NULL").select("uid", "start", "end"))
+        rows = pieces.where("context IS NOT NULL AND lo < hi").select(*_names(CONTEXTS), "lo", "hi")  # single strings are settled
+        hot = _large(rows, hot_contexts)
+        if hot.isEmpty():
+            return spans.unionByName(compared(rows.select(*_names(CONTEXTS))))
+        spans = spans.unionByName(compared(rows.join(hot, "h", "left_anti").select(*_names(CONTEXTS))))
+        large = rows.join(hot, "h", "left_semi").select(*_names(CONTEXTS), "lo", "hi")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, spans (flat start/end pairs of bytes), kept (the remaining bytes)."""
     packed = pack(docs, id_col, text_col)
-    spans = repeated_spans(packed, hot_contexts).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = materialize(repeated_spans(packed, hot_contexts), "repeats").groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches):
         for batch in batches:
