@@ -240,8 +240,60 @@ def test_dedup_state_goes_on(spark, tmp_path):
     assert got == {5: (9, 3), 3: (9, 3), 9: (9, 3), 6: (6, 1)}
 
 
-def test_pipeline_keeps_and_drops(spark, data):
+def brute_print(t):
+    words = t.encode().lower().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[k : k + 4]), seed=42) for k in range(max(1, len(words) - 3))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_clean(t):
+    """None if over 0.8 of the words are hit, else the text without runs of 10 hit words and more."""
+    places = [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))]
+    words, hit = [t[s:e].translate({c: c + 32 for c in range(65, 91)}) for s, e in places], set()
+    for _, item in BENCH:
+        of = (item or "").split()
+        n = min(10, len(of))
+        for j in range(len(of) - n + 1 if of else 0):
+            for k in range(len(words) - n + 1):
+                if words[k : k + n] == of[j : j + n]:
+                    hit |= set(range(k, k + n))
+    if len(hit) > 0.8 * len(words):
+        return None
+    runs = [[k for k in range(f, len(words) + 1) if k not in hit][0] - f if f in hit and f - 1 not in hit else 0 for f in range(len(words))]
+    for f, n in reversed(list(enumerate(runs))):
+        if n >= 10:
+            t = t[: places[f][0]] + t[places[f + n - 1][1] :]
+    return t
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
-
-    rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, data).collect()}
-    assert not {0, 1, 2, 3, 5} & set(rows) and 4 in rows and all(r["lossless"] for r in rows.values())
+    from docspark.llm import language_id
+
+    data, filler = str(tmp_path), " ".join(f"clean{i}" for i in range(60))
+    texts = [*TEXTS, f"{filler} {BENCH[0][1]} end", f"{filler} {BENCH[0][1].upper()}, a tiny item", f"start {filler}", PASSAGE.replace("oak", "elm", 1), filler * 3]
+    rows = [(i, t, ("en", "fr", None)[i % 3], "src", "clash") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{data}/documents.parquet")
+    spark.createDataFrame(BENCH, "item_id bigint, text string").write.parquet(f"{data}/benchmark.parquet")
+    seen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    scorer = language_id.train(spark.createDataFrame(seen, SCHEMA)).scorer()
+    docs = {}
+    for i, t in enumerate(texts):
+        lang, score = scorer.guess(t)
+        if lang != "und" and score >= 0.5:
+            docs[i] = t
+    groups = defaultdict(list)
+    for i, t in docs.items():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i))
+    docs = {i: docs[i] for i in sorted(min(g)[1] for g in groups.values())}
+    prints = {i: brute_print(t) for i, t in docs.items()}
+    best = {i: i for i in docs}
+    for _ in docs:
+        best = {i: min(best[j] for j in docs if (prints[i] ^ prints[j]).bit_count() <= 4) for i in docs}
+    cleaned = {i: brute_clean(t) for i, t in docs.items() if best[i] == i}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in cleaned.items() if t is not None}
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, data).collect()}
+    assert {i: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for i, r in got.items()} == want
+    assert all(r["lossless"] and r["n_tokens"] == len(want[i]) for i, r in got.items())
+    assert len(want) < len(docs) < len(texts) and 15 not in want and any(t != texts[i] for i, t in cleaned.items() if t is not None)
