@@ -31,9 +31,11 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -53,8 +55,9 @@ FAMILY_BATCH = 2048
 HOT_CONTEXTS = 8192
 
 MARKS = "uid bigint, start int, end int, h bigint, pos int"
-CONTEXTS = "h bigint, uid bigint, pos int, before int, context binary"
-#: Rows without a context are spans that are settled.
+#: (lo, hi): the range of strings that a context stands for.
+CONTEXTS = "h bigint, uid bigint, pos int, before int, context binary, lo int, hi int, hot boolean"
+#: Rows without a context are spans that are settled; those without a range go to their anchor's family.
 PIECES = "h bigint, c bigint, uid bigint, pos int, before int, context binary, lo int, hi int, start int, end int"
 
 
@@ -172,7 +175,7 @@ def _settle(batches) -> Iterator[pa.RecordBatch]:
 def _contexts(batches) -> Iterator[pa.RecordBatch]:
     """Step 4, first half: the bytes around each occurrence to compare."""
     for batch in batches:
-        h, uid, pos, before, bytes_ = [], [], [], [], []
+        h, uid, pos, before, bytes_, hot = [], [], [], [], [], []
         for u, text, marks in zip(batch.column(0).to_pylist(), _unpacked(batch.column(2), batch.column(1)), batch.column(3).to_pylist()):
             for mark in marks:
                 p = mark["pos"]
@@ -182,15 +185,17 @@ def _contexts(batches) -> Iterator[pa.RecordBatch]:
                 pos.append(p)
                 before.append(p - s)
                 bytes_.append(text[s : p + LENGTH])
+                hot.append(mark["hot"])
             if len(h) > 20_000:
-                yield _context_batch(h, uid, pos, before, bytes_)
-                h, uid, pos, before, bytes_ = [], [], [], [], []
+                yield _context_batch(h, uid, pos, before, bytes_, hot)
+                h, uid, pos, before, bytes_, hot = [], [], [], [], [], []
         if h:
-            yield _context_batch(h, uid, pos, before, bytes_)
+            yield _context_batch(h, uid, pos, before, bytes_, hot)
 
 
-def _context_batch(h, uid, pos, before, bytes_) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(uid, pa.int64()), pa.array(pos, pa.int32()), pa.array(before, pa.int32()), pa.array(bytes_, pa.binary())], ["h", "uid", "pos", "before", "context"])
+def _context_batch(h, uid, pos, before, bytes_, hot) -> pa.RecordBatch:
+    whole = np.zeros(len(h), np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(uid, pa.int64()), pa.array(pos, pa.int32()), pa.array(before, pa.int32()), pa.array(bytes_, pa.binary()), pa.array(whole), pa.array(whole + BEFORE), pa.array(hot, pa.bool_())], _names(CONTEXTS))
 
 
 _BASE = np.uint64(0x100000001B3)
@@ -358,9 +363,51 @@ def _settle_pieces(batches) -> Iterator[pa.RecordBatch]:
             yield from done.combine_chunks().to_batches()
 
 
-def _large(rows: DataFrame, hot_contexts: int) -> DataFrame:
-    """The anchors of over ``hot_contexts`` rows: at most one for so many rows."""
-    return materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_contexts).select("h"), "hot-anchors")
+def _route(batches) -> Iterator[pa.RecordBatch]:
+    """Contexts of anchors small enough as they are, those of others in halves."""
+    for batch in batches:
+        hot = batch.column(7)
+        rows = pa.Table.from_batches([batch.filter(pc.invert(hot))])
+        if k := rows.num_rows:
+            none = pa.nulls(k, pa.int32())
+            yield from pa.table([rows.column("h"), pa.array(np.zeros(k, np.int64)), *(rows.column(x) for x in ("uid", "pos", "before", "context")), none, none, none, none], _names(PIECES)).combine_chunks().to_batches()
+        if hot.true_count:
+            yield from _halve([batch.filter(hot)])
+
+
+def _for_family(batch: pa.RecordBatch) -> int:
+    """Rows with a context and without a range."""
+    return pc.and_(pc.is_valid(batch.column(5)), pc.is_null(batch.column(6))).true_count
+
+
+def _compare_and_settle(batches) -> Iterator[pa.RecordBatch]:
+    """From rows sorted so that those for families come first, by anchor, and pieces after them, by (c, h)."""
+    batches, rest = iter(batches), []
+
+    def contexts():
+        for batch in batches:
+            n = _for_family(batch)
+            if n:
+                yield batch.slice(0, n).select(["h", "uid", "pos", "before", "context"])
+            if n < batch.num_rows:
+                rest.append(batch.slice(n))
+                return
+
+    for spans in _compare(contexts()):
+        if spans.num_rows:
+            t = pa.Table.from_batches([spans])
+            none = pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32())], _names(PIECES))
+            yield from _pieces(none, t)
+    yield from _settle_pieces(chain(rest, batches))
+
+
+def _flagged(rows: DataFrame, hot_contexts: int) -> tuple[DataFrame, bool]:
+    """``rows`` with ``hot``, whether their anchor has over ``hot_contexts`` of them, and whether there are such anchors."""
+    hot = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_contexts).select("h", F.lit(True).alias("hot"))
+    hot = materialize(hot, "hot-anchors")  # at most one for so many rows
+    if hot.isEmpty():
+        return rows.withColumn("hot", F.lit(False)), False
+    return rows.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), True
 
 
 def repeated_spans(packed: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -369,36 +416,26 @@ def repeated_spans(packed: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataF
     probes = arrow_map(texts, _probe, "h bigint, c bigint, uid bigint, pos int, n int, last int")
     marks = materialize(arrow_map(probes.repartition("h").sortWithinPartitions("h", "c"), _settle, MARKS), "marks")
 
-    def around(partial: DataFrame) -> DataFrame:
-        wanted = partial.groupBy("uid").agg(F.collect_list(F.struct("h", "pos")).alias("marks"))  # at most a text's anchors
-        return arrow_map(texts.join(wanted, "uid").select("uid", "n_bytes", "z", "marks"), _contexts, CONTEXTS)
-
-    def compared(contexts: DataFrame) -> DataFrame:
-        return arrow_map(contexts.repartition("h").sortWithinPartitions("h"), _compare, "uid bigint, start int, end int")
-
     spans = marks.where("start IS NOT NULL").select("uid", "start", "end")
-    partial = marks.where("h IS NOT NULL").select("uid", "h", "pos")
-    hot = _large(partial, hot_contexts)
-    if hot.isEmpty():
-        return spans.unionByName(compared(around(partial)))
-    spans = spans.unionByName(compared(around(partial.join(hot, "h", "left_anti"))))
-    large = around(partial.join(hot, "h", "left_semi")).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(BEFORE))
-    while True:  # seven times at most, as ranges are halved from STRINGS to one
-        pieces = arrow_map(large, _halve, PIECES).repartition("c", "h").sortWithinPartitions("c", "h")
-        pieces = materialize(arrow_map(pieces, _settle_pieces, PIECES), "pieces")
-        spans = spans.unionByName(pieces.where("context IS NULL").select("uid", "start", "end"))
-        rows = pieces.where("context IS NOT NULL AND lo < hi").select(*_names(CONTEXTS), "lo", "hi")  # single strings are settled
-        hot = _large(rows, hot_contexts)
-        if hot.isEmpty():
-            return spans.unionByName(compared(rows.select(*_names(CONTEXTS))))
-        spans = spans.unionByName(compared(rows.join(hot, "h", "left_anti").select(*_names(CONTEXTS))))
-        large = rows.join(hot, "h", "left_semi").select(*_names(CONTEXTS), "lo", "hi")
+    partial, hot = _flagged(marks.where("h IS NOT NULL").select("uid", "h", "pos"), hot_contexts)
+    wanted = partial.groupBy("uid").agg(F.collect_list(F.struct("h", "pos", "hot")).alias("marks"))  # at most a text's anchors
+    rows = arrow_map(texts.join(wanted, "uid").select("uid", "n_bytes", "z", "marks"), lambda batches: _route(_contexts(batches)), PIECES)
+    while True:  # eight times at most, as ranges are halved from STRINGS to one
+        family = F.col("context").isNotNull() & F.col("lo").isNull()
+        dealt = rows.repartition("c", "h").sortWithinPartitions(~family, "c", "h")
+        done = materialize(arrow_map(dealt, _compare_and_settle, PIECES), "compared")
+        spans = spans.unionByName(done.where("context IS NULL").select("uid", "start", "end"))
+        if not hot:
+            return spans
+        left = done.where("context IS NOT NULL AND lo < hi").select(*[n for n in _names(CONTEXTS) if n != "hot"])  # single strings are settled
+        left, hot = _flagged(left, hot_contexts)
+        rows = arrow_map(left.select(*_names(CONTEXTS)), _route, PIECES)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, spans (flat start/end pairs of bytes), kept (the remaining bytes)."""
     packed = pack(docs, id_col, text_col)
-    spans = materialize(repeated_spans(packed, hot_contexts), "repeats").groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(packed, hot_contexts).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches):
         for batch in batches:
