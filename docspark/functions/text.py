@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,7 +27,14 @@ def token_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"), F.lit(0)))
 
 
-_BLOCK = 512
+_BLOCK = 32
+#: Levels of blocks: up to _BLOCK ** (levels + 1) elements every block is short, beyond that the topmost grows.
+_LEVELS = 3
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often (and in whatever lambda) ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _running(a: Column) -> Column:
@@ -35,18 +43,39 @@ def _running(a: Column) -> Column:
     return F.aggregate(a, zero, lambda s, x: F.struct(F.concat(s["all"], F.array(s["sum"] + x)).alias("all"), (s["sum"] + x).alias("sum")), lambda s: s["all"])
 
 
+def _sums(a: Column, levels: int) -> Column:
+    if not levels:
+        return _running(a)
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / _BLOCK).cast("int") - 1, F.lit(0)))
+    blocks = F.transform(starts, lambda b: _running(F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def whole(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0)))
+        upto = let(totals, lambda t: _sums(t, levels - 1))
+        return F.flatten(F.zip_with(parts, upto, lambda p, u: F.transform(p, lambda x: x + u - F.element_at(p, -1))))
+
+    return let(blocks, whole)
+
+
 def running_sums(a: Column) -> Column:
-    """Inclusive running sums of an array of any length, in blocks."""
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / _BLOCK).cast("int") - 1, F.lit(0))), lambda b: _running(F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK))))
-    bases = _running(F.transform(blocks, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0))))
-    return F.flatten(F.zip_with(blocks, bases, lambda p, base: F.transform(p, lambda x: x + base - F.element_at(p, -1))))
+    """Inclusive running sums of an array of any length, in blocks of blocks."""
+    return let(a, lambda x: _sums(x, _LEVELS))
+
+
+def token_pieces(text: Column) -> Column:
+    """Whitespace tokens, each with the white space before it."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\s*\S+"), F.lit(0))
+
+
+def token_ends(pieces: Column) -> Column:
+    """Where each token ends in the text: running lengths of the pieces."""
+    return running_sums(F.transform(pieces, F.length))
 
 
 def token_spans(text: Column) -> Column:
-    """array<struct<s,e>> of whitespace tokens: ends are running lengths of (white space + token) pieces."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?U)\s*\S+"), F.lit(0))
-    ends = running_sums(F.transform(pieces, F.length))
-    return F.zip_with(pieces, ends, lambda p, e: F.struct((e - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))).alias("s"), e.alias("e")))
+    """array<struct<s,e>> of whitespace tokens."""
+    tokens = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
+    return F.zip_with(tokens, token_ends(token_pieces(text)), lambda t, e: F.struct((e - F.length(t)).alias("s"), e.alias("e")))
 
 
 def chunk_id(source_id: Column, level: Column, start: Column, end: Column, text: Column) -> Column:

@@ -31,10 +31,13 @@ def materialize_units(units: Column) -> Column:
 def sanitize_units(units: Column, n: Column) -> Column:
     """Spans clipped to the text and in order; one whole-document unit if none is left or they overlap."""
     clipped = F.transform(F.coalesce(units, F.array()), lambda u: F.struct(F.greatest(u["start_char"], F.lit(0)).alias("start_char"), F.least(u["end_char"], n).alias("end_char"), u["unit_type"].alias("unit_type"), u["unit_index"].alias("unit_index")))
-    kept = F.array_sort(F.filter(clipped, lambda u: u["end_char"] > u["start_char"]))
-    apart = F.aggregate(kept, F.struct(F.lit(True).alias("ok"), F.lit(0).alias("end")), lambda a, u: F.struct((a["ok"] & (u["start_char"] >= a["end"])).alias("ok"), u["end_char"].alias("end")), lambda a: a["ok"])
     whole = F.array(F.struct(F.lit(0).alias("start_char"), n.alias("end_char"), F.lit("document").alias("unit_type"), F.lit(1).alias("unit_index")))
-    return F.when((F.size(kept) == 0) | ~apart, whole).otherwise(kept)
+
+    def checked(kept: Column) -> Column:
+        apart = F.aggregate(kept, F.struct(F.lit(True).alias("ok"), F.lit(0).alias("end")), lambda a, u: F.struct((a["ok"] & (u["start_char"] >= a["end"])).alias("ok"), u["end_char"].alias("end")), lambda a: a["ok"])
+        return F.when((F.size(kept) == 0) | ~apart, whole).otherwise(kept)
+
+    return X.let(F.array_sort(F.filter(clipped, lambda u: u["end_char"] > u["start_char"])), checked)
 
 
 def sections(paragraphs: DataFrame, doc: str = "doc", pos: str = "pos", text: str = "text", heading: str = "is_heading") -> DataFrame:
@@ -46,16 +49,16 @@ def sections(paragraphs: DataFrame, doc: str = "doc", pos: str = "pos", text: st
     return joined.select(doc, F.dense_rank().over(W.partitionBy(doc).orderBy("section")).alias("section"), title.alias("title"), F.array_join(F.transform("p", lambda x: x[text]), "\n").alias("text"))
 
 
-def boundaries(spans: Column, units: Column) -> Column:
+def boundaries(ends: Column, units: Column) -> Column:
     """Token positions at which units end, strictly inside the text, distinct and in order.
 
     Ends of tokens (even) and units (odd) are sorted into one array, where the place of a unit's end
     less the units before it is the number of tokens up to it.
     """
-    ends = F.array_sort(F.concat(F.transform(spans, lambda t: t["e"] * 2), F.transform(units, lambda u: u["end_char"] * 2 + 1)))
-    placed = F.filter(F.transform(ends, lambda x, i: F.struct((x % 2).alias("unit"), i.alias("i"))), lambda x: x["unit"] == 1)
+    both = F.array_sort(F.concat(F.transform(ends, lambda e: e * 2), F.transform(units, lambda u: u["end_char"] * 2 + 1)))
+    placed = F.filter(F.transform(both, lambda x, i: F.struct((x % 2).alias("unit"), i.alias("i"))), lambda x: x["unit"] == 1)
     at = F.transform(placed, lambda x, k: x["i"] - k)
-    return F.array_sort(F.array_distinct(F.filter(at, lambda b: (b > 0) & (b < F.size(spans)))))
+    return F.array_sort(F.array_distinct(F.filter(at, lambda b: (b > 0) & (b < F.size(ends)))))
 
 
 def windows(n: Column, bounds: Column, w: Window) -> Column:
@@ -69,33 +72,46 @@ def windows(n: Column, bounds: Column, w: Window) -> Column:
     stride = max(1, w.min_tokens - w.overlap_tokens)
     rounds = F.sequence(F.lit(0), F.greatest(F.ceil(n / stride).cast("int"), F.lit(1)))
 
+    def ending(start):
+        ideal = start + w.target_tokens
+        near = F.array_min(F.transform(F.filter(bounds, lambda b: (b >= start + w.min_tokens) & (b <= start + w.max_tokens)), lambda b: F.struct(F.abs(b - ideal).alias("d"), b.alias("b"))))
+        return F.coalesce(near["b"], F.least(ideal, n)).cast("int")
+
     def step(a, _):
         start, every = a["start"], a["all"]
         rest = n - start
-        ideal = start + w.target_tokens
-        near = F.array_min(F.transform(F.filter(bounds, lambda b: (b >= start + w.min_tokens) & (b <= start + w.max_tokens)), lambda b: F.struct(F.abs(b - ideal).alias("d"), b.alias("b"))))
-        end = F.coalesce(near["b"], F.least(ideal, n))
-        after = F.when(end - w.overlap_tokens > start, end - w.overlap_tokens).otherwise(end)
         last = F.element_at(every, -1)
         widened = F.concat(F.slice(every, 1, F.size(every) - 1), F.array(F.struct(last["s"].alias("s"), n.alias("e"))))
         closing = F.when((F.size(every) > 0) & (rest < w.min_tokens), widened).otherwise(F.concat(every, F.array(F.struct(start.alias("s"), n.alias("e")))))
         final = F.struct(closing.alias("all"), start.alias("start"), F.lit(True).alias("done"))
-        more = F.struct(F.concat(every, F.array(F.struct(start.alias("s"), end.cast("int").alias("e")))).alias("all"), after.cast("int").alias("start"), (after >= n).alias("done"))
-        return F.when(a["done"], a).otherwise(F.when(rest <= w.max_tokens, final).otherwise(more))
+
+        def more(end):
+            after = F.when(end - w.overlap_tokens > start, end - w.overlap_tokens).otherwise(end)
+            return F.struct(F.concat(every, F.array(F.struct(start.alias("s"), end.alias("e")))).alias("all"), after.alias("start"), (after >= n).alias("done"))
+
+        return F.when(a["done"], a).otherwise(F.when(rest <= w.max_tokens, final).otherwise(X.let(ending(start), more)))
 
     return F.when(n > 0, F.aggregate(rounds, zero, step, lambda a: a["all"])).otherwise(F.array().cast(kind))
 
 
 def chunk_level(docs: DataFrame, w: Window) -> DataFrame:
-    """``docs`` (source_id, text, spans, units, bounds) to chunk rows of one level."""
-    rows = docs.withColumn("n", F.size("spans")).select("source_id", "text", "spans", "units", F.posexplode(windows(F.col("n"), F.col("bounds"), w)).alias("k", "w"))
-    start, end = F.col("spans")[F.col("w.s")]["s"], F.col("spans")[F.col("w.e") - 1]["e"]
-    rows = rows.select("source_id", "units", (F.col("w.e") - F.col("w.s")).alias("token_count"), start.alias("s"), end.alias("e"), F.col("text").substr(start + 1, end - start).alias("raw"))
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))
-    rows = rows.withColumn("start_char", F.col("s") + lead).withColumn("text", X.strip(F.col("raw"))).where("length(text) > 0").withColumn("end_char", F.col("start_char") + F.length("text"))
-    first = F.coalesce(F.try_element_at(F.filter("units", lambda u: u["end_char"] > F.col("start_char")), F.lit(1)), F.element_at("units", -1))
-    last = F.coalesce(F.try_element_at(F.filter("units", lambda u: u["start_char"] < F.col("end_char")), F.lit(-1)), F.element_at("units", 1))
-    rows = rows.withColumn("first", first).withColumn("last", last)
+    """``docs`` (source_id, pieces, ends, units, bounds) to chunk rows of one level.
+
+    Each window is cut from the document's arrays before the explode, so a row that leaves it
+    holds its own text only and a long document isn't copied for each of its windows.
+    """
+
+    def cut(x: Column) -> Column:
+        text = F.regexp_replace(F.array_join(F.slice("pieces", x["s"] + 1, x["e"] - x["s"]), ""), r"(?U)^\s+", "")
+        return F.struct((x["e"] - x["s"]).alias("token_count"), text.alias("text"), F.get("ends", x["e"] - 1).alias("end_char"))
+
+    def place(c: Column) -> Column:
+        start = c["end_char"] - F.length(c["text"])
+        first = F.coalesce(F.try_element_at(F.filter("units", lambda u: u["end_char"] > start), F.lit(1)), F.element_at("units", -1))
+        last = F.coalesce(F.try_element_at(F.filter("units", lambda u: u["start_char"] < c["end_char"]), F.lit(-1)), F.element_at("units", 1))
+        return F.struct(c["token_count"].alias("token_count"), c["text"].alias("text"), start.alias("start_char"), c["end_char"].alias("end_char"), first.alias("first"), last.alias("last"))
+
+    rows = docs.select("source_id", F.explode(F.transform(F.transform(windows(F.size("ends"), F.col("bounds"), w), cut), place)).alias("c")).select("source_id", "c.*")
     return rows.select(
         X.chunk_id(F.col("source_id"), F.lit(w.level), F.col("start_char"), F.col("end_char"), F.col("text")).alias("chunk_id"), "source_id", F.lit(w.level).alias("level"), "text", "token_count", "start_char", "end_char",
         F.col("first.unit_type").alias("unit_type_start"), F.col("first.unit_index").alias("unit_index_start"), F.col("last.unit_type").alias("unit_type_end"), F.col("last.unit_index").alias("unit_index_end"),
@@ -130,8 +146,9 @@ def assign_parents(leaves: DataFrame, parents: DataFrame) -> DataFrame:
 
 def prepare(docs: DataFrame) -> DataFrame:
     """(source_id, text, units) to what chunk_level reads."""
-    docs = docs.withColumn("spans", X.token_spans(F.col("text"))).withColumn("units", sanitize_units(F.col("units"), F.length("text")))
-    return docs.withColumn("bounds", boundaries(F.col("spans"), F.col("units")))
+    docs = docs.withColumn("pieces", X.token_pieces(F.col("text"))).withColumn("units", sanitize_units(F.col("units"), F.length("text")))
+    docs = docs.withColumn("ends", X.token_ends(F.col("pieces")))
+    return docs.withColumn("bounds", boundaries(F.col("ends"), F.col("units")))
 
 
 def build_chunks(docs: DataFrame, config: Chunking = Chunking()) -> tuple[DataFrame, DataFrame]:

@@ -108,7 +108,7 @@ bound AS (SELECT doc_id::VARCHAR AS source_id, max(n)::INT AS n, coalesce(list(D
 
 
 def _windows(spark: SparkSession, sf_dir: str, w: Window) -> DataFrame:
-    rows = chunking.prepare(documents(spark, sf_dir)).select("source_id", F.posexplode(chunking.windows(F.size("spans"), F.col("bounds"), w)).alias("k", "w"))
+    rows = chunking.prepare(documents(spark, sf_dir)).select("source_id", F.posexplode(chunking.windows(F.size("ends"), F.col("bounds"), w)).alias("k", "w"))
     return rows.select("source_id", "k", "w.s", "w.e")
 
 

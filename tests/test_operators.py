@@ -1,5 +1,8 @@
 """Operators against known pairs of input and output."""
 
+import itertools
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -26,10 +29,6 @@ def test_units_and_offsets(spark):
     assert out["text"] == "First page text\n\nThird page text" and [(u["start_char"], u["end_char"]) for u in out["units"]] == [(0, 15), (17, 32)]
 
 
-def spans(*pairs):
-    return F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in pairs])
-
-
 def units(*pairs):
     return F.array(*[F.struct(F.lit("p").alias("unit_type"), F.lit(1).alias("unit_index"), F.lit(s).alias("start_char"), F.lit(e).alias("end_char")) for s, e in pairs])
 
@@ -38,7 +37,21 @@ def test_sanitize_and_boundaries(spark):
     out = one(spark, chunking.sanitize_units(units((-5, 5), (6, 100)), F.lit(20)))
     assert [(u["start_char"], u["end_char"]) for u in out] == [(0, 5), (6, 20)]
     assert [u["unit_type"] for u in one(spark, chunking.sanitize_units(units((0, 15), (10, 25)), F.lit(30)))] == ["document"]
-    assert one(spark, chunking.boundaries(spans((0, 5), (6, 11), (12, 17), (18, 23)), units((0, 11), (12, 23)))) == [2]
+    assert one(spark, chunking.boundaries(F.array(*map(F.lit, (5, 11, 17, 23))), units((0, 11), (12, 23)))) == [2]
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 1023, 1024, 1025, 40_000])
+def test_running_sums_of_any_length(spark, n):
+    got = one(spark, X.running_sums(F.transform(F.slice(F.sequence(F.lit(0), F.lit(n)), 1, F.lit(n)), lambda x: x % 7)))
+    assert got == list(itertools.accumulate(x % 7 for x in range(n)))
+
+
+def test_token_spans_are_those_of_the_regex(spark):
+    texts = ["", "   ", "a", "\u00a0 a\u2003b\n\n c ", "\U0001f600 x" * 700, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.token_spans(F.col("t")).alias("s")).collect()
+    for r in rows:
+        t = texts[r["i"]]
+        assert r["s"] is None if t is None else [(x["s"], x["e"]) for x in r["s"]] == [m.span() for m in re.finditer(r"\S+", t)]
 
 
 def greedy(n, bounds, w):
