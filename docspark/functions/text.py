@@ -115,3 +115,23 @@ def rewrite_citations(answer: Column, valid: Column) -> Column:
 def tidy(text: Column) -> Column:
     folded = strip(F.regexp_replace(text, r"(?U)\s{2,}", " "))
     return F.regexp_replace(folded, r"(?U)\s++([.,;:!?])", "$1")
+
+
+# What unit types are called on display.
+UNIT_NAMES = {"page": "Page", "paragraph": "Paragraphe", "slide": "Slide"}
+
+#: Where labels that aren't C and a number sort.
+LAST_LABEL = 10_000
+
+
+def unit_name(unit_type: Column) -> Column:
+    """The display name of a unit type in any case; others as they are, stripped."""
+    raw = strip(F.coalesce(unit_type, F.lit("")))
+    names = F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.lower(raw)), raw)
+
+
+def label_order(label: Column) -> Column:
+    """The number of a label such as C12, for sorting; what isn't one comes last."""
+    number = F.regexp_extract(strip(F.coalesce(label, F.lit(""))), r"(?U)^C\s*([+-]?\d+)$", 1)
+    return F.coalesce(number.try_cast("int"), F.lit(LAST_LABEL))

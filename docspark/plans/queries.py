@@ -56,7 +56,9 @@ kept AS (SELECT *, row_number() OVER w AS k, coalesce(sum(length(line) + 2) OVER
 
 @query(f"WITH {_UNITS} SELECT doc_id::VARCHAR AS source_id, i::INT AS unit_index, start_char, (start_char + length(line))::INT AS end_char FROM kept")
 def unit_split_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("source_id", F.explode("units").alias("u")).select("source_id", "u.unit_index", "u.start_char", "u.end_char")
+    # outer: an inner explode of a column infers a filter below it, which computes the column over again
+    units = documents(spark, sf_dir).select("source_id", F.explode_outer("units").alias("u")).where("u IS NOT NULL")
+    return units.select("source_id", "u.unit_index", "u.start_char", "u.end_char")
 
 
 _TAGS = r"<(h1|p)>([^<]*)</"
@@ -80,6 +82,17 @@ def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", X.token_count(F.col("text")).alias("n_tokens"))
 
 
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS p, regexp_extract_all(text, '\S+') AS w FROM documents),
+x AS (SELECT doc_id, generate_subscripts(p, 1) AS k, length(unnest(p)) AS n, length(unnest(w)) AS m FROM t),
+y AS (SELECT doc_id, k, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS e, m FROM x)
+SELECT doc_id, count(*)::INT AS n_spans, sum((e - m) * k)::BIGINT AS starts, sum(e * k)::BIGINT AS ends FROM y GROUP BY 1""")
+def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all tokens, shown as sums that depend on each span's place and offsets."""
+    spans = load(spark, sf_dir, "documents").select("doc_id", X.token_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    total = lambda end: F.aggregate(F.transform("spans", lambda x, i: x[end].cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return spans.select("doc_id", F.size("spans").alias("n_spans"), total("s").alias("starts"), total("e").alias("ends"))
+
+
 # ---- windows and chunks ----
 
 
@@ -122,6 +135,12 @@ def parent_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir, PARENT)
 
 
+@query(f"WITH {_BOUND} SELECT source_id, n AS n_tokens, unnest(list_sort(b)) AS boundary FROM bound")
+def unit_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.prepare(documents(spark, sf_dir))
+    return rows.select("source_id", F.size("ends").alias("n_tokens"), F.explode_outer("bounds").alias("boundary")).where("boundary IS NOT NULL")
+
+
 _CHUNKS = rf"""
 body AS (SELECT doc_id::VARCHAR AS source_id, string_agg(line, chr(10) || chr(10) ORDER BY k) AS text FROM kept GROUP BY 1),
 pieces AS (SELECT source_id, regexp_extract_all(text, '\s*\S+') AS p FROM body),
@@ -396,6 +415,52 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- answers ----
 
 
+def _ranked_sql(last: str) -> str:
+    return _expand_sql(2).rsplit(" SELECT ", 1)[0] + f""",
+scored AS (SELECT h.*, v.source_id, row_number() OVER (PARTITION BY h.qid ORDER BY round(h.score, 12) DESC, h.rank) AS place FROM h2 h JOIN v USING (chunk_id)),
+final AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY own > 2, place)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_id ORDER BY place) AS own FROM scored)) {last}"""
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = retrieval.expand_neighbors(_seeds(spark, sf_dir), _vectors(spark, sf_dir), 2).withColumn("score", F.round("score", 12))
+    rows = rows.join(_vectors(spark, sf_dir).select("chunk_id", "source_id"), "chunk_id")
+    return retrieval.soft_cap(retrieval.by_score(rows), CAP)
+
+
+@query(_ranked_sql("SELECT qid, chunk_id, rank, round(score, 6) AS score FROM final"))
+def final_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds and neighbors by score, then the soft cap per source."""
+    return _ranked(spark, sf_dir).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(_ranked_sql("""SELECT qid, 'First [C1], then [C2].' AS answer, 'C1=' || max(chunk_id) FILTER (WHERE rank = 2) || ',C2=' || max(chunk_id) FILTER (WHERE rank = 1) AS citations, string_agg(chunk_id, ',' ORDER BY rank) AS used FROM final GROUP BY qid"""))
+def answer_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed reply that cites places 2 and 1 and one that doesn't exist, made into an answer for each question."""
+    context = _ranked(spark, sf_dir)
+    replies = _questions(spark, sf_dir).select("qid", F.lit("First [C2], then [C1]  [C999] .").alias("answer"))
+    done = answers.finish(replies, context)
+    cited = F.array_join(F.transform("citations", lambda c: F.concat(c["label"], F.lit("="), c["chunk_id"])), ",")
+    return done.select("qid", "answer", cited.alias("citations"), F.array_join("used_chunks", ",").alias("used"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 10000 ELSE turn % 3 * 10 + conv_id % 7 END::INT AS place FROM conversations")
+def citation_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third, n = F.col("turn") % 3, F.col("turn") % 3 * 10 + F.col("conv_id") % 7
+    label = F.when(third == 0, F.concat(F.lit("Cx"), n.cast("string"))).otherwise(F.concat(F.lit(" C"), n.cast("string"), F.lit(" ")))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", X.label_order(label).alias("place"))
+
+
+@query("SELECT * FROM (VALUES ('page', 'Page'), (' PARAGRAPH ', 'Paragraphe'), ('Slide', 'Slide'), (' section ', 'section'), ('', '')) AS t(raw, name)")
+def unit_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in ("page", " PARAGRAPH ", "Slide", " section ", "")], "raw string").select("raw", X.unit_name(F.col("raw")).alias("name"))
+
+
+@query("SELECT * FROM (VALUES ('ext', 1, 'pdf'), ('ext', 2, 'docx=x'), ('nature', 1, '')) AS t(key, place, value)")
+def parse_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.parse_filters(["ext=pdf", " ext = docx=x ", "nature="])
+    return spark.createDataFrame([(k, i + 1, v) for k, vs in found.items() for i, v in enumerate(vs)], "key string, place int, value string")
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with two labels each, of which C1 to C4 are valid."""
     a, b = ((F.col(c) % 7).cast("string") for c in ("turn", "conv_id"))

@@ -202,3 +202,13 @@ def test_streaming_ingest(spark, tmp_path):
         spark.createDataFrame([(f"s{i}", "some words here", [])], schema).write.mode("append").parquet(str(tmp_path / "in"))
         ingest(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where("level = 'leaf'").count() == 2
+
+
+@pytest.mark.parametrize(("raw", "name"), [("page", "Page"), (" SLIDE ", "Slide"), ("section ", "section"), (None, "")])
+def test_unit_name(spark, raw, name):
+    assert one(spark, X.unit_name(F.lit(raw).cast("string"))) == name
+
+
+@pytest.mark.parametrize(("label", "place"), [("C12", 12), (" C3 ", 3), ("C", 10_000), ("Cx", 10_000), ("7", 10_000), (None, 10_000)])
+def test_label_order(spark, label, place):
+    assert one(spark, X.label_order(F.lit(label).cast("string"))) == place
