@@ -41,18 +41,26 @@ def _lowered_words(text: bytes) -> list[bytes]:
     return text.lower().split()  # of bytes: A-Z, and white space is [\x20\x09-\x0D]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit k is set if over half the shingles' hashes have it; all words join a shingle if they are fewer."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle in order; all words join a shingle if they are fewer."""
     words = _lowered_words(text.encode()) if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     data = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = ends[min(shingle, len(words)) - 1 :]
     view, hashed = memoryview(data), xxhash.xxh64_intdigest
-    hashes = np.fromiter((hashed(view[s:e], SEED) for s, e in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+    return np.fromiter((hashed(view[s:e], SEED) for s, e in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bit k is set if over half the shingles' hashes have it; zero for a text without words."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):  # bits of a long text in pieces
         part = hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
