@@ -5,9 +5,11 @@ falls back to its longest character n-grams that are known, progressively
 shorter from MAX_GRAM to 1, each step at a discount. Scores add up over the
 text's words and become a posterior over the learned languages.
 
-The model is fitted on labelled rows only, on a uniform sample of at most about
-``sample_rows`` of them, and keeps the ``max_words`` and ``max_grams`` most
-frequent entries: both bound what is broadcast. Prediction reads whole texts.
+The model is fitted on labelled rows only, on a sample of at most about
+``sample_rows`` of them by language (all rows of small languages, equal shares of
+the others), and keeps the ``max_words`` and ``max_grams`` most frequent entries:
+both bound what is broadcast. A label of which no entry was learned is never
+guessed. Prediction reads whole texts.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, as is
 any text if nothing was learned; a text with letters always gets a learned
@@ -97,12 +99,10 @@ class Scorer(dict):
         return langs[top], float(p[top] / p.sum())
 
 
-def _logs(rows, langs: list[str]) -> dict[str, tuple[float, ...]]:
-    """Smoothed log relative frequencies, less their mean over languages: what counts is the contrast."""
-    counts: dict[str, np.ndarray] = {}
-    for r in rows:
-        counts[r["token"]] = np.array([r[f"n{i}"] for i in range(len(langs))], float)
-    totals = sum(counts.values(), np.zeros(len(langs))) + 1
+def _logs(rows, at: list[int]) -> dict[str, tuple[float, ...]]:
+    """Smoothed log relative frequencies in the languages ``at``, less their mean over these: what counts is the contrast."""
+    counts = {r["token"]: np.array([r[f"n{i}"] for i in at], float) for r in rows}
+    totals = sum(counts.values(), np.zeros(len(at))) + 0.5 * len(counts)
     out = {}
     for token, n in counts.items():
         log = np.log((n + 0.5) / totals)
@@ -110,24 +110,37 @@ def _logs(rows, langs: list[str]) -> dict[str, tuple[float, ...]]:
     return out
 
 
+def row_share(sizes: list[int], sample_rows: int) -> float:
+    """The most rows of a language such that all languages together have ``sample_rows`` at most."""
+    left = sample_rows
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return left / (len(sizes) - k)
+        left -= n
+    return max(sizes, default=0)
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Fits on rows of ``labelled`` with a language; the sample goes by a hash of the row's identifier and text."""
-    rows = labelled.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(F.col(f"`{id_col}`")).alias("h"))
+    rows = labelled.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"))
     by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(by_lang)
-    n = sum(by_lang.values())
-    if n > sample_rows:
-        rows = rows.where(F.pmod("h", F.lit(1_000_000)) < math.floor(1_000_000 * sample_rows / n))
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
-    each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
     if not langs:
         return Model([], {}, {})
+    share = row_share(list(by_lang.values()), sample_rows)
+    if large := [lang for lang in langs if by_lang[lang] > share]:
+        most = F.create_map(*[F.lit(x) for lang in large for x in (lang, math.ceil(1_000_000_000 * share / by_lang[lang]))])
+        rows = rows.where(F.pmod("h", F.lit(1_000_000_000)) < F.coalesce(F.try_element_at(most, "lang"), F.lit(1_000_000_000)))
+    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
+    each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
     counted = words.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
     top = lambda df, most: most_frequent(df.groupBy("token").agg(F.sum("n").alias("n"), *each), "n", most).collect()
     marked = F.concat(F.lit("^"), F.substring("token", 1, 64), F.lit("$"))
     cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - k + 1, F.lit(1))), lambda i: F.substring(marked, i, F.lit(k)))
     grams = counted.select("lang", F.explode(F.flatten(F.array(*[cut(k) for k in range(1, MAX_GRAM + 1)]))).alias("token"), "n").groupBy("lang", "token").agg(F.sum("n").alias("n"))
-    return Model(langs, _logs(top(counted, max_words), langs), _logs(top(grams, max_grams), langs))
+    words, grams = top(counted, max_words), top(grams, max_grams)
+    learned = [i for i in range(len(langs)) if any(r[f"n{i}"] for r in words) or any(r[f"n{i}"] for r in grams)]
+    return Model([langs[i] for i in learned], _logs(words, learned), _logs(grams, learned))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
