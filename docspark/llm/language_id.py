@@ -9,7 +9,8 @@ The model is fitted on labelled rows only, on a sample of at most about
 ``sample_rows`` of them by language (all rows of small languages, equal shares of
 the others), and keeps the ``max_words`` and ``max_grams`` most frequent entries:
 both bound what is broadcast. A label of which no entry was learned is never
-guessed. Prediction reads whole texts.
+guessed. Prediction reads whole texts; a run of over PIECE letters, as scripts
+without spaces have, counts as consecutive words of at most PIECE letters.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, as is
 any text if nothing was learned; a text with letters always gets a learned
@@ -40,7 +41,9 @@ SHARPNESS = 40
 UNKNOWN = "und"
 #: Words that a worker keeps the scores of.
 MEMO = 150_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a word at most; what follows is the next word.
+PIECE = 64
+_WORD = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
 
 GUESS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 _ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64())])
@@ -71,7 +74,7 @@ class Scorer(dict):
         return at
 
     def _backoff(self, word: str) -> list[float]:
-        marked = f"^{word[:64]}$"  # grams beyond say nothing new of a word's language
+        marked = f"^{word}$"
         find = self.model.grams.get
         for step, n in enumerate(range(MAX_GRAM, 0, -1)):
             found = [g for i in range(len(marked) - n + 1) if (g := find(marked[i : i + n])) is not None]
@@ -131,11 +134,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if large := [lang for lang in langs if by_lang[lang] > share]:
         most = F.create_map(*[F.lit(x) for lang in large for x in (lang, math.ceil(1_000_000_000 * share / by_lang[lang]))])
         rows = rows.where(F.pmod("h", F.lit(1_000_000_000)) < F.coalesce(F.try_element_at(most, "lang"), F.lit(1_000_000_000)))
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
+    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{PIECE}}}"), F.lit(0))).alias("token"))
     each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
     counted = words.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
     top = lambda df, most: most_frequent(df.groupBy("token").agg(F.sum("n").alias("n"), *each), "n", most).collect()
-    marked = F.concat(F.lit("^"), F.substring("token", 1, 64), F.lit("$"))
+    marked = F.concat(F.lit("^"), "token", F.lit("$"))
     cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - k + 1, F.lit(1))), lambda i: F.substring(marked, i, F.lit(k)))
     grams = counted.select("lang", F.explode(F.flatten(F.array(*[cut(k) for k in range(1, MAX_GRAM + 1)]))).alias("token"), "n").groupBy("lang", "token").agg(F.sum("n").alias("n"))
     words, grams = top(counted, max_words), top(grams, max_grams)

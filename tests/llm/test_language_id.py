@@ -1,4 +1,4 @@
-"""Language identification with rare labels."""
+"""Language identification with rare labels and with runs of letters without spaces."""
 
 import numpy as np
 
@@ -29,3 +29,14 @@ def test_a_label_of_few_rows_is_learned_and_wins_only_its_own(spark):
 def test_rows_are_shared_out_by_language():
     assert language_id.row_share([3000, 2000, 6], 600) == 297
     assert language_id.row_share([5, 7], 20) == 7 and language_id.row_share([], 5) == 0 and language_id.row_share([50, 50], 20) == 10
+
+
+def test_all_letters_of_a_long_run_count(spark):
+    """One run that begins in a language and goes on in another, in prediction and in training."""
+    one, other = ((lambda n, s=s: s(n).replace(" ", "")) for s in (speech(4), speech(5)))
+    rows = [(i, (one(20), other(20))[i % 2], ("aa", "bb")[i % 2]) for i in range(60)]
+    scorer = language_id.train(spark.createDataFrame(rows, SCHEMA)).scorer()
+    assert scorer.guess(one(12)[:64] + other(200))[0] == "bb" and scorer.guess(other(12)[:64] + one(200))[0] == "aa"
+    late = [(0, "x" * 64 + "abcde" * 30, "aa"), (1, "x" * 64 + "vwpqr" * 30, "bb")]
+    scorer = language_id.train(spark.createDataFrame(late, SCHEMA)).scorer()
+    assert scorer.guess("abcde")[0] == "aa" and scorer.guess("vwpqr")[0] == "bb"
