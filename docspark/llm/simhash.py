@@ -173,8 +173,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
     links = near_links(nodes.where("node IS NOT NULL"), radius)
-    # a document that has two fingerprints (a repeated identifier) joins them
-    twice = rows.join(nodes, "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(links.unionByName(twice.join(nodes.select(F.col("node").alias("a")).distinct(), "a", "left_semi")))
+    # a document that has several fingerprints (a repeated identifier) joins their nodes, whether it is a node or not
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.max("fp").alias("last")).where("fp <> last").select("doc_id")
+    of = rows.join(several, "doc_id").join(nodes, "fp").select("doc_id", "node").distinct()
+    twice = of.join(of.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+    found = components(links.unionByName(twice))
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
