@@ -33,7 +33,7 @@ def _require(checks: dict[str, bool]) -> None:
 
 LEAF = Window("leaf", 220, 360, 520, 70)
 PARENT = Window("parent", 700, 1100, 1500, 180)
-TOKENIZERS = ("auto", "whitespace", "tiktoken")
+TOKENIZERS = ("whitespace",)  # others are not rebuilt
 
 
 @dataclass(frozen=True)
