@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: The white space that the exact operators delete or split at.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
+#: Bins of a histogram that comes to the driver.
+BINS = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,18 +95,45 @@ def add_by_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Ar
     return arrow_map(df, run, schema)
 
 
-def most_frequent(counted: DataFrame, count_col: str, most: int) -> DataFrame:
-    """The rows of the highest counts: all down to the least count that leaves at most ``most`` rows.
+def _cut(rows: DataFrame, col: str, most: int) -> tuple[int, int] | None:
+    """The least value of ``col`` (bigint, not null) such that at most ``most`` rows have it or more, and how many these are.
 
-    A histogram of the counts gives that least count, so no sort and no long list
-    comes to the driver; counts above the last bin share one.
+    The range of values is cut into BINS and the bin in which the limit is reached is cut
+    again, until values are told apart: a few counting jobs, BINS numbers each to the driver. None if there are no rows.
+    """
+    low, high = rows.agg(F.min(col), F.max(col)).first()
+    if low is None:
+        return None
+    above = 0
+    while True:
+        width = (high - low) // BINS + 1
+        inside = rows.where(F.col(col).between(low, high))
+        counts = inside.groupBy(F.expr(f"(`{col}` - {low}) div {width}").alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for b in sorted(counts, key=lambda b: -b["at"]):
+            if above + b["n"] > most:
+                break
+            above += b["n"]
+        else:
+            return low, above
+        low, high = low + b["at"] * width, min(high, low + (b["at"] + 1) * width - 1)
+        if low == high:
+            return low + 1, above
+
+
+def most_frequent(counted: DataFrame, count_col: str, most: int, key_col: str = "token") -> DataFrame:
+    """The ``most`` rows of the highest counts, or all if they are fewer; of equal counts those of the higher hash of ``key_col``.
+
+    Keys whose hash (32 bits) is the one at the limit too are left out together, so a row or
+    two may be missing. Counts are cut by histograms: no sort, and no long list comes to the driver.
     """
     counted = materialize(counted, "counts")
-    bins = counted.groupBy(F.least(F.col(count_col), F.lit(100_000)).alias("at")).agg(F.count(F.lit(1)).alias("rows")).collect()
-    left, least = most, None
-    for b in sorted(bins, key=lambda b: -b["at"]):
-        left -= b["rows"]
-        if left < 0:
-            break
-        least = b["at"]
-    return counted.where(F.col(count_col) >= F.lit(least)) if least is not None else counted.limit(0)
+    found = _cut(counted, count_col, most)
+    if found is None:
+        return counted
+    least, taken = found
+    top = F.col(count_col) >= F.lit(least)
+    tie = free_name(counted, "tie")
+    ties = counted.where(F.col(count_col) == F.lit(least - 1)).select(F.shiftrightunsigned(F.xxhash64(key_col), 32).alias(tie))
+    if taken < most and (at := _cut(ties, tie, most - taken)):
+        top |= (F.col(count_col) == F.lit(least - 1)) & (F.shiftrightunsigned(F.xxhash64(key_col), 32) >= F.lit(at[0]))
+    return counted.where(top)

@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +50,19 @@ GUESS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("scor
 _ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
 
-class Model:
-    """Per language log frequencies of words and of n-grams of words (with ends marked): token to one number a language."""
+class Logs(NamedTuple):
+    """Tokens and their log frequencies: a row for each token, a column for each language."""
 
-    def __init__(self, langs: list[str], words: dict[str, tuple[float, ...]], grams: dict[str, tuple[float, ...]]):
-        self.langs, self.words, self.grams = langs, words, grams
+    tokens: list[str]
+    rows: np.ndarray
+
+
+class Model(NamedTuple):
+    """Per language log frequencies of words and of n-grams of words (with ends marked)."""
+
+    langs: list[str]
+    words: Logs
+    grams: Logs
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -64,27 +73,28 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.langs = model.langs
+        self.words, self.grams = ({t: i for i, t in enumerate(logs.tokens)} for logs in model[1:])
+        self.word_rows, self.gram_rows = model.words.rows, model.grams.rows
         self.rows = np.zeros((MEMO, len(model.langs)), np.float32)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
-        known = self.model.words.get(word)
-        self.rows[at] = self._backoff(word) if known is None else known
+        known = self.words.get(word)
+        self.rows[at] = self._backoff(word) if known is None else self.word_rows[known]
         return at
 
-    def _backoff(self, word: str) -> list[float]:
+    def _backoff(self, word: str) -> np.ndarray | float:
         marked = f"^{word}$"
-        find = self.model.grams.get
+        find = self.grams.get
         for step, n in enumerate(range(MAX_GRAM, 0, -1)):
             found = [g for i in range(len(marked) - n + 1) if (g := find(marked[i : i + n])) is not None]
             if found:
-                weight = BACKOFF ** (step + 1) / len(found)
-                return [sum(x) * weight for x in zip(*found)]
-        return [0.0] * len(self.model.langs)
+                return self.gram_rows[found].sum(axis=0) * (BACKOFF ** (step + 1) / len(found))
+        return 0.0
 
     def guess(self, text: str | None) -> tuple[str, float]:
-        langs = self.model.langs
+        langs = self.langs
         counts = Counter(_WORD.findall(text.lower())) if text and langs else None
         if not counts or not any(map(str.isalpha, counts)) and not any(c.isalpha() for w in counts for c in w):
             return UNKNOWN, 0.0
@@ -102,15 +112,11 @@ class Scorer(dict):
         return langs[top], float(p[top] / p.sum())
 
 
-def _logs(rows, at: list[int]) -> dict[str, tuple[float, ...]]:
+def _logs(rows, at: list[int]) -> Logs:
     """Smoothed log relative frequencies in the languages ``at``, less their mean over these: what counts is the contrast."""
-    counts = {r["token"]: np.array([r[f"n{i}"] for i in at], float) for r in rows}
-    totals = sum(counts.values(), np.zeros(len(at))) + 0.5 * len(counts)
-    out = {}
-    for token, n in counts.items():
-        log = np.log((n + 0.5) / totals)
-        out[token] = tuple((log - log.mean()).tolist())
-    return out
+    counts = np.array([[r[f"n{i}"] for i in at] for r in rows], float).reshape(len(rows), len(at))
+    log = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(rows))))
+    return Logs([r["token"] for r in rows], (log - log.mean(axis=1, keepdims=True)).astype(np.float32))
 
 
 def row_share(sizes: list[int], sample_rows: int) -> float:
@@ -129,7 +135,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(by_lang)
     if not langs:
-        return Model([], {}, {})
+        return Model([], Logs([], np.zeros((0, 0), np.float32)), Logs([], np.zeros((0, 0), np.float32)))
     share = row_share(list(by_lang.values()), sample_rows)
     if large := [lang for lang in langs if by_lang[lang] > share]:
         most = F.create_map(*[F.lit(x) for lang in large for x in (lang, math.ceil(1_000_000_000 * share / by_lang[lang]))])
@@ -148,10 +154,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with ``out``: (lang, score from 0 to 1)."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        scorer = Model(*sent.value).scorer()
+        scorer = sent.value.scorer()
 
         def per_batch(texts: pa.Array) -> pa.Array:
             guesses = [scorer.guess(t.as_py()) for t in texts]
