@@ -4,11 +4,12 @@ A fingerprint sums up the XXH64 hashes of a text's word shingles. Equal
 fingerprints are one node (their copies are never paired). Nodes within the radius
 are found exactly: the 64 bits are cut into radius + 2 blocks, and two
 fingerprints at most ``radius`` bits apart agree on at least two of these, so
-each node goes to one bucket for each pair of blocks. In a bucket, nodes are sorted
-by population count and compared tile by tile with exclusive-or and bit counts;
-tile pairs whose population counts differ by more than the radius are skipped.
-A bucket gives a spanning forest of its links, not the pairs, and the forests of
-all buckets make the components.
+each node goes to one bucket for each pair of blocks. Nodes are sorted by bucket and
+population count, the row of all of them is cut into tiles, and tiles are compared
+with exclusive-or and bit counts: each with itself, and with those behind it that hold
+the same bucket, until their population counts differ by more than the radius.
+All buckets go this way, small ones many to a tile. A bucket gives a spanning
+forest of its links, not the pairs, and the forests of all buckets make the components.
 
 Buckets hold distinct fingerprints only: a group of copies, however large, is one
 row. Memory in a bucket is a few bytes a node plus one tile of pairs.
@@ -34,7 +35,7 @@ from docspark.llm.common import arrow_map, materialize
 from docspark.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-TILE = 1024
+TILE = 256
 
 
 def _lowered_words(text: bytes) -> list[bytes]:
@@ -55,9 +56,8 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((hashed(view[s:e], SEED) for s, e in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit k is set if over half the shingles' hashes have it; zero for a text without words."""
-    hashes = shingle_hashes(text, shingle)
+def majority(hashes: np.ndarray) -> int:
+    """Bit k is set if over half of ``hashes`` have it; zero for none."""
     n = len(hashes)
     if not n:
         return 0
@@ -69,6 +69,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(bits.tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The majority of the shingles' hashes, repeats included; zero for a text without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp: the fingerprint as a signed bigint)."""
 
@@ -88,29 +93,53 @@ def block_pairs(radius: int) -> list[int]:
     return [a | b for a, b in combinations(blocks, 2)]
 
 
-def tile_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between ``fps``, by tiles in order of population counts.
+class Trees:
+    """Which tree each of ``n`` places is of; the smaller tree takes the number of the larger one."""
+
+    def __init__(self, n: int):
+        self.of, self.members = np.arange(n), {}
 
-    Pairs are never listed: a row of a tile looks only at those of its neighbours that
-    are not yet of its tree, so memory is one tile of bits.
+    def join(self, a: int, b: int) -> None:
+        x, y = int(self.of[a]), int(self.of[b])
+        own, other = self.members.pop(x, [x]), self.members.pop(y, [y])
+        if len(own) < len(other):
+            x, own, other = y, other, own
+        self.of[other] = x
+        own.extend(other)
+        self.members[x] = own
+
+
+def near_rows(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None):
+    """Places of ``fps`` with those within ``radius`` of them in the same bucket: (place, other places), each pair once.
+
+    Tiles of TILE in order of bucket and population count are compared with exclusive-or and
+    bit counts; tile pairs of other buckets, or whose population counts differ beyond the radius, are skipped.
+    Memory is one tile of bits.
     """
-    ones = np.bitwise_count(fps)
-    order = np.argsort(ones, kind="stable")
-    fps, ones = fps[order], ones[order].astype(np.int64)
-    tree, links = np.arange(len(fps)), []
+    ones = np.bitwise_count(fps).astype(np.int64)
+    bucket = np.zeros(len(fps), np.int64) if bucket is None else bucket
+    order = np.lexsort((ones, bucket))
+    fps, ones, bucket = fps[order], ones[order], bucket[order]
     for i in range(0, len(fps), TILE):
-        rows = fps[i : i + TILE]
+        rows, of = fps[i : i + TILE], bucket[i : i + TILE]
+        last = i + len(rows) - 1
         for j in range(i, len(fps), TILE):
-            if ones[j] - ones[min(i + TILE, len(fps)) - 1] > radius:
+            if j > i and (bucket[j] != bucket[last] or ones[j] - ones[last] > radius):
                 break  # later tiles lie further off still
-            near = np.bitwise_count(rows[:, None] ^ fps[None, j : j + TILE]) <= radius
+            near = (np.bitwise_count(rows[:, None] ^ fps[None, j : j + TILE]) <= radius) & (of[:, None] == bucket[None, j : j + TILE])
             if i == j:
                 near = np.triu(near, 1)
             for a in np.flatnonzero(near.any(axis=1)).tolist():
-                others = np.flatnonzero(near[a]) + j
-                while len(others := others[tree[others] != tree[i + a]]):
-                    links.append((int(order[i + a]), int(order[others[0]])))
-                    tree[tree == tree[others[0]]] = tree[i + a]
+                yield int(order[i + a]), order[np.flatnonzero(near[a]) + j]
+
+
+def tile_links(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between ``fps``. A row looks only at those of its neighbours that are not yet of its tree."""
+    trees, links = Trees(len(fps)), []
+    for a, others in near_rows(fps, radius, bucket):
+        while len(others := others[trees.of[others] != trees.of[a]]):
+            links.append((a, int(others[0])))
+            trees.join(a, int(others[0]))
     return links
 
 
@@ -120,26 +149,11 @@ def _bucket_links(batches, radius: int):
 
     def flush(mask, key, fp, node):
         """Whole buckets, as arrays in order."""
-        new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-        starts = np.concatenate([[0], new])
-        sizes = np.diff(np.concatenate([starts, [len(mask)]]))
-        a, b = [], []
-        small = (sizes > 1) & (sizes <= 16)
-        for d in range(1, 16):  # buckets of a few nodes all at once: each node with the d-th after it
-            s = starts[small & (sizes > d)]
-            if not len(s):
-                break
-            n = sizes[small & (sizes > d)] - d
-            at = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            near = np.bitwise_count(fp[at] ^ fp[at + d]) <= radius
-            a.append(node[at[near]])
-            b.append(node[at[near] + d])
-        for s, n in zip(starts[sizes > 16], sizes[sizes > 16]):
-            links = np.array(tile_links(fp[s : s + n], radius), np.int64).reshape(-1, 2)
-            a.append(node[s + links[:, 0]])
-            b.append(node[s + links[:, 1]])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        bucket = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))])
+        several = (np.bincount(bucket) > 1)[bucket]  # a node alone has none to compare with
+        if several.any():
+            links = np.array(tile_links(fp[several], radius, bucket[several]), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(node[several][links[:, k]]) for k in (0, 1)], ["a", "b"])
 
     def arrays(t: pa.Table):
         return [t.column(c).to_numpy().astype(np.int64) for c in ("mask", "key")] + [t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()]
