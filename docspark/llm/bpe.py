@@ -4,7 +4,9 @@ The corpus's frequent words (counted over all documents) and their ids are
 compiled into an acyclic automaton whose equal suffixes are shared: the numbers on
 a word's path add up to its place in the table of ids. The lexicon is laid out as
 flat arrays and memory-mapped by each worker. Words that it lacks are merged
-exactly, pair by pair, in order of rank. So the lexicon decides speed, not results.
+exactly, pair by pair, in order of rank, as are the lexicon's own when it is
+compiled. So the lexicon decides speed, not results. Before both stands a memo:
+a worker asks the transducer for the first of a word's uses, and keeps the answer.
 
 Texts are cut into words by the tokenizer's own pattern: directly where a text has
 only letters whose class all libraries agree on (ASCII, Latin-1, Latin Extended-A),
@@ -24,6 +26,7 @@ import struct
 import tempfile
 from collections import Counter
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ from docspark.llm.token_counts import DIGITS, LETTERS, PLAIN, SPACES, byte_lette
 LEXICON_WORDS = 60_000
 #: Words whose ids a worker keeps besides.
 MEMO = 220_000
+#: Bytes of a word up to which the least rank is looked for in a list.
+SHORT = 100
 _ODD = re.compile(f"[^{PLAIN}]")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
@@ -45,14 +50,24 @@ class Merges:
     """A tokenizer file's words and merges, as workers need them."""
 
     def __init__(self, data: str):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(data)
-        self.pre, self.model = tokenizer.pre_tokenizer, tokenizer.model
-        letters = byte_letters()
+        from tokenizers import pre_tokenizers
+
+        spec = json.loads(data)
+        model, cutter = spec["model"], spec["pre_tokenizer"]
+        plain = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")
+        if model["type"] != "BPE" or any(model.get(k) for k in plain) or spec["normalizer"] or cutter["type"] != "ByteLevel" or cutter["add_prefix_space"]:
+            raise ValueError("not a plain byte-level BPE tokenizer")
+        self.pre = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=cutter["use_regex"])
+        letters, vocab = byte_letters(), model["vocab"]
         self.byte_of = {c: b for b, c in enumerate(letters)}
-        self.letter_of = dict(enumerate(letters))
-        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.first = [vocab[c] for c in letters]
+        self.size = max(vocab.values()) + 1
+        self.rank, self.made = {}, []
+        for pair in model["merges"]:
+            left, right = pair.split(" ") if isinstance(pair, str) else pair
+            self.rank[vocab[left] * self.size + vocab[right]] = len(self.made)
+            self.made.append(vocab[left + right])
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def words(self, text: str) -> list[str]:
@@ -62,8 +77,41 @@ class Merges:
         return [bytes(of[c] for c in w).decode("utf-8", "surrogateescape") for w, _ in self.pre.pre_tokenize_str(text)]
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of one word: the pair of least rank is merged first, the leftmost of equals, until none is left (the library's model)."""
-        return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letter_of))]
+        """Ids of one word: the pair of least rank is merged first, the leftmost of equals, until none is left."""
+        ids = [self.first[b] for b in word]
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        size, find, made = self.size, self.rank.get, self.made
+        none = len(made)
+        ranks = [find(a * size + b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            ids[i : i + 2] = [made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = find(ids[i - 1] * size + ids[i], none)
+            if i < len(ranks):
+                ranks[i] = find(ids[i] * size + ids[i + 1], none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap of (rank, place) over linked places: long words cost n log n."""
+        size, find, made = self.size, self.rank.get, self.made
+        after, before = list(range(1, len(ids))) + [-1], list(range(-1, len(ids) - 1))
+        heap = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := find(a * size + b)) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or find(ids[i] * size + ids[j]) != rank:
+                continue  # merged away or changed since
+            ids[i], ids[j], after[i] = made[rank], -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right >= 0 and (r := find(ids[left] * size + ids[right])) is not None:
+                    heappush(heap, (r, left))
+        return [x for x in ids if x >= 0]
 
 
 def byte_table(data: str) -> dict[int, bytes]:
@@ -170,31 +218,39 @@ def _merges(data: str) -> Merges:
     return Merges(data)
 
 
-class Encoder:
+class Encoder(dict):
+    """Words to their ids, four bytes each; looked up or merged when first met, and forgotten when MEMO are kept."""
+
     def __init__(self, tokenizer: str, lexicon: bytes):
-        self.merges, self.lexicon, self.memo = _merges(tokenizer), Lexicon.mapped(lexicon), {}
+        super().__init__()
+        self.merges, self.lexicon = _merges(tokenizer), Lexicon.mapped(lexicon)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        data = word.encode("utf-8", "surrogateescape")
+        ids = self.lexicon.get(data)
+        if ids is None:
+            ids = np.array(self.merges.merge(data), "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids, four bytes each."""
-        merges, memo = self.merges, self.memo
-        pieces = merges.cut.split(text) if merges.cut and any(s in text for s in merges.special) else [text]
-        out = []
-        for piece in pieces:
-            if piece in merges.special:
-                out.append(struct.pack("<I", merges.special[piece]))
-                continue
-            for word in merges.words(piece):
-                ids = memo.get(word)
-                if ids is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    ids = memo[word] = self._of(word.encode("utf-8", "surrogateescape"))
-                out.append(ids)
-        return b"".join(out)
-
-    def _of(self, word: bytes) -> bytes:
-        ids = self.lexicon.get(word)
-        return np.array(self.merges.merge(word), "<u4").tobytes() if ids is None else ids
+        merges, of = self.merges, self.__getitem__
+        if not merges.cut or not any(s in text for s in merges.special):
+            return b"".join(map(of, merges.words(text)))
+        return b"".join(struct.pack("<I", merges.special[piece]) if piece in merges.special else b"".join(map(of, merges.words(piece))) for piece in merges.cut.split(text))
+
+
+class Decoder:
+    """Ids to text; bytes that are no UTF-8 become the replacement character."""
+
+    def __init__(self, table: dict[int, bytes]):
+        self.of = table.__getitem__
+
+    def decode(self, ids) -> str:
+        return b"".join(map(self.of, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
@@ -212,16 +268,23 @@ def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", most
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], ["word", "n"])
 
     counted = arrow_map(docs.select(F.col(f"`{text_col}`").cast("string")), run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return [bytes(r["word"]) for r in most_frequent(counted, "n", most).select("word").toLocalIterator()]
+    return [bytes(r["word"]) for r in most_frequent(counted, "n", most, "word").select("word").toLocalIterator()]
+
+
+def _lexicon(docs: DataFrame, tokenizer: str, text_col: str, most: int) -> bytes:
+    merges = _merges(tokenizer)
+    return compile_lexicon({w: merges.merge(w) for w in frequent_words(docs, tokenizer, text_col, most)})
+
+
+def _read(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out: str = "ids", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """``docs`` with ``out``: the text's ids as binary, little-endian unsigned 32-bit integers."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        tokenizer = f.read()
-    merges = _merges(tokenizer)
-    lexicon = compile_lexicon({w: merges.merge(w) for w in frequent_words(docs, tokenizer, text_col, lexicon_words)})
-    sent = docs.sparkSession.sparkContext.broadcast((tokenizer, lexicon))  # the file, and at most lexicon_words short words
+    tokenizer = _read(tokenizer_path)
+    sent = docs.sparkSession.sparkContext.broadcast((tokenizer, _lexicon(docs, tokenizer, text_col, lexicon_words)))  # the file, and at most lexicon_words short words
 
     def make():
         encoder = Encoder(*sent.value)
@@ -232,14 +295,34 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out: st
 
 def decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with ``out``: the text of the ids; bytes that are no UTF-8 become the replacement character."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(byte_table(f.read()))  # of the vocabulary's fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(byte_table(_read(tokenizer_path)))  # of the vocabulary's fixed size
     at, out = docs.columns.index(ids_col), free_name(docs, out)
 
     def run(batches):
-        bytes_of = sent.value.__getitem__
+        decoder = Decoder(sent.value)
         for batch in batches:
-            texts = [b"".join(map(bytes_of, np.frombuffer(x.as_buffer(), "<u4").tolist())).decode("utf-8", "replace") if x.is_valid else None for x in batch.column(at)]
+            texts = [decoder.decode(x.as_buffer()) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
+
+
+ROUND_TRIP = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out: str = "bpe", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """``docs`` with ``out``: (ids, decoded: the text of these ids), both in one worker for each task."""
+    tokenizer = _read(tokenizer_path)
+    sent = docs.sparkSession.sparkContext.broadcast((tokenizer, _lexicon(docs, tokenizer, text_col, lexicon_words), byte_table(tokenizer)))
+
+    def make():
+        tokenizer, lexicon, table = sent.value
+        encoder, decoder = Encoder(tokenizer, lexicon), Decoder(table)
+
+        def per_batch(texts: pa.Array) -> pa.Array:
+            ids = [encoder.encode(t.as_py() or "") for t in texts]
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(decoder.decode, ids), pa.string())], names=["ids", "decoded"])
+
+        return per_batch
+
+    return add_by_text(docs, text_col, make, ROUND_TRIP, free_name(docs, out))

@@ -183,76 +183,90 @@ def _places(data: bytes, spans: list[list[int]]) -> list[int]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "contamination", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with ``out``: n_words, n_hit, items (sorted), words and bytes (flat first/end pairs of hit spans)."""
+class Finder:
+    """Marks texts by an automaton; ``old`` is what automata before this one found."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+
+    def mark(self, text: str | None, old: dict | None) -> dict:
+        words = words_of(text)
+        spans, items = self.automaton.scan(words) if len(words) >= self.automaton.shortest else ([], set())
+        if old:
+            flat = old["words"]
+            spans, items = _merged(spans, [flat[i : i + 2] for i in range(0, len(flat), 2)]), items | set(old["items"])
+        return {"n_words": len(words), "n_hit": sum(e - s for s, e in spans), "items": sorted(items), "words": [x for s in spans for x in s], "bytes": _places(text.encode(), spans) if spans else []}
+
+
+def _without(text: str, mark: dict, span_limit: int) -> str:
+    """``text`` without the hit spans of ``span_limit`` words or more."""
+    data, end, kept = text.encode(), 0, []
+    words, places = mark["words"], mark["bytes"]
+    for i in range(0, len(places), 2):
+        if words[i + 1] - words[i] >= span_limit:
+            kept.append(data[end : places[i]])
+            end = places[i + 1]
+    return b"".join([*kept, data[end:]]).decode()
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, out: str, window: int, shard_bytes: int, last) -> DataFrame:
+    """Streams ``docs`` through each shard's automaton; ``last`` makes the last pass from (frame, automaton, whether marks exist)."""
     spark = docs.sparkSession
-    out = free_name(docs, out)
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text_col}`").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // shard_bytes))
-    fields = docs.columns
-    df = docs
+    df, fields = docs, docs.columns
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k)
         loaded = [(r["item"], words_of(r["text"])) for r in part.toLocalIterator()]  # about shard_bytes
         automaton = spark.sparkContext.broadcast(Automaton(loaded, window))
-        df = _pass(df, fields, text_col, out, automaton)
-        if k + 1 < shards:
-            df = materialize(df, "decontamination-pass")
-    return df
+        if k + 1 == shards:
+            return last(df, automaton, k > 0)
+        df = materialize(_pass(df, fields, docs.schema, text_col, out, automaton, k > 0), "decontamination-pass")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "contamination", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``docs`` with ``out``: n_words, n_hit, items (sorted), words and bytes (flat first/end pairs of hit spans)."""
+    out = free_name(docs, out)
+    last = lambda df, automaton, again: _pass(df, docs.columns, docs.schema, text_col, out, automaton, again)
+    return _marked(docs, benchmark, text_col, item_col, item_text_col, out, window, shard_bytes, last)
 
 
-def _pass(df: DataFrame, fields: list[str], text_col: str, out: str, automaton) -> DataFrame:
+def _marks(batch: pa.RecordBatch, at: int, n_fields: int, again: bool, finder: Finder) -> list[dict]:
+    before = batch.column(n_fields).to_pylist() if again else [None] * batch.num_rows
+    return [finder.mark(text.as_py(), old) for text, old in zip(batch.column(at), before)]
+
+
+def _pass(df: DataFrame, fields: list[str], schema: T.StructType, text_col: str, out: str, automaton, again: bool) -> DataFrame:
     at = fields.index(text_col)
-    again = out in df.columns
-    schema = df.schema if again else T.StructType([*df.schema.fields, T.StructField(out, HIT)])
 
     def run(batches):
-        found = automaton.value
+        finder = Finder(automaton.value)
         for batch in batches:
-            before = batch.column(len(fields)).to_pylist() if again else [None] * batch.num_rows
-            rows = []
-            for text, old in zip(batch.column(at), before):
-                text = text.as_py()
-                words = words_of(text)
-                spans, items = found.scan(words) if len(words) >= found.shortest else ([], set())
-                if old:
-                    flat = old["words"]
-                    spans, items = _merged(spans, [flat[i : i + 2] for i in range(0, len(flat), 2)]), items | set(old["items"])
-                rows.append({"n_words": len(words), "n_hit": sum(e - s for s, e in spans), "items": sorted(items), "words": [x for s in spans for x in s], "bytes": _places(text.encode(), spans) if spans else []})
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(rows, _ARROW)], [*fields, out])
-
-    return arrow_map(df, run, schema)
-
-
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", span_limit: int = SPAN_LIMIT, coverage_limit: float = COVERAGE_LIMIT, **how) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(_marks(batch, at, len(fields), again, finder), _ARROW)], [*fields, out])
+
+    return arrow_map(df, run, T.StructType([*schema.fields, T.StructField(out, HIT)]))
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span_limit: int = SPAN_LIMIT, coverage_limit: float = COVERAGE_LIMIT, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` without the hit spans of ``span_limit`` words or more, nor documents of which more than ``coverage_limit`` is hit.
 
-    Columns stay; a document from which nothing is removed stays as it is, byte for byte.
+    Columns stay; a document from which nothing is removed stays as it is, byte for byte. The last automaton's pass cuts too.
     """
-    out = free_name(docs, "contamination")
-    at, fields = docs.columns.index(text_col), docs.columns
-    marked = find_contamination(docs, benchmark, text_col, out=out, **how)
-    marked = marked.where(~(F.coalesce(F.col(f"{out}.n_hit"), F.lit(0)) > coverage_limit * F.col(f"{out}.n_words")))
-
-    def run(batches):
-        for batch in batches:
-            texts, marks = batch.column(at), batch.column(len(fields))
-            cleaned = []
-            for text, mark in zip(texts, marks):
-                text, mark = text.as_py(), mark.as_py()
-                if mark["bytes"]:
-                    data, end = text.encode(), 0
-                    kept = []
-                    for i in range(0, len(mark["bytes"]), 2):
-                        long_enough = mark["words"][i + 1] - mark["words"][i] >= span_limit
-                        if long_enough:
-                            kept.append(data[end : mark["bytes"][i]])
-                            end = mark["bytes"][i + 1]
-                    text = b"".join([*kept, data[end:]]).decode()
-                cleaned.append(text)
-            columns = batch.columns[: len(fields)]
-            columns[at] = pa.array(cleaned, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, fields)
-
-    return arrow_map(marked, run, docs.schema)
+    fields = docs.columns
+    at, out = fields.index(text_col), free_name(docs, "contamination")
+
+    def last(df: DataFrame, automaton, again: bool) -> DataFrame:
+        def run(batches):
+            finder = Finder(automaton.value)
+            for batch in batches:
+                marks = _marks(batch, at, len(fields), again, finder)
+                stay = [m["n_hit"] <= coverage_limit * m["n_words"] for m in marks]
+                texts = [_without(t.as_py(), m, span_limit) if m["bytes"] else t.as_py() for t, m, s in zip(batch.column(at), marks, stay) if s]
+                columns = list(batch.select(fields).filter(pa.array(stay, pa.bool_())).columns)
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, fields)
+
+        return arrow_map(df, run, docs.schema)
+
+    return _marked(docs, benchmark, text_col, item_col, item_text_col, out, window, shard_bytes, last)

@@ -194,6 +194,32 @@ def test_lexicon_is_a_map():
     assert lexicon.get(b"ta") is None and lexicon.get(b"") is None and lexicon.get(b"zz") is None
 
 
+def test_merges_are_the_librarys():
+    """Short words by list, long ones by heap; the lexicon answers for its words, and the library's model is asked for neither."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, merges = Tokenizer.from_file(path), bpe.Merges(open(path, encoding="utf-8").read())
+    rng = np.random.default_rng(5)
+    words = [w for t in TEXTS if t for w in merges.words(t)] + ["".join(rng.choice(list("abcdeéinost th"), n)) for n in (2, 5, 9, 30, 99, 100, 101, 102, 400, 3000) for _ in range(15)]
+    letters = bpe.byte_letters()
+    for w in words:
+        want = [t.id for t in library.model.tokenize("".join(letters[b] for b in w.encode()))]
+        data = w.encode("utf-8", "surrogateescape")
+        assert merges.merge(data) == want == merges._merge_long([merges.first[b] for b in data])
+    marked = {b"the": [7, 8], b" the": [9]}  # not what merging gives: shows that the lexicon is asked first
+    encoder = bpe.Encoder(open(path, encoding="utf-8").read(), bpe.compile_lexicon(marked))
+    assert np.frombuffer(encoder.encode("the the"), "<u4").tolist() == [7, 8, 9]
+
+
+@pytest.mark.parametrize("most,want", [(0, 0), (1, 1), (3, 3), (4, 4), (60, 60), (104, 104), (500, 104)])
+def test_most_frequent_words_with_ties_and_high_counts(spark, most, want):
+    from docspark.llm.common import most_frequent
+
+    rows = [(f"top{i}", 5_000_000_000) for i in range(3)] + [("next", 400_000)] + [(f"tie{i}", 2) for i in range(100)]
+    got = {r["token"] for r in most_frequent(spark.createDataFrame(rows, "token string, n bigint"), "n", most).collect()}
+    assert len(got) == want and (want < 4 or got >= {"top0", "top1", "top2", "next"})
+    assert most_frequent(spark.createDataFrame([], "token string, n bigint"), "n", 5).count() == 0
+
+
 def brute_repeats(texts):
     counts = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
     out = []
@@ -240,10 +266,9 @@ def test_dedup_state_goes_on(spark, tmp_path):
     assert got == {5: (9, 3), 3: (9, 3), 9: (9, 3), 6: (6, 1)}
 
 
-def brute_print(t):
+def brute_shingles(t):
     words = t.encode().lower().split()
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[k : k + 4]), seed=42) for k in range(max(1, len(words) - 3))] if words else []
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
 
 
 def brute_clean(t):
@@ -286,10 +311,10 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for i, t in docs.items():
         groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i))
     docs = {i: docs[i] for i in sorted(min(g)[1] for g in groups.values())}
-    prints = {i: brute_print(t) for i, t in docs.items()}
+    sets = {i: brute_shingles(t) for i, t in docs.items()}
     best = {i: i for i in docs}
     for _ in docs:
-        best = {i: min(best[j] for j in docs if (prints[i] ^ prints[j]).bit_count() <= 4) for i in docs}
+        best = {i: min(best[j] for j in docs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) for i in docs}
     cleaned = {i: brute_clean(t) for i, t in docs.items() if best[i] == i}
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: library.encode(t, add_special_tokens=False).ids for i, t in cleaned.items() if t is not None}
