@@ -5,8 +5,8 @@ compiled into an acyclic automaton whose equal suffixes are shared: the numbers
 a word's path add up to its place in the table of ids. The lexicon is laid out as
 flat arrays and memory-mapped by each worker. Words that it lacks are merged
 exactly, pair by pair, in order of rank, as are the lexicon's own when it is
-compiled. So the lexicon decides speed, not results. Before both stands a memo:
-a worker asks the transducer for the first of a word's uses, and keeps the answer.
+compiled. So the lexicon decides speed, not results. Before both stands a memo: a
+worker asks the transducer at a word's first use, and keeps the answer.
 
 Texts are cut into words by the tokenizer's own pattern: directly where a text has
 only letters whose class all libraries agree on (ASCII, Latin-1, Latin Extended-A),
@@ -39,9 +39,11 @@ from docspark.llm.token_counts import DIGITS, LETTERS, PLAIN, SPACES, byte_lette
 
 LEXICON_WORDS = 60_000
 #: Words whose ids a worker keeps besides.
-MEMO = 220_000
-#: Bytes of a word up to which the least rank is looked for in a list.
-SHORT = 100
+MEMO = 240_000
+#: Bytes of a word that is merged together with others.
+SHORT = 64
+#: Characters of texts that are encoded together.
+TOGETHER = 1_000_000
 _ODD = re.compile(f"[^{PLAIN}]")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
@@ -62,11 +64,12 @@ class Merges:
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.first = [vocab[c] for c in letters]
         self.size = max(vocab.values()) + 1
-        self.rank, self.made = {}, []
-        for pair in model["merges"]:
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[vocab[left] * self.size + vocab[right]] = len(self.made)
-            self.made.append(vocab[left + right])
+        pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.none, self.ranks = len(pairs), {}
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        self.rank_of = np.argsort(keys, kind="stable")
+        self.keys, self.first_of = keys[self.rank_of], np.array(self.first, np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
@@ -76,27 +79,58 @@ class Merges:
         of = self.byte_of
         return [bytes(of[c] for c in w).decode("utf-8", "surrogateescape") for w, _ in self.pre.pre_tokenize_str(text)]
 
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of one word: the pair of least rank is merged first, the leftmost of equals, until none is left."""
-        ids = [self.first[b] for b in word]
-        if len(ids) > SHORT:
-            return self._merge_long(ids)
-        size, find, made = self.size, self.rank.get, self.made
-        none = len(made)
-        ranks = [find(a * size + b, none) for a, b in zip(ids, ids[1:])]
-        while ranks and (least := min(ranks)) < none:
-            i = ranks.index(least)
-            ids[i : i + 2] = [made[least]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = find(ids[i - 1] * size + ids[i], none)
-            if i < len(ranks):
-                ranks[i] = find(ids[i] * size + ids[i + 1], none)
-        return ids
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, four bytes each: in each word the pair of least rank is merged first, the leftmost of equals, until none is left.
+
+        Words of SHORT bytes at most go all at once, a merge of each in a step.
+        """
+        out: list = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= SHORT]
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                out[i] = np.array(self._merge_long([self.first[b] for b in w]), "<u4").tobytes()
+        if not short:
+            return out
+        symbols = self.first_of[np.frombuffer(b"".join([words[i] for i in short]), np.uint8)]
+        of = np.repeat(np.arange(len(short)), [len(words[i]) for i in short])
+        left, right = symbols[:-1], symbols[1:]
+        ranks = np.append(np.where(of[:-1] == of[1:], self._ranks(left, right), self.none), self.none)
+        while len(symbols):
+            starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            sizes = np.diff(np.append(starts, len(of)))
+            least = np.minimum.reduceat(ranks, starts)
+            done = least == self.none
+            if done.any():
+                data = symbols.astype("<u4").tobytes()
+                for k, s, n in zip(of[starts[done]].tolist(), starts[done].tolist(), sizes[done].tolist()):
+                    out[short[k]] = data[4 * s : 4 * (s + n)]
+                keep = ~np.repeat(done, sizes)
+                symbols, of, ranks = symbols[keep], of[keep], ranks[keep]
+                least, sizes = least[~done], sizes[~done]
+                if not len(symbols):
+                    break
+            at = np.flatnonzero(ranks == np.repeat(least, sizes))
+            at = at[np.concatenate([[True], of[at[1:]] != of[at[:-1]]])]  # the leftmost of each word
+            symbols[at] = self.made[least]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # as places once the merged ones are gone
+            symbols, of, ranks = symbols[keep], of[keep], ranks[keep]
+            for i in (at, at[at > 0] - 1):  # the pairs that begin and that end with what was made
+                j = np.minimum(i + 1, len(of) - 1)
+                ranks[i] = np.where((of[i] == of[j]) & (i < j), self._ranks(symbols[i], symbols[j]), self.none)
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.rank_of[at], self.none)
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same by a heap of (rank, place) over linked places: long words cost n log n."""
-        size, find, made = self.size, self.rank.get, self.made
+        """The same for one word, by a heap of (rank, place) over linked places: n log n."""
+        if not self.ranks:
+            self.ranks = dict(zip(self.keys.tolist(), self.rank_of.tolist()))
+        size, find = self.size, self.ranks.get
         after, before = list(range(1, len(ids))) + [-1], list(range(-1, len(ids) - 1))
         heap = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := find(a * size + b)) is not None]
         heapify(heap)
@@ -105,7 +139,7 @@ class Merges:
             j = after[i]
             if ids[i] < 0 or j < 0 or find(ids[i] * size + ids[j]) != rank:
                 continue  # merged away or changed since
-            ids[i], ids[j], after[i] = made[rank], -1, after[j]
+            ids[i], ids[j], after[i] = int(self.made[rank]), -1, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
@@ -140,19 +174,18 @@ class Lexicon:
         self.first, self.to, self.skip, self.begin, _ = parts
         self.ids = view[at - 4 * ids : at]
         self.final = view[at : at + states]
-        self.labels, self.buffer, self.root = at + states, buffer, states - 1
+        self.labels, self.root = bytes(view[at + states : at + states + arcs]), states - 1
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids, four bytes each; None if the lexicon lacks it."""
         state, number = self.root, 0
-        first, find, labels = self.first, self.buffer.find, self.labels
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], labels + first[state], labels + first[state + 1])
+        first, find, skip, to = self.first, self.labels.find, self.skip, self.to
+        for byte in word:
+            arc = find(byte, first[state], first[state + 1])
             if arc < 0:
                 return None
-            arc -= labels
-            number += self.skip[arc]
-            state = self.to[arc]
+            number += skip[arc]
+            state = to[arc]
         if not self.final[state]:
             return None
         return bytes(self.ids[4 * self.begin[number] : 4 * self.begin[number + 1]])
@@ -218,29 +251,47 @@ def _merges(data: str) -> Merges:
     return Merges(data)
 
 
-class Encoder(dict):
-    """Words to their ids, four bytes each; looked up or merged when first met, and forgotten when MEMO are kept."""
+class Encoder:
+    """Keeps the ids of words, four bytes each, of MEMO words at most; those not kept are looked up in the lexicon or merged."""
 
     def __init__(self, tokenizer: str, lexicon: bytes):
-        super().__init__()
-        self.merges, self.lexicon = _merges(tokenizer), Lexicon.mapped(lexicon)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        data = word.encode("utf-8", "surrogateescape")
-        ids = self.lexicon.get(data)
-        if ids is None:
-            ids = np.array(self.merges.merge(data), "<u4").tobytes()
-        self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids, four bytes each."""
-        merges, of = self.merges, self.__getitem__
-        if not merges.cut or not any(s in text for s in merges.special):
-            return b"".join(map(of, merges.words(text)))
-        return b"".join(struct.pack("<I", merges.special[piece]) if piece in merges.special else b"".join(map(of, merges.words(piece))) for piece in merges.cut.split(text))
+        self.merges, self.lexicon, self.memo = _merges(tokenizer), Lexicon.mapped(lexicon), {}
+
+    def _learn(self, words: list[str]) -> None:
+        memo, found = self.memo, self.lexicon.get
+        missing = set(words) - memo.keys()
+        if len(memo) + len(missing) > MEMO:
+            memo.clear()
+            missing = set(words)
+        unseen = []
+        for word in missing:
+            data = word.encode("utf-8", "surrogateescape")
+            ids = found(data)
+            if ids is None:
+                unseen.append((word, data))
+            else:
+                memo[word] = ids
+        memo.update(zip((w for w, _ in unseen), self.merges.merge([d for _, d in unseen])))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, four bytes each; of about TOGETHER characters at once."""
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size > TOGETHER:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        merges, rows = self.merges, []
+        for text in texts:
+            special = merges.cut and any(s in text for s in merges.special)
+            rows.append([x for piece in merges.cut.split(text) for x in (((piece,),) if piece in merges.special else (merges.words(piece),))] if special else [merges.words(text)])
+        self._learn([w for row in rows for part in row if isinstance(part, list) for w in part])
+        of = self.memo.__getitem__
+        return [b"".join(b"".join(map(of, part)) if isinstance(part, list) else struct.pack("<I", merges.special[part[0]]) for part in row) for row in rows]
 
 
 class Decoder:
@@ -273,7 +324,8 @@ def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", most
 
 def _lexicon(docs: DataFrame, tokenizer: str, text_col: str, most: int) -> bytes:
     merges = _merges(tokenizer)
-    return compile_lexicon({w: merges.merge(w) for w in frequent_words(docs, tokenizer, text_col, most)})
+    words = frequent_words(docs, tokenizer, text_col, most)
+    return compile_lexicon({w: np.frombuffer(ids, "<u4").tolist() for w, ids in zip(words, merges.merge(words))})
 
 
 def _read(path: str) -> str:
@@ -288,7 +340,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out: st
 
     def make():
         encoder = Encoder(*sent.value)
-        return lambda texts: pa.array([encoder.encode(t.as_py() or "") for t in texts], pa.binary())
+        return lambda texts: pa.array(encoder.encode([t.as_py() or "" for t in texts]), pa.binary())
 
     return add_by_text(docs, text_col, make, T.BinaryType(), free_name(docs, out))
 
@@ -320,7 +372,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out
         encoder, decoder = Encoder(tokenizer, lexicon), Decoder(table)
 
         def per_batch(texts: pa.Array) -> pa.Array:
-            ids = [encoder.encode(t.as_py() or "") for t in texts]
+            ids = encoder.encode([t.as_py() or "" for t in texts])
             return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(decoder.decode, ids), pa.string())], names=["ids", "decoded"])
 
         return per_batch

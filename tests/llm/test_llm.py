@@ -195,19 +195,19 @@ def test_lexicon_is_a_map():
 
 
 def test_merges_are_the_librarys():
-    """Short words by list, long ones by heap; the lexicon answers for its words, and the library's model is asked for neither."""
+    """Of short and long words; the lexicon answers for its words, and the library's model is asked for neither."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, merges = Tokenizer.from_file(path), bpe.Merges(open(path, encoding="utf-8").read())
     rng = np.random.default_rng(5)
     words = [w for t in TEXTS if t for w in merges.words(t)] + ["".join(rng.choice(list("abcdeéinost th"), n)) for n in (2, 5, 9, 30, 99, 100, 101, 102, 400, 3000) for _ in range(15)]
-    letters = bpe.byte_letters()
-    for w in words:
-        want = [t.id for t in library.model.tokenize("".join(letters[b] for b in w.encode()))]
-        data = w.encode("utf-8", "surrogateescape")
-        assert merges.merge(data) == want == merges._merge_long([merges.first[b] for b in data])
+    letters, raw = bpe.byte_letters(), [w.encode("utf-8", "surrogateescape") for w in words]
+    for w, ids in zip(raw, merges.merge(raw)):
+        want = [t.id for t in library.model.tokenize("".join(letters[b] for b in w))]
+        assert np.frombuffer(ids, "<u4").tolist() == want == merges._merge_long([merges.first[b] for b in w])
+    assert merges.merge([]) == []
     marked = {b"the": [7, 8], b" the": [9]}  # not what merging gives: shows that the lexicon is asked first
     encoder = bpe.Encoder(open(path, encoding="utf-8").read(), bpe.compile_lexicon(marked))
-    assert np.frombuffer(encoder.encode("the the"), "<u4").tolist() == [7, 8, 9]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(["the the", ""])] == [[7, 8, 9], []]
 
 
 @pytest.mark.parametrize("most,want", [(0, 0), (1, 1), (3, 3), (4, 4), (60, 60), (104, 104), (500, 104)])
