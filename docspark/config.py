@@ -6,6 +6,8 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
+from docspark.functions.spans import TOKENIZERS
+
 
 @dataclass(frozen=True)
 class Window:
@@ -31,9 +33,9 @@ def _require(checks: dict[str, bool]) -> None:
         raise ValueError("; ".join(bad))
 
 
+# Window sizes.
 LEAF = Window("leaf", 220, 360, 520, 70)
 PARENT = Window("parent", 700, 1100, 1500, 180)
-TOKENIZERS = ("whitespace",)  # others are not rebuilt
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,8 @@ class Chunking:
     parent: Window = PARENT
     tokenizer: str = "whitespace"
     min_leaf_tokens: int = 0
+    #: File of byte-pair ranks for the tokenizers tiktoken and auto.
+    vocabulary: str = ""
 
     def __post_init__(self):
         _require({"unknown tokenizer": self.tokenizer in TOKENIZERS, "min_leaf_tokens must not be negative": self.min_leaf_tokens >= 0})
@@ -63,6 +67,16 @@ class Indexing:
 MODES = {"recherche": {"top_k": 6, "per_source": 2, "context_tokens": 5000, "parents": False}, "resume": {"top_k": 12, "per_source": 3, "context_tokens": 8000, "parents": True}}
 
 
+@dataclass(frozen=True)
+class Prompts:
+    """What stands around a question and its context; counted against the context's budget."""
+
+    system: str = "Answer from the passages alone and cite them by their labels, such as [C1]. If they don't answer the question, reply UNKNOWN."
+    before: str = "Question: "
+    after: str = "\nPassages:"
+    closing: str = "Reply as JSON with answer and citation_ids."
+
+
 @dataclass(frozen=True)
 class Retrieval:
     """Zero top_k, per_source or context_tokens: the mode's value."""
@@ -82,6 +96,7 @@ class Retrieval:
     score_mode: str = "reference"
     soft_cap: bool = True
     filters: dict = field(default_factory=dict)
+    prompts: Prompts = Prompts()
 
     def __post_init__(self):
         _require({

@@ -1,43 +1,44 @@
 """From texts to units, token windows, chunks and their graph.
 
-Each document's windows are a fold over its own arrays, so chunking is one narrow
-stage: no shuffle until links between chunks, which are windows per document.
+A document's chunks depend on that document alone: windows are a greedy walk over its
+tokens, links and parents join its own chunks. So all of it is one pass by Arrow batch over
+the documents, with no shuffle, and a row that leaves it holds its own text only.
 """
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from docspark.config import Chunking, Window
 from docspark.functions import text as X
+from docspark.functions.spans import spanner
 
 SEPARATOR = "\n\n"
+#: Chunk rows that leave a task together.
+OUT_ROWS = 4096
 
 
 def materialize_units(units: Column) -> Column:
     """Raw units (unit_type, unit_index, text) to (text, units with offsets): blank ones dropped, joined by a blank line."""
-    clean = F.filter(F.transform(units, lambda u: F.struct(u["unit_type"].alias("unit_type"), u["unit_index"].alias("unit_index"), X.normalize(u["text"]).alias("text"))), lambda u: F.length(u["text"]) > 0)
-    kind = "array<struct<unit_type:string,unit_index:int,text:string,start_char:int,end_char:int>>"
-    zero = F.struct(F.array().cast(kind).alias("all"), F.lit(0).alias("at"))
-
-    def step(a, u):
-        end = a["at"] + F.length(u["text"])
-        return F.struct(F.concat(a["all"], F.array(F.struct(u["unit_type"].alias("unit_type"), u["unit_index"].cast("int").alias("unit_index"), u["text"].alias("text"), a["at"].alias("start_char"), end.alias("end_char")))).alias("all"), (end + len(SEPARATOR)).alias("at"))
+    clean = F.filter(F.transform(units, lambda u: F.struct(u["unit_type"].alias("unit_type"), u["unit_index"].cast("int").alias("unit_index"), X.normalize(u["text"]).alias("text"))), lambda u: F.length(u["text"]) > 0)
 
-    return F.aggregate(clean, zero, step, lambda a: F.struct(F.array_join(F.transform(a["all"], lambda u: u["text"]), SEPARATOR).alias("text"), a["all"].alias("units")))
+    def placed(c: Column) -> Column:
+        ends = X.running_sums(F.transform(c, lambda u: F.length(u["text"]) + len(SEPARATOR)))
+        at = F.zip_with(c, ends, lambda u, e: F.struct(u["unit_type"].alias("unit_type"), u["unit_index"].alias("unit_index"), u["text"].alias("text"), (e - len(SEPARATOR) - F.length(u["text"])).alias("start_char"), (e - len(SEPARATOR)).alias("end_char")))
+        return F.struct(F.array_join(F.transform(c, lambda u: u["text"]), SEPARATOR).alias("text"), at.alias("units"))
 
+    return X.let(clean, placed)
 
-def sanitize_units(units: Column, n: Column) -> Column:
-    """Spans clipped to the text and in order; one whole-document unit if none is left or they overlap."""
-    clipped = F.transform(F.coalesce(units, F.array()), lambda u: F.struct(F.greatest(u["start_char"], F.lit(0)).alias("start_char"), F.least(u["end_char"], n).alias("end_char"), u["unit_type"].alias("unit_type"), u["unit_index"].alias("unit_index")))
-    whole = F.array(F.struct(F.lit(0).alias("start_char"), n.alias("end_char"), F.lit("document").alias("unit_type"), F.lit(1).alias("unit_index")))
 
-    def checked(kept: Column) -> Column:
-        apart = F.aggregate(kept, F.struct(F.lit(True).alias("ok"), F.lit(0).alias("end")), lambda a, u: F.struct((a["ok"] & (u["start_char"] >= a["end"])).alias("ok"), u["end_char"].alias("end")), lambda a: a["ok"])
-        return F.when((F.size(kept) == 0) | ~apart, whole).otherwise(kept)
-
-    return X.let(F.array_sort(F.filter(clipped, lambda u: u["end_char"] > u["start_char"])), checked)
+def document_stats(text: Column, units: Column) -> Column:
+    """(unit_count, char_count)."""
+    return F.struct(F.size(F.coalesce(units, F.array())).alias("unit_count"), F.length(text).alias("char_count"))
 
 
 def sections(paragraphs: DataFrame, doc: str = "doc", pos: str = "pos", text: str = "text", heading: str = "is_heading") -> DataFrame:
@@ -49,111 +50,180 @@ def sections(paragraphs: DataFrame, doc: str = "doc", pos: str = "pos", text: st
     return joined.select(doc, F.dense_rank().over(W.partitionBy(doc).orderBy("section")).alias("section"), title.alias("title"), F.array_join(F.transform("p", lambda x: x[text]), "\n").alias("text"))
 
 
-def boundaries(ends: Column, units: Column) -> Column:
-    """Token positions at which units end, strictly inside the text, distinct and in order.
+# ---- one document ----
 
-    Ends of tokens (even) and units (odd) are sorted into one array, where the place of a unit's end
-    less the units before it is the number of tokens up to it.
-    """
-    both = F.array_sort(F.concat(F.transform(ends, lambda e: e * 2), F.transform(units, lambda u: u["end_char"] * 2 + 1)))
-    placed = F.filter(F.transform(both, lambda x, i: F.struct((x % 2).alias("unit"), i.alias("i"))), lambda x: x["unit"] == 1)
-    at = F.transform(placed, lambda x, k: x["i"] - k)
-    return F.array_sort(F.array_distinct(F.filter(at, lambda b: (b > 0) & (b < F.size(ends)))))
 
+def sanitize_units(units: list[dict] | None, n: int) -> list[dict]:
+    """Spans clipped to the text and in order; one whole-document unit if none is left or they overlap."""
+    clipped = [u | {"start_char": max(u["start_char"], 0), "end_char": min(u["end_char"], n)} for u in units or []]
+    kept = sorted((u for u in clipped if u["end_char"] > u["start_char"]), key=lambda u: (u["start_char"], u["end_char"]))
+    if not kept or any(a["end_char"] > b["start_char"] for a, b in zip(kept, kept[1:])):
+        return [{"unit_type": "document", "unit_index": 1, "start_char": 0, "end_char": n}]
+    return kept
+
+
+def boundaries(ends: list[int], units: list[dict]) -> list[int]:
+    """Token positions at which units end, strictly inside the text, distinct and in order."""
+    return sorted({b for u in units if 0 < (b := bisect_right(ends, u["end_char"])) < len(ends)})
 
-def windows(n: Column, bounds: Column, w: Window) -> Column:
+
+def windows(n: int, bounds: list[int], w: Window) -> list[tuple[int, int]]:
     """Greedy windows over n tokens: each ends at the boundary nearest its target, the next begins ``overlap`` before.
 
     A remainder below ``min`` widens the last window.
     """
-    kind = "array<struct<s:int,e:int>>"
-    zero = F.struct(F.array().cast(kind).alias("all"), F.lit(0).alias("start"), F.lit(False).alias("done"))
-    # a window moves on by at least min - overlap tokens (or min, where the overlap is larger)
-    stride = max(1, w.min_tokens - w.overlap_tokens)
-    rounds = F.sequence(F.lit(0), F.greatest(F.ceil(n / stride).cast("int"), F.lit(1)))
-
-    def ending(start):
+    out: list[tuple[int, int]] = []
+    start = 0
+    while start < n:
+        rest = n - start
+        if rest <= w.max_tokens:
+            if out and rest < w.min_tokens:
+                out[-1] = (out[-1][0], n)
+            else:
+                out.append((start, n))
+            break
         ideal = start + w.target_tokens
-        near = F.array_min(F.transform(F.filter(bounds, lambda b: (b >= start + w.min_tokens) & (b <= start + w.max_tokens)), lambda b: F.struct(F.abs(b - ideal).alias("d"), b.alias("b"))))
-        return F.coalesce(near["b"], F.least(ideal, n)).cast("int")
+        near = bounds[bisect_left(bounds, start + w.min_tokens) : bisect_right(bounds, start + w.max_tokens)]
+        end = min(near, key=lambda b: (abs(b - ideal), b), default=min(ideal, n))
+        out.append((start, end))
+        start = end - w.overlap_tokens if end - w.overlap_tokens > start else end
+    return out
 
-    def step(a, _):
-        start, every = a["start"], a["all"]
-        rest = n - start
-        last = F.element_at(every, -1)
-        widened = F.concat(F.slice(every, 1, F.size(every) - 1), F.array(F.struct(last["s"].alias("s"), n.alias("e"))))
-        closing = F.when((F.size(every) > 0) & (rest < w.min_tokens), widened).otherwise(F.concat(every, F.array(F.struct(start.alias("s"), n.alias("e")))))
-        final = F.struct(closing.alias("all"), start.alias("start"), F.lit(True).alias("done"))
 
-        def more(end):
-            after = F.when(end - w.overlap_tokens > start, end - w.overlap_tokens).otherwise(end)
-            return F.struct(F.concat(every, F.array(F.struct(start.alias("s"), end.alias("e")))).alias("all"), after.alias("start"), (after >= n).alias("done"))
+def drop_short_leaves(leaves: list[dict], least: int) -> list[dict]:
+    """Leaves below ``least`` tokens go; a document of short leaves only keeps the longest, the first of equals."""
+    kept = [x for x in leaves if x["token_count"] >= least]
+    return kept or sorted(leaves, key=lambda x: (-x["token_count"], x["start_char"]))[:1]
 
-        return F.when(a["done"], a).otherwise(F.when(rest <= w.max_tokens, final).otherwise(X.let(ending(start), more)))
 
-    return F.when(n > 0, F.aggregate(rounds, zero, step, lambda a: a["all"])).otherwise(F.array().cast(kind))
+def overlap(a: dict, b: dict) -> int:
+    return max(0, min(a["end_char"], b["end_char"]) - max(a["start_char"], b["start_char"]))
 
 
-def chunk_level(docs: DataFrame, w: Window) -> DataFrame:
-    """``docs`` (source_id, pieces, ends, units, bounds) to chunk rows of one level.
+def assign_parents(leaves: list[dict], parents: list[dict]) -> None:
+    """parent_id: of the first parent that ends behind the leaf's start (else the last), the next and the one before, the one of most overlap; first in this order wins."""
+    parents = sorted(parents, key=lambda p: (p["start_char"], p["end_char"]))
+    ends = [p["end_char"] for p in parents]  # rise with the starts
+    for leaf in leaves:
+        at = min(bisect_right(ends, leaf["start_char"]), len(parents) - 1)
+        tried = [parents[i] for i in (at, at + 1, at - 1) if 0 <= i < len(parents)]
+        leaf["parent_id"] = max(tried, key=lambda p: overlap(leaf, p))["chunk_id"] if tried else ""
+
+
+def link(chunks: list[dict]) -> None:
+    """prev_id and next_id, in order of place."""
+    chunks.sort(key=lambda c: (c["start_char"], c["end_char"], c["chunk_id"]))
+    for c, before, after in zip(chunks, [None, *chunks], [*chunks[1:], None]):
+        c["prev_id"], c["next_id"] = before["chunk_id"] if before else "", after["chunk_id"] if after else ""
+
+
+def chunk_id(source: str, level: str, start: int, end: int, text: str) -> str:
+    return hashlib.sha256(f"{source}:{level}:{start}:{end}:{hashlib.sha256(text.encode()).hexdigest()}".encode()).hexdigest()
+
+
+def cut(source: str, text: str, starts: list[int], ends: list[int], units: list[dict], bounds: list[int], w: Window) -> list[dict]:
+    """The chunks of one level: the text of each window without white space around it; windows of white space alone give none."""
+    out, unit_ends, unit_starts = [], [u["end_char"] for u in units], [u["start_char"] for u in units]
+    for s, e in windows(len(ends), bounds, w):
+        raw = text[starts[s] : ends[e - 1]]
+        body = raw.strip()
+        if not body:
+            continue
+        start = starts[s] + len(raw) - len(raw.lstrip())
+        end = start + len(body)
+        first = units[min(bisect_right(unit_ends, start), len(units) - 1)]
+        last = units[max(bisect_left(unit_starts, end) - 1, 0)]
+        out.append({
+            "chunk_id": chunk_id(source, w.level, start, end, body), "source_id": source, "level": w.level, "text": body, "token_count": e - s, "start_char": start, "end_char": end,
+            "unit_type_start": first["unit_type"], "unit_index_start": first["unit_index"], "unit_type_end": last["unit_type"], "unit_index_end": last["unit_index"], "prev_id": "", "next_id": "", "parent_id": "",
+        })
+    return out
+
+
+def chunk_document(source: str, text: str, units: list[dict] | None, config: Chunking, spans) -> list[dict]:
+    """Leaves and parents of one document, linked; none for a text without tokens."""
+    (starts, ends), name = spans(text)
+    units = sanitize_units(units, len(text))
+    bounds = boundaries(ends, units)
+    parents = cut(source, text, starts, ends, units, bounds, config.parent)
+    leaves = drop_short_leaves(cut(source, text, starts, ends, units, bounds, config.leaf), config.min_leaf_tokens)
+    link(parents)
+    link(leaves)
+    assign_parents(leaves, parents)
+    return [c | {"tokenizer": name} for c in (*leaves, *parents)]
+
+
+# ---- all documents ----
+
+CHUNK = (
+    "chunk_id string, source_id string, level string, text string, token_count int, start_char int, end_char int, unit_type_start string, unit_index_start int, unit_type_end string, unit_index_end int, "
+    "prev_id string, next_id string, parent_id string, tokenizer string"
+)
+_UNITS = "array<struct<unit_type:string,unit_index:int,start_char:int,end_char:int>>"
+
+
+def _by_document(docs: DataFrame, each, schema: str) -> DataFrame:
+    """Rows (dicts) that ``each`` makes of a document's (source_id, text, units); null texts are empty."""
+    units = F.transform("units", lambda u: F.struct(u["unit_type"].alias("unit_type"), u["unit_index"].alias("unit_index"), u["start_char"].alias("start_char"), u["end_char"].alias("end_char")))
+    rows = docs.select(F.col("source_id").cast("string").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), units.cast(_UNITS).alias("units"))
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, out = each(), []
+        for batch in batches:
+            for source, text, units in zip(*(batch.column(i) for i in range(3))):
+                out += work(source.as_py(), text.as_py(), units.as_py())
+                if len(out) >= OUT_ROWS:
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def chunk(docs: DataFrame, config: Chunking = Chunking()) -> DataFrame:
+    """``docs`` (source_id, text, units) to all chunks of both levels, as CHUNK."""
+
+    def each():
+        spans = spanner(config.tokenizer, config.vocabulary)
+        return lambda source, text, units: chunk_document(source or "", text, units, config, spans)
+
+    return _by_document(docs, each, CHUNK)
 
-    Each window is cut from the document's arrays before the explode, so a row that leaves it
-    holds its own text only and a long document isn't copied for each of its windows.
-    """
 
-    def cut(x: Column) -> Column:
-        text = F.regexp_replace(F.array_join(F.slice("pieces", x["s"] + 1, x["e"] - x["s"]), ""), r"(?U)^\s+", "")
-        return F.struct((x["e"] - x["s"]).alias("token_count"), text.alias("text"), F.get("ends", x["e"] - 1).alias("end_char"))
+def build_chunks(docs: DataFrame, config: Chunking = Chunking()) -> tuple[DataFrame, DataFrame]:
+    """Leaf and parent chunks."""
+    chunks = chunk(docs, config)
+    return chunks.where("level = 'leaf'"), chunks.where("level = 'parent'")
 
-    def place(c: Column) -> Column:
-        start = c["end_char"] - F.length(c["text"])
-        first = F.coalesce(F.try_element_at(F.filter("units", lambda u: u["end_char"] > start), F.lit(1)), F.element_at("units", -1))
-        last = F.coalesce(F.try_element_at(F.filter("units", lambda u: u["start_char"] < c["end_char"]), F.lit(-1)), F.element_at("units", 1))
-        return F.struct(c["token_count"].alias("token_count"), c["text"].alias("text"), start.alias("start_char"), c["end_char"].alias("end_char"), first.alias("first"), last.alias("last"))
 
-    rows = docs.select("source_id", F.explode(F.transform(F.transform(windows(F.size("ends"), F.col("bounds"), w), cut), place)).alias("c")).select("source_id", "c.*")
-    return rows.select(
-        X.chunk_id(F.col("source_id"), F.lit(w.level), F.col("start_char"), F.col("end_char"), F.col("text")).alias("chunk_id"), "source_id", F.lit(w.level).alias("level"), "text", "token_count", "start_char", "end_char",
-        F.col("first.unit_type").alias("unit_type_start"), F.col("first.unit_index").alias("unit_index_start"), F.col("last.unit_type").alias("unit_type_end"), F.col("last.unit_index").alias("unit_index_end"),
-    )
+def token_windows(docs: DataFrame, w: Window, config: Chunking = Chunking()) -> DataFrame:
+    """(source_id, k, s, e): each document's windows, as token positions."""
 
+    def each():
+        spans = spanner(config.tokenizer, config.vocabulary)
 
-def drop_short_leaves(leaves: DataFrame, least: int) -> DataFrame:
-    """Leaves below ``least`` tokens go; a document of short leaves only keeps the longest, the first of equals."""
-    if least <= 0:
-        return leaves
-    w = W.partitionBy("source_id")
-    best = F.row_number().over(w.orderBy(F.desc("token_count"), "start_char"))
-    return leaves.withColumn("_most", F.max("token_count").over(w)).withColumn("_best", best).where((F.col("token_count") >= least) | (F.col("_most") < least) & (F.col("_best") == 1)).drop("_most", "_best")
+        def work(source, text, units):
+            (_, ends), _ = spans(text)
+            return [{"source_id": source, "k": k, "s": s, "e": e} for k, (s, e) in enumerate(windows(len(ends), boundaries(ends, sanitize_units(units, len(text))), w))]
 
+        return work
 
-def link(chunks: DataFrame) -> DataFrame:
-    """prev_id and next_id in each document and level."""
-    w = W.partitionBy("source_id", "level").orderBy("start_char", "end_char", "chunk_id")
-    return chunks.withColumn("prev_id", F.lag("chunk_id", 1, "").over(w)).withColumn("next_id", F.lead("chunk_id", 1, "").over(w))
+    return _by_document(docs, each, "source_id string, k int, s int, e int")
 
 
-def assign_parents(leaves: DataFrame, parents: DataFrame) -> DataFrame:
-    """parent_id: of the first parent that ends behind the leaf's start (else the last), the next and the one before, the one of most overlap; first in this order wins."""
-    spans = parents.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char", "chunk_id"))).alias("parents"))
-    joined = leaves.join(spans, "source_id", "left")
-    behind = F.size(F.filter("parents", lambda p: p["end_char"] <= F.col("start_char")))
-    at = F.least(behind, F.size("parents") - 1)
-    tried = F.transform(F.filter(F.array(at, at + 1, at - 1), lambda i: (i >= 0) & (i < F.size("parents"))), lambda i: F.get("parents", i))
-    scored = F.transform(tried, lambda p, k: F.struct(X.overlap(F.col("start_char"), F.col("end_char"), p["start_char"], p["end_char"]).alias("n"), (-k).alias("k"), p["chunk_id"].alias("id")))
-    return joined.withColumn("parent_id", F.coalesce(F.array_max(scored)["id"], F.lit(""))).drop("parents")
+def unit_boundaries(docs: DataFrame, config: Chunking = Chunking()) -> DataFrame:
+    """(source_id, n_tokens, boundary): the token positions at which a document's units end."""
 
+    def each():
+        spans = spanner(config.tokenizer, config.vocabulary)
 
-def prepare(docs: DataFrame) -> DataFrame:
-    """(source_id, text, units) to what chunk_level reads."""
-    docs = docs.withColumn("pieces", X.token_pieces(F.col("text"))).withColumn("units", sanitize_units(F.col("units"), F.length("text")))
-    docs = docs.withColumn("ends", X.token_ends(F.col("pieces")))
-    return docs.withColumn("bounds", boundaries(F.col("ends"), F.col("units")))
+        def work(source, text, units):
+            (_, ends), _ = spans(text)
+            return [{"source_id": source, "n_tokens": len(ends), "boundary": b} for b in boundaries(ends, sanitize_units(units, len(text)))]
 
+        return work
 
-def build_chunks(docs: DataFrame, config: Chunking = Chunking()) -> tuple[DataFrame, DataFrame]:
-    """Leaf and parent chunks with links; texts without tokens give none."""
-    ready = prepare(docs)
-    parents = link(chunk_level(ready, config.parent))
-    leaves = link(drop_short_leaves(chunk_level(ready, config.leaf), config.min_leaf_tokens))
-    return assign_parents(leaves, parents), parents
+    return _by_document(docs, each, "source_id string, n_tokens int, boundary int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docspark.config import Chunking
-from docspark.operators.chunking import build_chunks
+from docspark.operators.chunking import chunk
 
 
 def ingest(spark: SparkSession, source: str, schema, chunks_dir: str, checkpoint: str, config: Chunking = Chunking()) -> StreamingQuery:
@@ -17,9 +17,7 @@ def ingest(spark: SparkSession, source: str, schema, chunks_dir: str, checkpoint
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        leaves, parents = build_chunks(batch, config)
-        rows = leaves.unionByName(parents.withColumn("parent_id", F.lit("")))
-        rows.write.mode("overwrite").partitionBy("level").parquet(f"{chunks_dir}/batch={number}")
+        chunk(batch, config).write.mode("overwrite").partitionBy("level").parquet(f"{chunks_dir}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
