@@ -91,7 +91,7 @@ def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
 
 
-def nature_of(path: Column, root: str, marker: str = "V1_RAG") -> Column:
+def nature_of(path: Column, root: str, marker: str) -> Column:
     """The path part after the marker folder, else the first part under the root, else empty."""
     after = F.regexp_extract(path, rf"(?:^|/){re.escape(marker)}/([^/]+)", 1)
     under = F.regexp_extract(path, rf"^{re.escape(root.rstrip('/'))}/([^/]+)", 1)

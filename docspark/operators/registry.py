@@ -23,23 +23,32 @@ def cleared(fields: list[str], when: Column) -> dict[str, Column]:
 def reconcile(registry: DataFrame, scan: DataFrame) -> DataFrame:
     """``scan``: canonical_path, content_hash, filename, nature, ext, origin_path, size_bytes, modified_time, seen_at, artifact_exists.
 
-    Of scanned paths with equal content the greatest path stays. Unknown paths with known content are moves.
+    Paths that are known keep their rows, equal content or not. Of unknown paths with equal content the greatest
+    stays: it takes the row of known content that has lost its path, else that of a smaller path, else it is new (a greater path with that content: it goes).
+    Rows that share a path all stay and are matched by it; the content hash of a scanned file may be null where size and time are those of the registry.
     """
     facts = ["canonical_path", "filename", "nature", "ext", "origin_path", "size_bytes", "modified_time"]
-    scan = scan.withColumn("_w", F.row_number().over(W.partitionBy("content_hash").orderBy(F.desc("canonical_path")))).where("_w = 1").drop("_w")
-    known = normalize_registry(registry)
-    one = known.withColumn("_w", F.row_number().over(W.partitionBy("canonical_path").orderBy("source_id"))).where("_w = 1 OR canonical_path = ''").drop("_w")
+    known = one = normalize_registry(registry)
     s = scan.select(*[F.col(c).alias(f"s_{c}") for c in scan.columns])
     by_path = one.join(s, F.col("canonical_path") == F.col("s_canonical_path"), "full_outer")
     matched = by_path.where("canonical_path IS NOT NULL AND s_canonical_path IS NOT NULL").withColumn("_case", F.lit("path"))
     lost = by_path.where("s_canonical_path IS NULL").select(*REGISTRY_FIELDS)
+    matched = matched.withColumn("s_content_hash", F.coalesce("s_content_hash", "content_hash"))
     fresh = by_path.where("canonical_path IS NULL").select(*s.columns)
+    fresh = fresh.withColumn("_w", F.row_number().over(W.partitionBy("s_content_hash").orderBy(F.desc("s_canonical_path")))).where("_w = 1").drop("_w")
+    # content that is still at a known path, and nowhere lost: the greater path has the row
+    held = matched.groupBy("s_content_hash").agg(F.max("canonical_path").alias("_held")).join(lost.select(F.col("content_hash").alias("s_content_hash")).distinct(), "s_content_hash", "left_anti")
+    fresh = fresh.join(held, "s_content_hash", "left").where("_held IS NULL OR _held < s_canonical_path")
+    taken = fresh.where("_held IS NOT NULL").select(*s.columns, F.col("_held").alias("canonical_path"))
+    fresh = fresh.where("_held IS NULL").select(*s.columns)
+    repathed = matched.select(*REGISTRY_FIELDS).join(taken, "canonical_path").select(*REGISTRY_FIELDS, *s.columns).withColumn("_case", F.lit("hash"))
+    matched = matched.join(taken.select("canonical_path"), "canonical_path", "left_anti").select(*REGISTRY_FIELDS, *s.columns, "_case")
     moved_to = lost.join(fresh, F.col("content_hash") == F.col("s_content_hash"), "left")
     moved_to = moved_to.withColumn("_m", F.row_number().over(W.partitionBy("content_hash").orderBy("source_id"))).withColumn("_hit", F.col("s_canonical_path").isNotNull() & (F.col("_m") == 1))
     moved = moved_to.where("_hit").drop("_m", "_hit").withColumn("_case", F.lit("hash"))
     gone = moved_to.where("NOT _hit").select(*REGISTRY_FIELDS, *[F.lit(None).cast(t).alias(c) for c, t in s.dtypes], F.lit("gone").alias("_case"))
     new = fresh.join(lost.select(F.col("content_hash").alias("s_content_hash")).distinct(), "s_content_hash", "left_anti").select(*[F.lit("").alias(f) for f in REGISTRY_FIELDS], *s.columns, F.lit("new").alias("_case"))
-    rows = matched.unionByName(moved).unionByName(gone).unionByName(new)
+    rows = matched.unionByName(repathed).unionByName(moved).unionByName(gone).unionByName(new)
     case, status = F.col("_case"), F.col("extraction_status")
     touched = (F.col("size_bytes") != F.col("s_size_bytes").cast("string")) | (F.col("modified_time") != F.col("s_modified_time"))
     changed = (case == "path") & touched & (F.col("content_hash") != F.col("s_content_hash"))
@@ -75,19 +84,66 @@ def conversion_summary(results: DataFrame) -> DataFrame:
     return results.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("OK", "SKIP", "FAIL", "DRYRUN")])
 
 
+def run_counts(rows: DataFrame, status: str, done: str) -> DataFrame:
+    """One row: processed (``status`` is ``done``) and failed, of the sources that a run took."""
+    return rows.agg(F.count_if(F.col(status) == done).alias("processed"), F.count_if(F.col(status) == FAILED).alias("failed"))
+
+
+def chosen(rows: DataFrame, sources: list[str] | None, limit: int, order: str = "source_id") -> DataFrame:
+    """Of ``rows`` those of ``sources`` (all if none are named), the first ``limit`` of them by ``order`` (0: all)."""
+    named = sorted({x.strip() for x in sources or [] if x and x.strip()})
+    rows = rows.where(F.col("source_id").isin(named)) if named else rows
+    return rows.orderBy(order).limit(limit) if limit > 0 else rows
+
+
 def extraction_targets(registry: DataFrame, again: bool = False) -> DataFrame:
     return registry.where(F.col("extraction_status").isin(NEW, *([EXTRACTED] if again else [])))
 
 
-def chunk_targets(registry: DataFrame, have: DataFrame, config: str, force: bool = False) -> DataFrame:
-    """Sources to chunk. ``have``: source_id of sources whose chunks exist."""
+def chunk_targets(registry: DataFrame, have: DataFrame, config: str, force: bool = False, sources: list[str] | None = None, limit: int = 0) -> DataFrame:
+    """Sources to chunk: extracted, and not chunked, chunked by other settings, or without chunks. ``have``: source_id of sources whose chunks exist."""
     rows = registry.where((F.col("extraction_status") == EXTRACTED) & (F.col("source_id") != "")).join(have.select("source_id", F.lit(True).alias("_have")).distinct(), "source_id", "left")
     stale = (F.col("chunk_status") != CHUNKED) | (F.col("chunk_config_hash") != config) | F.col("_have").isNull()
-    return rows.where(F.lit(force) | stale).drop("_have")
+    return chosen(rows.where(F.lit(force) | stale).drop("_have"), sources, limit)
 
 
-def index_targets(registry: DataFrame, have: DataFrame, config: str, force: bool = False) -> DataFrame:
-    """Sources to index. ``have``: source_id of sources with leaf chunks."""
+def index_targets(registry: DataFrame, have: DataFrame, config: str, force: bool = False, sources: list[str] | None = None, limit: int = 0) -> DataFrame:
+    """Sources to index: chunked, and not indexed, indexed by other settings, of another number of chunks, or without leaves. ``have``: source_id of sources with leaf chunks."""
     rows = registry.where((F.col("extraction_status") == EXTRACTED) & (F.col("chunk_status") == CHUNKED)).join(have.select("source_id", F.lit(True).alias("_have")).distinct(), "source_id", "left")
     stale = F.col("_have").isNull() | (F.col("index_status") != INDEXED) | (F.col("index_config_hash") != config) | (F.col("indexed_chunks") != F.col("nb_chunks"))
-    return rows.where(F.lit(force) | stale).drop("_have")
+    return chosen(rows.where(F.lit(force) | stale).drop("_have"), sources, limit)
+
+
+def purge_chunks(chunks: DataFrame, registry: DataFrame) -> DataFrame:
+    """Chunks of sources that are extracted; those of others, and of sources that the registry lacks, go."""
+    return chunks.join(registry.where(F.col("extraction_status") == EXTRACTED).select("source_id").distinct(), "source_id", "left_semi")
+
+
+def orphan_sources(chunks: DataFrame, registry: DataFrame) -> DataFrame:
+    """(source_id) of chunks whose source the registry lacks."""
+    return chunks.select("source_id").distinct().join(registry.select("source_id"), "source_id", "left_anti")
+
+
+def stale_converted(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """Converted ``files`` (path) that no legacy file of ``expected`` (path) leads to."""
+    return files.join(expected.select("path").distinct(), "path", "left_anti")
+
+
+def missing_artifacts(registry: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """``artifacts`` (source_id, ...) of sources that are missing, and of no other source's row."""
+    gone = registry.where(F.col("extraction_status") == MISSING).select("source_id")
+    return artifacts.join(gone, "source_id", "left_semi").join(registry.where(F.col("extraction_status") != MISSING).select("source_id"), "source_id", "left_anti")
+
+
+def purge_missing(registry: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(registry without the extracted paths of missing sources, artifacts without theirs)."""
+    rows = registry.withColumn("extracted_path", F.when(F.col("extraction_status") == MISSING, F.lit("")).otherwise(F.col("extracted_path")))
+    return rows, artifacts.join(missing_artifacts(registry, artifacts).select("source_id"), "source_id", "left_anti")
+
+
+def to_hash(registry: DataFrame, listing: DataFrame) -> DataFrame:
+    """Of a ``listing`` (canonical_path, size_bytes, modified_time) the files whose content must be read: unknown paths, and those whose size or time differ."""
+    seen = registry.where("canonical_path <> '' AND content_hash <> ''").select("canonical_path", F.col("size_bytes").alias("_size"), F.col("modified_time").alias("_time")).dropDuplicates(["canonical_path"])
+    rows = listing.join(seen, "canonical_path", "left")
+    same = F.col("size_bytes").cast("string").eqNullSafe(F.col("_size")) & F.col("modified_time").eqNullSafe(F.col("_time"))
+    return rows.where(~same).select(listing.columns)

@@ -10,14 +10,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docspark.config import Retrieval
+from docspark.config import Prompts, Retrieval
 from docspark.functions import text as X
-from docspark.functions.vectors import cosine
+from docspark.functions.vectors import TINY
+from docspark.storage import materialize
 
-#: Questions that one pass over the index may hold (a broadcast of a few hundred kilobytes); more go in blocks.
+#: Questions that one pass over the index may hold (a broadcast matrix of some megabytes at most); more go in blocks.
 QUERY_BLOCK = 1024
 
 
@@ -44,21 +48,92 @@ def predicate(df: DataFrame, filters: dict[str, list[str]]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"`{k}`").isin(v) for k, v in filters.items()], F.lit(True))
 
 
+def _questions(queries: DataFrame) -> list[list]:
+    """Blocks of (qid, query) rows, of QUERY_BLOCK questions about; each is on the driver once."""
+    first = queries.limit(QUERY_BLOCK + 1).collect()
+    if len(first) <= QUERY_BLOCK:
+        yield first
+        return
+    blocks = -(-queries.count() // (QUERY_BLOCK // 2))
+    for b in range(blocks):
+        yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows of unit length; (nearly) zero rows become zero."""
+    squares = (vectors * vectors).sum(axis=1, keepdims=True)
+    return vectors / np.where(squares <= TINY, np.inf, np.sqrt(np.where(squares <= TINY, 1, squares)))
+
+
+def _nearest(rows: DataFrame, questions: list, k: int) -> DataFrame:
+    """Of each task's rows the k nearest of each question: qid, distance, and the row's columns but the vector."""
+    at = rows.columns.index("embedding")
+    others = [f for f in rows.schema.fields if f.name != "embedding"]
+    matrices = {}  # by number of dimensions, as unit rows; norms are taken once
+    for i, row in enumerate(questions):
+        matrices.setdefault(len(row["query"] or []), []).append(i)
+    matrices = {n: (np.array(ids), unit_rows(np.array([questions[i]["query"] or [] for i in ids], float).reshape(len(ids), n))) for n, ids in matrices.items()}
+    ids = [row["qid"] for row in questions]
+    sent = rows.sparkSession.sparkContext.broadcast((matrices, ids))
+
+    def run(batches):
+        matrices, ids = sent.value
+        names = [f.name for f in others]
+        best: pa.Table | None = None
+        for batch in batches:
+            vectors, n = batch.column(at), batch.num_rows
+            like = np.zeros((len(ids), n))
+            sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+            for dims, (which, unit) in matrices.items():
+                own = np.flatnonzero(sizes == dims)
+                if dims and len(own):
+                    like[np.ix_(which, own)] = unit @ unit_rows(vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), dims)).T
+            distance = np.round(1 - like, 12)
+            top = np.argpartition(distance, min(k, n) - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (len(ids), 1))
+            limit = np.take_along_axis(distance, top, 1).max(axis=1)
+            q, r = np.nonzero(distance <= limit[:, None])  # ties of the last come along
+            found = pa.Table.from_batches([batch.select([i for i in range(batch.num_columns) if i != at])]).take(pa.array(r))
+            found = found.append_column("_q", pa.array(q.astype(np.int32))).append_column("distance", pa.array(distance[q, r]))
+            best = found if best is None else pa.concat_tables([best, found])
+            if best.num_rows > 4 * k * len(ids):
+                best = _first(best, k)
+        if best is not None:
+            best = _first(best, k)
+            yield from best.select(["_q", "distance", *names]).combine_chunks().to_batches(10_000)
+
+    schema = T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("distance", T.DoubleType()), *others])
+    return rows.mapInArrow(run, schema)
+
+
+def _first(rows: pa.Table, k: int) -> pa.Table:
+    """The first k of each question by distance and chunk_id."""
+    order = pc.sort_indices(rows, [("_q", "ascending"), ("distance", "ascending"), ("chunk_id", "ascending")])
+    q = rows.column("_q").to_numpy()[order.to_numpy()]
+    starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    return rows.take(order.filter(pa.array(place < k)))
+
+
 def knn(index: DataFrame, queries: DataFrame, k: int, filters: dict[str, list[str]] | None = None) -> DataFrame:
-    """``index`` (chunk_id, embedding, ...) and ``queries`` (qid, query): the k nearest per query by cosine distance.
+    """``index`` (chunk_id, embedding, ...) and ``queries`` (qid, query): the k nearest per query by cosine distance, all columns.
 
-    The filter reaches the scan. Each task ranks what it scanned before anything is shuffled
-    (WindowGroupLimit), so k rows a query leave it. Queries are a stated, counted set; above
-    QUERY_BLOCK they pass in blocks.
+    Exact: filters reach the scan; each task multiplies batches of vectors with the questions'
+    matrix and keeps the k nearest of each question, and these are ranked. Distances are rounded to 12
+    digits and ties go by chunk_id. A vector that is null, zero or of another length has distance 1. Questions
+    go in blocks of at most about QUERY_BLOCK, one pass over the index each.
     """
     if filters:
         index = index.where(predicate(index, filters))
-    n = queries.count()
-    blocks = -(-n // QUERY_BLOCK) or 1
-    numbered = queries if blocks == 1 else queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    parts = [queries] if blocks == 1 else [numbered.where(F.col("_block") == b).drop("_block") for b in range(blocks)]
-    near = W.partitionBy("qid").orderBy("distance", "chunk_id")
-    out = [index.join(F.broadcast(part)).withColumn("distance", 1 - cosine(F.col("embedding"), F.col("query"))).drop("query").withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k) for part in parts]
+    near = W.partitionBy("_q").orderBy("distance", "chunk_id")
+    out = []
+    for questions in _questions(queries):
+        if not questions:
+            continue
+        names = index.sparkSession.createDataFrame([(i, r["qid"]) for i, r in enumerate(questions)], T.StructType([T.StructField("_q", T.IntegerType()), queries.schema["qid"]]))
+        found = _nearest(index, questions, k).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+        out.append(found.join(F.broadcast(names), "_q").drop("_q"))  # of the block's size
+    if not out:
+        return index.limit(0).join(queries.select("qid").limit(0)).drop("embedding").select(F.lit(0.0).alias("distance"), *[c for c in index.columns if c != "embedding"], F.lit(0).alias("rank"), "qid", F.lit(0.0).alias("score"))
     return reduce(DataFrame.unionByName, out).withColumn("score", -F.col("distance"))
 
 
@@ -84,13 +159,13 @@ def redundancy(ranked: DataFrame, k: int, source: str = "source_id") -> DataFram
 
 
 def mmr_order(query: np.ndarray, vectors: np.ndarray, k: int, weight: float) -> list[int]:
-    """Greedy: nearest first, then most relevant less most like what is chosen; the earliest of equals."""
+    """Greedy: nearest first, then most relevant less most like what is chosen; the earliest of equals (to 12 digits)."""
     unit = lambda v: v / np.where((n := np.sqrt((v * v).sum(-1, keepdims=True))) ** 2 <= 1e-12, np.inf, n)
     query, vectors = unit(query), unit(vectors)
     gain, like = vectors @ query, None
     chosen: list[int] = []
     while len(chosen) < min(k, len(vectors)):
-        score = gain.copy() if like is None else weight * gain - (1 - weight) * like
+        score = np.round(gain if like is None else weight * gain - (1 - weight) * like, 12)
         score[chosen] = -np.inf
         chosen.append(int(score.argmax()))
         now = vectors @ vectors[chosen[-1]]
@@ -99,7 +174,7 @@ def mmr_order(query: np.ndarray, vectors: np.ndarray, k: int, weight: float) ->
 
 
 def mmr(ranked: DataFrame, queries: DataFrame, k: int, weight: float = 0.7, pool: int = 50) -> DataFrame:
-    """Re-ranks the first ``pool`` of each query; score 1 - 0.001 a place. Rows without a vector go."""
+    """Re-ranks the first ``pool`` of each query (``ranked`` with embedding); score 1 - 0.001 a place. Rows without a vector go."""
     rows = ranked.where((F.col("rank") <= pool) & F.col("embedding").isNotNull()).join(F.broadcast(queries), "qid")
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,8 +198,7 @@ def expand_neighbors(seeds: DataFrame, store: DataFrame, depth: int, use_prev: b
     if depth <= 0 or not (use_prev or use_next):
         return have
     columns = ["qid", "chunk_id", "rank", "score", "prev_id", "next_id", "origin", "expanded_from", "expanded_depth"]
-    have = have.select(columns)
-    frontier = have
+    have = frontier = materialize(have.select(columns), "seeds")
     links = store.select("chunk_id", "prev_id", "next_id")
     for d in range(1, depth + 1):
         targets = F.array(*([F.struct(F.lit(0).alias("side"), F.col("prev_id").alias("id"))] if use_prev else []), *([F.struct(F.lit(1).alias("side"), F.col("next_id").alias("id"))] if use_next else []))
@@ -135,6 +209,7 @@ def expand_neighbors(seeds: DataFrame, store: DataFrame, depth: int, use_prev: b
         base = have.groupBy("qid").agg(F.max("rank").alias("base"))
         order = F.row_number().over(by_query().orderBy("b.rank", "b.side", "to_id"))
         frontier = found.join(base, "qid").select("qid", F.col("to_id").alias("chunk_id"), (F.col("base") + order).cast("int").alias("rank"), F.greatest(F.lit(0.0), F.col("b.score") - 0.05 * d).alias("score"), "prev_id", "next_id", F.lit("expanded").alias("origin"), F.col("b.from_id").alias("expanded_from"), F.lit(d).alias("expanded_depth"))
+        frontier = materialize(frontier, "frontier")  # read by the next step and by the result
         have = have.unionByName(frontier)
     return have
 
@@ -155,45 +230,73 @@ def by_score(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(by_query().orderBy(F.desc("score"), "rank")))
 
 
-def context_block(label: Column, text: Column, fields: dict[str, Column]) -> Column:
-    head = [F.concat(F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit(""))) for k, v in fields.items()]
-    return F.concat_ws("\n", F.concat(F.lit("[C"), label.cast("string"), F.lit("]")), *head, text)
+def context_block(label: Column, row: dict[str, Column]) -> Column:
+    """A passage under its label: source_id, filename, nature, ext, unit, chunk_id and text; null fields are empty."""
+    text = lambda c: F.coalesce(row[c].cast("string"), F.lit(""))
+    unit = F.concat_ws(" ", text("unit_type_start"), X.to_int(row["unit_index_start"]).cast("string"))
+    fields = [("source_id", text("source_id")), ("filename", text("filename")), ("nature", text("nature")), ("ext", text("ext")), ("unit", unit), ("chunk_id", text("chunk_id"))]
+    return F.concat(F.lit("[C"), label.cast("string"), F.lit("]\n"), *[x for name, value in fields for x in (F.lit(f"{name}: "), value, F.lit("\n"))], F.lit("text:\n"), text("text"), F.lit("\n"))
+
+
+def prompt_overhead(query: Column, prompts: Prompts) -> Column:
+    """Tokens of the fixed prompts around a question."""
+    parts = [F.lit(prompts.system), F.concat(F.lit(prompts.before), query, F.lit(prompts.after)), F.lit(prompts.closing)]
+    return X.token_count(F.concat_ws("\n", *parts))
 
 
-def within_budget(ranked: DataFrame, budget: int, tokens: str = "tokens") -> DataFrame:
-    """The longest prefix of each query that fits the budget, the first row always. Adds used (running)."""
+def within_budget(ranked: DataFrame, budget: int | Column, tokens: str = "tokens") -> DataFrame:
+    """The longest prefix of each query that fits the budget, the first row always. Adds used (running).
+
+    Nothing follows a first row that is over the budget, or a row that fills it.
+    """
     used = F.sum(tokens).over(by_query().orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow))
     return ranked.withColumn("used", used).where((F.col("used") <= budget) | (F.col("rank") == 1))
 
 
-def context_budget(config: Retrieval, overhead: int) -> int:
+def context_budget(config: Retrieval, overhead: int | Column) -> int | Column:
     limit = config.resolved("context_tokens")
-    return max(min(300, limit), limit - overhead)
+    least = min(300, limit)
+    return max(least, limit - overhead) if isinstance(overhead, int) else F.greatest(F.lit(least), F.lit(limit) - overhead)
+
+
+#: Of a chunk's metadata, what answers and context show. Missing columns count as empty.
+SHOWN = ("source_id", "filename", "nature", "ext", "origin_path", "unit_type_start", "unit_index_start", "unit_type_end", "unit_index_end", "start_char", "end_char", "text")
 
 
 def retrieve(queries: DataFrame, index: DataFrame, store: DataFrame, config: Retrieval = Retrieval(), overhead: int = 0) -> DataFrame:
     """The whole query path: search, (re-rank), cap, expand, rank, soft cap, context.
 
-    ``queries``: qid, query. ``index``: chunk_id, embedding and string metadata. ``store``: chunks of both levels.
+    ``queries``: qid, query, and question if the prompts around it are to be counted. ``index``: chunk_id, embedding and string metadata. ``store``: chunks of both levels.
+    What several steps read (the seeds, each step of expansion, the candidates) is written once, so no step computes the search again.
     """
     k, cap = config.resolved("top_k"), config.resolved("per_source")
-    meta = store.select("chunk_id", "source_id", "text", "prev_id", "next_id", "parent_id")
-    found = knn(index, queries, config.initial_k, config.filters)
+    links = store.select("chunk_id", "source_id", "prev_id", "next_id", "parent_id")
+    found = knn(index.select("chunk_id", "embedding", *config.filters, *(["source_id"] if "source_id" not in config.filters else [])), queries, config.initial_k, config.filters)
     if config.score_mode == "similarity":
         found = found.withColumn("score", 1 - F.col("distance"))
     if config.mmr:
+        found = materialize(found, "found")
         again = redundancy(found, k).where(F.col("redundancy") >= config.mmr_gate).select("qid")
         pool = min(config.initial_k, 50)
-        found = found.join(again, "qid", "left_anti").unionByName(mmr(found.join(again, "qid", "left_semi"), queries, min(pool, 2 * k), config.mmr_lambda, pool))
-    seeds = capped_top(found, cap, k).select("qid", "chunk_id", "rank", "score", "distance").join(meta, "chunk_id")
-    rows = expand_neighbors(seeds, meta, config.neighbor_depth, config.use_prev, config.use_next).select("qid", "chunk_id", "rank", "score", "origin", "expanded_from", "expanded_depth")
+        vectors = index.select("chunk_id", "embedding")
+        reranked = mmr(found.join(again, "qid", "left_semi").join(vectors, "chunk_id", "left"), queries.select("qid", "query"), min(pool, 2 * k), config.mmr_lambda, pool).drop("embedding")
+        found = found.join(again, "qid", "left_anti").unionByName(reranked)
+    seeds = capped_top(found, cap, k).select("qid", "chunk_id", "rank", "score", "distance")
+    seeds = materialize(seeds.join(links, "chunk_id"), "found")
+    rows = expand_neighbors(seeds, links, config.neighbor_depth, config.use_prev, config.use_next).select("qid", "chunk_id", "rank", "score", "origin", "expanded_from", "expanded_depth")
     if config.resolved("parents") and config.max_parents:
-        full = rows.join(meta.select("chunk_id", "source_id", "parent_id"), "chunk_id")
+        full = rows.join(links.select("chunk_id", "source_id", "parent_id"), "chunk_id")
         last = rows.groupBy("qid").agg(F.max("rank").alias("base"))
-        parents = expand_parents(full, meta, config.max_parents).join(last, "qid").select("qid", "chunk_id", (F.col("base") + F.col("place")).cast("int").alias("rank"), "score", F.lit("expanded").alias("origin"), "expanded_from", "expanded_depth")
+        parents = expand_parents(full, links, config.max_parents).join(last, "qid").select("qid", "chunk_id", (F.col("base") + F.col("place")).cast("int").alias("rank"), "score", F.lit("expanded").alias("origin"), "expanded_from", "expanded_depth")
         rows = rows.unionByName(parents)
-    rows = by_score(rows.join(meta.select("chunk_id", "source_id", "text"), "chunk_id"))
+    shown = store.select("chunk_id", *[F.col(c) if c in store.columns else F.lit("").alias(c) for c in SHOWN])
+    rows = by_score(materialize(rows, "candidates").join(shown, "chunk_id"))
     if config.soft_cap:
         rows = soft_cap(rows, cap)
-    rows = rows.withColumn("block", context_block(F.col("rank"), F.col("text"), {"source_id": F.col("source_id"), "chunk_id": F.col("chunk_id")}))
-    return within_budget(rows.withColumn("tokens", X.token_count(F.col("block"))), context_budget(config, overhead))
+    rows = rows.join(seeds.select("qid", "chunk_id", F.col("score").alias("retrieval_score"), "distance"), ["qid", "chunk_id"], "left")
+    rows = rows.withColumn("block", context_block(F.col("rank"), {c: F.col(c) for c in ("chunk_id", *SHOWN)}))
+    budget: int | Column = context_budget(config, overhead)
+    if "question" in queries.columns:
+        rows = rows.join(queries.select("qid", prompt_overhead(F.col("question"), config.prompts).alias("_overhead")), "qid")
+        budget = context_budget(config, F.col("_overhead") + overhead)
+    return within_budget(rows.withColumn("tokens", X.token_count(F.col("block"))), budget).drop("_overhead")

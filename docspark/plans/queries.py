@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from docspark import pipeline
-from docspark.config import LEAF, PARENT, Chunking, Retrieval, Window
+from docspark.config import LEAF, PARENT, Chunking, Prompts, Retrieval, Window
 from docspark.functions import text as X
 from docspark.operators import answers, chunking, index, registry, retrieval
+from docspark.sources import admin, files
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,8 +122,7 @@ bound AS (SELECT doc_id::VARCHAR AS source_id, max(n)::INT AS n, coalesce(list(D
 
 
 def _windows(spark: SparkSession, sf_dir: str, w: Window) -> DataFrame:
-    rows = chunking.prepare(documents(spark, sf_dir)).select("source_id", F.posexplode(chunking.windows(F.size("ends"), F.col("bounds"), w)).alias("k", "w"))
-    return rows.select("source_id", "k", "w.s", "w.e")
+    return chunking.token_windows(documents(spark, sf_dir), w)
 
 
 @query(f"WITH RECURSIVE {_BOUND}, {_windows_sql(LEAF, 'lw')} SELECT source_id, k::INT AS k, s, e FROM lw")
@@ -137,8 +137,7 @@ def parent_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BOUND} SELECT source_id, n AS n_tokens, unnest(list_sort(b)) AS boundary FROM bound")
 def unit_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.prepare(documents(spark, sf_dir))
-    return rows.select("source_id", F.size("ends").alias("n_tokens"), F.explode_outer("bounds").alias("boundary")).where("boundary IS NOT NULL")
+    return chunking.unit_boundaries(documents(spark, sf_dir))
 
 
 _CHUNKS = rf"""
@@ -160,12 +159,12 @@ _ALL = f"{_BOUND}, {_windows_sql(LEAF, 'lw')}, {_windows_sql(PARENT, 'pw')}, {_C
 
 @query(f"WITH RECURSIVE {_ALL} SELECT chunk_id, source_id, token_count, start_char, end_char, prev_id, next_id FROM linked WHERE level = 'leaf'")
 def leaf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.link(chunking.chunk_level(chunking.prepare(documents(spark, sf_dir)), LEAF)).select("chunk_id", "source_id", "token_count", "start_char", "end_char", "prev_id", "next_id")
+    return chunking.build_chunks(documents(spark, sf_dir))[0].select("chunk_id", "source_id", "token_count", "start_char", "end_char", "prev_id", "next_id")
 
 
 @query(f"WITH RECURSIVE {_ALL} SELECT chunk_id, source_id, token_count, start_char, end_char, prev_id, next_id FROM linked WHERE level = 'parent'")
 def parent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.link(chunking.chunk_level(chunking.prepare(documents(spark, sf_dir)), PARENT)).select("chunk_id", "source_id", "token_count", "start_char", "end_char", "prev_id", "next_id")
+    return chunking.build_chunks(documents(spark, sf_dir))[1].select("chunk_id", "source_id", "token_count", "start_char", "end_char", "prev_id", "next_id")
 
 
 @query(f"WITH RECURSIVE {_ALL} SELECT chunk_id, parent_id FROM best")
@@ -177,7 +176,7 @@ def leaf_parent_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_ALL}, m AS (SELECT *, max(token_count) OVER (PARTITION BY source_id) AS most, row_number() OVER (PARTITION BY source_id ORDER BY token_count DESC, start_char) AS r FROM chunk WHERE level = 'leaf')
 SELECT chunk_id, token_count FROM m WHERE token_count >= 300 OR (most < 300 AND r = 1)""")
 def short_leaf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.drop_short_leaves(chunking.chunk_level(chunking.prepare(documents(spark, sf_dir)), LEAF), 300).select("chunk_id", "token_count")
+    return chunking.build_chunks(documents(spark, sf_dir), Chunking(min_leaf_tokens=300))[0].select("chunk_id", "token_count")
 
 
 # ---- registry ----
@@ -221,25 +220,110 @@ def registry_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.reconcile(_registry(spark, sf_dir), scan).select("canonical_path", "source_id", "extraction_status", "chunk_status")
 
 
-@query("SELECT sha256(doc_id || 'v1') AS source_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 4 = 0 AND doc_id % 3 <> 0")
+def _tracked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Registry rows in every state of chunking and indexing, and the sources that have chunks."""
+    doc = F.expr("CAST(substr(canonical_path, 2) AS BIGINT)")
+    when = lambda n, hit, other: F.when(doc % n == 0, hit).otherwise(other)
+    rows = _registry(spark, sf_dir).withColumns({
+        "chunk_status": F.when(doc % 11 == 0, "PENDING").otherwise(F.col("chunk_status")), "chunk_config_hash": when(7, "x", "c"), "index_config_hash": when(7, "x", "c"),
+        "index_status": when(5, "FAILED", "INDEXED"), "nb_chunks": F.lit("2"), "indexed_chunks": when(13, "1", "2"),
+    })
+    have = load(spark, sf_dir, "documents").where("doc_id % 3 <> 1").select(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("v1")), 256).alias("source_id"))
+    return rows, have
+
+
+@query("SELECT sha256(doc_id || 'v1') AS source_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 4 = 0 AND (doc_id % 11 = 0 OR doc_id % 7 = 0 OR doc_id % 3 = 1)")
 def chunk_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _registry(spark, sf_dir).withColumn("chunk_config_hash", F.lit("c"))
-    have = load(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("v1")), 256).alias("source_id"))
-    return registry.chunk_targets(rows, have, "c").select("source_id")
+    """Not chunked, chunked by other settings, or without chunks."""
+    return registry.chunk_targets(*_tracked(spark, sf_dir), "c").select("source_id")
 
 
-@query("SELECT sha256(doc_id || 'v1') AS source_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 4 = 0 AND doc_id % 3 <> 0")
+@query("SELECT sha256(doc_id || 'v1') AS source_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 4 = 0 AND doc_id % 11 <> 0 AND (doc_id % 7 = 0 OR doc_id % 3 = 1 OR doc_id % 5 = 0 OR doc_id % 13 = 0)")
 def index_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _registry(spark, sf_dir).withColumns({"index_status": F.lit("INDEXED"), "index_config_hash": F.lit("c"), "indexed_chunks": F.lit("1"), "nb_chunks": F.lit("1")})
-    have = load(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("v1")), 256).alias("source_id"))
-    return registry.index_targets(rows, have, "c").select("source_id")
+    """Chunked, and not indexed, indexed by other settings or of another number of chunks, or without leaves."""
+    return registry.index_targets(*_tracked(spark, sf_dir), "c").select("source_id")
+
+
+@query("SELECT sha256(doc_id || 'v1') AS source_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 4 = 0 ORDER BY 1 LIMIT 25")
+def work_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forced run over the first 25 sources."""
+    return registry.chunk_targets(*_tracked(spark, sf_dir), "c", force=True, limit=25).select("source_id")
+
+
+@query("""SELECT 'p' || doc_id AS canonical_path, sha256((doc_id // 2)::VARCHAR) AS content_hash, 'EXTRACTED' AS extraction_status FROM documents d
+WHERE doc_id % 6 <> 4 OR NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id + 1)""")
+def registry_equal_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of equal content: known paths keep their rows, an unknown greater path takes its twin's."""
+    path, content = F.concat(F.lit("p"), "doc_id"), F.sha2(F.floor(F.col("doc_id") / 2).cast("string"), 256)
+    docs = load(spark, sf_dir, "documents").select("doc_id", path.alias("canonical_path"), content.alias("content_hash"), F.lit("1").alias("size_bytes"), F.lit("t").alias("modified_time"))
+    known = docs.where("doc_id % 6 <> 5").select(F.col("content_hash").alias("source_id"), "content_hash", "canonical_path", "size_bytes", "modified_time", F.lit("EXTRACTED").alias("extraction_status"))
+    scan = docs.drop("doc_id").withColumns({c: F.lit("x") for c in ("filename", "nature", "ext", "origin_path", "seen_at")} | {"artifact_exists": F.lit(True)})
+    return registry.reconcile(known, scan).select("canonical_path", "content_hash", "extraction_status")
+
+
+@query("SELECT 'p' || doc_id AS canonical_path FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 0 OR doc_id % 5 = 1")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to hash: unknown ones, and those whose size or time is not the registry's."""
+    doc = F.col("doc_id")
+    size = F.col("n_chars") + F.when(doc % 7 == 0, 1).otherwise(0)
+    listing = load(spark, sf_dir, "documents").select(F.concat(F.lit("p"), doc).alias("canonical_path"), size.cast("string").alias("size_bytes"), F.when(doc % 5 == 1, "t2").otherwise("t1").alias("modified_time"))
+    return registry.to_hash(_registry(spark, sf_dir), listing).select("canonical_path")
+
+
+@query("SELECT DISTINCT label::VARCHAR AS source_id FROM embeddings WHERE label NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = load(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("source_id"))
+    return registry.orphan_sources(_vectors(spark, sf_dir), known)
+
+
+@query("SELECT sha256(doc_id || 'v1') AS source_id, doc_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 4 = 0")
+def chunk_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks stay for extracted sources only."""
+    chunks = load(spark, sf_dir, "documents").select(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("v1")), 256).alias("source_id"), "doc_id")
+    return registry.purge_chunks(chunks, _registry(spark, sf_dir)).select("source_id", "doc_id")
+
+
+@query("SELECT sha256(doc_id || 'v1') AS source_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 4 = 3")
+def missing_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    artifacts = load(spark, sf_dir, "documents").select(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("v1")), 256).alias("source_id"))
+    return registry.missing_artifacts(_registry(spark, sf_dir), artifacts)
+
+
+_PATHS = "'/raw/a.b/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.doc' WHEN 1 THEN '.PPT' ELSE '.docx' END"
+
+
+@query("SELECT doc_id, '/made/a.b/' || doc_id || CASE doc_id % 3 WHEN 1 THEN '.pptx' ELSE '.docx' END AS path FROM documents")
+def converted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PATHS} AS source").select("doc_id", files.converted_path(F.col("source"), "/raw", "/made/").alias("path"))
+
+
+@query("SELECT '/made/a.b/' || doc_id || '.docx' AS path FROM documents WHERE doc_id % 3 = 1")
+def stale_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Converted files that no source leads to (of every document there is a .docx)."""
+    docs = load(spark, sf_dir, "documents")
+    there = docs.select(F.concat(F.lit("/made/a.b/"), "doc_id", F.lit(".docx")).alias("path"))
+    return registry.stale_converted(there, docs.selectExpr(f"{_PATHS} AS source").select(files.converted_path(F.col("source"), "/raw", "/made").alias("path")))
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 4 = 0) AS processed, count(*) FILTER (WHERE doc_id % 4 = 2) AS failed FROM documents WHERE doc_id % 10 <> 0")
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.run_counts(_registry(spark, sf_dir), "extraction_status", "EXTRACTED")
+
+
+@query(f"WITH {_UNITS} SELECT doc_id::VARCHAR AS source_id, count(*)::INT AS unit_count, (sum(length(line)) + 2 * (count(*) - 1))::INT AS char_count, any_value(d.source) AS nature FROM kept JOIN documents d USING (doc_id) GROUP BY 1")
+def extracted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of documents with text: stats and meta."""
+    lines = F.transform(F.split("text", "\n", -1), lambda t, i: F.struct(F.lit("paragraph").alias("unit_type"), (i + 1).alias("unit_index"), t.alias("text")))
+    meta = [F.col("source").alias(c) if c == "nature" else F.lit("").alias(c) for c in files.META if c != "source_id"]
+    found = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), *meta, lines.alias("units"), F.lit(None).cast("string").alias("error"))
+    return files.extracted_records(found).where("error IS NULL").select("source_id", "stats.unit_count", "stats.char_count", "meta.nature")
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE '' END AS nature FROM documents")
 def path_nature(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("doc_id") % 3
     path = F.when(c == 0, F.concat(F.lit("/data/raw/V1_RAG/"), "source", F.lit("/a.pdf"))).when(c == 1, F.concat(F.lit("/data/raw/"), "lang", F.lit("/b.pdf"))).otherwise("/elsewhere/c.pdf")
-    return load(spark, sf_dir, "documents").select("doc_id", X.nature_of(path, "/data/raw").alias("nature"))
+    return load(spark, sf_dir, "documents").select("doc_id", X.nature_of(path, "/data/raw", "V1_RAG").alias("nature"))
 
 
 @query("SELECT doc_id::VARCHAR AS stem, CASE WHEN doc_id % 3 = 0 THEN 'raw/' || doc_id || '.doc' WHEN doc_id % 3 = 1 THEN 'raw/' || doc_id || '.docx' END AS origin FROM documents")
@@ -299,14 +383,12 @@ def stale_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source_id, batch, count(*) AS texts, round(avg(n), 6) AS avg_chars, max(n)::INT AS max_chars FROM b GROUP BY 1, 2""")
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), "doc_id", F.length("text").alias("n"))
-    return index.batches(rows, order="doc_id").groupBy("source_id", "batch").agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg("n"), 6).alias("avg_chars"), F.max("n").alias("max_chars"))
+    return index.batch_stats(index.batches(rows, order="doc_id"), "n")
 
 
 @query("SELECT field, value FROM (SELECT DISTINCT 'nature' AS field, source AS value FROM documents UNION SELECT DISTINCT 'ext', lang FROM documents) WHERE trim(value) <> ''")
 def filter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    both = docs.select(F.explode(F.array(F.struct(F.lit("nature").alias("field"), F.col("source").alias("value")), F.struct(F.lit("ext").alias("field"), F.col("lang").alias("value")))).alias("x"))
-    return both.select("x.field", "x.value").where("trim(value) <> ''").distinct()
+    return index.filter_values(load(spark, sf_dir, "documents").select(F.col("source").alias("nature"), F.col("lang").alias("ext")), ["nature", "ext"])
 
 
 @query("SELECT 'doc_' || doc_id AS path, sha256(text) AS sha256 FROM documents")
@@ -314,12 +396,30 @@ def hash_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
 
 
+@query("SELECT sha256(string_agg('doc_' || doc_id || '=' || sha256(text), ',' ORDER BY 'doc_' || doc_id)) AS sha256, count(*) AS n FROM documents")
+def hash_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of a manifest, in order of path."""
+    entries = F.map_entries("hashes")
+    listed = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return admin.hash_map(hash_manifest(spark, sf_dir)).select(F.sha2(listed, 256).alias("sha256"), F.size(entries).cast("bigint").alias("n"))
+
+
+@query("""SELECT 'c' || doc_id AS chunk_id, source AS source_id, 'leaf' AS level, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, '') AS nature, '' AS ext, coalesce(CASE WHEN doc_id % 3 = 0 THEN n_chars END, 0)::INT AS end_char, 'm' AS embedding_model
+FROM documents WHERE regexp_matches(text, '\\S')""")
+def index_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves as index rows: absent text is empty, what is no number is 0, blank leaves are left out."""
+    docs = load(spark, sf_dir, "documents")
+    ends = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.col("n_chars").cast("string"))).otherwise("none")
+    leaves = docs.select(F.concat(F.lit(" c"), "doc_id").alias("chunk_id"), F.col("source").alias("source_id"), "text", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("nature"), ends.alias("end_char"))
+    return index.flatten(leaves, model="m", strict=False).select("chunk_id", "source_id", "level", "nature", "ext", "end_char", "embedding_model")
+
+
 # ---- retrieval ----
 
 TOP, CAP = 6, 2
 _KNN = """
 v AS (SELECT vec_id::VARCHAR AS chunk_id, label::VARCHAR AS source_id, embedding::DOUBLE[] AS e, coalesce(lag(vec_id) OVER w::VARCHAR, '') AS prev_id, coalesce(lead(vec_id) OVER w::VARCHAR, '') AS next_id FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
-q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id < 20),
+q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 50 = 0),
 knn AS (SELECT qid, chunk_id, source_id, prev_id, next_id, 1 - list_cosine_similarity(e, qe) AS distance, row_number() OVER (PARTITION BY qid ORDER BY round(1 - list_cosine_similarity(e, qe), 12), chunk_id)::INT AS rank FROM v, q WHERE {where} QUALIFY rank <= 24),
 capped AS (SELECT * EXCLUDE (own, rank), row_number() OVER (PARTITION BY qid ORDER BY rank)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_id ORDER BY rank) AS own FROM knn) WHERE own <= 2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 6)
 """
@@ -328,8 +428,8 @@ _HEAD = "qid, chunk_id, rank, round(distance, 6) AS distance"
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set of these searches: 20 vectors."""
-    return load(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    """The stated query set of these searches: every vector whose id is divisible by 50."""
+    return load(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
 
 
 def _knn(spark: SparkSession, sf_dir: str, filters=None) -> DataFrame:
@@ -365,9 +465,22 @@ def redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.redundancy(_knn(spark, sf_dir), TOP).select("qid", F.round("redundancy", 6).alias("redundancy"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ANY},
+u AS (SELECT chunk_id, CASE WHEN list_dot_product(e, e) <= 1e-12 THEN list_transform(e, lambda x: 0.0) ELSE list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) END AS x FROM v),
+qu AS (SELECT qid, list_transform(qe, lambda x: x / sqrt(list_dot_product(qe, qe))) AS x FROM q),
+g AS (SELECT k.qid, k.rank, list_dot_product(u.x, qu.x) AS gain, u.x FROM knn k JOIN u USING (chunk_id) JOIN qu USING (qid)),
+s AS (SELECT a.qid, a.rank, any_value(a.gain) AS gain, list(list_dot_product(a.x, b.x) ORDER BY b.rank) AS sims FROM g a JOIN g b USING (qid) GROUP BY 1, 2),
+m AS (
+  SELECT qid, 1 AS step, [rank] AS chosen FROM (SELECT qid, rank, row_number() OVER (PARTITION BY qid ORDER BY round(gain, 12) DESC, rank) AS o FROM s) WHERE o = 1
+  UNION ALL
+  SELECT qid, step + 1, list_append(chosen, rank) FROM (
+    SELECT m.qid, m.step, m.chosen, s.rank, row_number() OVER (PARTITION BY m.qid ORDER BY round(0.7 * gain - 0.3 * list_max(list_transform(m.chosen, lambda j: s.sims[j])), 12) DESC, s.rank) AS o
+    FROM m JOIN s ON s.qid = m.qid AND NOT list_contains(m.chosen, s.rank) WHERE m.step < 12) WHERE o = 1
+), p AS (SELECT qid, unnest(chosen) AS old, generate_subscripts(chosen, 1)::INT AS rank FROM m WHERE step = 12)
+SELECT p.qid, k.chunk_id, p.rank, round(k.distance, 6) AS distance FROM p JOIN knn k ON k.qid = p.qid AND k.rank = p.old""")
 def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(retrieval.mmr(_knn(spark, sf_dir), _questions(spark, sf_dir), 2 * TOP))
+    near = _knn(spark, sf_dir).join(_vectors(spark, sf_dir).select("chunk_id", "embedding"), "chunk_id")
+    return _shown(retrieval.mmr(near, _questions(spark, sf_dir), 2 * TOP))
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,6 +525,22 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.within_budget(_knn(spark, sf_dir).join(texts, "chunk_id"), 5000).select("qid", "chunk_id", "rank", "used")
 
 
+@query("""SELECT doc_id, sha256('[C' || doc_id || ']' || chr(10) || 'source_id: ' || doc_id || chr(10) || 'filename: f' || doc_id || chr(10) || 'nature: ' || coalesce(source, '') || chr(10) || 'ext: ' || coalesce(lang, '') || chr(10)
+  || 'unit: page ' || (doc_id % 9) || chr(10) || 'chunk_id: c' || doc_id || chr(10) || 'text:' || chr(10) || text || chr(10)) AS block_sha256 FROM documents""")
+def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.col("doc_id")
+    cells = {"source_id": doc, "filename": F.concat(F.lit("f"), doc), "nature": F.col("source"), "ext": F.col("lang"), "unit_type_start": F.lit("page"), "unit_index_start": (doc % 9).cast("string"), "chunk_id": F.concat(F.lit("c"), doc), "text": F.col("text")}
+    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(retrieval.context_block(doc, cells), 256).alias("block_sha256"))
+
+
+_FIXED = " ".join(Prompts().__dict__.values())
+
+
+@query(f"""SELECT item_id, (len(regexp_extract_all(text, '\\S+')) + {len(_FIXED.split())})::INT AS tokens FROM benchmark WHERE text IS NOT NULL""")
+def prompt_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", retrieval.prompt_overhead(F.col("text"), Prompts()).alias("tokens"))
+
+
 # ---- answers ----
 
 
@@ -440,7 +569,24 @@ def answer_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = _questions(spark, sf_dir).select("qid", F.lit("First [C2], then [C1]  [C999] .").alias("answer"))
     done = answers.finish(replies, context)
     cited = F.array_join(F.transform("citations", lambda c: F.concat(c["label"], F.lit("="), c["chunk_id"])), ",")
-    return done.select("qid", "answer", cited.alias("citations"), F.array_join("used_chunks", ",").alias("used"))
+    return done.select("qid", "answer", cited.alias("citations"), F.array_join(F.transform("used_chunks", lambda c: c["chunk_id"]), ",").alias("used"))
+
+
+@query(_ranked_sql("""SELECT f.qid, CASE f.rank WHEN 2 THEN 'C1' ELSE 'C2' END AS label, f.chunk_id, f.source_id, CASE WHEN f.expanded_depth IS NULL THEN 'seed' ELSE 'expanded' END AS origin, CASE WHEN f.expanded_depth IS NULL THEN round(f.score, 6) END AS score,
+  CASE o.rank WHEN 2 THEN 'C1' WHEN 1 THEN 'C2' END AS expanded_from_label, f.expanded_depth FROM final f LEFT JOIN final o ON o.qid = f.qid AND o.chunk_id = f.expanded_from AND o.rank <= 2 WHERE f.rank <= 2"""))
+def citation_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cited passages say of themselves: found ones their score, added ones where they come from."""
+    replies = _questions(spark, sf_dir).select("qid", F.lit("First [C2], then [C1].").alias("answer"))
+    cited = answers.finish(replies, _ranked(spark, sf_dir)).select("qid", F.explode("citations").alias("c"))
+    return cited.select("qid", "c.label", "c.chunk_id", "c.source_id", "c.origin", "c.score", "c.expanded_from_label", "c.expanded_depth")
+
+
+@query(_ranked_sql("SELECT qid, chunk_id, CASE WHEN expanded_depth IS NULL THEN round(score, 6) END AS score, expanded_depth FROM final"))
+def used_chunk_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole context of an answer."""
+    replies = _questions(spark, sf_dir).select("qid", F.lit("All [C1].").alias("answer"))
+    used = answers.finish(replies, _ranked(spark, sf_dir)).select("qid", F.explode("used_chunks").alias("c"))
+    return used.select("qid", "c.chunk_id", "c.score", "c.expanded_depth")
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 10000 ELSE turn % 3 * 10 + conv_id % 7 END::INT AS place FROM conversations")
