@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
+import time
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.storage import Layout, delete, exists, file_system, read_version, shared_dir, under, write_version
+
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """(path under the folder, sha256) of every file."""
@@ -12,37 +18,70 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", rf"{folder.rstrip('/').split('/')[-1]}/(.*)$", 1).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
-def export(spark: SparkSession, snapshot: str, target: str) -> None:
-    """Copies a Parquet snapshot and writes its manifest; an existing target is refused."""
-    spark.read.parquet(snapshot).write.mode("error").parquet(f"{target}/index")
-    manifest(spark, f"{target}/index").write.mode("error").parquet(f"{target}/manifest")
+def hash_map(manifest: DataFrame) -> DataFrame:
+    """One row: the map of path to sha256, in order of path."""
+    return manifest.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "sha256")))).alias("hashes"))
+
+
+def backup_name(name: str = "", now: float | None = None) -> str:
+    """The name without blanks around it, else a UTC stamp."""
+    return name.strip() or time.strftime("%Y%m%dT%H%M%SZ", time.gmtime(now))
+
+
+def export(spark: SparkSession, layout: Layout, name: str = "", folder: str = "", with_registry: bool = True, zipped: bool = False) -> str:
+    """Copies the index (and the registry) under ``folder`` (the layout's backups), with a manifest of hashes; gives the backup's path.
+
+    An existing target, and one outside the layout's root, is refused. A zip archive is made of local folders only.
+    """
+    target = f"{(folder or layout.backups).rstrip('/')}/{backup_name(name)}"
+    if not under(layout.root, target):
+        raise ValueError(f"outside {layout.root}: {target}")
+    if exists(spark, target):
+        raise FileExistsError(target)
+    read_version(spark, layout.index).write.parquet(f"{target}/index")
+    if with_registry and exists(spark, layout.registry):
+        read_version(spark, layout.registry).write.parquet(f"{target}/registry")
+    parts = [manifest(spark, f"{target}/{part}").withColumn("path", F.concat(F.lit(f"{part}/"), "path")) for part in ("index", "registry") if exists(spark, f"{target}/{part}")]
+    reduce(DataFrame.unionByName, parts).coalesce(1).write.parquet(f"{target}/manifest")
+    if zipped:
+        shutil.make_archive(target.removeprefix("file://"), "zip", target.removeprefix("file://"))
+    return target
 
 
 def verify(spark: SparkSession, backup: str) -> DataFrame:
     """Files that are missing, added or changed since the backup (none: whole)."""
     kept = spark.read.parquet(f"{backup}/manifest")
-    now = manifest(spark, f"{backup}/index").withColumnRenamed("sha256", "now")
+    parts = [manifest(spark, f"{backup}/{part}").withColumn("path", F.concat(F.lit(f"{part}/"), "path")) for part in ("index", "registry") if exists(spark, f"{backup}/{part}")]
+    if not parts:
+        return kept
+    now = reduce(DataFrame.unionByName, parts).withColumnRenamed("sha256", "now")
     return kept.join(now, "path", "full_outer").where(~F.col("sha256").eqNullSafe(F.col("now")))
 
 
-def restore(spark: SparkSession, backup: str, snapshot: str, confirm: bool = False) -> None:
+def restore(spark: SparkSession, layout: Layout, backup: str, with_registry: bool = False, confirm: bool = False) -> None:
+    """Makes a backup (a folder, or a local zip archive) the index's, and on request the registry's, current version; its manifest must hold."""
     if not confirm:
         raise ValueError("restoring replaces the index: confirm=True is needed")
+    if backup.endswith(".zip"):
+        folder = shared_dir(spark, "restore")
+        shutil.unpack_archive(backup.removeprefix("file://"), folder.removeprefix("file://"))
+        backup = folder
+    for part in ("manifest", "index"):
+        if not exists(spark, f"{backup}/{part}"):
+            raise FileNotFoundError(f"no {part} in {backup}")
     if not verify(spark, backup).isEmpty():
         raise ValueError("the backup does not match its manifest")
-    spark.read.parquet(f"{backup}/index").write.mode("overwrite").parquet(snapshot)
+    write_version(spark.read.parquet(f"{backup}/index"), layout.index)
+    if with_registry and exists(spark, f"{backup}/registry"):
+        write_version(spark.read.parquet(f"{backup}/registry"), layout.registry)
 
 
 def reset(spark: SparkSession, folders: list[str], root: str, yes: bool = False) -> list[str]:
-    """Deletes the folders under ``root``; without ``yes`` only names them."""
-    outside = [f for f in folders if not f.startswith(root.rstrip("/") + "/") or "/.." in f]
-    if outside:
+    """Empties the folders under ``root``; without ``yes`` only names them."""
+    if outside := [f for f in folders if not under(root, f)]:
         raise ValueError(f"outside {root}: {outside}")
-    if yes:
-        jvm = spark.sparkContext._jvm
-        for f in folders:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(path, True)
-            fs.mkdirs(path)
+    for f in folders if yes else ():
+        delete(spark, f)
+        fs, path = file_system(spark, f)
+        fs.mkdirs(path)
     return folders

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators.registry import normalize_registry
+from docspark.operators.chunking import document_stats, materialize_units
+from docspark.operators.registry import normalize_registry, stale_converted, to_hash
 from docspark.schemas import REGISTRY
+from docspark.storage import delete, read_version, write_version
 
 # What a scan takes, and what conversion makes of legacy formats.
 SUPPORTED = (".pdf", ".docx", ".pptx")
@@ -22,19 +25,56 @@ def _suffix(path):
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def scan_corpus(spark: SparkSession, roots: list[str], extensions: tuple[str, ...] = SUPPORTED) -> DataFrame:
-    """Files of all roots by path (the first root that has one wins): path, ext, length, modificationTime, content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.withColumn("ext", _suffix(F.col("path"))).where(F.col("ext").isin(*extensions) & ~name.startswith("~$")).dropDuplicates(["path"])
+#: Files that are read by name; of more, all files under the roots are read and the others' results dropped.
+PATHS = 10_000
 
 
-def file_facts(files: DataFrame) -> DataFrame:
-    """What reconcile reads of a scan."""
-    return files.select(
-        F.col("path").alias("canonical_path"), F.sha2("content", 256).alias("content_hash"), F.element_at(F.split("path", "/"), -1).alias("filename"), "ext", F.col("path").alias("origin_path"),
-        F.col("length").cast("string").alias("size_bytes"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified_time"),
-    )
+def list_files(spark: SparkSession, roots: list[str], extensions: tuple[str, ...] = SUPPORTED) -> DataFrame:
+    """Files of all roots, each path once: path, ext, filename, size_bytes, modified_time. No content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "length", "modificationTime")
+    rows = files.select("path", _suffix(F.col("path")).alias("ext"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").cast("string").alias("size_bytes"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified_time"))
+    return rows.where(F.col("ext").isin(*extensions)).dropDuplicates(["path"])
+
+
+def legacy_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files of legacy formats in order of path, without the lock files that editors leave."""
+    return list_files(spark, [root], tuple(LEGACY)).where(~F.col("filename").startswith("~$")).orderBy("path")
+
+
+def converted_path(source: Column, raw: str, converted: str) -> Column:
+    """The same place under ``converted``, with the modern suffix."""
+    rest = F.substring(source, len(raw.rstrip("/")) + 1, 1 << 30)
+    suffix = F.lower(F.regexp_extract(rest, r"(\.[^./]+)$", 1))
+    modern = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in LEGACY.items() for x in pair]), suffix), suffix)
+    return F.concat(F.lit(converted.rstrip("/")), F.regexp_replace(rest, r"\.[^./]+$", ""), modern)
+
+
+def read_files(spark: SparkSession, roots: list[str], wanted: DataFrame) -> DataFrame:
+    """(path, ext, content) of the ``wanted`` paths, or of all files of the roots if these are over PATHS; join what is made of it by path."""
+    few = wanted.select("path").limit(PATHS + 1).collect()
+    reader = spark.read.format("binaryFile")
+    if not few:
+        return spark.createDataFrame([], "path string, ext string, content binary")
+    files = reader.load([_escaped(r["path"]) for r in few]) if len(few) <= PATHS else reader.option("recursiveFileLookup", True).load(roots)
+    return files.select("path", _suffix(F.col("path")).alias("ext"), "content")
+
+
+def _escaped(path: str) -> str:
+    """A path with nothing that is a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def scan_corpus(spark: SparkSession, roots: list[str], registry: DataFrame, extensions: tuple[str, ...] = SUPPORTED) -> DataFrame:
+    """What ``reconcile`` reads of the files under the roots: canonical_path, content_hash, filename, ext, size_bytes, modified_time.
+
+    Only files that ``registry`` doesn't know with this size and time are read and hashed; content is in no shuffle.
+    """
+    listing = list_files(spark, roots, extensions).withColumnRenamed("path", "canonical_path")
+    fresh = to_hash(registry, listing).select(F.col("canonical_path").alias("path"))
+    hashes = read_files(spark, roots, fresh).select(F.col("path").alias("canonical_path"), F.sha2("content", 256).alias("content_hash"))
+    known = registry.where("canonical_path <> ''").groupBy("canonical_path").agg(F.max("content_hash").alias("_known"))
+    rows = listing.join(hashes, "canonical_path", "left").join(known, "canonical_path", "left")
+    return rows.withColumn("content_hash", F.coalesce("content_hash", "_known")).drop("_known")
 
 
 def read_pdf(content: bytes) -> list[dict]:
@@ -102,30 +142,49 @@ def extract_units(files: DataFrame, readers: dict[str, Callable[[bytes], list[di
     return files.select("path", "ext", "content").mapInPandas(run, f"path string, units array<{unit}>, error string")
 
 
-def write_snapshot(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Parquet; the commit protocol makes it appear whole or not at all."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+META = ("source_id", "origin_path", "canonical_path", "filename", "nature", "ext", "modified_time")
+
+
+def extracted_records(found: DataFrame) -> DataFrame:
+    """``found`` (META, units as read, error) to extracted records: source_id, text, units with offsets, stats, meta, error.
+
+    A document without text is an error of its row.
+    """
+    rows = found.withColumn("d", materialize_units(F.col("units")))
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.trim("d.text") == "", "empty extracted text")
+    return rows.select("source_id", F.col("d.text").alias("text"), F.col("d.units").alias("units"), document_stats(F.col("d.text"), F.col("d.units")).alias("stats"), F.struct(*META).alias("meta"), error.alias("error"))
 
 
 def read_registry(spark: SparkSession, path: str, must_exist: bool = False) -> DataFrame:
-    """Registry rows of a Parquet snapshot or CSV file; none if it doesn't exist, unless it must."""
+    """Registry rows of a versioned table or CSV file; none if it doesn't exist, unless it must."""
+    if not path.endswith(".csv"):
+        return normalize_registry(read_version(spark, path, None if must_exist else REGISTRY))
     try:
-        rows = spark.read.csv(path, header=True, multiLine=True, escape='"') if path.endswith(".csv") else spark.read.parquet(path)
+        return normalize_registry(spark.read.csv(path, header=True, multiLine=True, escape='"'))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) or must_exist:
             raise
         return spark.createDataFrame([], REGISTRY)
-    return normalize_registry(rows)
 
 
 def write_registry(rows: DataFrame, path: str) -> None:
+    """A new version, or a CSV file; ``rows`` may come from the version before."""
     rows = normalize_registry(rows)
-    rows.write.mode("overwrite").csv(path, header=True, escape='"') if path.endswith(".csv") else write_snapshot(rows, path)
+    if path.endswith(".csv"):
+        rows.write.mode("overwrite").csv(path, header=True, escape='"')
+    else:
+        write_version(rows, path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Blank lines are skipped; a line that is no JSON object fails with its content."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Objects of JSON lines. Blank lines and lines that hold something else than an object are left out; what is no JSON fails with its file and line."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where("trim(line) <> ''")
+    # a kind is null where the parser finds no JSON at all
+    kind = F.try_parse_json("line")
+    where = F.concat(F.lit("no JSON: "), "file", F.lit(":"), (F.col("n") + 1).cast("string"))
+    checked = F.when(kind.isNull(), F.raise_error(where)).otherwise(F.col("line"))
+    objects = lines.select(checked.alias("line")).where(F.ltrim("line").startswith("{"))
+    return objects.select(F.from_json("line", schema).alias("x")).select("x.*")
 
 
 def convert(source: str, destination: str, dry_run: bool = False, timeout: int = 180, run=subprocess.run) -> tuple[str, str]:
@@ -153,3 +212,31 @@ def convert(source: str, destination: str, dry_run: bool = False, timeout: int =
     if (path := os.path.join(folder, made[0])) != destination:
         os.replace(path, destination)
     return ("OK", "") if os.path.getsize(destination) else ("FAIL", "empty output")
+
+
+def run_conversion(spark: SparkSession, raw: str, converted: str, dry_run: bool = False, keep_stale: bool = False, limit: int = 0, force: bool = False, timeout: int = 180, run=subprocess.run) -> tuple[DataFrame, int]:
+    """((source, destination, status, detail) of each legacy file, number of stale converted files removed). Folders must be mounted where tasks run."""
+    plan = legacy_files(spark, raw).select(F.regexp_replace("path", "^file:/*", "/").alias("source"))
+    expected = plan = plan.withColumn("destination", converted_path(F.col("source"), raw, converted))
+    plan = plan.orderBy("source").limit(limit) if limit > 0 else plan
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        for pdf in frames:
+            rows = []
+            for source, destination in zip(pdf["source"], pdf["destination"]):
+                os.makedirs(os.path.dirname(destination), exist_ok=True)
+                if force and not dry_run and os.path.exists(destination):
+                    os.remove(destination)
+                rows.append((source, destination, *convert(source, destination, dry_run, timeout, run)))
+            yield pd.DataFrame(rows, columns=["source", "destination", "status", "detail"])
+
+    results = plan.repartition("source").mapInPandas(each, "source string, destination string, status string, detail string")
+    rows = spark.createDataFrame(results.toPandas(), "source string, destination string, status string, detail string")  # one row a legacy file
+    removed = 0
+    if not keep_stale:
+        there = list_files(spark, [converted], tuple(LEGACY.values())).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
+        for r in stale_converted(there, expected.select(F.col("destination").alias("path"))).toLocalIterator():
+            removed += dry_run or delete(spark, r["path"])
+    return rows, removed

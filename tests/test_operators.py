@@ -30,14 +30,13 @@ def test_units_and_offsets(spark):
 
 
 def units(*pairs):
-    return F.array(*[F.struct(F.lit("p").alias("unit_type"), F.lit(1).alias("unit_index"), F.lit(s).alias("start_char"), F.lit(e).alias("end_char")) for s, e in pairs])
+    return [{"unit_type": "p", "unit_index": 1, "start_char": s, "end_char": e} for s, e in pairs]
 
 
-def test_sanitize_and_boundaries(spark):
-    out = one(spark, chunking.sanitize_units(units((-5, 5), (6, 100)), F.lit(20)))
-    assert [(u["start_char"], u["end_char"]) for u in out] == [(0, 5), (6, 20)]
-    assert [u["unit_type"] for u in one(spark, chunking.sanitize_units(units((0, 15), (10, 25)), F.lit(30)))] == ["document"]
-    assert one(spark, chunking.boundaries(F.array(*map(F.lit, (5, 11, 17, 23))), units((0, 11), (12, 23)))) == [2]
+def test_sanitize_and_boundaries():
+    assert [(u["start_char"], u["end_char"]) for u in chunking.sanitize_units(units((-5, 5), (6, 100)), 20)] == [(0, 5), (6, 20)]
+    assert [u["unit_type"] for u in chunking.sanitize_units(units((0, 15), (10, 25)), 30)] == ["document"] == [u["unit_type"] for u in chunking.sanitize_units(None, 3)]
+    assert chunking.boundaries([5, 11, 17, 23], units((0, 11), (12, 23))) == [2]
 
 
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 1023, 1024, 1025, 40_000])
@@ -70,13 +69,12 @@ def greedy(n, bounds, w):
     return out
 
 
-def test_windows_against_greedy_loop(spark):
+def test_windows_against_greedy_loop():
     rng = np.random.default_rng(1)
     w = Window("leaf", 10, 20, 30, 5)
     cases = [(int(n), sorted({int(b) for b in rng.integers(1, max(2, n), rng.integers(0, 12))})) for n in rng.integers(0, 200, 60)] + [(0, []), (15, []), (50, []), (50, [18]), (50, [5, 45])]
-    df = spark.createDataFrame(cases, "n int, b array<int>").withColumn("w", chunking.windows(F.col("n"), F.col("b"), w))
-    for r in df.collect():
-        assert [tuple(x) for x in r["w"]] == greedy(r["n"], r["b"], w), (r["n"], r["b"])
+    for n, bounds in cases:
+        assert chunking.windows(n, bounds, w) == greedy(n, bounds, w), (n, bounds)
 
 
 def test_window_bounds():
@@ -99,12 +97,12 @@ def test_chunk_graph(spark):
     assert [r["next_id"] for r in rows[:-1]] == [r["chunk_id"] for r in rows[1:]] and rows[0]["prev_id"] == "" == rows[-1]["next_id"]
 
 
-def test_short_leaves_and_parents(spark):
-    rows = spark.createDataFrame([("s", f"c{i}", n, i, i + 1) for i, n in enumerate((5, 12, 8))], "source_id string, chunk_id string, token_count int, start_char int, end_char int")
-    assert [r["chunk_id"] for r in chunking.drop_short_leaves(rows, 20).collect()] == ["c1"]
-    leaf = spark.createDataFrame([("s", "l", 10, 50)], "source_id string, chunk_id string, start_char int, end_char int")
-    top = spark.createDataFrame([("s", "p1", 0, 30), ("s", "p2", 25, 100)], leaf.schema)
-    assert chunking.assign_parents(leaf, top).first()["parent_id"] == "p2"
+def test_short_leaves_and_parents():
+    rows = [{"chunk_id": f"c{i}", "token_count": n, "start_char": i, "end_char": i + 1} for i, n in enumerate((5, 12, 8))]
+    assert [r["chunk_id"] for r in chunking.drop_short_leaves(rows, 20)] == ["c1"] and len(chunking.drop_short_leaves(rows, 8)) == 2 and len(chunking.drop_short_leaves(rows, 0)) == 3
+    leaf = {"chunk_id": "l", "start_char": 10, "end_char": 50}
+    chunking.assign_parents([leaf], [{"chunk_id": "p1", "start_char": 0, "end_char": 30}, {"chunk_id": "p2", "start_char": 25, "end_char": 100}])
+    assert leaf["parent_id"] == "p2"
 
 
 def test_cosine(spark):
@@ -147,8 +145,8 @@ def test_answers(spark):
     context = spark.createDataFrame([(1, i, f"c{i}", "s", "seed") for i in (1, 2, 3)] + [(2, 1, "d", "s", "seed")], "qid int, rank int, chunk_id string, source_id string, origin string")
     rows = spark.createDataFrame([(1, "A [C3]  b [C9] , [C1]."), (2, "UNKNOWN"), (3, "x [C1]")], "qid int, answer string")
     got = {r["qid"]: r for r in answers.finish(rows, context).collect()}
-    assert got[1]["answer"] == "A [C1] b, [C2]." and [tuple(c) for c in got[1]["citations"]] == [("C1", "c3"), ("C2", "c1")]
-    assert got[2]["answer"] == got[3]["answer"] == answers.NO_SOURCE and got[2]["citations"] == [] and got[2]["used_chunks"] == ["d"]
+    assert got[1]["answer"] == "A [C1] b, [C2]." and [(c["label"], c["chunk_id"]) for c in got[1]["citations"]] == [("C1", "c3"), ("C2", "c1")]
+    assert got[2]["answer"] == got[3]["answer"] == answers.NO_SOURCE and got[2]["citations"] == [] and got[2]["used_chunks"] == [] and len(got[1]["used_chunks"]) == 3
 
 
 def test_index_diff(spark):
