@@ -5,6 +5,7 @@ All paths go through Hadoop's file systems, so driver and executors may share no
 
 from __future__ import annotations
 
+import re
 import tempfile
 import time
 import uuid
@@ -107,7 +108,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that ``spark.checkpoint.dir`` names; on a single machine, where that is unset, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/docspark-shared"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
