@@ -4,8 +4,10 @@ Texts are equal when identical after all ASCII white space is deleted. A stream
 keyed by the digest of that normalised text keeps, for each digest and without
 expiry, the row that stays (most code points in the original text, then the
 smallest identifier), the number of rows and the content's locator, in RocksDB
-state backed by the shared folder. A later run with the same ``state_dir`` sees
-only new rows and goes on from that state. Digests that were hit more than once
+state backed by the shared folder. Rows arrive in a table with their normalised text;
+the locator (run and row) names the content there. A later run with the same ``state_dir`` sees
+only new rows and goes on from that state; a run that is repeated under its name
+adds nothing. Digests that were hit more than once, by rows of any runs,
 are then checked on full normalised bytes; should a digest hold different texts
 (a SHA-256 collision), those rows are grouped by the bytes themselves.
 
@@ -16,9 +18,12 @@ identifier and a text one stays; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark import storage
 from docspark.llm.common import free_name, shared_dir
 
 #: Runs of hits whose digests are broadcast to filter the byte check; larger sets are checked by a shuffle of all texts.
@@ -43,10 +48,10 @@ def _stays() -> Column:
     return F.max_by(F.struct("n_chars", "id", "locator"), F.struct("n_chars", F.col("id").isNotNull(), F.bitwise_not("id"), F.bitwise_not("row")))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, run: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    out = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), normalized(text).alias("norm"), F.unhex(F.sha2(text, 256)).alias("raw"), F.length(text).alias("n_chars"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
-    return out.select("id", F.unhex(F.sha2("norm", 256)).alias("digest"), "n_chars", F.concat_ws("#", "file", "row").alias("locator"), "row", "raw", "norm")
+    out = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), normalized(text).alias("norm"), F.unhex(F.sha2(text, 256)).alias("raw"), F.length(text).alias("n_chars"), F.monotonically_increasing_id().alias("row"))
+    return out.select("id", F.unhex(F.sha2("norm", 256)).alias("digest"), "n_chars", F.concat_ws("#", F.lit(run), "row").alias("locator"), "row", "raw", "norm")
 
 
 def _with_confs(spark: SparkSession, confs: dict[str, str], run):
@@ -86,24 +91,34 @@ def update_state(spark: SparkSession, arrivals: str, schema, state_dir: str) ->
     return changes.groupBy("digest").agg(F.max_by(F.struct("keep", "n_rows"), "batch").alias("s")).select("digest", "s.keep", "s.n_rows")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> DataFrame:
-    """One row for each row of ``docs``: id, keep_id, group_size, kept, digest (hex), raw (the original text's digest), keep_locator (content of the row that stays)."""
+def contents(spark: SparkSession, state_dir: str, locators: DataFrame) -> DataFrame:
+    """(locator, norm): the normalised texts that ``locators`` (locator) name."""
+    return spark.read.schema("locator string, norm string").parquet(f"{state_dir}/arrivals/*").join(locators, "locator", "left_semi")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None, run: str | None = None) -> DataFrame:
+    """One row for each row of ``docs`` and of earlier runs on ``state_dir``: id, keep_id, group_size, kept, digest (hex), raw (the original text's digest), keep_locator (content of the row that stays).
+
+    ``run`` names the run (a fresh name if none is given).
+    """
     spark = docs.sparkSession
-    state_dir = state_dir or shared_dir(spark, "dedup-state")
-    rows = _rows(docs, id_col, text_col).drop("norm")
+    state_dir, run = state_dir or shared_dir(spark, "dedup-state"), run or uuid.uuid4().hex
     arrivals = f"{state_dir}/arrivals"
-    rows.write.mode("append").parquet(arrivals)
-    rows = spark.read.schema(rows.schema).parquet(arrivals)
-    state = update_state(spark, arrivals, rows.schema, state_dir)
+    rows = _rows(docs, id_col, text_col, run)
+    if not storage.exists(spark, f"{arrivals}/{run}/_SUCCESS"):  # else the run is repeated
+        rows.write.mode("overwrite").parquet(f"{arrivals}/{run}")
+    texts = spark.read.schema(rows.schema).parquet(f"{arrivals}/*")
+    rows = texts.drop("norm")
+    state = update_state(spark, f"{arrivals}/*", rows.schema, state_dir)
     state_path = shared_dir(spark, "dedup-table")
     state.write.parquet(state_path)
     state = spark.read.schema(state.schema).parquet(state_path)
-    bad = collisions(docs, state.where("n_rows > 1"), text_col)
+    bad = collisions(texts, state.where("n_rows > 1"))
     out = _columns(rows.join(state, "digest"))
     if bad.isEmpty():
         return out
     # different texts under one digest: their rows are grouped by the bytes instead
-    split = _rows(docs, id_col, text_col).join(bad, "digest", "left_semi")
+    split = texts.join(bad, "digest", "left_semi")
     groups = split.groupBy("digest", "norm").agg(_stays().alias("keep"), F.count(F.lit(1)).alias("n_rows"))
     exact = _columns(split.join(groups, ["digest", "norm"]))
     return out.join(bad.select(F.lower(F.hex("digest")).alias("digest")), "digest", "left_anti").unionByName(exact)
@@ -113,9 +128,9 @@ def _columns(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.col("keep.id").alias("keep_id"), F.col("n_rows").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept"), "raw", F.lower(F.hex("digest")).alias("digest"), F.col("keep.locator").alias("keep_locator"))
 
 
-def collisions(docs: DataFrame, hits: DataFrame, text_col: str) -> DataFrame:
-    """The digests of ``hits`` under which the full normalised bytes differ (none, but for a SHA-256 collision)."""
-    texts = docs.select(F.unhex(F.sha2(normalized(F.col(f"`{text_col}`")), 256)).alias("digest"), normalized(F.col(f"`{text_col}`")).alias("norm"))
+def collisions(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """The digests of ``hits`` under which the full normalised bytes of ``texts`` (digest, norm) differ (none, but for a SHA-256 collision)."""
+    texts = texts.select("digest", "norm")
     if hits.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
         texts = texts.join(F.broadcast(hits.select("digest")), "digest", "left_semi")  # at most 32 bytes times the bound
     return texts.distinct().groupBy("digest").count().where("count > 1").select("digest")
