@@ -90,6 +90,15 @@ def _mod97(m: Column) -> Column:
     return F.length(plain).between(15, 34) & (F.aggregate(F.split(turned, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(step(s, c))) == 1)
 
 
+def _iban(x: Column) -> Column:
+    """The proposal, or, as capital words may follow a number, its longest row of groups that passes."""
+    groups = F.split(x["value"], " ")
+    tried = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, 1, k), " "))
+    value = F.coalesce(F.try_element_at(F.filter(tried, _mod97), F.lit(1)), x["value"])
+    rest = F.substring(x["value"], F.length(value) + 1, F.lit(1 << 30))
+    return F.struct(value.alias("value"), x["start"].alias("start"), x["before"].alias("before"), F.concat(rest, x["after"]).alias("after"))
+
+
 CONFIRM = {"email": lambda m: F.lit(True), "ip": _ip, "card": _luhn, "phone": _phone, "iban": _mod97, "ssn": lambda m: ~m.rlike("^(?:000|666|9)|-00-|0000$")}
 
 
@@ -124,6 +133,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataF
         df = df.withColumn(n, F.when(F.size(m) > 0, steps).otherwise(F.array().cast("array<bigint>")))
         df = _with_running(df, n, tmp + "s", tmp)
         rows = F.arrays_zip(F.col(m).alias("value"), F.col(tmp + "s").alias("start"), F.slice(g, 1, F.size(m)).alias("before"), F.slice(g, 2, F.size(m)).alias("after"))
+        rows = F.transform(rows, _iban) if kind.name == "iban" else rows
         spans = F.transform(F.filter(rows, _confirmed(kind)), _scored(kind))
         df = df.withColumn(names[kind.name], spans if kind.base else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE))
         df = df.drop(m, g, n, tmp + "s")
