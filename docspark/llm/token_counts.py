@@ -2,8 +2,9 @@
 
 A text's normalised content and the tokenizer's file each have a digest; the pair
 is the key of a stored count. Only distinct texts that the cache misses are encoded,
-and their counts are appended to it. Normalising folds runs of ASCII white space,
-which the tokenizer folds too, so it changes no count.
+and their counts are appended to it. Where the tokenizer's file says that it folds
+white space (FOLDING), normalising folds runs of ASCII white space too, which changes no count;
+texts for other tokenizers are keyed as they are and given to the library whole.
 
 Within a miss, counting goes by distinct words: a tokenizer of this kind cuts a
 text into words first and merges inside each, so a text's count is the sum of its
@@ -19,6 +20,7 @@ not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from functools import lru_cache
 
@@ -35,6 +37,15 @@ PLAIN = "\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ſ"
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
 DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACES = "\t\n\x0b\x0c\r\x20"
+#: The normaliser and word cutter of a tokenizer file for which folding and counting by words hold.
+FOLDING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _ODD = re.compile(f"[^{PLAIN}]|<\\|")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
 
@@ -91,10 +102,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         data = f.read()
     version = hashlib.sha256(data).hexdigest()
     sent = spark.sparkContext.broadcast(data.decode())  # of the tokenizer's fixed size
+    spec = json.loads(data)
+    folds = spec["normalizer"] == FOLDING
+    by_words = by_words and folds and spec["pre_tokenizer"] == CUTTING and all(t["content"].startswith("<|") for t in spec["added_tokens"])
     cache_dir = cache_dir or shared_dir(spark, "token-counts")
     schema = "text_digest binary, n_tokens bigint, tokenizer string"
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    folded = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
+    folded = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ") if folds else text
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), folded.alias("folded"))
     rows = rows.withColumn("text_digest", F.unhex(F.sha2("folded", 256)))
     misses = rows.select("text_digest", "folded")
