@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark import storage
+
 #: The white space that the exact operators delete or split at.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 #: Bins of a histogram that comes to the driver.
@@ -24,16 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) a temporary folder of this machine takes its place.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    everything runs on one machine (as in tests) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/docspark-shared"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = storage.shared_dir(spark, label)
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes what was written to the shared folder inside, but for the paths that are taken out of the list it gives."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            storage.delete(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -66,7 +82,17 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
         finally:
             _give_back()
 
-    return df.mapInArrow(released, schema)
+    if not any("." in c for c in df.columns):
+        return df.mapInArrow(released, schema)
+    # mapInArrow takes a dot in a name for a field's: places stand for names on the way
+    names, kind = df.columns, schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+
+    def renamed(batches):
+        for batch in released(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" for i in range(batch.num_columns)])
+
+    places = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kind.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, places).toDF(*kind.names)
 
 
 def _give_back() -> None:

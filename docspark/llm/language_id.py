@@ -145,7 +145,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counted = words.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
     top = lambda df, most: most_frequent(df.groupBy("token").agg(F.sum("n").alias("n"), *each), "n", most).collect()
     marked = F.concat(F.lit("^"), "token", F.lit("$"))
-    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - k + 1, F.lit(1))), lambda i: F.substring(marked, i, F.lit(k)))
+    cut = lambda k: F.transform(F.slice(F.sequence(F.lit(1), F.length(marked)), 1, F.greatest(F.length(marked) - k + 1, F.lit(0))), lambda i: F.substring(marked, i, F.lit(k)))
     grams = counted.select("lang", F.explode(F.flatten(F.array(*[cut(k) for k in range(1, MAX_GRAM + 1)]))).alias("token"), "n").groupBy("lang", "token").agg(F.sum("n").alias("n"))
     words, grams = top(counted, max_words), top(grams, max_grams)
     learned = [i for i in range(len(langs)) if any(r[f"n{i}"] for r in words) or any(r[f"n{i}"] for r in grams)]

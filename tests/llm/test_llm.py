@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docspark.llm import bpe, decontamination, queries, simhash, suffix_dedup
@@ -266,6 +267,146 @@ def test_dedup_state_goes_on(spark, tmp_path):
     assert got == {5: (9, 3), 3: (9, 3), 9: (9, 3), 6: (6, 1)}
 
 
+def test_a_repeated_run_adds_nothing_and_hits_across_runs_are_checked_on_bytes(spark, tmp_path, monkeypatch):
+    from docspark.llm import exact_dedup
+
+    make = lambda *rows: spark.createDataFrame(list(rows), "doc_id bigint, text string")
+    show = lambda df: sorted((r["id"], r["keep_id"], r["group_size"]) for r in df.collect())
+    state, first = str(tmp_path / "state"), make((1, "a b"), (2, "ab"), (3, "z"))
+    once = show(exact_dedup.deduplicate(first, state_dir=state, run="one"))
+    assert once == show(exact_dedup.deduplicate(first, state_dir=state, run="one")) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+    found = exact_dedup.deduplicate(make((9, "a  b")), state_dir=state, run="two")
+    assert show(found) == [(1, 9, 3), (2, 9, 3), (3, 3, 1), (9, 9, 3)]
+    texts = exact_dedup.contents(spark, state, found.select(F.col("keep_locator").alias("locator")).distinct())
+    assert sorted(r["norm"] for r in texts.collect()) == ["ab", "z"]
+    # a digest that tells nothing apart: rows of both runs are grouped by their bytes
+    rows = exact_dedup._rows
+    monkeypatch.setattr(exact_dedup, "_rows", lambda *a: rows(*a).withColumn("digest", F.lit(b"same")))
+    other = str(tmp_path / "other")
+    exact_dedup.deduplicate(first, state_dir=other, run="one").collect()
+    assert show(exact_dedup.deduplicate(make((9, "a  b")), state_dir=other, run="two")) == [(1, 9, 3), (2, 9, 3), (3, 3, 1), (9, 9, 3)]
+
+
+def test_token_cache_is_asked_first_and_grows_by_misses(spark, tmp_path):
+    from docspark.llm.token_counts import count_tokens
+
+    path, cache = public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "cache")
+    count = lambda *texts, file=path: {r["doc_id"]: r["n_tokens"] for r in count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), file, cache_dir=cache).collect()}
+    assert count("two  words", "one", "two words") == {0: 2, 1: 1, 2: 2}
+    stored = spark.read.parquet(cache)
+    assert stored.count() == 2
+    stored.withColumn("n_tokens", F.col("n_tokens") + 100).write.partitionBy("tokenizer").parquet(f"{cache}-wrong")
+    assert count("one", "three new words") == {0: 1, 1: 3} and spark.read.parquet(cache).count() == 3
+    cache = f"{cache}-wrong"  # counts that only a cache can give
+    assert count("two words", "three new words") == {0: 102, 1: 3}
+    # another tokenizer folds nothing and has keys of its own
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(other)
+    texts = ["A  b", "a b", "x <|endoftext|> \n\n y"]
+    assert count(*texts, file=other) == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_iban_before_capital_words(spark):
+    from docspark.llm.pii import find_pii
+
+    texts = ["pay BE68 5390 0754 7034 THIS WEEK", "IBAN DE89 3704 0044 0532 0130 00 AND MORE", "BE68 5390 0754 7035 THIS"]
+    got = find_pii(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [[s["value"] for s in r["pii"] if s["kind"] == "iban"] for r in got] == [["BE68 5390 0754 7034"], ["DE89 3704 0044 0532 0130 00"], []]
+
+
+def test_columns_of_any_name_pass(spark):
+    """Dots, and names that operators use themselves."""
+    from docspark.llm import language_id, pii, secret_scan
+
+    names = ["doc_id", "text", "a.b", "pii", "secrets", "language", "ids", "contamination", "decoded"]
+    docs = spark.createDataFrame([(i, t, *["x"] * 7) for i, t in enumerate(TEXTS[:6])]).toDF(*names)
+    bench = spark.createDataFrame(BENCH, "item_id bigint, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    none = language_id.train(docs.withColumn("lang", F.lit(None).cast("string")))
+    for out in (pii.find_pii(docs), secret_scan.scan_secrets(docs), language_id.identify(docs, none), decontamination.find_contamination(docs, bench), bpe.encode(docs, path), bpe.round_trip(docs, path)):
+        assert out.columns[:9] == names and len(out.columns) == 10 and {r[2] for r in out.collect()} == {"x"}
+    assert bpe.decode(bpe.encode(docs, path), path, "ids_").columns[9:] == ["ids_", "decoded_"]
+    assert decontamination.remove_contamination(docs, bench).columns == names
+
+
+def test_pipeline_of_no_rows_and_of_null_and_repeated_identifiers(spark, tmp_path):
+    import corpus_pipeline
+
+    words = " ".join(f"word{i}" for i in range(30))
+    kinds = "doc_id bigint, text string, lang string, source string, `x.y` string"
+    for name, rows in (("none", []), ("some", [(None, words, "en", None, "a"), (7, words + " more", "en", "s", None), (7, words + " more", "en", "s", None), (None, None, None, None, None), (8, None, "en", None, None)])):
+        data = str(tmp_path / name)
+        spark.createDataFrame(rows, kinds).write.parquet(f"{data}/documents.parquet")
+        spark.createDataFrame(BENCH, "item_id bigint, text string").write.parquet(f"{data}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    got = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert sorted((str(r["doc_id"]), r["lossless"]) for r in got) == [("7", True), ("None", True)]
+
+
+def test_shards_hold_equal_texts_together_and_near_equal_bytes(spark):
+    """Against the inputs' own figures: sizes, checksums, slots, copies, balance."""
+    from docspark.llm.sharding import kd_shards
+
+    rng = np.random.default_rng(11)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, n))) for n in rng.integers(1, 400, 3000)]
+    texts += [texts[int(i)] for i in rng.integers(0, 300, 600)]
+    got = {r["doc_id"]: r for r in kd_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), 24).collect()}
+    shards, places, load = defaultdict(set), defaultdict(set), Counter()
+    for i, t in enumerate(texts):
+        r, data = got[i], t.encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 8, zlib.crc32(data))
+        shards[t].add(r["shard"])
+        places[r["shard"]].add(r["slot"])
+        load[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in shards.values()) and sorted(places) == list(range(24)) and all(p == set(range(len(p))) for p in places.values())
+    mean = sum(load.values()) / 24
+    assert max(load.values()) < 1.1 * mean and min(load.values()) > 0.9 * mean
+
+
+def brute_language(train, text, most=5):
+    """The scores as defined: word counts, then n-grams from long to short, smoothed, centred, averaged."""
+    import math
+
+    langs = sorted({lang for _, lang in train})
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for t, lang in train:
+        for w in re.findall(r"[^\W\d_]{1,64}", t.lower()):
+            words[w][lang] += 1
+            m = f"^{w}$"
+            for n in range(1, most + 1):
+                for i in range(len(m) - n + 1):
+                    grams[m[i : i + n]][lang] += 1
+
+    def logs(table):
+        total = {x: sum(c[x] for c in table.values()) + 0.5 * len(table) for x in langs}
+        out = {k: [math.log((c[x] + 0.5) / total[x]) for x in langs] for k, c in table.items()}
+        return {k: [v - sum(row) / len(row) for v in row] for k, row in out.items()}
+
+    known, parts, total, count = logs(words), logs(grams), [0.0] * len(langs), 0
+    for w in re.findall(r"[^\W\d_]{1,64}", text.lower()):
+        row, m = known.get(w), f"^{w}$"
+        for step, n in enumerate(range(most, 0, -1)):
+            if row is None and (found := [parts[m[i : i + n]] for i in range(len(m) - n + 1) if m[i : i + n] in parts]):
+                row = [sum(x) * 0.8 ** (step + 1) / len(found) for x in zip(*found)]
+        total, count = [a + b for a, b in zip(total, row or [0.0] * len(langs))], count + 1
+    odds = [math.exp((x - max(total)) / count * min(count, 40)) for x in total]
+    return langs[total.index(max(total))], max(odds) / sum(odds)
+
+
+def test_language_against_brute_force(spark):
+    from docspark.llm import language_id
+
+    rng = np.random.default_rng(2)
+    speak = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(n))
+    train = [(speak("abcdefgh", 30), "aa") for _ in range(20)] + [(speak("efghijkl", 20), "bb") for _ in range(15)] + [(speak("aeioué", 10), "cc") for _ in range(5)]
+    asked = [speak(letters, n) for letters in ("abcdefgh", "efghijkl", "aeioué", "abcijkl", "xyz") for n in (1, 3, 40)]
+    model = language_id.train(spark.createDataFrame([(i, *r) for i, r in enumerate(train)], "doc_id int, text string, lang string"))
+    got = language_id.identify(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id int, text string"), model).collect()
+    for r in got:
+        lang, score = brute_language(train, asked[r["doc_id"]])
+        assert abs(r["language"]["score"] - score) < 1e-3 and (r["language"]["lang"] == lang or abs(score - 1 / 3) < 1e-3)
+
+
 def brute_shingles(t):
     words = t.encode().lower().split()
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
