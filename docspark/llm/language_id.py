@@ -75,7 +75,7 @@ class Scorer(dict):
         super().__init__()
         self.langs = model.langs
         self.words, self.grams = ({t: i for i, t in enumerate(logs.tokens)} for logs in model[1:])
-        self.word_rows, self.gram_rows = model.words.rows, model.grams.rows
+        self.word_rows, self.gram_rows = model.words.rows, list(map(tuple, model.grams.rows.tolist()))
         self.rows = np.zeros((MEMO, len(model.langs)), np.float32)
 
     def __missing__(self, word: str) -> int:
@@ -84,13 +84,14 @@ class Scorer(dict):
         self.rows[at] = self._backoff(word) if known is None else self.word_rows[known]
         return at
 
-    def _backoff(self, word: str) -> np.ndarray | float:
+    def _backoff(self, word: str) -> list[float] | float:
         marked = f"^{word}$"
         find = self.grams.get
         for step, n in enumerate(range(MAX_GRAM, 0, -1)):
             found = [g for i in range(len(marked) - n + 1) if (g := find(marked[i : i + n])) is not None]
             if found:
-                return self.gram_rows[found].sum(axis=0) * (BACKOFF ** (step + 1) / len(found))
+                weight, rows = BACKOFF ** (step + 1) / len(found), self.gram_rows
+                return [sum(x) * weight for x in zip(*[rows[i] for i in found])]
         return 0.0
 
     def guess(self, text: str | None) -> tuple[str, float]:
