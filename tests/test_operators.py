@@ -193,13 +193,15 @@ def test_sections_of_paragraphs():
 
 
 def test_streaming_ingest(spark, tmp_path):
-    from docspark.streaming.ingest import ingest
+    from docspark.streaming.ingest import current, ingest
 
     schema = "source_id string, text string, units array<struct<unit_type:string,unit_index:int,start_char:int,end_char:int>>"
-    for i in range(2):
-        spark.createDataFrame([(f"s{i}", "some words here", [])], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    for rows in ([("s0", "some words here", [])], [("s1", "other words", []), ("s2", "to go", [])], [("s0", "changed words", []), ("s2", " ", None)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
         ingest(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).where("level = 'leaf'").count() == 2
+    leaves = {r["source_id"]: r["text"] for r in current(spark, str(tmp_path / "out")).where("level = 'leaf'").collect()}
+    assert leaves == {"s0": "changed words", "s1": "other words"}
+    assert {r["source_id"]: len(r["embedding"]) for r in current(spark, str(tmp_path / "out"), "vectors").collect()} == {"s0": 64, "s1": 64}
 
 
 @pytest.mark.parametrize(("raw", "name"), [("page", "Page"), (" SLIDE ", "Slide"), ("section ", "section"), (None, "")])
