@@ -19,6 +19,12 @@ def normalize(text: Column) -> Column:
     return reduce(lambda c, s: F.regexp_replace(c, F.lit(s[0]), F.lit(s[1])), steps, text)
 
 
+def normalize_line(text: Column) -> Column:
+    """``normalize`` of a text that is mostly clean: one look tells whether any of its steps has something to do."""
+    untidy = r"[\x00-\x08\x0B-\x1F\x7F\xA0]|(?U:^\s|\s$|\s\n|\n\s)"
+    return F.when(text.rlike(untidy), normalize(text)).otherwise(text)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

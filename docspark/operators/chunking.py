@@ -26,7 +26,7 @@ OUT_ROWS = 4096
 
 def materialize_units(units: Column) -> Column:
     """Raw units (unit_type, unit_index, text) to (text, units with offsets): blank ones dropped, joined by a blank line."""
-    clean = F.filter(F.transform(units, lambda u: F.struct(u["unit_type"].alias("unit_type"), u["unit_index"].cast("int").alias("unit_index"), X.normalize(u["text"]).alias("text"))), lambda u: F.length(u["text"]) > 0)
+    clean = F.filter(F.transform(units, lambda u: F.struct(u["unit_type"].alias("unit_type"), u["unit_index"].cast("int").alias("unit_index"), X.normalize_line(u["text"]).alias("text"))), lambda u: F.length(u["text"]) > 0)
 
     def placed(c: Column) -> Column:
         ends = X.running_sums(F.transform(c, lambda u: F.length(u["text"]) + len(SEPARATOR)))

@@ -23,6 +23,12 @@ def test_normalize(spark):
     assert one(spark, X.normalize(F.lit(raw))) == "Line 1\n\nLine 2\nText with nbsps .\n\nLine 3"
 
 
+@pytest.mark.parametrize("raw", ["", "a b", " a", "a\u2003", "a\u00a0b", "a\r\nb", "a \nb", "a\n\tb", "a\n\n\n\nb", "a\x85", "\x1fa", "a\n", "a  b\nc", None])
+def test_lines_are_normalized_alike(spark, raw):
+    text = F.lit(raw).cast("string")
+    assert one(spark, X.normalize_line(text)) == one(spark, X.normalize(text))
+
+
 def test_units_and_offsets(spark):
     units = F.array(*[F.struct(F.lit("page").alias("unit_type"), F.lit(i).alias("unit_index"), F.lit(t).alias("text")) for i, t in enumerate(("First page text", "   ", "Third page text"))])
     out = one(spark, chunking.materialize_units(units))
