@@ -12,7 +12,9 @@ All buckets go this way, small ones many to a tile. A bucket gives a spanning
 forest of its links, not the pairs, and the forests of all buckets make the components.
 
 Buckets hold distinct fingerprints only: a group of copies, however large, is one
-row. Memory in a bucket is a few bytes a node plus one tile of pairs.
+row. A bucket of more than BLOCK nodes is dealt by a hash of the node into blocks, and each
+pair of blocks is a task's bucket of its own (a node goes to as many as there are
+blocks), so memory and time of a task are bounded: a few bytes for each node of two blocks plus one tile of pairs.
 
 Defined results: a null text counts as empty; a text without words has fingerprint
 zero and links like any other; shorter texts than a shingle are one shingle; rows
@@ -36,6 +38,8 @@ from docspark.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 TILE = 256
+#: Nodes of a bucket that one task compares with each other; larger ones go in pairs of blocks.
+BLOCK = 1 << 16
 
 
 def _lowered_words(text: bytes) -> list[bytes]:
@@ -109,34 +113,39 @@ class Trees:
         self.members[x] = own
 
 
-def near_rows(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None):
+def near_rows(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None, side: np.ndarray | None = None):
     """Places of ``fps`` with those within ``radius`` of them in the same bucket: (place, other places), each pair once.
 
+    In the bucket of a pair of blocks ``side`` is the block, and only places of different sides are compared; elsewhere it is -1.
+
     Tiles of TILE in order of bucket and population count are compared with exclusive-or and
     bit counts; tile pairs of other buckets, or whose population counts differ beyond the radius, are skipped.
     Memory is one tile of bits.
     """
     ones = np.bitwise_count(fps).astype(np.int64)
     bucket = np.zeros(len(fps), np.int64) if bucket is None else bucket
+    side = np.full(len(fps), -1) if side is None else side
     order = np.lexsort((ones, bucket))
-    fps, ones, bucket = fps[order], ones[order], bucket[order]
+    fps, ones, bucket, side = fps[order], ones[order], bucket[order], side[order]
     for i in range(0, len(fps), TILE):
         rows, of = fps[i : i + TILE], bucket[i : i + TILE]
-        last = i + len(rows) - 1
+        last, own = i + len(rows) - 1, side[i : i + TILE]
         for j in range(i, len(fps), TILE):
             if j > i and (bucket[j] != bucket[last] or ones[j] - ones[last] > radius):
                 break  # later tiles lie further off still
             near = (np.bitwise_count(rows[:, None] ^ fps[None, j : j + TILE]) <= radius) & (of[:, None] == bucket[None, j : j + TILE])
             if i == j:
                 near = np.triu(near, 1)
+            if (own >= 0).any():
+                near &= (own[:, None] != side[None, j : j + TILE]) | (own < 0)[:, None]
             for a in np.flatnonzero(near.any(axis=1)).tolist():
                 yield int(order[i + a]), order[np.flatnonzero(near[a]) + j]
 
 
-def tile_links(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None) -> list[tuple[int, int]]:
+def tile_links(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between ``fps``. A row looks only at those of its neighbours that are not yet of its tree."""
     trees, links = Trees(len(fps)), []
-    for a, others in near_rows(fps, radius, bucket):
+    for a, others in near_rows(fps, radius, bucket, side):
         while len(others := others[trees.of[others] != trees.of[a]]):
             links.append((a, int(others[0])))
             trees.join(a, int(others[0]))
@@ -144,41 +153,58 @@ def tile_links(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None) -
 
 
 def _bucket_links(batches, radius: int):
-    """From rows sorted by (mask, key) to links between the nodes of a bucket. Buckets may span Arrow batches."""
+    """From rows sorted by (mask, key, pair) to links between the nodes of a bucket. Buckets may span Arrow batches."""
     rest: pa.Table | None = None
 
-    def flush(mask, key, fp, node):
+    def flush(mask, key, pair, side, fp, node):
         """Whole buckets, as arrays in order."""
-        bucket = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))])
+        bucket = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))])
         several = (np.bincount(bucket) > 1)[bucket]  # a node alone has none to compare with
         if several.any():
-            links = np.array(tile_links(fp[several], radius, bucket[several]), np.int64).reshape(-1, 2)
+            links = np.array(tile_links(fp[several], radius, bucket[several], side[several]), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(node[several][links[:, k]]) for k in (0, 1)], ["a", "b"])
 
     def arrays(t: pa.Table):
-        return [t.column(c).to_numpy().astype(np.int64) for c in ("mask", "key")] + [t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()]
+        return [t.column(c).to_numpy().astype(np.int64) for c in ("mask", "key", "pair", "side")] + [t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()]
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = pa.concat_tables([rest, t]) if rest is not None and len(rest) else t
         if not len(t):
             continue
-        mask, key, fp, node = arrays(t.combine_chunks())
-        open_bucket = np.flatnonzero((mask != mask[-1]) | (key != key[-1]))
+        columns = arrays(t.combine_chunks())
+        mask, key, pair = columns[:3]
+        open_bucket = np.flatnonzero((mask != mask[-1]) | (key != key[-1]) | (pair != pair[-1]))
         cut = int(open_bucket[-1]) + 1 if len(open_bucket) else 0
         if cut:
-            yield from flush(mask[:cut], key[:cut], fp[:cut], node[:cut])
+            yield from flush(*(c[:cut] for c in columns))
         rest = t.slice(cut)
     if rest is not None and len(rest):
         yield from flush(*arrays(rest.combine_chunks()))
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def block_pairs_of(rows: DataFrame, group: list[str], id_col: str, hot: DataFrame) -> DataFrame:
+    """``rows`` once for each pair of blocks they take part in, with ``pair`` and ``side`` (see near_rows).
+
+    ``hot`` has ``group`` and ``blocks``, the number of blocks of a large group; groups that it lacks are one block.
+    It is a written table, so that Spark knows its size and broadcasts it only where that is small.
+    """
+    blocks = F.coalesce("blocks", F.lit(1)).cast("bigint")
+    own = rows.join(hot, group, "left").withColumn("block", F.pmod(F.xxhash64(id_col), blocks))
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    pair = F.shiftleft(F.least("block", "other"), 31) + F.greatest("block", "other")
+    side = F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).cast("bigint")
+    return both.select(*rows.columns, pair.alias("pair"), side.alias("side"))
+
+
+def near_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``nodes`` (fp, node), fingerprints distinct, to links (a, b) that connect what is within the radius."""
     masks = block_pairs(radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = nodes.select("fp", "node", F.posexplode(F.array(*[F.lit(m).cast("bigint").bitwiseAND(F.col("fp")) for m in signed])).alias("mask", "key"))
-    dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key")
+    counts = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    hot = materialize(counts.select("mask", "key", F.ceil(F.col("n") / block).alias("blocks")), "large-buckets")
+    dealt = block_pairs_of(keyed, ["mask", "key"], "fp", hot).repartition("mask", "key", "pair").sortWithinPartitions("mask", "key", "pair")
     return arrow_map(dealt, lambda batches: _bucket_links(batches, radius), "a bigint, b bigint")
 
 
