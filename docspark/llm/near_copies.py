@@ -1,15 +1,15 @@
 """SimHash near-duplicates at a similarity of word shingles: tiles of fingerprints propose, the shingles decide.
 
-At a similarity of 0.8 fingerprints of 64 bits lie ten bits apart on average and RADIUS at most, which no exact split of
-the bits into blocks finds and of which all pairs of a corpus can't be compared. So texts are dealt by MinHash keys first,
-and fingerprints are compared tile by tile (simhash.near_rows) among those that keys connect.
-
 A text is the set of its shingles of five words (XXH64; lowered and split as for SimHash). Two texts are linked if
-their sets share LEAST or more of what they have together. Each set gets BANDS keys of WIDTH minima; sets that share a
-key are linked to the smallest document of that key, and the components of these links are candidates: a pair of
-similarity s is missed with a chance of at most (1 - s ** WIDTH) ** BANDS, about 6e-5 at 0.8. In each candidate component
-pairs of fingerprints (majority of the set's hashes) within RADIUS are counted exactly; that loses a pair of 0.8 with a chance of
-about 1e-6, as a bit differs with 0.19 at most (sets of four and five). A component gives a spanning forest of its links, not the pairs.
+their sets share LEAST or more of what they have together. At a similarity of 0.8 a bit of two fingerprints differs with a chance of
+0.15 (0.19 for sets of four and five, 0.161 at most for others), so 64 bits lie ten apart on average: no exact split of so few into
+blocks finds them. So fingerprints are WORDS words wide, each the majority of the set's hashes, mixed anew for each word after the first, and
+their bits are cut into keys of KEY bits (64 keys, 93 for sets of SMALL shingles and less). Sets that agree on a key are in one bucket, and buckets
+are compared tile by tile (simhash.bucket_links): RADIUS bits of the first word, then WIDE bits of the next MORE words. A pair of 0.8
+agrees on no key with a chance of (1 - 0.85 ** 11) ** 64, about 1e-5 (5e-5 at most, as for sets of four and five or of 15); the radii lose
+1e-5 of sets of four and five, 1e-7 of others. Sets that have nothing in common pass the radii with a chance of 2e-8.
+
+The components of these links are candidates. In each, pairs whose first words are within RADIUS are counted exactly. A component gives a spanning forest of its links, not the pairs.
 
 Equal sets are one node. A candidate component of more than BLOCK shingles is dealt by a hash of the document into blocks, and
 each pair of blocks is compared by itself, so a task holds the shingle hashes of two blocks at most (one text may be longer).
@@ -29,16 +29,19 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import arrow_map, materialize
 from docspark.llm.components import components
-from docspark.llm.simhash import Trees, block_pairs_of, majority, near_rows, shingle_hashes
+from docspark.llm.simhash import BLOCK as BUCKET
+from docspark.llm.simhash import Trees, block_pairs_of, bucket_links, majority, near_rows, shingle_hashes
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, WIDTH = 32, 6
-#: Bits that fingerprints of near copies differ in at most.
-RADIUS = 28
+#: Words of a fingerprint and bits of a key; sets of SMALL shingles and less have fingerprints of SMALL_WORDS.
+WORDS, KEY = 11, 11
+SMALL, SMALL_WORDS = 5, 16
+#: Bits that near copies differ in at most: of the first word, and of the MORE words after it.
+RADIUS, MORE, WIDE = 28, 3, 60
 #: Shingles of a candidate component that one task compares with each other; larger ones go in pairs of blocks.
 BLOCK = 1 << 21
-_RNG = np.random.default_rng(42)
-_XOR, _TIMES, _MIX = (_RNG.integers(0, 1 << 63, BANDS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
+_WORD_COLUMNS = ["fp", *(f"fp{k}" for k in range(1, 1 + MORE))]
+_STEPS = np.arange(SMALL_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -47,12 +50,30 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 2048):  # a long text in pieces
-        part = hashes[i : i + 2048]
-        np.minimum(least, ((part[None, :] ^ _XOR[:, None]) * _TIMES[:, None]).min(axis=1), out=least)
-    return ((least ^ (least >> np.uint64(29))) * _MIX).reshape(BANDS, WIDTH).sum(axis=1, dtype=np.uint64)
+def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A row of ``words`` hashes for each hash, itself the first; the others are steps of splitmix64 from it."""
+    x = hashes[:, None] + _STEPS[:words]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x[:, 0] = hashes
+    return x
+
+
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
+    """The bits of the fingerprint, 64 for each word: the first word is majority(hashes)."""
+    words = SMALL_WORDS if len(hashes) <= SMALL else WORDS
+    counts = np.zeros(64 * words, np.int64)
+    for i in range(0, len(hashes), 255):  # as many as a byte counts
+        part = _mixed(hashes[i : i + 255], words).astype("<u8")
+        counts += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return 2 * counts > len(hashes)
+
+
+def bit_keys(bits: np.ndarray) -> np.ndarray:
+    """The keys of a fingerprint, in order; bits left over are in none."""
+    n = len(bits) // KEY
+    return (bits[: n * KEY].reshape(n, KEY) @ (1 << np.arange(KEY))).astype(np.int32)
 
 
 def exact_links(ids: list[int], sets: list[np.ndarray], least: float = LEAST, sides: list[int] | None = None) -> list[tuple[int, int]]:
@@ -82,17 +103,29 @@ def exact_links(ids: list[int], sets: list[np.ndarray], least: float = LEAST, si
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            digests, keys, sizes = [], [], []
+            digests, keys, words, sizes = [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_set(t.as_py(), shingle)
+                bits = wide_bits(hashes)
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                keys.append(band_keys(hashes).view(np.int64))
+                keys.append(bit_keys(bits))
+                words.append(np.packbits(bits[: 64 * (1 + MORE)], bitorder="little").view("<i8"))
                 sizes.append(len(hashes))
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), lists, pa.array(sizes, pa.int64())], ["doc_id", "digest", "keys", "size"])
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int32)))
+            columns = np.array(words, np.int64).reshape(-1, 1 + MORE)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), lists, *(pa.array(columns[:, k]) for k in range(1 + MORE)), pa.array(sizes, pa.int64())],
+                ["doc_id", "digest", "keys", *_WORD_COLUMNS, "size"],
+            )
+
+    return arrow_map(docs, run, f"doc_id bigint, digest binary, keys array<int>, {', '.join(f'{c} bigint' for c in _WORD_COLUMNS)}, size bigint")
+
 
-    return arrow_map(docs, run, "doc_id bigint, digest binary, keys array<bigint>, size bigint")
+def candidate_links(nodes: DataFrame, block: int = BUCKET) -> DataFrame:
+    """``nodes`` (node, keys, words of the fingerprint) to links (a, b) that connect the candidates."""
+    keyed = nodes.select("node", *_WORD_COLUMNS, F.posexplode("keys").alias("mask", "key"))
+    return bucket_links(keyed, "node", RADIUS, block, tuple(_WORD_COLUMNS[1:]), WIDE)
 
 
 def _compare(batches, shingle: int, least: float):
@@ -125,10 +158,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of ``docs`` with an identifier: doc_id, component_id (the smallest doc_id reachable)."""
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id IS NOT NULL")
     rows = materialize(_signatures(docs, shingle), "shingle-signatures")
-    nodes = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size")), "shingle-nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub <> far").select("key", "hub")
-    candidates = components(keyed.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    nodes = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("keys", *_WORD_COLUMNS, "size"))), "shingle-nodes")
+    candidates = components(candidate_links(nodes))
     sizes = candidates.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.ceil(F.sum("size") / block).alias("blocks"))
     dealt = block_pairs_of(candidates, ["component"], "node", materialize(sizes.where("blocks > 1"), "large-candidates"))
     dealt = docs.join(dealt, docs["doc_id"] == dealt["node"]).select("component", "pair", "side", "doc_id", "text")

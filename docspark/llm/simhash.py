@@ -113,59 +113,67 @@ class Trees:
         self.members[x] = own
 
 
-def near_rows(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None, side: np.ndarray | None = None):
+def near_rows(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None, side: np.ndarray | None = None, more: np.ndarray | None = None, more_radius: int = 0, trees: Trees | None = None):
     """Places of ``fps`` with those within ``radius`` of them in the same bucket: (place, other places), each pair once.
 
     In the bucket of a pair of blocks ``side`` is the block, and only places of different sides are compared; elsewhere it is -1.
 
     Tiles of TILE in order of bucket and population count are compared with exclusive-or and
     bit counts; tile pairs of other buckets, or whose population counts differ beyond the radius, are skipped.
-    Memory is one tile of bits.
+    Memory is one tile of bits. ``more`` has further words of each fingerprint, a row each: of what is within the radius those
+    pairs count that differ in ``more_radius`` bits of these at most. Tile pairs that are of one tree of ``trees`` are skipped.
     """
     ones = np.bitwise_count(fps).astype(np.int64)
     bucket = np.zeros(len(fps), np.int64) if bucket is None else bucket
     side = np.full(len(fps), -1) if side is None else side
     order = np.lexsort((ones, bucket))
     fps, ones, bucket, side = fps[order], ones[order], bucket[order], side[order]
+    more = None if more is None else more[order]
     for i in range(0, len(fps), TILE):
         rows, of = fps[i : i + TILE], bucket[i : i + TILE]
         last, own = i + len(rows) - 1, side[i : i + TILE]
         for j in range(i, len(fps), TILE):
             if j > i and (bucket[j] != bucket[last] or ones[j] - ones[last] > radius):
                 break  # later tiles lie further off still
+            if trees is not None and (tree := trees.of[order[i]]) == trees.of[order[j]] and (trees.of[order[i : i + TILE]] == tree).all() and (trees.of[order[j : j + TILE]] == tree).all():
+                continue
             near = (np.bitwise_count(rows[:, None] ^ fps[None, j : j + TILE]) <= radius) & (of[:, None] == bucket[None, j : j + TILE])
             if i == j:
                 near = np.triu(near, 1)
             if (own >= 0).any():
                 near &= (own[:, None] != side[None, j : j + TILE]) | (own < 0)[:, None]
+            if more is not None:
+                a, b = np.nonzero(near)
+                near[a, b] = np.bitwise_count(more[i + a] ^ more[j + b]).sum(axis=1, dtype=np.int64) <= more_radius
             for a in np.flatnonzero(near.any(axis=1)).tolist():
                 yield int(order[i + a]), order[np.flatnonzero(near[a]) + j]
 
 
-def tile_links(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def tile_links(fps: np.ndarray, radius: int, bucket: np.ndarray | None = None, side: np.ndarray | None = None, more: np.ndarray | None = None, more_radius: int = 0) -> list[tuple[int, int]]:
     """A spanning forest of the links between ``fps``. A row looks only at those of its neighbours that are not yet of its tree."""
     trees, links = Trees(len(fps)), []
-    for a, others in near_rows(fps, radius, bucket, side):
+    for a, others in near_rows(fps, radius, bucket, side, more, more_radius, None if more is None else trees):
         while len(others := others[trees.of[others] != trees.of[a]]):
             links.append((a, int(others[0])))
             trees.join(a, int(others[0]))
     return links
 
 
-def _bucket_links(batches, radius: int):
+def _bucket_links(batches, radius: int, more: tuple[str, ...] = (), more_radius: int = 0):
     """From rows sorted by (mask, key, pair) to links between the nodes of a bucket. Buckets may span Arrow batches."""
     rest: pa.Table | None = None
 
-    def flush(mask, key, pair, side, fp, node):
+    def flush(mask, key, pair, side, fp, node, *words):
         """Whole buckets, as arrays in order."""
         bucket = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))])
         several = (np.bincount(bucket) > 1)[bucket]  # a node alone has none to compare with
         if several.any():
-            links = np.array(tile_links(fp[several], radius, bucket[several], side[several]), np.int64).reshape(-1, 2)
+            further = np.stack([w[several] for w in words], axis=1) if words else None
+            links = np.array(tile_links(fp[several], radius, bucket[several], side[several], further, more_radius), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(node[several][links[:, k]]) for k in (0, 1)], ["a", "b"])
 
     def arrays(t: pa.Table):
-        return [t.column(c).to_numpy().astype(np.int64) for c in ("mask", "key", "pair", "side")] + [t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()]
+        return [t.column(c).to_numpy().astype(np.int64) for c in ("mask", "key", "pair", "side")] + [t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()] + [t.column(c).to_numpy().view(np.uint64) for c in more]
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -202,10 +210,15 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
     masks = block_pairs(radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = nodes.select("fp", "node", F.posexplode(F.array(*[F.lit(m).cast("bigint").bitwiseAND(F.col("fp")) for m in signed])).alias("mask", "key"))
+    return bucket_links(keyed, "fp", radius, block)
+
+
+def bucket_links(keyed: DataFrame, deal_by: str, radius: int, block: int = BLOCK, more: tuple[str, ...] = (), more_radius: int = 0) -> DataFrame:
+    """Rows (mask, key, fp, node) to links (a, b) that connect what is within the radius in a bucket (mask, key). ``more``: columns of further words, see near_rows."""
     counts = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     hot = materialize(counts.select("mask", "key", F.ceil(F.col("n") / block).alias("blocks")), "large-buckets")
-    dealt = block_pairs_of(keyed, ["mask", "key"], "fp", hot).repartition("mask", "key", "pair").sortWithinPartitions("mask", "key", "pair")
-    return arrow_map(dealt, lambda batches: _bucket_links(batches, radius), "a bigint, b bigint")
+    dealt = block_pairs_of(keyed, ["mask", "key"], deal_by, hot).repartition("mask", "key", "pair").sortWithinPartitions("mask", "key", "pair")
+    return arrow_map(dealt, lambda batches: _bucket_links(batches, radius, more, more_radius), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

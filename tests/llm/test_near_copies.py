@@ -3,6 +3,7 @@
 import numpy as np
 
 from docspark.llm import near_copies
+from docspark.llm.components import components
 
 
 def shingles(text):
@@ -71,3 +72,40 @@ def test_sides_are_compared_with_each_other_only():
     a = np.arange(0, 100, dtype=np.uint64)
     assert near_copies.exact_links([1, 2, 3], [a, a[:99], a[:98]], sides=[0, 0, 1]) in ([(1, 3), (2, 3)], [(2, 3), (1, 3)])
     assert near_copies.exact_links([1, 2], [a, a[:99]], sides=[3, 3]) == []
+
+
+def test_fingerprints_alone_find_pairs_without_a_common_minimum(spark):
+    """Pairs of similarity 0.8 of which the MinHash keys that stood before the tiles shared none: both copies stayed."""
+    rows = []
+    for k in (10098, 41649, 80075, 80763, 88815, 110755):
+        words = [f"t{k}w{j}" for j in range(9)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:8]))]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_candidates_are_pairs_of_near_fingerprints_in_a_bucket(spark):
+    """Components of candidates, in blocks of 7 nodes and in one, against all pairs of fingerprints."""
+    rng, sets = np.random.default_rng(5), []
+    for k in range(60):
+        base = rng.integers(0, 1 << 63, 4 + 3 * k, dtype=np.uint64)
+        sets += [base, np.concatenate([base[: len(base) - k % 9 // 2], rng.integers(0, 1 << 63, k % 9, dtype=np.uint64)])]
+    common = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets += [np.concatenate([common, rng.integers(0, 1 << 63, 20, dtype=np.uint64)]) for _ in range(40)]
+    bits = [near_copies.wide_bits(s) for s in sets]
+    assert all(near_copies.majority(s) == int.from_bytes(np.packbits(b[:64], bitorder="little").tobytes(), "little") for s, b in zip(sets, bits))
+    keys = [near_copies.bit_keys(b) for b in bits]
+    of = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            n = min(len(keys[i]), len(keys[j]))
+            near = (bits[i][:64] != bits[j][:64]).sum() <= 28 and (bits[i][64:256] != bits[j][64:256]).sum() <= 60
+            if near and (keys[i][:n] == keys[j][:n]).any() and of[i] != of[j]:
+                low, high = sorted((of[i], of[j]))
+                of = [low if x == high else x for x in of]
+    assert 40 < len(set(of)) < 110
+    words = [np.packbits(b[:256], bitorder="little").view("<i8").tolist() for b in bits]
+    nodes = spark.createDataFrame([(i, k.tolist(), *w) for i, (k, w) in enumerate(zip(keys, words))], "node bigint, keys array<int>, fp bigint, fp1 bigint, fp2 bigint, fp3 bigint")
+    for block in (1 << 16, 7):
+        found = dict(map(tuple, components(near_copies.candidate_links(nodes, block)).collect()))
+        assert [found.get(i, i) for i in range(len(sets))] == of
