@@ -163,3 +163,28 @@ def most_frequent(counted: DataFrame, count_col: str, most: int, key_col: str =
     if taken < most and (at := _cut(ties, tie, most - taken)):
         top |= (F.col(count_col) == F.lit(least - 1)) & (F.shiftrightunsigned(F.xxhash64(key_col), 32) >= F.lit(at[0]))
     return counted.where(top)
+
+
+#: Keys with over one of so many of all rows are joined by a broadcast: by count they are fewer than that.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``groups`` on ``keys`` (nulls equal), in which no key makes a large task.
+
+    ``groups`` has one row a key, with the number of ``rows`` that hold it in ``count_col``; ``total`` rows there are in all.
+    Keys that over one in HOT_SHARE rows hold are at most HOT_SHARE; they are broadcast. The other rows are
+    shuffled, where a key's share is small. Both sides are read twice, so they should be written tables.
+    """
+    named = {k: free_name(rows, f"__{k}") for k in keys}
+    hot = F.col(f"`{count_col}`") * HOT_SHARE > F.lit(total)
+    others = [F.col(f"`{c}`") for c in groups.columns if c not in keys]
+
+    def joined(of_rows: DataFrame, of_groups: DataFrame, how: str) -> DataFrame:
+        on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`{named[k]}`")) for k in keys]
+        return of_rows.join(of_groups, on, how).drop(*named.values())
+
+    marked = groups.select(*[F.col(f"`{k}`").alias(named[k]) for k in keys], *others)
+    hottest = F.broadcast(marked.where(hot))  # HOT_SHARE rows at most
+    rest = joined(rows, hottest.select(*[F.col(f"`{x}`") for x in named.values()]), "left_anti")
+    return joined(rows, hottest, "inner").unionByName(joined(rest, marked.where(~hot), "inner"))
