@@ -24,7 +24,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import arrow_map, materialize
@@ -37,8 +38,8 @@ LONGEST, LEAST, ABSORBED, TOP = 3, 10, 50, 2000
 BLOCK_WORDS = 500_000
 #: Memory of a bucket's count; beyond it duckdb spills.
 MEMORY = "192MB"
-#: Candidates that one part of the first ranking holds.
-RANKED = 200_000
+#: Candidates of a language that are ranked together: parts of so many are cut to the best until one part is left.
+RANKED = 16_000
 
 
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -56,7 +57,7 @@ def _encoded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngrams(langs: pa.Array, texts: pa.Array, weights: np.ndarray, longest: int, buckets: int) -> pa.RecordBatch:
-    """The weighted n-grams of a batch of pieces, in one row for each bucket and language: (bucket, lang, phrases joined by newlines, weights)."""
+    """The weighted n-grams of a batch of pieces, in one row for each bucket and language: (bucket, lang, phrases joined by newlines, weights), both compressed."""
     cut = pc.split_pattern(texts, " ")
     words = cut.flatten().dictionary_encode()
     spoken = langs.dictionary_encode()
@@ -90,8 +91,10 @@ def ngrams(langs: pa.Array, texts: pa.Array, weights: np.ndarray, longest: int,
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     bounds = np.r_[starts, len(key)]
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), phrase), "\n")
-    packed, sent = weight[order].astype("<i8").tobytes(), key[starts]
-    return pa.RecordBatch.from_arrays([pa.array((sent // len(names)).astype(np.int32)), names.take(pa.array(sent % len(names))), joined, pa.array([packed[8 * a : 8 * b] for a, b in zip(bounds, bounds[1:])], pa.binary())], ["bucket", "lang", "phrases", "weights"])
+    packed, sent, press = weight[order].astype("<i8").tobytes(), key[starts], zstandard.ZstdCompressor(level=1).compress
+    phrases = pa.array([press(x.as_buffer()) for x in joined.cast(pa.binary())], pa.binary())
+    weights = pa.array([press(packed[8 * a : 8 * b]) for a, b in zip(bounds, bounds[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array((sent // len(names)).astype(np.int32)), names.take(pa.array(sent % len(names))), phrases, weights], ["bucket", "lang", "phrases", "weights"])
 
 
 def _send(buckets: int, longest: int):
@@ -122,12 +125,14 @@ def _count(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
+        unpress = zstandard.ZstdDecompressor().decompress
         with tempfile.TemporaryDirectory() as scratch, duckdb.connect(f"{scratch}/bucket.db", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as db:
             db.execute("CREATE TABLE sent (lang VARCHAR, phrase VARCHAR, weight BIGINT)")
             for batch in batches:
-                parts = pc.split_pattern(batch.column(2).cast(pa.string()), "\n")
+                phrases, weights = ([unpress(x.as_buffer()) for x in batch.column(i)] for i in (2, 3))
+                parts = pc.split_pattern(pa.array(phrases, pa.binary()).cast(pa.string()), "\n")
                 of = np.repeat(np.arange(len(batch)), np.diff(parts.offsets.to_numpy()))
-                weight = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i8")
+                weight = np.frombuffer(b"".join(weights), "<i8")
                 rows = pa.table({"lang": batch.column(1).cast(pa.string()).take(pa.array(of)), "phrase": parts.flatten(), "weight": weight})  # noqa: F841 (duckdb finds it by name)
                 db.execute("INSERT INTO sent SELECT * FROM rows")
             counted = db.sql(f"SELECT lang, phrase, sum(weight)::BIGINT AS n FROM sent GROUP BY ALL HAVING sum(weight) >= {int(least)} UNION ALL SELECT lang, NULL, sum(weight)::BIGINT FROM sent WHERE NOT contains(phrase, ' ') GROUP BY ALL")
@@ -141,7 +146,7 @@ def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, t
     """(lang, phrase, n): all phrases of up to ``longest`` words that occur ``least`` times or more; rows without a phrase hold word totals, to be added up."""
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = arrow_map(pieces(docs, text_col, lang_col), _send(buckets, longest), "bucket int, lang string, phrases string, weights binary")
+    blocks = arrow_map(pieces(docs, text_col, lang_col), _send(buckets, longest), "bucket int, lang string, phrases binary, weights binary")
     counted = arrow_map(blocks.repartitionById(buckets, F.col("bucket")), _count(least), "lang string, phrase string, n bigint")
     return materialize(counted, "phrase-counts")
 
@@ -177,15 +182,17 @@ def _absorbed(counted: DataFrame, longest: int, share: int) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` of each language with their rank: parts of a language are cut to ``top`` first, so that no task sorts a whole one."""
-    from pyspark.sql import Window
-
+    """The first ``top`` of each language with their rank. Parts of a language are cut to ``top`` each, and what is left again, so that no task sorts a whole one."""
     best = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*best))
     rows = materialize(rows, "phrase-scores")
-    dealt = F.pmod(F.xxhash64("phrase"), F.lit(1 + rows.count() // RANKED))
-    rows = rows.withColumn("dealt", dealt)
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "dealt").orderBy(*best))).where(F.col("rank") <= top)
-    return first.drop("dealt").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("bigint")).where(F.col("rank") <= top)
+    size = max(RANKED, 4 * top)
+    n, before = rows.count(), None
+    while n > size and (before is None or n < before):
+        cut = rows.withColumn("dealt", F.pmod(F.xxhash64("phrase"), F.lit(1 + n // size)))
+        rows = materialize(cut.withColumn("place", place("lang", "dealt")).where(F.col("place") <= top).drop("dealt", "place"), "phrase-scores")
+        n, before = rows.count(), n
+    return rows.withColumn("rank", place("lang").cast("bigint")).where(F.col("rank") <= top)
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, absorbed: int = ABSORBED, top: int = TOP, text_col: str = "text", lang_col: str = "lang", buckets: int | None = None) -> DataFrame:
