@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.storage import Layout, delete, exists, file_system, read_version, shared_dir, under, write_version
+from docspark.storage import Commit, Layout, Tables, delete, exists, file_system, read_version, shared_dir, under, write_version
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,7 +39,7 @@ def export(spark: SparkSession, layout: Layout, name: str = "", folder: str = ""
     if exists(spark, target):
         raise FileExistsError(target)
     read_version(spark, layout.index).write.parquet(f"{target}/index")
-    if with_registry and exists(spark, layout.registry):
+    if with_registry and "registry" in Tables(spark, layout.root).state()[1]:
         read_version(spark, layout.registry).write.parquet(f"{target}/registry")
     parts = [manifest(spark, f"{target}/{part}").withColumn("path", F.concat(F.lit(f"{part}/"), "path")) for part in ("index", "registry") if exists(spark, f"{target}/{part}")]
     reduce(DataFrame.unionByName, parts).coalesce(1).write.parquet(f"{target}/manifest")
@@ -77,9 +77,15 @@ def restore(spark: SparkSession, layout: Layout, backup: str, with_registry: boo
 
 
 def reset(spark: SparkSession, folders: list[str], root: str, yes: bool = False) -> list[str]:
-    """Empties the folders under ``root``; without ``yes`` only names them."""
+    """Empties the folders under ``root``, tables in a commit first; without ``yes`` only names them."""
     if outside := [f for f in folders if not under(root, f)]:
         raise ValueError(f"outside {root}: {outside}")
+    commit = Commit(spark, root)
+    tables = [t for t in commit.before if f"{root.rstrip('/')}/{t}" in {f.rstrip("/") for f in folders}]
+    if yes and tables:
+        for t in tables:
+            commit.drop(t)
+        commit.publish()
     for f in folders if yes else ():
         delete(spark, f)
         fs, path = file_system(spark, f)

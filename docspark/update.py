@@ -1,7 +1,8 @@
 """The update run: convert, scan and extract, chunk, index, each over what has changed since the last run.
 
 State is the registry: a table of sources and their statuses. Every step reads the tables of the step
-before, works on its targets as one DataFrame job, and writes new versions; a step that is lost halfway leaves the old ones.
+before, works on its targets as one DataFrame job, and commits its table and the registry together; a step that is lost halfway
+leaves the state before. The index is in buckets (``buckets``), so a step writes what has changed.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark import buckets
 from docspark.config import Chunking, Indexing, config_hash
 from docspark.functions import text as X
 from docspark.operators import chunking, index, registry as R
-from docspark.schemas import CHUNK_FIELDS, CHUNKED, EXTRACTED, FAILED, INDEX_FIELDS, INDEXED, PENDING, REGISTRY_FIELDS
+from docspark.schemas import CHUNK_FIELDS, CHUNKED, EXTRACTED, FAILED, INDEX_FIELDS, INDEXED, PENDING, REGISTRY, REGISTRY_FIELDS
 from docspark.sources import files
 from docspark.sources.connectors import Embedder, HashEmbedder, embed_texts
-from docspark.storage import Layout, exists, materialize, read_version, write_version
+from docspark.storage import Commit, Layout, exists, materialize
 
 EXTRACTED_SCHEMA = "source_id string, text string, units array<struct<unit_type:string,unit_index:int,text:string,start_char:int,end_char:int>>, stats struct<unit_count:int,char_count:int>, meta struct<source_id:string,origin_path:string,canonical_path:string,filename:string,nature:string,ext:string,modified_time:string>"
 INDEX_SCHEMA = "chunk_id string, text string, source_id string, " + ", ".join([f"{c} string" for c in index.TEXT_FIELDS] + [f"{c} int" for c in index.NUMBER_FIELDS]) + ", embedding_model string, embedding array<float>"
@@ -85,9 +87,20 @@ def _blank(fields: list[str]) -> dict[str, Column]:
     return dict.fromkeys(fields, F.lit(""))
 
 
+def _registry(commit: Commit) -> DataFrame:
+    return R.normalize_registry(commit.read("registry", REGISTRY))
+
+
+def _publish(commit: Commit, rows: DataFrame) -> None:
+    """The step's tables and the registry become current together."""
+    commit.write("registry", R.normalize_registry(rows))
+    commit.publish()
+
+
 def scan_and_extract(spark: SparkSession, layout: Layout, step: Scan) -> dict:
-    known = files.read_registry(spark, layout.registry)
-    records = read_version(spark, layout.extracted, EXTRACTED_SCHEMA)
+    commit = Commit(spark, layout.root)
+    known = _registry(commit)
+    records = commit.read("extracted", EXTRACTED_SCHEMA)
     scan = files.scan_corpus(spark, list(step.roots), known, step.extensions)
     nature = X.nature_of(F.col("canonical_path"), step.nature_root, step.nature_marker) if step.nature_root else F.lit("")
     artifacts = records.select(F.col("source_id").alias("content_hash"), F.lit(True).alias("artifact_exists")).distinct()
@@ -109,8 +122,8 @@ def scan_and_extract(spark: SparkSession, layout: Layout, step: Scan) -> dict:
     if not step.keep_missing:
         purged = R.missing_artifacts(rows, records).count()
         rows, records = R.purge_missing(rows, records)
-    write_version(records, layout.extracted)
-    files.write_registry(rows, layout.registry)
+    commit.write("extracted", records)
+    _publish(commit, rows)
     return {"extraction_status_counts": _counts(rows, "extraction_status"), "purged": purged, "scan_only": step.scan_only}
 
 
@@ -119,13 +132,13 @@ def _counts(rows: DataFrame, status: str) -> dict[str, int]:
 
 
 def run_chunking(spark: SparkSession, layout: Layout, step: Chunk) -> dict:
-    rows = files.read_registry(spark, layout.registry)
-    old = read_version(spark, layout.chunks, chunking.CHUNK)
+    commit = Commit(spark, layout.root)
+    rows, old = _registry(commit), commit.read("chunks", chunking.CHUNK)
     settings = config_hash(step.config)
     kept = old if step.keep_stale else R.purge_chunks(old, rows)
     levels = old.groupBy("source_id").agg(F.count_distinct("level").alias("n")).where("n = 2")
     targets = materialize(R.chunk_targets(rows, levels, settings, step.force, list(step.sources), step.limit).select("source_id").distinct(), "targets")
-    docs = read_version(spark, layout.extracted, EXTRACTED_SCHEMA).join(targets, "source_id")
+    docs = commit.read("extracted", EXTRACTED_SCHEMA).join(targets, "source_id")
     new = materialize(chunking.chunk(docs.select("source_id", "text", "units"), step.config), "chunks")
     leaves = new.where("level = 'leaf'").groupBy("source_id").agg(F.count(F.lit(1)).cast("string").alias("_leaves"))
     reason = F.when(F.col("_there").isNull(), "extracted record not found").when(F.col("_leaves").isNull(), "no leaf chunks")
@@ -133,26 +146,25 @@ def run_chunking(spark: SparkSession, layout: Layout, step: Chunk) -> dict:
     ok = F.col("_error").isNull()
     rows = apply(rows, results, {"chunk_status": F.when(ok, CHUNKED).otherwise(FAILED), "nb_chunks": F.coalesce("_leaves", F.lit("")), "last_chunk_time": _now(), "chunk_error": F.coalesce("_error", F.lit("")), "chunk_config_hash": F.lit(settings)} | {f: F.when(ok, PENDING).otherwise("") if f == "index_status" else F.lit("") for f in INDEX_FIELDS})
     removed = old.select("source_id").distinct().join(kept.select("source_id").distinct(), "source_id", "left_anti").count()
-    write_version(kept.join(targets, "source_id", "left_anti").unionByName(new, allowMissingColumns=True), layout.chunks)
-    files.write_registry(rows, layout.registry)
+    commit.write("chunks", kept.join(targets, "source_id", "left_anti").unionByName(new, allowMissingColumns=True))
+    _publish(commit, rows)
     now = files.read_registry(spark, layout.registry)
     run = R.run_counts(now.join(targets, "source_id"), "chunk_status", CHUNKED).first()
     return {"chunk_status_counts": _counts(now, "chunk_status"), "processed": run["processed"], "failed": run["failed"], "config_hash": settings, "stale_removed": removed}
 
 
 def run_indexing(spark: SparkSession, layout: Layout, step: Index) -> dict:
-    rows = files.read_registry(spark, layout.registry)
-    chunks = read_version(spark, layout.chunks, chunking.CHUNK).where("level = 'leaf'")
-    old = read_version(spark, layout.index, INDEX_SCHEMA)
+    commit = Commit(spark, layout.root)
+    rows = _registry(commit)
+    chunks = commit.read("chunks", chunking.CHUNK).where("level = 'leaf'")
     settings = config_hash(step.config)
     have = chunks.select("source_id").distinct()
     targets = materialize(R.index_targets(rows, have, settings, step.force, list(step.sources), step.limit).select("source_id", (F.lit(step.force) | (F.col("index_config_hash") != settings)).alias("again")).distinct(), "targets")
     active = rows.where((F.col("extraction_status") == EXTRACTED) & (F.col("chunk_status") == CHUNKED))
-    kept = old if step.keep_stale else index.active_only(old, active)
     facts = rows.select("source_id", "filename", "nature", "ext", "origin_path", "canonical_path", "modified_time").dropDuplicates(["source_id"])
     leaves = index.last_wins(chunks.join(targets.select("source_id"), "source_id"), "text")
     desired = index.flatten(leaves, facts, step.config.model)
-    mine = kept.join(targets, "source_id")
+    mine = buckets.read(commit, "index", INDEX_SCHEMA, targets).join(targets, "source_id")
     stay = mine.where("NOT again").drop("again")
     todo = desired.join(stay.select("chunk_id"), "chunk_id", "left_anti")
     new = materialize(embed_texts(todo.select("chunk_id", "text"), step.make, batch_size=step.config.batch_size, max_retries=step.config.max_retries, base_delay=step.config.base_delay), "vectors")
@@ -162,12 +174,18 @@ def run_indexing(spark: SparkSession, layout: Layout, step: Index) -> dict:
     results = targets.select("source_id").join(counts, "source_id", "left")
     ok = F.col("_n").isNotNull()
     rows = apply(rows, results, {"index_status": F.when(ok, INDEXED).otherwise(FAILED), "indexed_chunks": F.coalesce("_n", F.lit("")), "last_index_time": _now(), "index_error": F.when(ok, "").otherwise("no leaf chunks"), "index_config_hash": F.lit(settings)})
-    removed = 0 if step.keep_stale else old.select("source_id").distinct().join(active.select("source_id"), "source_id", "left_anti").count()
-    write_version(kept.join(targets.select("source_id"), "source_id", "left_anti").unionByName(merged.select(kept.columns)), layout.index)
-    files.write_registry(rows, layout.registry)
+    places = buckets.read(commit, "index", INDEX_SCHEMA).select("chunk_id", "source_id")
+    gone = mine.select("chunk_id", "source_id").join(merged.select("chunk_id"), "chunk_id", "left_anti")
+    removed = 0
+    if not step.keep_stale:
+        stale = materialize(places.join(active.select("source_id").distinct(), "source_id", "left_anti").select("chunk_id", "source_id"), "stale")
+        removed = stale.select("source_id").distinct().count()
+        gone = gone.unionByName(stale).distinct()
+    written = buckets.change(commit, "index", INDEX_SCHEMA, merged, gone)
+    _publish(commit, rows)
     now = files.read_registry(spark, layout.registry)
     run = R.run_counts(now.join(targets, "source_id"), "index_status", INDEXED).first()
-    return {"index_status_counts": _counts(now, "index_status"), "processed": run["processed"], "failed": run["failed"], "config_hash": settings, "stale_removed": removed} | stats.asDict()
+    return {"index_status_counts": _counts(now, "index_status"), "processed": run["processed"], "failed": run["failed"], "config_hash": settings, "stale_removed": removed} | written | stats.asDict()
 
 
 def run_update(spark: SparkSession, layout: Layout, convert: Convert = Convert(), scan: Scan = Scan(), chunk: Chunk = Chunk(), index: Index = Index()) -> dict:
