@@ -40,6 +40,15 @@ def parse_filters(specs: list[str] | None) -> dict[str, list[str]]:
     return out
 
 
+def parse_filter_rows(rows: DataFrame, specs: str = "specs") -> DataFrame:
+    """Filters of a table of questions: ``rows`` (qid, specs: array of key=value) to (qid, key, alternatives), alternatives in order; a specification that reads otherwise is an error."""
+    each = rows.select("qid", F.posexplode(specs).alias("place", "spec"))
+    key, value = F.trim(F.regexp_extract("spec", r"(?s)^([^=]*)=", 1)), F.trim(F.regexp_extract("spec", r"(?s)^[^=]*=(.*)$", 1))
+    good = F.when(key == "", F.raise_error(F.concat(F.lit("a filter reads key=value: "), "spec"))).otherwise(key)
+    pairs = each.select("qid", good.alias("key"), F.struct("place", value.alias("value")).alias("x"))
+    return pairs.groupBy("qid", "key").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["value"]).alias("alternatives"))
+
+
 def predicate(df: DataFrame, filters: dict[str, list[str]]) -> Column:
     kinds = dict(df.dtypes)
     for key in filters:

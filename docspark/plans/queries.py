@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from docspark import pipeline
+from docspark import buckets, pipeline, storage
 from docspark.config import LEAF, PARENT, Chunking, Prompts, Retrieval, Window
 from docspark.functions import text as X
 from docspark.operators import answers, chunking, index, registry, retrieval
@@ -167,6 +167,14 @@ def parent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.build_chunks(documents(spark, sf_dir))[1].select("chunk_id", "source_id", "token_count", "start_char", "end_char", "prev_id", "next_id")
 
 
+@query(f"""WITH RECURSIVE {_ALL}, u AS (SELECT doc_id::VARCHAR AS source_id, i, start_char AS us, start_char + length(line) AS ue FROM kept)
+SELECT chunk_id, any_value(c.level) AS level, 'paragraph' AS unit_type_start, (min(i) FILTER (WHERE ue > c.start_char))::INT AS unit_index_start, 'paragraph' AS unit_type_end, (max(i) FILTER (WHERE us < c.end_char))::INT AS unit_index_end
+FROM chunk c JOIN u USING (source_id) GROUP BY chunk_id""")
+def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units in which chunks of both levels begin and end."""
+    return chunking.chunk(documents(spark, sf_dir)).select("chunk_id", "level", "unit_type_start", "unit_index_start", "unit_type_end", "unit_index_end")
+
+
 @query(f"WITH RECURSIVE {_ALL} SELECT chunk_id, parent_id FROM best")
 def leaf_parent_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves, _ = chunking.build_chunks(documents(spark, sf_dir))
@@ -373,6 +381,20 @@ def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("chunk_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("head"))
 
 
+@query("""SELECT vec_id::VARCHAR AS chunk_id, label::VARCHAR AS source_id, CASE WHEN vec_id % 100 = 7 THEN 'second' WHEN vec_id % 10 = 3 THEN 'first' ELSE 'base' END AS text FROM embeddings
+WHERE vec_id % 10 <> 1 OR vec_id % 100 = 11""")
+def index_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index in buckets after three commits: all rows; a tenth replaced and a tenth deleted; a few replaced, and a few of the deleted put back."""
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").cast("string").alias("source_id"), F.lit("base").alias("text"))
+    schema, root = "chunk_id string, source_id string, text string", storage.shared_dir(spark, "index-deltas")
+    said = lambda where, text: rows.where(where).withColumn("text", F.lit(text))
+    for put, gone in ((rows, "false"), (said("vec_id % 10 = 3", "first"), "vec_id % 10 = 1"), (said("vec_id % 100 = 7", "second").unionByName(said("vec_id % 100 = 11", "base")), "false")):
+        commit = storage.Commit(spark, root)
+        buckets.change(commit, "index", schema, put, rows.where(gone))
+        commit.publish()
+    return storage.read_version(spark, f"{root}/index")
+
+
 @query("SELECT label::VARCHAR AS source_id, count(*) AS n FROM embeddings WHERE label::VARCHAR IN (SELECT source_id FROM (SELECT (doc_id % 7)::VARCHAR AS source_id FROM documents)) GROUP BY 1")
 def stale_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = load(spark, sf_dir, "documents").select((F.col("doc_id") % 7).cast("string").alias("source_id"))
@@ -445,6 +467,12 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_knn(spark, sf_dir))
 
 
+@query(f"WITH {_ANY} SELECT qid, chunk_id, rank, round(-distance, 6) + 0 AS score FROM knn")
+def knn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score as a search gives it: the distance, negated."""
+    return _knn(spark, sf_dir).select("qid", "chunk_id", "rank", (F.round("score", 6) + 0).alias("score"))
+
+
 @query(f"WITH {_KNN.format(where=chr(115) + 'ource_id IN (' + repr('1') + ', ' + repr('3') + ')')} SELECT {_HEAD} FROM knn")
 def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_knn(spark, sf_dir, retrieval.parse_filters(["source_id=1", "source_id=3"])))
@@ -596,15 +624,22 @@ def citation_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", X.label_order(label).alias("place"))
 
 
-@query("SELECT * FROM (VALUES ('page', 'Page'), (' PARAGRAPH ', 'Paragraphe'), ('Slide', 'Slide'), (' section ', 'section'), ('', '')) AS t(raw, name)")
+@query("""WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' PAGE ' WHEN 1 THEN 'slide' WHEN 2 THEN 'Paragraph' WHEN 3 THEN ' ' || source || ' ' ELSE lang END AS raw FROM documents)
+SELECT doc_id, CASE lower(trim(raw)) WHEN 'page' THEN 'Page' WHEN 'slide' THEN 'Slide' WHEN 'paragraph' THEN 'Paragraphe' ELSE coalesce(trim(raw), '') END AS name FROM r""")
 def unit_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in ("page", " PARAGRAPH ", "Slide", " section ", "")], "raw string").select("raw", X.unit_name(F.col("raw")).alias("name"))
+    c = F.col("doc_id") % 5
+    raw = F.when(c == 0, " PAGE ").when(c == 1, "slide").when(c == 2, "Paragraph").when(c == 3, F.concat(F.lit(" "), "source", F.lit(" "))).otherwise(F.col("lang"))
+    return load(spark, sf_dir, "documents").select("doc_id", X.unit_name(raw).alias("name"))
 
 
-@query("SELECT * FROM (VALUES ('ext', 1, 'pdf'), ('ext', 2, 'docx=x'), ('nature', 1, '')) AS t(key, place, value)")
+@query("""WITH f AS (SELECT doc_id AS qid, 'source' AS key, source AS value, 0 AS place FROM documents UNION ALL SELECT doc_id, 'lang', lang || '=x', 1 FROM documents UNION ALL SELECT doc_id, 'source', CASE WHEN doc_id % 2 = 0 THEN '' ELSE n_chars::VARCHAR END, 2 FROM documents)
+SELECT qid, key, array_to_string(list(value ORDER BY place), '|') AS alternatives FROM f WHERE value IS NOT NULL GROUP BY 1, 2""")
 def parse_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.parse_filters(["ext=pdf", " ext = docx=x ", "nature="])
-    return spark.createDataFrame([(k, i + 1, v) for k, vs in found.items() for i, v in enumerate(vs)], "key string, place int, value string")
+    """Three specifications a document, one of them with a second sign, one with blanks around it and sometimes without a value."""
+    last = F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("n_chars").cast("string"))
+    specs = F.array_compact(F.array(F.concat(F.lit("source="), "source"), F.concat(F.lit(" lang = "), "lang", F.lit("=x")), F.concat(F.lit("source= "), last, F.lit(" "))))
+    rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), specs.alias("specs"))
+    return retrieval.parse_filter_rows(rows).select("qid", "key", F.array_join("alternatives", "|").alias("alternatives"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -625,10 +660,12 @@ def citation_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).select("conv_id", "turn", X.rewrite_citations(F.col("answer"), valid).alias("answer"))
 
 
-@query("SELECT * FROM (VALUES ('42', 42), (' 789 ', 789), ('12.34', -1), ('', -1), ('x', -1), ('-5', -5)) AS t(raw, value)")
+@query("""SELECT doc_id, coalesce(CASE doc_id % 6 WHEN 0 THEN n_chars WHEN 1 THEN n_chars WHEN 2 THEN -1 WHEN 3 THEN -n_chars ELSE -1 END, -1)::INT AS value, coalesce(n_chars // 4, 0)::INT AS quarter FROM documents""")
 def to_int_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("42", " 789 ", "12.34", "", "x", "-5")], "raw string")
-    return rows.select("raw", X.to_int(F.col("raw"), -1).alias("value"))
+    """Numbers as text, with blanks, with decimals, negative, absent and other text; and numbers with a fraction, which is cut off."""
+    c, n = F.col("doc_id") % 6, F.col("n_chars").cast("string")
+    raw = F.when(c == 0, n).when(c == 1, F.concat(F.lit(" "), n, F.lit(" "))).when(c == 2, F.concat(n, F.lit(".5"))).when(c == 3, F.concat(F.lit("-"), n)).when(c == 4, "").otherwise(F.col("source"))
+    return load(spark, sf_dir, "documents").select("doc_id", X.to_int(raw, -1).alias("value"), X.to_int(F.col("n_chars") / 4).alias("quarter"))
 
 
 @query()

@@ -35,16 +35,6 @@ def test_units_and_offsets(spark):
     assert out["text"] == "First page text\n\nThird page text" and [(u["start_char"], u["end_char"]) for u in out["units"]] == [(0, 15), (17, 32)]
 
 
-def units(*pairs):
-    return [{"unit_type": "p", "unit_index": 1, "start_char": s, "end_char": e} for s, e in pairs]
-
-
-def test_sanitize_and_boundaries():
-    assert [(u["start_char"], u["end_char"]) for u in chunking.sanitize_units(units((-5, 5), (6, 100)), 20)] == [(0, 5), (6, 20)]
-    assert [u["unit_type"] for u in chunking.sanitize_units(units((0, 15), (10, 25)), 30)] == ["document"] == [u["unit_type"] for u in chunking.sanitize_units(None, 3)]
-    assert chunking.boundaries([5, 11, 17, 23], units((0, 11), (12, 23))) == [2]
-
-
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 1023, 1024, 1025, 40_000])
 def test_running_sums_of_any_length(spark, n):
     got = one(spark, X.running_sums(F.transform(F.slice(F.sequence(F.lit(0), F.lit(n)), 1, F.lit(n)), lambda x: x % 7)))
@@ -59,30 +49,6 @@ def test_token_spans_are_those_of_the_regex(spark):
         assert r["s"] is None if t is None else [(x["s"], x["e"]) for x in r["s"]] == [m.span() for m in re.finditer(r"\S+", t)]
 
 
-def greedy(n, bounds, w):
-    out, start = [], 0
-    while start < n:
-        if n - start <= w.max_tokens:
-            if out and n - start < w.min_tokens:
-                out[-1] = (out[-1][0], n)
-            else:
-                out.append((start, n))
-            break
-        ideal = start + w.target_tokens
-        end = min((b for b in bounds if start + w.min_tokens <= b <= start + w.max_tokens), key=lambda b: (abs(b - ideal), b), default=ideal)
-        out.append((start, end))
-        start = max(end - w.overlap_tokens, start) if end - w.overlap_tokens > start else end
-    return out
-
-
-def test_windows_against_greedy_loop():
-    rng = np.random.default_rng(1)
-    w = Window("leaf", 10, 20, 30, 5)
-    cases = [(int(n), sorted({int(b) for b in rng.integers(1, max(2, n), rng.integers(0, 12))})) for n in rng.integers(0, 200, 60)] + [(0, []), (15, []), (50, []), (50, [18]), (50, [5, 45])]
-    for n, bounds in cases:
-        assert chunking.windows(n, bounds, w) == greedy(n, bounds, w), (n, bounds)
-
-
 def test_window_bounds():
     for bad in ((0, 20, 30, 5), (30, 20, 30, 5), (10, 20, 15, 5), (10, 20, 30, -1), (10, 20, 30, 20)):
         with pytest.raises(ValueError):
@@ -103,14 +69,6 @@ def test_chunk_graph(spark):
     assert [r["next_id"] for r in rows[:-1]] == [r["chunk_id"] for r in rows[1:]] and rows[0]["prev_id"] == "" == rows[-1]["next_id"]
 
 
-def test_short_leaves_and_parents():
-    rows = [{"chunk_id": f"c{i}", "token_count": n, "start_char": i, "end_char": i + 1} for i, n in enumerate((5, 12, 8))]
-    assert [r["chunk_id"] for r in chunking.drop_short_leaves(rows, 20)] == ["c1"] and len(chunking.drop_short_leaves(rows, 8)) == 2 and len(chunking.drop_short_leaves(rows, 0)) == 3
-    leaf = {"chunk_id": "l", "start_char": 10, "end_char": 50}
-    chunking.assign_parents([leaf], [{"chunk_id": "p1", "start_char": 0, "end_char": 30}, {"chunk_id": "p2", "start_char": 25, "end_char": 100}])
-    assert leaf["parent_id"] == "p2"
-
-
 def test_cosine(spark):
     a = lambda *x: F.array(*[F.lit(v).cast("float") for v in x])
     assert [one(spark, cosine(a(*x), a(*y))) for x, y in (((1, 0), (1, 0)), ((1, 0), (0, 1)), ((0, 0), (1, 1)), ((1,), (1, 1)))] == [1.0, 0.0, 0.0, 0.0]
