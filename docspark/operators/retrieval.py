@@ -21,8 +21,10 @@ from docspark.functions import text as X
 from docspark.functions.vectors import TINY
 from docspark.storage import materialize
 
-#: Questions that one pass over the index may hold (a broadcast matrix of some megabytes at most); more go in blocks.
+#: Questions that a task may hold (a matrix of some megabytes at most).
 QUERY_BLOCK = 1024
+#: Rows of the index that meet a block of questions in one group.
+CELL_ROWS = 200_000
 
 
 def by_query():
@@ -57,58 +59,57 @@ def predicate(df: DataFrame, filters: dict[str, list[str]]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"`{k}`").isin(v) for k, v in filters.items()], F.lit(True))
 
 
-def _questions(queries: DataFrame) -> list[list]:
-    """Blocks of (qid, query) rows, of QUERY_BLOCK questions about; each is on the driver once."""
-    first = queries.limit(QUERY_BLOCK + 1).collect()
-    if len(first) <= QUERY_BLOCK:
-        yield first
-        return
-    blocks = -(-queries.count() // (QUERY_BLOCK // 2))
-    for b in range(blocks):
-        yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
-
-
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     """Rows of unit length; (nearly) zero rows become zero."""
     squares = (vectors * vectors).sum(axis=1, keepdims=True)
     return vectors / np.where(squares <= TINY, np.inf, np.sqrt(np.where(squares <= TINY, 1, squares)))
 
 
+class Nearest:
+    """The k nearest rows of each of some questions, as batches of rows come by."""
+
+    def __init__(self, questions: list, k: int):
+        self.k, self.n, self.best = k, len(questions), None
+        sizes: dict[int, list[int]] = {}
+        for i, q in enumerate(questions):
+            sizes.setdefault(len(q) if q is not None else 0, []).append(i)
+        # by number of dimensions, as unit rows; norms are taken once
+        self.matrices = {n: (np.array(ids), unit_rows(np.array([questions[i] for i in ids], float).reshape(len(ids), n))) for n, ids in sizes.items() if n}
+
+    def add(self, vectors: pa.ListArray, rows: pa.Table) -> None:
+        k, n = self.k, len(vectors)
+        like = np.zeros((self.n, n))
+        sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+        for dims, (which, unit) in self.matrices.items():
+            own = np.flatnonzero(sizes == dims)
+            if len(own):
+                like[np.ix_(which, own)] = unit @ unit_rows(vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), dims)).T
+        distance = np.round(1 - like, 12)
+        top = np.argpartition(distance, min(k, n) - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (self.n, 1))
+        limit = np.take_along_axis(distance, top, 1).max(axis=1)
+        q, r = np.nonzero(distance <= limit[:, None])  # ties of the last come along
+        found = rows.take(pa.array(r)).append_column("_q", pa.array(q.astype(np.int32))).append_column("distance", pa.array(distance[q, r]))
+        self.best = found if self.best is None else pa.concat_tables([self.best, found])
+        if self.best.num_rows > 4 * k * self.n:
+            self.best = _first(self.best, k)
+
+    def result(self) -> pa.Table | None:
+        return None if self.best is None else _first(self.best, self.k)
+
+
 def _nearest(rows: DataFrame, questions: list, k: int) -> DataFrame:
-    """Of each task's rows the k nearest of each question: qid, distance, and the row's columns but the vector."""
+    """Of each task's rows the k nearest of each question: _q (its number), distance, and the row's columns but the vector."""
     at = rows.columns.index("embedding")
     others = [f for f in rows.schema.fields if f.name != "embedding"]
-    matrices = {}  # by number of dimensions, as unit rows; norms are taken once
-    for i, row in enumerate(questions):
-        matrices.setdefault(len(row["query"] or []), []).append(i)
-    matrices = {n: (np.array(ids), unit_rows(np.array([questions[i]["query"] or [] for i in ids], float).reshape(len(ids), n))) for n, ids in matrices.items()}
-    ids = [row["qid"] for row in questions]
-    sent = rows.sparkSession.sparkContext.broadcast((matrices, ids))
+    sent = rows.sparkSession.sparkContext.broadcast([r["query"] for r in questions])
 
     def run(batches):
-        matrices, ids = sent.value
-        names = [f.name for f in others]
-        best: pa.Table | None = None
+        near = Nearest(sent.value, k)
         for batch in batches:
-            vectors, n = batch.column(at), batch.num_rows
-            like = np.zeros((len(ids), n))
-            sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
-            for dims, (which, unit) in matrices.items():
-                own = np.flatnonzero(sizes == dims)
-                if dims and len(own):
-                    like[np.ix_(which, own)] = unit @ unit_rows(vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), dims)).T
-            distance = np.round(1 - like, 12)
-            top = np.argpartition(distance, min(k, n) - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (len(ids), 1))
-            limit = np.take_along_axis(distance, top, 1).max(axis=1)
-            q, r = np.nonzero(distance <= limit[:, None])  # ties of the last come along
-            found = pa.Table.from_batches([batch.select([i for i in range(batch.num_columns) if i != at])]).take(pa.array(r))
-            found = found.append_column("_q", pa.array(q.astype(np.int32))).append_column("distance", pa.array(distance[q, r]))
-            best = found if best is None else pa.concat_tables([best, found])
-            if best.num_rows > 4 * k * len(ids):
-                best = _first(best, k)
-        if best is not None:
-            best = _first(best, k)
-            yield from best.select(["_q", "distance", *names]).combine_chunks().to_batches(10_000)
+            if batch.num_rows:
+                near.add(batch.column(at), pa.Table.from_batches([batch.select([i for i in range(batch.num_columns) if i != at])]))
+        if (best := near.result()) is not None:
+            yield from best.select(["_q", "distance", *[f.name for f in others]]).combine_chunks().to_batches(10_000)
 
     schema = T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("distance", T.DoubleType()), *others])
     return rows.mapInArrow(run, schema)
@@ -123,27 +124,83 @@ def _first(rows: pa.Table, k: int) -> pa.Table:
     return rows.take(order.filter(pa.array(place < k)))
 
 
+def search_cells(index: DataFrame, queries: DataFrame, k: int, cell_rows: int = CELL_ROWS, block: int = QUERY_BLOCK) -> DataFrame:
+    """``index`` (cell, chunk_id, embedding, ...) and ``queries`` (cell, qid, query; a question may be in several cells): of each question the k nearest rows of its cells.
+
+    One job for any number of questions. A cell's rows are dealt into parts of about ``cell_rows`` and its questions into blocks of about
+    ``block``; each part meets each block in a group of its own: rows are sent once a block, questions once a part. In a
+    task a group's questions come first and its rows stream by, so memory holds one block. There are as many cells as centroids of the index, a bounded number, whose
+    counts are broadcast.
+    """
+    size = lambda df, name, of: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / of).cast("int").alias(name))
+    cells = F.broadcast(materialize(size(index, "_parts", cell_rows).join(size(queries, "_blocks", block), "cell"), "cells"))
+    group = F.struct("cell", "_part", "_block").alias("_group")
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = [c for c in index.columns if c not in ("cell", "embedding")]
+    rows = index.join(cells, "cell").withColumn("_part", deal("chunk_id", "_parts")).withColumn("_block", each("_blocks"))
+    asked = queries.join(cells, "cell").withColumn("_block", deal("qid", "_blocks")).withColumn("_part", each("_parts"))
+    row = F.struct(*[F.col(f"`{c}`") for c in others])
+    kinds = {"qid": queries.schema["qid"].dataType, "row": index.select(row.alias("row")).schema["row"].dataType}
+    none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+    both = asked.select(group, F.lit(0).alias("_side"), "qid", F.col("query").cast("array<double>").alias("vector"), none("row"))
+    both = both.unionByName(rows.select(group, F.lit(1).alias("_side"), none("qid"), F.col("embedding").cast("array<double>").alias("vector"), row.alias("row")))
+    sorted_ = both.repartition("_group").sortWithinPartitions("_group", "_side")
+
+    def run(batches):
+        now, asked, names, near = None, [], [], None
+
+        def done():
+            if near is not None and (best := near.result()) is not None:
+                qid = pa.chunked_array(names).combine_chunks().take(best.column("_q").combine_chunks())
+                yield from pa.table([qid, best.column("distance"), best.column("row")], ["qid", "distance", "row"]).combine_chunks().to_batches(10_000)
+
+        for batch in batches:
+            key = [tuple(g.values()) for g in batch.column(0).to_pylist()]
+            side = batch.column(1).to_numpy()
+            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1] or side[i] != side[i - 1]), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if key[a] != now:
+                    yield from done()
+                    now, asked, names, near = key[a], [], [], None
+                part = batch.slice(a, b - a)
+                if side[a] == 0:
+                    asked += part.column(3).to_pylist()
+                    names.append(part.column(2))
+                    continue
+                if near is None:
+                    near = Nearest(asked, k)
+                row = part.column(4)
+                near.add(part.column(3), pa.table([row, row.field("chunk_id")], ["row", "chunk_id"]))
+        yield from done()
+
+    schema = T.StructType([T.StructField("qid", kinds["qid"]), T.StructField("distance", T.DoubleType()), T.StructField("row", kinds["row"])])
+    found = sorted_.mapInArrow(run, schema).select("qid", "distance", "row.*")
+    near = W.partitionBy("qid").orderBy("distance", "chunk_id")
+    return found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+
+
 def knn(index: DataFrame, queries: DataFrame, k: int, filters: dict[str, list[str]] | None = None) -> DataFrame:
     """``index`` (chunk_id, embedding, ...) and ``queries`` (qid, query): the k nearest per query by cosine distance, all columns.
 
     Exact: filters reach the scan; each task multiplies batches of vectors with the questions'
     matrix and keeps the k nearest of each question, and these are ranked. Distances are rounded to 12
-    digits and ties go by chunk_id. A vector that is null, zero or of another length has distance 1. Questions
-    go in blocks of at most about QUERY_BLOCK, one pass over the index each.
+    digits and ties go by chunk_id. A vector that is null, zero or of another length has distance 1. Up to QUERY_BLOCK
+    questions are sent to all tasks, and the index is not shuffled; more go by ``search_cells``, as one cell, with equal results.
     """
     if filters:
         index = index.where(predicate(index, filters))
     near = W.partitionBy("_q").orderBy("distance", "chunk_id")
-    out = []
-    for questions in _questions(queries):
-        if not questions:
-            continue
-        names = index.sparkSession.createDataFrame([(i, r["qid"]) for i, r in enumerate(questions)], T.StructType([T.StructField("_q", T.IntegerType()), queries.schema["qid"]]))
-        found = _nearest(index, questions, k).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
-        out.append(found.join(F.broadcast(names), "_q").drop("_q"))  # of the block's size
-    if not out:
+    questions = queries.limit(QUERY_BLOCK + 1).collect()
+    if len(questions) > QUERY_BLOCK:
+        return search_cells(index.withColumn("cell", F.lit(0)), queries.select("qid", "query", F.lit(0).alias("cell")), k, block=QUERY_BLOCK).withColumn("score", -F.col("distance"))
+    if not questions:
         return index.limit(0).join(queries.select("qid").limit(0)).drop("embedding").select(F.lit(0.0).alias("distance"), *[c for c in index.columns if c != "embedding"], F.lit(0).alias("rank"), "qid", F.lit(0.0).alias("score"))
-    return reduce(DataFrame.unionByName, out).withColumn("score", -F.col("distance"))
+    names = index.sparkSession.createDataFrame([(i, r["qid"]) for i, r in enumerate(questions)], T.StructType([T.StructField("_q", T.IntegerType()), queries.schema["qid"]]))
+    found = _nearest(index, questions, k).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+    return found.join(F.broadcast(names), "_q").drop("_q").withColumn("score", -F.col("distance"))  # of QUERY_BLOCK rows at most
 
 
 def capped_top(ranked: DataFrame, cap: int, k: int, source: str = "source_id") -> DataFrame:
@@ -184,7 +241,7 @@ def mmr_order(query: np.ndarray, vectors: np.ndarray, k: int, weight: float) ->
 
 def mmr(ranked: DataFrame, queries: DataFrame, k: int, weight: float = 0.7, pool: int = 50) -> DataFrame:
     """Re-ranks the first ``pool`` of each query (``ranked`` with embedding); score 1 - 0.001 a place. Rows without a vector go."""
-    rows = ranked.where((F.col("rank") <= pool) & F.col("embedding").isNotNull()).join(F.broadcast(queries), "qid")
+    rows = ranked.where((F.col("rank") <= pool) & F.col("embedding").isNotNull()).join(queries, "qid")
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark import buckets, pipeline, storage
 from docspark.config import LEAF, PARENT, Chunking, Prompts, Retrieval, Window
 from docspark.functions import text as X
-from docspark.operators import answers, chunking, index, registry, retrieval
+from docspark.operators import answers, chunking, index, inverted_file, registry, retrieval
 from docspark.sources import admin, files
 
 QUERIES = {}
@@ -473,6 +473,21 @@ def knn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir).select("qid", "chunk_id", "rank", (F.round("score", 6) + 0).alias("score"))
 
 
+@query()
+def knn_inverted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through an inverted file: approximate, so no SQL; tests measure its recall against ``knn``."""
+    path = storage.shared_dir(spark, "inverted-file")
+    inverted_file.build(_vectors(spark, sf_dir).select("chunk_id", "source_id", "embedding"), path)
+    return _shown(inverted_file.search(spark, path, _questions(spark, sf_dir), 24))
+
+
+@query(f"WITH {_ANY} SELECT {_HEAD} FROM knn")
+def knn_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact search as tables too large to send take it: parts of the index meet blocks of questions."""
+    index = _vectors(spark, sf_dir).select("chunk_id", "embedding", F.lit(0).alias("cell"))
+    return _shown(retrieval.search_cells(index, _questions(spark, sf_dir).withColumn("cell", F.lit(0)), 24, cell_rows=400, block=16))
+
+
 @query(f"WITH {_KNN.format(where=chr(115) + 'ource_id IN (' + repr('1') + ', ' + repr('3') + ')')} SELECT {_HEAD} FROM knn")
 def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_knn(spark, sf_dir, retrieval.parse_filters(["source_id=1", "source_id=3"])))
