@@ -77,7 +77,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if args.command == "update":
         sources = tuple(args.source)
         out = update.run_update(
-            spark, layout, update.Convert(bool(args.convert_from), args.convert_from, args.dry_run, args.force, args.keep_stale), update.Scan(roots=tuple(args.corpus), scan_only=args.scan_only),
+            spark, layout, update.Convert(bool(args.convert_from), args.convert_from, args.dry_run, args.force, args.keep_stale), update.Scan(roots=tuple(args.corpus), raw=args.convert_from, scan_only=args.scan_only),
             update.Chunk(not args.scan_only, args.force, sources, args.limit, args.keep_stale), update.Index(not args.scan_only, args.force, sources, args.limit, args.keep_stale),
         )
     elif args.command == "ask":

@@ -5,16 +5,22 @@ from __future__ import annotations
 import re
 import shutil
 import subprocess
+import tempfile
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import islice
+from pathlib import Path
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.operators.chunking import document_stats, materialize_units
 from docspark.operators.registry import normalize_registry, stale_converted, to_hash
 from docspark.schemas import REGISTRY
-from docspark.storage import delete, read_version, write_version
+from docspark.storage import delete, exists, materialize, read_version, write_version
 
 # What a scan takes, and what conversion makes of legacy formats.
 SUPPORTED = (".pdf", ".docx", ".pptx")
@@ -25,8 +31,8 @@ def _suffix(path):
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-#: Files that are read by name; of more, all files under the roots are read and the others' results dropped.
-PATHS = 10_000
+#: Names that one reader takes.
+PATHS = 50_000
 
 
 def list_files(spark: SparkSession, roots: list[str], extensions: tuple[str, ...] = SUPPORTED) -> DataFrame:
@@ -49,14 +55,28 @@ def converted_path(source: Column, raw: str, converted: str) -> Column:
     return F.concat(F.lit(converted.rstrip("/")), F.regexp_replace(rest, r"\.[^./]+$", ""), modern)
 
 
-def read_files(spark: SparkSession, roots: list[str], wanted: DataFrame) -> DataFrame:
-    """(path, ext, content) of the ``wanted`` paths, or of all files of the roots if these are over PATHS; join what is made of it by path."""
-    few = wanted.select("path").limit(PATHS + 1).collect()
-    reader = spark.read.format("binaryFile")
-    if not few:
-        return spark.createDataFrame([], "path string, ext string, content binary")
-    files = reader.load([_escaped(r["path"]) for r in few]) if len(few) <= PATHS else reader.option("recursiveFileLookup", True).load(roots)
-    return files.select("path", _suffix(F.col("path")).alias("ext"), "content")
+def read_files(spark: SparkSession, wanted: DataFrame) -> DataFrame:
+    """(path, ext, content) of the ``wanted`` paths, and of no others; those that are gone have no row.
+
+    Names go to the driver, as in any listing, PATHS of them to a reader.
+    """
+    loads, names = [], wanted.select("path").distinct().toLocalIterator()
+    while batch := [r["path"] for r in islice(names, PATHS)]:
+        loads.append(_load(spark, batch))
+    none = spark.createDataFrame([], "path string, ext string, content binary")
+    return reduce(DataFrame.unionByName, [f.select("path", _suffix(F.col("path")).alias("ext"), "content") for f in loads if f is not None], none)
+
+
+def _load(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
+    try:
+        return reader.load([_escaped(p) for p in paths])
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    with ThreadPoolExecutor(32) as pool:  # some have gone since they were listed
+        there = [p for p, found in zip(paths, pool.map(lambda p: exists(spark, p), paths)) if found]
+    return _load(spark, there) if there else None
 
 
 def _escaped(path: str) -> str:
@@ -71,10 +91,11 @@ def scan_corpus(spark: SparkSession, roots: list[str], registry: DataFrame, exte
     """
     listing = list_files(spark, roots, extensions).withColumnRenamed("path", "canonical_path")
     fresh = to_hash(registry, listing).select(F.col("canonical_path").alias("path"))
-    hashes = read_files(spark, roots, fresh).select(F.col("path").alias("canonical_path"), F.sha2("content", 256).alias("content_hash"))
+    hashes = read_files(spark, fresh).select(F.col("path").alias("canonical_path"), F.sha2("content", 256).alias("content_hash"))
     known = registry.where("canonical_path <> ''").groupBy("canonical_path").agg(F.max("content_hash").alias("_known"))
     rows = listing.join(hashes, "canonical_path", "left").join(known, "canonical_path", "left")
-    return rows.withColumn("content_hash", F.coalesce("content_hash", "_known")).drop("_known")
+    # a file that went before it was hashed is as if it had not been listed
+    return rows.withColumn("content_hash", F.coalesce("content_hash", "_known")).where("content_hash IS NOT NULL").drop("_known")
 
 
 def read_pdf(content: bytes) -> list[dict]:
@@ -187,31 +208,35 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return objects.select(F.from_json("line", schema).alias("x")).select("x.*")
 
 
-def convert(source: str, destination: str, dry_run: bool = False, timeout: int = 180, run=subprocess.run) -> tuple[str, str]:
-    """(status, detail) of converting one legacy file: OK, SKIP, FAIL or DRYRUN."""
-    import os
+def convert(source: str, destination: str, dry_run: bool = False, force: bool = False, timeout: int = 180, run=subprocess.run) -> tuple[str, str]:
+    """(status, detail) of converting one legacy file: OK, SKIP, FAIL or DRYRUN.
 
-    if os.path.exists(destination) and os.path.getsize(destination) and os.path.getmtime(destination) >= os.path.getmtime(source):
+    The office program writes into a folder of its own beside the destination; only a file that
+    isn't empty moves into place, so what was there stays until then, and stays after a failure.
+    """
+    made, old = Path(destination), Path(source)
+    if not force and made.is_file() and made.stat().st_size and made.stat().st_mtime >= old.stat().st_mtime:
         return "SKIP", "up to date"
     if dry_run:
         return "DRYRUN", "would convert"
-    office = shutil.which("soffice") or "soffice"
-    folder, kind = os.path.dirname(destination), destination.rsplit(".", 1)[-1]
-    try:
-        done = run([office, "--headless", "--convert-to", kind, "--outdir", folder, source], capture_output=True, text=True, timeout=timeout)
-    except subprocess.TimeoutExpired:
-        return "FAIL", f"timeout after {timeout} s"
-    except Exception as e:
-        return "FAIL", str(e)
-    if done.returncode:
-        return "FAIL", f"exit {done.returncode}: {done.stderr}"
-    stem = os.path.basename(source).rsplit(".", 1)[0].lower()
-    made = [f for f in (os.listdir(folder) if os.path.isdir(folder) else []) if f.lower() == f"{stem}.{kind}"]
-    if not made:
-        return "FAIL", "no output"
-    if (path := os.path.join(folder, made[0])) != destination:
-        os.replace(path, destination)
-    return ("OK", "") if os.path.getsize(destination) else ("FAIL", "empty output")
+    made.parent.mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(prefix=".converting-", dir=made.parent) as folder:
+        command = [shutil.which("soffice") or "soffice", "--headless", "--convert-to", made.suffix[1:], "--outdir", folder, source]
+        try:
+            done = run(command, capture_output=True, text=True, timeout=timeout)
+        except subprocess.TimeoutExpired:
+            return "FAIL", f"timeout after {timeout} s"
+        except OSError as e:
+            return "FAIL", str(e)
+        said = next((t.strip() for t in (done.stderr, done.stdout) if t and t.strip()), "")
+        if done.returncode:
+            return "FAIL", f"exit {done.returncode}: {said}"
+        # the program may write the name in another case
+        found = next((f for f in Path(folder).iterdir() if f.name.lower() == f"{old.stem}{made.suffix}".lower()), None)
+        if found is None or not found.stat().st_size:
+            return "FAIL", f"{'no' if found is None else 'empty'} output{': ' + said if said else ''}"
+        found.replace(made)
+    return "OK", ""
 
 
 def run_conversion(spark: SparkSession, raw: str, converted: str, dry_run: bool = False, keep_stale: bool = False, limit: int = 0, force: bool = False, timeout: int = 180, run=subprocess.run) -> tuple[DataFrame, int]:
@@ -221,19 +246,12 @@ def run_conversion(spark: SparkSession, raw: str, converted: str, dry_run: bool
     plan = plan.orderBy("source").limit(limit) if limit > 0 else plan
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         for pdf in frames:
-            rows = []
-            for source, destination in zip(pdf["source"], pdf["destination"]):
-                os.makedirs(os.path.dirname(destination), exist_ok=True)
-                if force and not dry_run and os.path.exists(destination):
-                    os.remove(destination)
-                rows.append((source, destination, *convert(source, destination, dry_run, timeout, run)))
+            rows = [(s, d, *convert(s, d, dry_run, force, timeout, run)) for s, d in zip(pdf["source"], pdf["destination"])]
             yield pd.DataFrame(rows, columns=["source", "destination", "status", "detail"])
 
-    results = plan.repartition("source").mapInPandas(each, "source string, destination string, status string, detail string")
-    rows = spark.createDataFrame(results.toPandas(), "source string, destination string, status string, detail string")  # one row a legacy file
+    # written once: a result that is read twice must not convert twice
+    rows = materialize(plan.repartition("source").mapInPandas(each, "source string, destination string, status string, detail string"), "converted")
     removed = 0
     if not keep_stale:
         there = list_files(spark, [converted], tuple(LEGACY.values())).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))

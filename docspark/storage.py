@@ -49,6 +49,11 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
+
+
 def under(root: str, path: str) -> bool:
     """Whether ``path`` lies in ``root`` (not above, beside or through ``..``)."""
     return path.startswith(root.rstrip("/") + "/") and ".." not in path.split("/")

@@ -8,7 +8,7 @@ leaves the state before. The index is in buckets (``buckets``), so a step writes
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +17,9 @@ from docspark import buckets
 from docspark.config import Chunking, Indexing, config_hash
 from docspark.functions import text as X
 from docspark.operators import chunking, index, registry as R
-from docspark.schemas import CHUNK_FIELDS, CHUNKED, EXTRACTED, FAILED, INDEX_FIELDS, INDEXED, PENDING, REGISTRY, REGISTRY_FIELDS
+from docspark.schemas import CHUNK_FIELDS, CHUNKED, EXTRACTED, FAILED, INDEX_FIELDS, INDEXED, MISSING, PENDING, REGISTRY, REGISTRY_FIELDS
 from docspark.sources import files
-from docspark.sources.connectors import Embedder, HashEmbedder, embed_texts
+from docspark.sources.connectors import Embedder, HashEmbedder, embed_once, embed_texts
 from docspark.storage import Commit, Layout, exists, materialize
 
 EXTRACTED_SCHEMA = "source_id string, text string, units array<struct<unit_type:string,unit_index:int,text:string,start_char:int,end_char:int>>, stats struct<unit_count:int,char_count:int>, meta struct<source_id:string,origin_path:string,canonical_path:string,filename:string,nature:string,ext:string,modified_time:string>"
@@ -44,6 +44,9 @@ class Scan:
     #: The folder of a corpus whose first level names the documents' nature, and the folder that stands for it wherever it is.
     nature_root: str = ""
     nature_marker: str = ""
+    #: Converted files, which are scanned too, and the folder that they were made from.
+    converted: str = ""
+    raw: str = ""
     scan_only: bool = False
     keep_missing: bool = False
     again: bool = False
@@ -70,6 +73,12 @@ class Index:
     keep_stale: bool = False
     config: Indexing = Indexing()
     make: Callable[[], Embedder] = HashEmbedder
+    #: Where embeddings are kept by text, so that none is paid for twice; by default they are not.
+    ledger: str = ""
+
+
+# Fixed value: what a registry row says of a file that was there when it was listed, and not when it was read.
+GONE = "canonical_path missing on disk"
 
 
 def _now() -> Column:
@@ -97,26 +106,46 @@ def _publish(commit: Commit, rows: DataFrame) -> None:
     commit.publish()
 
 
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def with_origins(scan: DataFrame, step: Scan) -> DataFrame:
+    """``scan`` (canonical_path, ext, ...) with origin_path: of a converted file the raw file that it came from, '' if that is gone; of any other file itself."""
+    if not step.converted:
+        return scan.withColumn("origin_path", F.col("canonical_path"))
+    inside = lambda path, root: _plain(path).startswith(root.rstrip("/") + "/")
+    stem = lambda path, root: F.regexp_replace(F.substring(_plain(path), len(root.rstrip("/")) + 2, 1 << 30), r"\.[^./]+$", "")
+    made, raw = (path.removeprefix("file://") for path in (step.converted, step.raw))
+    there = files.list_files(scan.sparkSession, [step.raw], (*step.extensions, *files.LEGACY)) if step.raw else scan.limit(0).withColumnRenamed("canonical_path", "path")
+    converted = scan.where(inside(F.col("canonical_path"), made))
+    origins = R.origin_of(converted.select("canonical_path", stem(F.col("canonical_path"), made).alias("stem"), "ext"), there.select(stem(F.col("path"), raw).alias("stem"), "ext", "path"))
+    rows = scan.join(origins.select("canonical_path", "origin").dropDuplicates(["canonical_path"]), "canonical_path", "left")
+    return rows.withColumn("origin_path", F.when(inside(F.col("canonical_path"), made), F.coalesce("origin", F.lit(""))).otherwise(F.col("canonical_path"))).drop("origin")
+
+
 def scan_and_extract(spark: SparkSession, layout: Layout, step: Scan) -> dict:
     commit = Commit(spark, layout.root)
     known = _registry(commit)
     records = commit.read("extracted", EXTRACTED_SCHEMA)
-    scan = files.scan_corpus(spark, list(step.roots), known, step.extensions)
-    nature = X.nature_of(F.col("canonical_path"), step.nature_root, step.nature_marker) if step.nature_root else F.lit("")
+    roots = [*([step.converted] if step.converted and exists(spark, step.converted) else []), *step.roots]
+    scan = with_origins(files.scan_corpus(spark, roots, known, step.extensions), step)
+    named = F.when(F.col("origin_path") != "", F.col("origin_path")).otherwise(F.col("canonical_path"))
+    nature = X.nature_of(named, step.nature_root, step.nature_marker) if step.nature_root else F.lit("")
     artifacts = records.select(F.col("source_id").alias("content_hash"), F.lit(True).alias("artifact_exists")).distinct()
-    scan = scan.join(artifacts, "content_hash", "left").withColumns({"nature": nature, "origin_path": F.col("canonical_path"), "seen_at": _now(), "artifact_exists": F.coalesce("artifact_exists", F.lit(False))})
+    scan = scan.join(artifacts, "content_hash", "left").withColumns({"nature": nature, "seen_at": _now(), "artifact_exists": F.coalesce("artifact_exists", F.lit(False))})
     rows = materialize(R.reconcile(known, scan), "registry")
     if not step.scan_only:
         targets = R.extraction_targets(rows, step.again).dropDuplicates(["source_id"])
         wanted = targets.select(F.col("canonical_path").alias("path"))
-        units = files.extract_units(files.read_files(spark, list(step.roots), wanted), step.readers)
-        found = targets.join(units.withColumnRenamed("path", "canonical_path"), "canonical_path", "left").withColumn("error", F.when(F.col("units").isNull(), "canonical_path missing on disk").otherwise(F.col("error")))
+        units = files.extract_units(files.read_files(spark, wanted), step.readers)
+        found = targets.join(units.withColumnRenamed("path", "canonical_path"), "canonical_path", "left").withColumn("error", F.when(F.col("units").isNull() & F.col("error").isNull(), GONE).otherwise(F.col("error")))
         made = materialize(files.extracted_records(found.withColumn("units", F.coalesce("units", F.array()))), "extracted")
         good = made.where("error IS NULL").drop("error")
         records = records.join(good.select("source_id"), "source_id", "left_anti").unionByName(good)
         ok = F.col("_error").isNull()
         pending = {f: F.lit(PENDING if f == "chunk_status" else "") for f in CHUNK_FIELDS}
-        rows = apply(rows, made.select("source_id", F.col("error").alias("_error")), {"extraction_status": F.when(ok, EXTRACTED).otherwise(FAILED), "extraction_error": F.coalesce("_error", F.lit("")), "extracted_path": F.when(ok, F.lit(layout.extracted)).otherwise(""), "last_extracted_time": F.when(ok, _now()).otherwise("")} | {f: F.when(ok, v).otherwise("") for f, v in (pending | _blank(INDEX_FIELDS)).items()})
+        rows = apply(rows, made.select("source_id", F.col("error").alias("_error")), {"extraction_status": F.when(ok, EXTRACTED).when(F.col("_error") == GONE, MISSING).otherwise(FAILED), "extraction_error": F.coalesce("_error", F.lit("")), "extracted_path": F.when(ok, F.lit(layout.extracted)).otherwise(""), "last_extracted_time": F.when(ok, _now()).otherwise("")} | {f: F.when(ok, v).otherwise("") for f, v in (pending | _blank(INDEX_FIELDS)).items()})
         rows = materialize(rows, "registry")
     purged = 0
     if not step.keep_missing:
@@ -167,7 +196,9 @@ def run_indexing(spark: SparkSession, layout: Layout, step: Index) -> dict:
     mine = buckets.read(commit, "index", INDEX_SCHEMA, targets).join(targets, "source_id")
     stay = mine.where("NOT again").drop("again")
     todo = desired.join(stay.select("chunk_id"), "chunk_id", "left_anti")
-    new = materialize(embed_texts(todo.select("chunk_id", "text"), step.make, batch_size=step.config.batch_size, max_retries=step.config.max_retries, base_delay=step.config.base_delay), "vectors")
+    texts, calls = todo.select("chunk_id", "text"), {"batch_size": step.config.batch_size, "max_retries": step.config.max_retries, "base_delay": step.config.base_delay}
+    embedded = embed_once(texts, step.make, step.ledger, step.config.model, **calls) if step.ledger else embed_texts(texts, step.make, **calls)
+    new = materialize(embedded, "vectors")
     merged = materialize(index.merge(stay, desired, new), "merged")
     stats = index.upsert_stats(index.diff(mine.where("NOT again"), desired)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "newly_embedded", "unchanged", "stale_deleted")]).first()
     counts = merged.groupBy("source_id").agg(F.count(F.lit(1)).cast("string").alias("_n"))
@@ -191,6 +222,8 @@ def run_indexing(spark: SparkSession, layout: Layout, step: Index) -> dict:
 def run_update(spark: SparkSession, layout: Layout, convert: Convert = Convert(), scan: Scan = Scan(), chunk: Chunk = Chunk(), index: Index = Index()) -> dict:
     """The enabled steps in order; what each has to say, by name."""
     results = {}
+    if not scan.converted and exists(spark, layout.converted) or convert.enabled:
+        scan = replace(scan, converted=scan.converted or layout.converted, raw=scan.raw or convert.raw or (scan.roots[0] if scan.roots else ""))
     if convert.enabled:
         if not exists(spark, convert.raw):
             raise FileNotFoundError(convert.raw or "the raw folder is not set")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docspark import cli, storage, update
 from docspark.config import Chunking, Retrieval, Window
 from docspark.operators import answers, index, registry, retrieval
-from docspark.sources import admin, connectors, files
+from docspark.sources import admin, files
 
 READERS = {".txt": lambda content: [{"unit_type": "paragraph", "unit_index": i + 1, "text": t} for i, t in enumerate(content.decode().split("\n"))]}
 CHUNKS = update.Chunk(config=Chunking(Window("leaf", 3, 5, 8, 1), Window("parent", 8, 12, 20, 2)))
@@ -81,6 +81,80 @@ def test_update_from_files_to_answers(spark, tmp_path):
         admin.reset(spark, [str(tmp_path)], layout.root, True)
 
 
+@pytest.mark.parametrize("most", [3, 100])
+def test_only_named_files_are_read(spark, tmp_path, monkeypatch, most):
+    """In one reader and in several; of files that have gone there is no row."""
+    monkeypatch.setattr(files, "PATHS", most)
+    for i in range(20):
+        put(tmp_path / "x" / f"f {i}[a]{{b}}*.txt", str(i))
+    wanted = [f"file:{tmp_path}/x/f {i}[a]{{b}}*.txt" for i in (1, 3, 5, 7, 9, 11, 13, 30, 31)]
+    found = files.read_files(spark, spark.createDataFrame([(w,) for w in wanted * 2], "path string"))
+    assert sorted(int(r["content"]) for r in found.collect()) == [1, 3, 5, 7, 9, 11, 13] and len(found.inputFiles()) == 7
+    assert files.read_files(spark, spark.createDataFrame([(wanted[-1],)], "path string")).count() == 0 == files.read_files(spark, spark.createDataFrame([], "path string")).count()
+
+
+def test_failed_conversions_keep_what_was_there(tmp_path):
+    old, new = tmp_path / "raw" / "A.doc", tmp_path / "made" / "x" / "A.docx"
+    put(old, "old")
+    put(new, "before")
+
+    def office(code=0, text="made", name="a.DOCX", stderr="", stdout=""):
+        def run(command, **_):
+            if text is not None:
+                with open(f"{command[-2]}/{name}", "w") as f:
+                    f.write(text)
+            return type("Done", (), {"returncode": code, "stderr": stderr, "stdout": stdout})
+
+        return run
+
+    def late(*_, **__):
+        raise files.subprocess.TimeoutExpired("soffice", 3)
+
+    go = lambda run, **options: files.convert(str(old), str(new), run=run, **options)
+    assert go(None) == ("SKIP", "up to date") and go(None, force=True, dry_run=True) == ("DRYRUN", "would convert")
+    assert go(office(2, None, stdout="from stdout"), force=True) == ("FAIL", "exit 2: from stdout") and go(office(1, stderr="from stderr", stdout="x"), force=True)[1] == "exit 1: from stderr"
+    assert go(late, force=True, timeout=3)[1] == "timeout after 3 s" and go(office(text=None), force=True)[1] == "no output" and go(office(text=""), force=True)[1] == "empty output"
+    assert go(office(name="other.docx"), force=True)[0] == "FAIL" and new.read_text() == "before" and os.listdir(new.parent) == ["A.docx"]
+    assert go(office(), force=True) == ("OK", "") and new.read_text() == "made" and os.listdir(new.parent) == ["A.docx"]
+
+
+def test_from_legacy_file_to_cited_origin(spark, tmp_path, monkeypatch):
+    """A .doc is converted, scanned with its origin and nature, indexed and cited by the origin; a file that goes before it is read is missing."""
+    raw, layout = tmp_path / "raw", storage.Layout(str(tmp_path / "state"))
+    words = lambda n, x: " ".join(f"{x}{i}" for i in range(n))
+    put(raw / "law" / "Old.doc", words(20, "legacy"), 50)
+    put(raw / "law" / "own.docx", words(20, "modern"), 50)
+    put(raw / "tax" / "gone.docx", "soon gone", 50)
+
+    def office(command, **_):
+        folder, source = command[-2], command[-1]
+        with open(source) as a, open(f"{folder}/{os.path.basename(source).rsplit('.', 1)[0]}.docx", "w") as b:
+            b.write(a.read())
+        return type("Done", (), {"returncode": 0, "stderr": "", "stdout": ""})
+
+    whole, listed = files.run_conversion, files.scan_corpus
+    monkeypatch.setattr(files, "run_conversion", lambda *a: whole(*a, run=office))
+
+    def scan_then_lose(*a):
+        found = storage.materialize(listed(*a), "scan")
+        (raw / "tax" / "gone.docx").unlink(missing_ok=True)
+        return found
+
+    monkeypatch.setattr(files, "scan_corpus", scan_then_lose)
+    step = update.Scan(roots=(str(raw),), extensions=(".docx",), readers={".docx": READERS[".txt"]}, nature_root=f"file:{raw}", nature_marker="none")
+    done = update.run_update(spark, layout, update.Convert(True, str(raw)), step, CHUNKS, update.Index(ledger=f"{tmp_path}/ledger"))
+    assert done["convert"]["OK"] == 1 and done["scan_extract"]["extraction_status_counts"] == {"EXTRACTED": 2, "MISSING": 1}
+    rows = {r["filename"]: r for r in files.read_registry(spark, layout.registry).collect()}
+    assert rows["Old.docx"]["origin_path"].endswith("/raw/law/Old.doc") and rows["Old.docx"]["canonical_path"].endswith("/state/converted/law/Old.docx") and rows["Old.docx"]["nature"] == "law"
+    assert rows["own.docx"]["origin_path"] == rows["own.docx"]["canonical_path"] and rows["gone.docx"]["extraction_error"] == update.GONE and rows["gone.docx"]["chunk_status"] == ""
+    out = cli.main(["--root", layout.root, "ask", "legacy1 legacy2 legacy3", "--no-parents"], spark)
+    assert out["citations"][0]["path"].endswith("/raw/law/Old.doc")
+    # the legacy file goes: its converted file is stale and goes too
+    (raw / "law" / "Old.doc").unlink()
+    done = update.run_update(spark, layout, update.Convert(True, str(raw)), step, CHUNKS)
+    assert done["convert"]["stale_removed"] == 1 and done["index"]["stale_removed"] == 1 and {r["source_id"] for r in storage.read_version(spark, layout.index).collect()} == {rows["own.docx"]["source_id"]}
+
+
 def test_known_paths_of_equal_content_stay(spark):
     fields = "source_id string, content_hash string, canonical_path string, size_bytes string, modified_time string, extraction_status string"
     known = registry.normalize_registry(spark.createDataFrame([("h", "h", "a", "1", "t", "EXTRACTED"), ("h", "h", "b", "1", "t", "EXTRACTED"), ("g", "g", "m", "1", "t", "EXTRACTED")], fields))
@@ -147,7 +221,7 @@ def test_sources(spark, tmp_path):
         folder, source = command[-2], command[-1]
         with open(f"{folder}/{os.path.basename(source).rsplit('.', 1)[0]}.docx", "w") as f:
             f.write("made")
-        return type("Done", (), {"returncode": 0, "stderr": ""})
+        return type("Done", (), {"returncode": 0, "stderr": "", "stdout": ""})
 
     raw, made = str(tmp_path / "raw"), str(tmp_path / "made")
     dry, _ = files.run_conversion(spark, raw, made, dry_run=True, keep_stale=True, run=office)
@@ -163,11 +237,7 @@ def test_sources(spark, tmp_path):
     assert admin.backup_name(" n ") == "n" and admin.backup_name("", 0) == "19700101T000000Z"
 
 
-def test_clients():
-    with pytest.raises(RuntimeError, match="not installed"):
-        connectors.remote_client("k", 1, "no_such_library")
-    with pytest.raises(RuntimeError, match="key"):
-        connectors.remote_client(" ", 1, "json", "JSONDecoder")
+def test_options():
     assert cli.parser().parse_args(["--root", "r", "ask", "q", "--parents"]).parents is True
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["--root", "r", "ask", "q", "--parents", "--no-parents"])
