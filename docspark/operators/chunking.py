@@ -9,7 +9,6 @@ and boundaries, units, parents and neighbours are found by searches in sorted ar
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,8 @@ from docspark.config import Chunking, Window
 from docspark.functions import text as X
 from docspark.functions.spans import spanner
 
-_WORD = re.compile(r"\S+")
+#: Which code points are white space: all that are lie below the table's end.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 SEPARATOR = "\n\n"
 
 
@@ -83,15 +83,23 @@ class Batch:
         return np.searchsorted(self.base, place, side="right") - 1
 
 
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of other characters than white space begin and end."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.r_[False, ~_BLANK[np.minimum(points, len(_BLANK) - 1)], False]
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    return turns[::2], turns[1::2]
+
+
 def read_batch(sources: list[str], texts: list[str], units: pa.ListArray, spans) -> Batch:
     """Places of a batch. Units are clipped to their text, blank ones go; a text without units, or with ones that overlap, is one unit."""
     sizes = np.array([len(t) for t in texts], np.int64)
     base = np.r_[0, np.cumsum(sizes + 1)]
     joined = "\n".join(texts)
-    words = np.array([m.span() for m in _WORD.finditer(joined)], np.int64).reshape(-1, 2)
+    word_start, word_end = word_places(joined)
     found = None if spans is None else [spans(t) for t in texts]
     if found is None:
-        starts, ends, names = words[:, 0], words[:, 1], ["whitespace"] * len(texts)
+        starts, ends, names = word_start, word_end, ["whitespace"] * len(texts)
     else:
         starts, ends = (np.concatenate([np.array(s[k], np.int64) + b for (s, _), b in zip(found, base)] or [np.zeros(0, np.int64)]) for k in (0, 1))
         names = [name for _, name in found]
@@ -103,8 +111,8 @@ def read_batch(sources: list[str], texts: list[str], units: pa.ListArray, spans)
     there = ~np.isnan(number("start_char")) & ~np.isnan(number("end_char"))
     place = lambda name: np.clip(np.nan_to_num(number(name)).astype(np.int64), 0, sizes[doc]) + base[doc]
     left, right = place("start_char"), place("end_char")
-    word = np.searchsorted(words[:, 1], left, side="right")  # the first word that ends behind the unit's start
-    there &= (word < len(words)) & (np.r_[words[:, 0], 0][np.minimum(word, len(words))] < right)
+    word = np.searchsorted(word_end, left, side="right")  # the first word that ends behind the unit's start
+    there &= np.r_[word_start, base[-1]][word] < right
     order = np.flatnonzero(there)
     order = order[np.lexsort((right[order], left[order]))]
     doc, left, right = doc[order], left[order], right[order]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from docspark.schemas import CHUNK_FIELDS, CHUNKED, EXTRACTED, EXTRACTION_FIELDS, FAILED, INDEX_FIELDS, INDEXED, MISSING, NEW, PENDING, REGISTRY_FIELDS
+from docspark.storage import materialize
 
 
 def normalize_registry(rows: DataFrame) -> DataFrame:
@@ -28,9 +29,10 @@ def reconcile(registry: DataFrame, scan: DataFrame) -> DataFrame:
     Rows that share a path all stay and are matched by it; the content hash of a scanned file may be null where size and time are those of the registry.
     """
     facts = ["canonical_path", "filename", "nature", "ext", "origin_path", "size_bytes", "modified_time"]
-    known = one = normalize_registry(registry)
+    one = normalize_registry(registry)
     s = scan.select(*[F.col(c).alias(f"s_{c}") for c in scan.columns])
-    by_path = one.join(s, F.col("canonical_path") == F.col("s_canonical_path"), "full_outer")
+    # written once: all that follows reads parts of it
+    by_path = materialize(one.join(s, F.col("canonical_path") == F.col("s_canonical_path"), "full_outer"), "registry-by-path")
     matched = by_path.where("canonical_path IS NOT NULL AND s_canonical_path IS NOT NULL").withColumn("_case", F.lit("path"))
     lost = by_path.where("s_canonical_path IS NULL").select(*REGISTRY_FIELDS)
     matched = matched.withColumn("s_content_hash", F.coalesce("s_content_hash", "content_hash"))

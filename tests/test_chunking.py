@@ -91,6 +91,12 @@ def documents():
     return [*out, ("empty", "", []), ("null", None, None), ("blank", " \n \t", [("p", 1, 0, 3)]), ("one", "word", None), ("long", " ".join(f"w{k}" for k in range(5000)), [("p", 1, 0, 100), ("p", 2, 100, 9000)]), ("s0", "repeated identifier here", None)]
 
 
+def test_words_are_those_of_the_regex():
+    every = "".join(f"a{chr(c)}" for c in [*range(0x3200), 0xFEFF, 0x1F600, 0x10FFFF] if not 0xD800 <= c < 0xE000)
+    for text in ("", " ", "a", " a  b ", every, "\n\n", "x\u3000y\u2028z\x1c\x85"):
+        assert list(zip(*(x.tolist() for x in chunking.word_places(text)))) == [m.span() for m in re.finditer(r"\S+", text)]
+
+
 @pytest.mark.parametrize("least", [0, 7])
 @pytest.mark.parametrize("chars", [1, 500, 10**7])
 def test_chunks_against_brute_force(spark, monkeypatch, least, chars):
