@@ -51,6 +51,7 @@ KINDS = (
 )
 
 _BLOCK = 512
+_NEAR = 1 + max(CONTEXT_BEFORE, CONTEXT_AFTER) // 3
 
 
 def _running(a: Column) -> Column:
@@ -90,13 +91,29 @@ def _mod97(m: Column) -> Column:
     return F.length(plain).between(15, 34) & (F.aggregate(F.split(turned, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(step(s, c))) == 1)
 
 
+def _with_context(matches: Column, gaps: Column, rows: Column) -> Column:
+    """``rows`` with ahead and behind: the text around each match, other matches included, as far as context is read.
+
+    A match has three code points or more, so _NEAR matches and the gaps between them reach far enough.
+    """
+    pairs = lambda a, b: F.array_join(F.zip_with(a, b, lambda x, y: F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit("")))), "")
+
+    def row(x: Column, i: Column) -> Column:
+        first, n = F.greatest(i - _NEAR, F.lit(0)) + 1, F.least(i, F.lit(_NEAR))
+        ahead = F.concat(pairs(F.slice(gaps, first, n), F.slice(matches, first, n)), x["before"])
+        behind = F.concat(x["after"], pairs(F.slice(matches, i + 2, F.lit(_NEAR)), F.slice(gaps, i + 3, F.lit(_NEAR))))
+        return F.struct(x["value"].alias("value"), x["start"].alias("start"), x["before"].alias("before"), x["after"].alias("after"), ahead.alias("ahead"), behind.alias("behind"))
+
+    return F.transform(rows, row)
+
+
 def _iban(x: Column) -> Column:
     """The proposal, or, as capital words may follow a number, its longest row of groups that passes."""
     groups = F.split(x["value"], " ")
     tried = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, 1, k), " "))
     value = F.coalesce(F.try_element_at(F.filter(tried, _mod97), F.lit(1)), x["value"])
     rest = F.substring(x["value"], F.length(value) + 1, F.lit(1 << 30))
-    return F.struct(value.alias("value"), x["start"].alias("start"), x["before"].alias("before"), F.concat(rest, x["after"]).alias("after"))
+    return F.struct(value.alias("value"), x["start"].alias("start"), x["before"].alias("before"), F.concat(rest, x["after"]).alias("after"), x["ahead"].alias("ahead"), F.concat(rest, x["behind"]).alias("behind"))
 
 
 CONFIRM = {"email": lambda m: F.lit(True), "ip": _ip, "card": _luhn, "phone": _phone, "iban": _mod97, "ssn": lambda m: ~m.rlike("^(?:000|666|9)|-00-|0000$")}
@@ -109,7 +126,7 @@ def _confirmed(kind: Kind):
 
 
 def _scored(kind: Kind):
-    near = lambda x: F.right(x["before"], F.lit(CONTEXT_BEFORE)).rlike(kind.context) | F.substring(x["after"], 1, CONTEXT_AFTER).rlike(kind.context)
+    near = lambda x: F.right(x["ahead"], F.lit(CONTEXT_BEFORE)).rlike(kind.context) | F.substring(x["behind"], 1, CONTEXT_AFTER).rlike(kind.context)
     score = lambda x: F.lit(kind.score) + F.when(near(x), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
     return lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value"), score(x).alias("score"))
 
@@ -121,7 +138,10 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataF
     """
     out = free_name(docs, out)
     keep = [F.col(f"`{c}`") for c in docs.columns]
-    names = {k.name: free_name(docs, f"__{k.name}") for k in KINDS}
+    taken, prefix = {c.lower() for c in docs.columns}, "__pii"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    names = {k.name: f"{prefix}{k.name}" for k in KINDS}
     df = docs
     for kind in KINDS:
         m, g, n, tmp = (names[kind.name] + x for x in ("_m", "_g", "_n", "_t"))
@@ -132,7 +152,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataF
         steps = F.zip_with(F.slice(g, 1, F.size(m)), F.concat(F.array(F.lit("")), F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0)))), lambda a, b: (F.length(a) + F.length(b)).cast("bigint"))
         df = df.withColumn(n, F.when(F.size(m) > 0, steps).otherwise(F.array().cast("array<bigint>")))
         df = _with_running(df, n, tmp + "s", tmp)
-        rows = F.arrays_zip(F.col(m).alias("value"), F.col(tmp + "s").alias("start"), F.slice(g, 1, F.size(m)).alias("before"), F.slice(g, 2, F.size(m)).alias("after"))
+        rows = _with_context(F.col(m), F.col(g), F.arrays_zip(F.col(m).alias("value"), F.col(tmp + "s").alias("start"), F.slice(g, 1, F.size(m)).alias("before"), F.slice(g, 2, F.size(m)).alias("after")))
         rows = F.transform(rows, _iban) if kind.name == "iban" else rows
         spans = F.transform(F.filter(rows, _confirmed(kind)), _scored(kind))
         df = df.withColumn(names[kind.name], spans if kind.base else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE))
