@@ -140,7 +140,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` that stay, all columns as they are; rows that repeat identifier and text are one."""
     key, raw = free_name(docs, "__id"), free_name(docs, "__raw")
     found = deduplicate(docs, id_col, text_col, state_dir)
-    stay = found.where("kept").select(F.col("id").alias("stay_id"), F.col("raw").alias("stay_raw"))
+    stay_id, stay_raw = free_name(docs, "stay_id"), free_name(docs, "stay_raw")
+    stay = found.where("kept").select(F.col("id").alias(stay_id), F.col("raw").alias(stay_raw))
     rows = docs.withColumn(key, F.col(f"`{id_col}`").cast("bigint")).withColumn(raw, F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)))
-    rows = rows.join(stay, F.col(key).eqNullSafe(F.col("stay_id")) & (F.col(raw) == F.col("stay_raw")), "left_semi")
+    rows = rows.join(stay, F.col(key).eqNullSafe(F.col(stay_id)) & (F.col(raw) == F.col(stay_raw)), "left_semi")
     return rows.dropDuplicates([key, raw]).select(*[F.col(f"`{c}`") for c in docs.columns])
