@@ -330,8 +330,8 @@ def extracted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE '' END AS nature FROM documents")
 def path_nature(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("doc_id") % 3
-    path = F.when(c == 0, F.concat(F.lit("/data/raw/V1_RAG/"), "source", F.lit("/a.pdf"))).when(c == 1, F.concat(F.lit("/data/raw/"), "lang", F.lit("/b.pdf"))).otherwise("/elsewhere/c.pdf")
-    return load(spark, sf_dir, "documents").select("doc_id", X.nature_of(path, "/data/raw", "V1_RAG").alias("nature"))
+    path = F.when(c == 0, F.concat(F.lit("/data/raw/corpus_v1/"), "source", F.lit("/a.pdf"))).when(c == 1, F.concat(F.lit("/data/raw/"), "lang", F.lit("/b.pdf"))).otherwise("/elsewhere/c.pdf")
+    return load(spark, sf_dir, "documents").select("doc_id", X.nature_of(path, "/data/raw", "corpus_v1").alias("nature"))
 
 
 @query("SELECT doc_id::VARCHAR AS stem, CASE WHEN doc_id % 3 = 0 THEN 'raw/' || doc_id || '.doc' WHEN doc_id % 3 = 1 THEN 'raw/' || doc_id || '.docx' END AS origin FROM documents")
