@@ -418,12 +418,32 @@ def hash_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("SELECT sha256(string_agg('doc_' || doc_id || '=' || sha256(text), ',' ORDER BY 'doc_' || doc_id)) AS sha256, count(*) AS n FROM documents")
+_TREE = """WITH files AS (SELECT 'doc_' || doc_id AS path, coalesce(sha256(text), '') AS sha256 FROM documents),
+leaves AS (SELECT substr(sha256(path), 1, 4) AS node, sha256(string_agg(path || '=' || sha256, ',' ORDER BY path)) AS sha256, count(*) AS n FROM files GROUP BY 1),
+upper_nodes AS (SELECT substr(node, 1, 2) AS node, sha256(string_agg(node || '=' || sha256, ',' ORDER BY node)) AS sha256, sum(n) AS n FROM leaves GROUP BY 1)"""
+
+
+@query(_TREE + " SELECT sha256(string_agg(node || '=' || sha256, ',' ORDER BY node)) AS sha256, sum(n)::BIGINT AS n FROM upper_nodes HAVING count(*) > 0")
 def hash_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The map of a manifest, in order of path."""
-    entries = F.map_entries("hashes")
-    listed = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return admin.hash_map(hash_manifest(spark, sf_dir)).select(F.sha2(listed, 256).alias("sha256"), F.size(entries).cast("bigint").alias("n"))
+    """The root of a manifest's tree of hashes."""
+    return admin.hash_tree(hash_manifest(spark, sf_dir)).where("node = ''").select("sha256", "n")
+
+
+@query(_TREE + " SELECT node, sha256, n::BIGINT AS n FROM upper_nodes UNION ALL SELECT node, sha256, n FROM leaves")
+def hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admin.hash_tree(hash_manifest(spark, sf_dir)).where("node <> ''")
+
+
+@query("""SELECT 'doc_' || doc_id AS path, CASE WHEN doc_id % 97 <> 5 THEN sha256(text) END AS before, CASE WHEN doc_id % 101 = 7 THEN sha256(text || '!') WHEN doc_id % 103 <> 9 THEN sha256(text) END AS after
+FROM documents WHERE CASE WHEN doc_id % 97 <> 5 THEN sha256(text) END IS DISTINCT FROM CASE WHEN doc_id % 101 = 7 THEN sha256(text || '!') WHEN doc_id % 103 <> 9 THEN sha256(text) END""")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that changed, new ones and ones that went, found by the trees of two manifests."""
+    docs = load(spark, sf_dir, "documents")
+    path = F.concat(F.lit("doc_"), "doc_id").alias("path")
+    before = docs.where("doc_id % 97 <> 5").select(path, F.sha2("text", 256).alias("sha256"))
+    now = F.when(F.col("doc_id") % 101 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    after = docs.where("doc_id % 103 <> 9 OR doc_id % 101 = 7").select(path, F.sha2(now, 256).alias("sha256"))
+    return admin.changed_files(before, after)
 
 
 @query("""SELECT 'c' || doc_id AS chunk_id, source AS source_id, 'leaf' AS level, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, '') AS nature, '' AS ext, coalesce(CASE WHEN doc_id % 3 = 0 THEN n_chars END, 0)::INT AS end_char, 'm' AS embedding_model

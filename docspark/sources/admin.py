@@ -2,25 +2,64 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import time
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.storage import Commit, Layout, Tables, delete, exists, file_system, read_version, shared_dir, under, write_version
+from docspark.sources.files import hash_files
+from docspark.storage import Commit, Layout, Tables, delete, exists, file_system, materialize, read_version, shared_dir, under, write_version
+
+
+#: Digits of a path's hash that name a node, from the leaves up: a leaf of a billion files holds some 15,000 of them, any other node 256.
+LEVELS = (4, 2)
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """(path under the folder, sha256) of every file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.regexp_extract("path", rf"{folder.rstrip('/').split('/')[-1]}/(.*)$", 1).alias("path"), F.sha2("content", 256).alias("sha256"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size_bytes"))
+    name = re.escape(folder.rstrip("/").split("/")[-1])
+    return hash_files(found).select(F.regexp_extract("path", rf"{name}/(.*)$", 1).alias("path"), "sha256")
+
+
+def _node(path: str, digits: int) -> Column:
+    return F.substring(F.sha2(path, 256), 1, digits)
+
 
+def hash_tree(manifest: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(node, sha256, n files) of the tree of hashes over a manifest, the root's node being ''.
 
-def hash_map(manifest: DataFrame) -> DataFrame:
-    """One row: the map of path to sha256, in order of path."""
-    return manifest.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "sha256")))).alias("hashes"))
+    Paths fall into leaves by the first digits of their hashes, leaves into the nodes of fewer digits. A node hashes what is under it
+    as ``name=sha256``, in order of name, with commas; so two manifests differ exactly where their nodes do, and no
+    row holds more than a leaf's files. An empty manifest has no nodes.
+    """
+    rows = manifest.select(_node("path", levels[0]).alias("node"), F.col("path").alias("name"), F.coalesce("sha256", F.lit("")).alias("sha256"), F.lit(1).cast("bigint").alias("n"))
+    tree = []
+    for digits in (*levels[1:], 0, 0):
+        entry = F.struct("name", F.concat("name", F.lit("="), "sha256").alias("entry"))
+        listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"])
+        nodes = materialize(rows.groupBy("node").agg(F.sha2(F.array_join(listed, ","), 256).alias("sha256"), F.sum("n").alias("n")), "nodes")
+        tree.append(nodes)
+        rows = nodes.select(F.substring("node", 1, digits).alias("node"), F.col("node").alias("name"), "sha256", "n")
+    return reduce(DataFrame.unionByName, tree)
+
+
+def changed_files(before: DataFrame, after: DataFrame, before_tree: DataFrame | None = None, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(path, before, after) of files whose hashes differ, null where there is none: only files of leaves that differ are compared.
+
+    ``before_tree`` is what ``hash_tree`` gave for ``before`` at these levels; it is made where it isn't given.
+    """
+    old = hash_tree(before, levels) if before_tree is None else before_tree
+    new = hash_tree(after, levels).withColumnRenamed("sha256", "_new")
+    leaf = F.length("node") == levels[0]
+    nodes = old.where(leaf).select("node", "sha256").join(new.where(leaf).select("node", "_new"), "node", "full_outer")
+    differ = nodes.where(~F.col("sha256").eqNullSafe(F.col("_new"))).select("node")
+    within = lambda rows, name: rows.select(_node("path", levels[0]).alias("node"), "path", F.col("sha256").alias(name)).join(differ, "node", "left_semi").drop("node")
+    rows = within(before, "before").join(within(after, "after"), "path", "full_outer")
+    return rows.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def backup_name(name: str = "", now: float | None = None) -> str:

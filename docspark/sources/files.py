@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import shutil
 import subprocess
 import tempfile
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-from itertools import islice
 from pathlib import Path
+from typing import BinaryIO
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.chunking import document_stats, materialize_units
 from docspark.operators.registry import normalize_registry, stale_converted, to_hash
 from docspark.schemas import REGISTRY
-from docspark.storage import delete, exists, materialize, read_version, write_version
+from docspark.storage import delete, materialize, read_version, write_version
 
 # What a scan takes, and what conversion makes of legacy formats.
 SUPPORTED = (".pdf", ".docx", ".pptx")
@@ -31,8 +30,11 @@ def _suffix(path):
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-#: Names that one reader takes.
-PATHS = 50_000
+#: Bytes, and names, that one task should read; bytes of a file that it holds while hashing.
+SHARE, PATHS, BLOCK = 256 << 20, 10_000, 4 << 20
+# Names of a store in Spark and in pyarrow.
+STORES = {"s3a": "s3", "s3n": "s3"}
+Opener = Callable[[str], BinaryIO]
 
 
 def list_files(spark: SparkSession, roots: list[str], extensions: tuple[str, ...] = SUPPORTED) -> DataFrame:
@@ -55,43 +57,57 @@ def converted_path(source: Column, raw: str, converted: str) -> Column:
     return F.concat(F.lit(converted.rstrip("/")), F.regexp_replace(rest, r"\.[^./]+$", ""), modern)
 
 
-def read_files(spark: SparkSession, wanted: DataFrame) -> DataFrame:
-    """(path, ext, content) of the ``wanted`` paths, and of no others; those that are gone have no row.
+def open_input(path: str) -> BinaryIO:
+    """The file at a path or URI as a stream; a store other than the local one is opened by pyarrow's file systems, without Spark's own settings for it."""
+    local = re.sub("^file:/*", "/", path)
+    if local.startswith("/"):
+        return open(local, "rb")
+    scheme, rest = path.split("://", 1)
+    authority, key = rest.split("/", 1)
+    store, _ = pafs.FileSystem.from_uri(f"{STORES.get(scheme, scheme)}://{authority}/")
+    return store.open_input_stream(f"/{key}" if scheme == "hdfs" else f"{authority}/{key}")
 
-    Names go to the driver, as in any listing, PATHS of them to a reader.
-    """
-    loads, names = [], wanted.select("path").distinct().toLocalIterator()
-    while batch := [r["path"] for r in islice(names, PATHS)]:
-        loads.append(_load(spark, batch))
-    none = spark.createDataFrame([], "path string, ext string, content binary")
-    return reduce(DataFrame.unionByName, [f.select("path", _suffix(F.col("path")).alias("ext"), "content") for f in loads if f is not None], none)
 
+def dealt(wanted: DataFrame) -> DataFrame:
+    """``wanted`` (path, and size_bytes where it is known) as distinct (path, ext), in as many tasks as its bytes need. Names stay in Spark, one task a name."""
+    size = F.coalesce(F.expr("try_cast(size_bytes AS bigint)"), F.lit(0)) if "size_bytes" in wanted.columns else F.lit(0)
+    names = materialize(wanted.groupBy("path").agg(F.max(size).alias("size")), "names")
+    total = names.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    tasks = max(names.sparkSession.sparkContext.defaultParallelism, -(-total["bytes"] // SHARE), -(-total["n"] // PATHS))
+    return names.repartition(max(1, min(total["n"], tasks)), "path").select("path", _suffix(F.col("path")).alias("ext"))
 
-def _load(spark: SparkSession, paths: list[str]) -> DataFrame | None:
-    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
-    try:
-        return reader.load([_escaped(p) for p in paths])
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    with ThreadPoolExecutor(32) as pool:  # some have gone since they were listed
-        there = [p for p, found in zip(paths, pool.map(lambda p: exists(spark, p), paths)) if found]
-    return _load(spark, there) if there else None
 
+def hash_files(wanted: DataFrame, opener: Opener = open_input) -> DataFrame:
+    """(path, sha256) of the ``wanted`` paths, and of no others; those that are gone have no row.
+
+    A task holds one block of one file, so files may be of any size; content is in no row.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for names in frames:
+            rows = []
+            for path in names["path"]:
+                try:
+                    with opener(path) as f:
+                        digest = hashlib.sha256()
+                        while block := f.read(BLOCK):
+                            digest.update(block)
+                except FileNotFoundError:
+                    continue
+                rows.append((path, digest.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "sha256"])
 
-def _escaped(path: str) -> str:
-    """A path with nothing that is a pattern."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+    return dealt(wanted).mapInPandas(run, "path string, sha256 string")
 
 
-def scan_corpus(spark: SparkSession, roots: list[str], registry: DataFrame, extensions: tuple[str, ...] = SUPPORTED) -> DataFrame:
+def scan_corpus(spark: SparkSession, roots: list[str], registry: DataFrame, extensions: tuple[str, ...] = SUPPORTED, opener: Opener = open_input) -> DataFrame:
     """What ``reconcile`` reads of the files under the roots: canonical_path, content_hash, filename, ext, size_bytes, modified_time.
 
-    Only files that ``registry`` doesn't know with this size and time are read and hashed; content is in no shuffle.
+    Only files that ``registry`` doesn't know with this size and time are read and hashed, in blocks.
     """
     listing = list_files(spark, roots, extensions).withColumnRenamed("path", "canonical_path")
-    fresh = to_hash(registry, listing).select(F.col("canonical_path").alias("path"))
-    hashes = read_files(spark, fresh).select(F.col("path").alias("canonical_path"), F.sha2("content", 256).alias("content_hash"))
+    fresh = to_hash(registry, listing).select(F.col("canonical_path").alias("path"), "size_bytes")
+    hashes = hash_files(fresh, opener).select(F.col("path").alias("canonical_path"), F.col("sha256").alias("content_hash"))
     known = registry.where("canonical_path <> ''").groupBy("canonical_path").agg(F.max("content_hash").alias("_known"))
     rows = listing.join(hashes, "canonical_path", "left").join(known, "canonical_path", "left")
     # a file that went before it was hashed is as if it had not been listed
@@ -144,23 +160,25 @@ def read_pptx(content: bytes) -> list[dict]:
 READERS: dict[str, Callable[[bytes], list[dict]]] = {".pdf": read_pdf, ".docx": read_docx, ".pptx": read_pptx}
 
 
-def extract_units(files: DataFrame, readers: dict[str, Callable[[bytes], list[dict]]] = READERS) -> DataFrame:
-    """(path, units, error): each file by its suffix's reader; a failure stays with its row."""
+def extract_units(wanted: DataFrame, readers: dict[str, Callable[[bytes], list[dict]]] = READERS, opener: Opener = open_input) -> DataFrame:
+    """(path, units, error): each ``wanted`` file by its suffix's reader, in the task that opens it; a failure stays with its row, a file that is gone has none."""
     unit = "struct<unit_type:string,unit_index:int,text:string,title:string>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for path, ext, content in zip(pdf["path"], pdf["ext"], pdf["content"]):
+        for names in frames:
+            for path, ext in zip(names["path"], names["ext"]):
                 try:
                     if ext not in readers:
                         raise ValueError(f"no reader for {ext}")
-                    rows.append((path, [{"title": None} | u for u in readers[ext](bytes(content))], None))
+                    with opener(path) as f:
+                        row = (path, [{"title": None} | u for u in readers[ext](f.read())], None)
+                except FileNotFoundError:
+                    continue
                 except Exception as e:  # each file succeeds or fails by itself
-                    rows.append((path, [], f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "units", "error"])
+                    row = (path, [], f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([row], columns=["path", "units", "error"])
 
-    return files.select("path", "ext", "content").mapInPandas(run, f"path string, units array<{unit}>, error string")
+    return dealt(wanted).mapInPandas(run, f"path string, units array<{unit}>, error string")
 
 
 META = ("source_id", "origin_path", "canonical_path", "filename", "nature", "ext", "modified_time")
@@ -197,15 +215,31 @@ def write_registry(rows: DataFrame, path: str) -> None:
         write_version(rows, path)
 
 
+def first_bad_line(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """(file, line from 1) of the first line, by file and place, that is no JSON; None if all are.
+
+    Large files are read in several tasks. One job counts the lines of each part of a file and finds its first bad one;
+    sums over the parts before it make a line of it.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    # rows of a part follow one another, so identifiers differ by lines
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    bad = (F.trim("value") != "") & F.try_parse_json("value").isNull()
+    parts = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), (F.min(F.when(bad, F.col("at"))) - F.min("at")).alias("bad"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = parts.withColumn("line", F.col("bad") + before + 1).where("bad IS NOT NULL").orderBy("file", "start").select("file", "line").first()
+    return tuple(found) if found else None
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects of JSON lines. Blank lines and lines that hold something else than an object are left out; what is no JSON fails with its file and line."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where("trim(line) <> ''")
-    # a kind is null where the parser finds no JSON at all
-    kind = F.try_parse_json("line")
-    where = F.concat(F.lit("no JSON: "), "file", F.lit(":"), (F.col("n") + 1).cast("string"))
-    checked = F.when(kind.isNull(), F.raise_error(where)).otherwise(F.col("line"))
-    objects = lines.select(checked.alias("line")).where(F.ltrim("line").startswith("{"))
-    return objects.select(F.from_json("line", schema).alias("x")).select("x.*")
+    """Objects of JSON lines. Blank lines and lines that hold something else than an object are left out; what is no JSON fails at once with its file and line.
+
+    Files are read twice, to check them and to parse them, in parts of ``spark.sql.files.maxPartitionBytes``.
+    """
+    if bad := first_bad_line(spark, path):
+        raise ValueError(f"no JSON: {bad[0]}:{bad[1]}")
+    objects = spark.read.text(path).where(F.ltrim("value").startswith("{"))
+    return objects.select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
 def convert(source: str, destination: str, dry_run: bool = False, force: bool = False, timeout: int = 180, run=subprocess.run) -> tuple[str, str]:

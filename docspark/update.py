@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docspark import buckets
 from docspark.config import Chunking, Indexing, config_hash
 from docspark.functions import text as X
 from docspark.operators import chunking, index, registry as R
-from docspark.schemas import CHUNK_FIELDS, CHUNKED, EXTRACTED, FAILED, INDEX_FIELDS, INDEXED, MISSING, PENDING, REGISTRY, REGISTRY_FIELDS
+from docspark.schemas import CHUNK_FIELDS, CHUNKED, EXTRACTED, FAILED, INDEX_FIELDS, INDEXED, MISSING, NEW, PENDING, REGISTRY, REGISTRY_FIELDS
 from docspark.sources import files
 from docspark.sources.connectors import Embedder, HashEmbedder, embed_once, embed_texts
 from docspark.storage import Commit, Layout, exists, materialize
@@ -77,6 +77,7 @@ class Index:
     ledger: str = ""
 
 
+STATUSES = ("", NEW, EXTRACTED, FAILED, MISSING, PENDING, CHUNKED, INDEXED)
 # Fixed value: what a registry row says of a file that was there when it was listed, and not when it was read.
 GONE = "canonical_path missing on disk"
 
@@ -85,11 +86,16 @@ def _now() -> Column:
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
-def apply(registry: DataFrame, results: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """``registry`` with the fields of ``values`` (over ``results``'s columns, all but source_id named apart) set where a source has a result."""
-    done = results.withColumn("_done", F.lit(True))
-    rows = registry.join(done, "source_id", "left")
-    return rows.withColumns({f: F.when(F.col("_done"), v).otherwise(F.col(f)) for f, v in values.items()}).select(*REGISTRY_FIELDS)
+def apply(registry: DataFrame, results: DataFrame, values: dict[str, Column], seen: Observation | None = None, status: str = "", done: str = "") -> DataFrame:
+    """``registry`` with the fields of ``values`` (over ``results``'s columns, all but source_id named apart) set where a source has a result.
+
+    ``seen`` counts the results on their way into the table: processed, whose ``status`` is ``done`` now, and failed.
+    """
+    rows = registry.join(results.withColumn("_done", F.lit(True)), "source_id", "left")
+    rows = rows.withColumns({f: F.when(F.col("_done"), v).otherwise(F.col(f)) for f, v in values.items()})
+    if seen is not None:
+        rows = rows.observe(seen, *[F.count_if(F.col("_done") & (F.col(status) == s)).alias(name) for name, s in (("processed", done), ("failed", FAILED))])
+    return rows.select(*REGISTRY_FIELDS)
 
 
 def _blank(fields: list[str]) -> dict[str, Column]:
@@ -100,10 +106,16 @@ def _registry(commit: Commit) -> DataFrame:
     return R.normalize_registry(commit.read("registry", REGISTRY))
 
 
-def _publish(commit: Commit, rows: DataFrame) -> None:
-    """The step's tables and the registry become current together."""
-    commit.write("registry", R.normalize_registry(rows))
+def _publish(commit: Commit, rows: DataFrame, status: str) -> dict[str, int]:
+    """The step's tables and the registry become current together; gives the registry's rows by ``status``, counted while they are written."""
+    seen, value = Observation(), F.coalesce(F.col(status), F.lit(""))
+    rows = R.normalize_registry(rows).observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(value == s).alias(f"is_{s}") for s in STATUSES])
+    commit.write("registry", rows)
+    found = seen.get
     commit.publish()
+    if found["rows"] > sum(found[f"is_{s}"] for s in STATUSES):  # a status that only a registry of other hands has
+        return {r["status"]: r["n"] for r in R.status_counts(_registry(Commit(rows.sparkSession, commit.tables.root)), status).collect()}
+    return {s: found[f"is_{s}"] for s in STATUSES if found[f"is_{s}"]}
 
 
 def _plain(path: Column) -> Column:
@@ -137,8 +149,7 @@ def scan_and_extract(spark: SparkSession, layout: Layout, step: Scan) -> dict:
     rows = materialize(R.reconcile(known, scan), "registry")
     if not step.scan_only:
         targets = R.extraction_targets(rows, step.again).dropDuplicates(["source_id"])
-        wanted = targets.select(F.col("canonical_path").alias("path"))
-        units = files.extract_units(files.read_files(spark, wanted), step.readers)
+        units = files.extract_units(targets.select(F.col("canonical_path").alias("path"), "size_bytes"), step.readers)
         found = targets.join(units.withColumnRenamed("path", "canonical_path"), "canonical_path", "left").withColumn("error", F.when(F.col("units").isNull() & F.col("error").isNull(), GONE).otherwise(F.col("error")))
         made = materialize(files.extracted_records(found.withColumn("units", F.coalesce("units", F.array()))), "extracted")
         good = made.where("error IS NULL").drop("error")
@@ -152,12 +163,7 @@ def scan_and_extract(spark: SparkSession, layout: Layout, step: Scan) -> dict:
         purged = R.missing_artifacts(rows, records).count()
         rows, records = R.purge_missing(rows, records)
     commit.write("extracted", records)
-    _publish(commit, rows)
-    return {"extraction_status_counts": _counts(rows, "extraction_status"), "purged": purged, "scan_only": step.scan_only}
-
-
-def _counts(rows: DataFrame, status: str) -> dict[str, int]:
-    return {r["status"]: r["n"] for r in R.status_counts(rows, status).collect()}
+    return {"extraction_status_counts": _publish(commit, rows, "extraction_status"), "purged": purged, "scan_only": step.scan_only}
 
 
 def run_chunking(spark: SparkSession, layout: Layout, step: Chunk) -> dict:
@@ -172,14 +178,12 @@ def run_chunking(spark: SparkSession, layout: Layout, step: Chunk) -> dict:
     leaves = new.where("level = 'leaf'").groupBy("source_id").agg(F.count(F.lit(1)).cast("string").alias("_leaves"))
     reason = F.when(F.col("_there").isNull(), "extracted record not found").when(F.col("_leaves").isNull(), "no leaf chunks")
     results = targets.join(leaves, "source_id", "left").join(docs.select("source_id", F.lit(True).alias("_there")).distinct(), "source_id", "left").select("source_id", "_leaves", reason.alias("_error"))
-    ok = F.col("_error").isNull()
-    rows = apply(rows, results, {"chunk_status": F.when(ok, CHUNKED).otherwise(FAILED), "nb_chunks": F.coalesce("_leaves", F.lit("")), "last_chunk_time": _now(), "chunk_error": F.coalesce("_error", F.lit("")), "chunk_config_hash": F.lit(settings)} | {f: F.when(ok, PENDING).otherwise("") if f == "index_status" else F.lit("") for f in INDEX_FIELDS})
+    ok, seen = F.col("_error").isNull(), Observation()
+    rows = apply(rows, results, {"chunk_status": F.when(ok, CHUNKED).otherwise(FAILED), "nb_chunks": F.coalesce("_leaves", F.lit("")), "last_chunk_time": _now(), "chunk_error": F.coalesce("_error", F.lit("")), "chunk_config_hash": F.lit(settings)} | {f: F.when(ok, PENDING).otherwise("") if f == "index_status" else F.lit("") for f in INDEX_FIELDS}, seen, "chunk_status", CHUNKED)
     removed = old.select("source_id").distinct().join(kept.select("source_id").distinct(), "source_id", "left_anti").count()
     commit.write("chunks", kept.join(targets, "source_id", "left_anti").unionByName(new, allowMissingColumns=True))
-    _publish(commit, rows)
-    now = files.read_registry(spark, layout.registry)
-    run = R.run_counts(now.join(targets, "source_id"), "chunk_status", CHUNKED).first()
-    return {"chunk_status_counts": _counts(now, "chunk_status"), "processed": run["processed"], "failed": run["failed"], "config_hash": settings, "stale_removed": removed}
+    counts = _publish(commit, rows, "chunk_status")
+    return {"chunk_status_counts": counts} | seen.get | {"config_hash": settings, "stale_removed": removed}
 
 
 def run_indexing(spark: SparkSession, layout: Layout, step: Index) -> dict:
@@ -203,8 +207,8 @@ def run_indexing(spark: SparkSession, layout: Layout, step: Index) -> dict:
     stats = index.upsert_stats(index.diff(mine.where("NOT again"), desired)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "newly_embedded", "unchanged", "stale_deleted")]).first()
     counts = merged.groupBy("source_id").agg(F.count(F.lit(1)).cast("string").alias("_n"))
     results = targets.select("source_id").join(counts, "source_id", "left")
-    ok = F.col("_n").isNotNull()
-    rows = apply(rows, results, {"index_status": F.when(ok, INDEXED).otherwise(FAILED), "indexed_chunks": F.coalesce("_n", F.lit("")), "last_index_time": _now(), "index_error": F.when(ok, "").otherwise("no leaf chunks"), "index_config_hash": F.lit(settings)})
+    ok, seen = F.col("_n").isNotNull(), Observation()
+    rows = apply(rows, results, {"index_status": F.when(ok, INDEXED).otherwise(FAILED), "indexed_chunks": F.coalesce("_n", F.lit("")), "last_index_time": _now(), "index_error": F.when(ok, "").otherwise("no leaf chunks"), "index_config_hash": F.lit(settings)}, seen, "index_status", INDEXED)
     places = buckets.read(commit, "index", INDEX_SCHEMA).select("chunk_id", "source_id")
     gone = mine.select("chunk_id", "source_id").join(merged.select("chunk_id"), "chunk_id", "left_anti")
     removed = 0
@@ -213,10 +217,8 @@ def run_indexing(spark: SparkSession, layout: Layout, step: Index) -> dict:
         removed = stale.select("source_id").distinct().count()
         gone = gone.unionByName(stale).distinct()
     written = buckets.change(commit, "index", INDEX_SCHEMA, merged, gone)
-    _publish(commit, rows)
-    now = files.read_registry(spark, layout.registry)
-    run = R.run_counts(now.join(targets, "source_id"), "index_status", INDEXED).first()
-    return {"index_status_counts": _counts(now, "index_status"), "processed": run["processed"], "failed": run["failed"], "config_hash": settings, "stale_removed": removed} | written | stats.asDict()
+    counts = _publish(commit, rows, "index_status")
+    return {"index_status_counts": counts} | seen.get | {"config_hash": settings, "stale_removed": removed} | written | stats.asDict()
 
 
 def run_update(spark: SparkSession, layout: Layout, convert: Convert = Convert(), scan: Scan = Scan(), chunk: Chunk = Chunk(), index: Index = Index()) -> dict:

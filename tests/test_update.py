@@ -81,18 +81,6 @@ def test_update_from_files_to_answers(spark, tmp_path):
         admin.reset(spark, [str(tmp_path)], layout.root, True)
 
 
-@pytest.mark.parametrize("most", [3, 100])
-def test_only_named_files_are_read(spark, tmp_path, monkeypatch, most):
-    """In one reader and in several; of files that have gone there is no row."""
-    monkeypatch.setattr(files, "PATHS", most)
-    for i in range(20):
-        put(tmp_path / "x" / f"f {i}[a]{{b}}*.txt", str(i))
-    wanted = [f"file:{tmp_path}/x/f {i}[a]{{b}}*.txt" for i in (1, 3, 5, 7, 9, 11, 13, 30, 31)]
-    found = files.read_files(spark, spark.createDataFrame([(w,) for w in wanted * 2], "path string"))
-    assert sorted(int(r["content"]) for r in found.collect()) == [1, 3, 5, 7, 9, 11, 13] and len(found.inputFiles()) == 7
-    assert files.read_files(spark, spark.createDataFrame([(wanted[-1],)], "path string")).count() == 0 == files.read_files(spark, spark.createDataFrame([], "path string")).count()
-
-
 def test_failed_conversions_keep_what_was_there(tmp_path):
     old, new = tmp_path / "raw" / "A.doc", tmp_path / "made" / "x" / "A.docx"
     put(old, "old")
