@@ -7,7 +7,9 @@ blocks finds them. So fingerprints are WORDS words wide, each the majority of th
 their bits are cut into keys of KEY bits (64 keys, 93 for sets of SMALL shingles and less). Sets that agree on a key are in one bucket, and buckets
 are compared tile by tile (simhash.bucket_links): RADIUS bits of the first word, then WIDE bits of the next MORE words. A pair of 0.8
 agrees on no key with a chance of (1 - 0.85 ** 11) ** 64, about 1e-5 (5e-5 at most, as for sets of four and five or of 15); the radii lose
-1e-5 of sets of four and five, 1e-7 of others. Sets that have nothing in common pass the radii with a chance of 2e-8.
+1e-5 of sets of four and five, 1e-7 of others. Sets that have nothing in common are compared if they share a key;
+of those pairs 1.9e-7 pass the radii (2e-8 of pairs that share none). As n ** 2 / 64 pairs of n texts are compared, a text has one such chance
+link on average at some 1.7e8 texts: far below that chance links are few and only cost counting, from there on they make one candidate component of most texts.
 
 The components of these links are candidates. In each, pairs whose first words are within RADIUS are counted exactly. A component gives a spanning forest of its links, not the pairs.
 

@@ -40,3 +40,18 @@ def test_all_letters_of_a_long_run_count(spark):
     late = [(0, "x" * 64 + "abcde" * 30, "aa"), (1, "x" * 64 + "vwpqr" * 30, "bb")]
     scorer = language_id.train(spark.createDataFrame(late, SCHEMA)).scorer()
     assert scorer.guess("abcde")[0] == "aa" and scorer.guess("vwpqr")[0] == "bb"
+
+
+def test_every_word_of_the_sample_is_kept(spark):
+    """140,000 words, each seen once, of two languages that share their letters: a word seen is its own language's, by its own count."""
+    rng = np.random.default_rng(8)
+    words = list(dict.fromkeys("".join(w) for w in rng.choice(list("abcdefghij"), (150_000, 9))))[:140_000]
+    rows = [(i, " ".join(words[i * 700 : (i + 1) * 700]), ("aa", "bb")[i % 2]) for i in range(200)]
+    model = language_id.train(spark.createDataFrame(rows, SCHEMA))
+    scorer = model.scorer()
+    assert len(model.words.hashes) == 140_000 and (model.words.find(words) >= 0).all() and (model.words.find(["zz", ""]) == -1).all()
+    assert all(scorer.guess(words[k])[0] == ("aa", "bb")[k // 700 % 2] for k in range(0, 140_000, 97))
+    # a text of more words than are looked up together, and than the memo holds
+    for many in (language_id.PART + 5, 140_000):
+        lot = words[:700] + [w + "k" for w in words[:many]]
+        assert scorer.guess(" ".join(lot)) == model.scorer().guess(" ".join(lot))
