@@ -80,6 +80,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             spark, layout, update.Convert(bool(args.convert_from), args.convert_from, args.dry_run, args.force, args.keep_stale), update.Scan(roots=tuple(args.corpus), raw=args.convert_from, scan_only=args.scan_only),
             update.Chunk(not args.scan_only, args.force, sources, args.limit, args.keep_stale), update.Index(not args.scan_only, args.force, sources, args.limit, args.keep_stale),
         )
+        if "://" not in (root := args.root.removeprefix("file://")):  # a log file is a local one
+            for step, said in out.items():
+                logger(f"docspark {root}", f"{root}/logs/update.log").info("%s | %s", step, json.dumps(said, ensure_ascii=False))
     elif args.command == "ask":
         config = Retrieval(args.mode, args.top_k, args.max_per_source, args.context_tokens, args.neighbors, parents=args.parents, mmr=args.mmr, filters=parse_filters(args.filter))
         questions = spark.createDataFrame([(0, args.question)], "qid int, question string")

@@ -236,3 +236,18 @@ def test_log_is_made_once(tmp_path):
     assert cli.logger("docspark-test", "elsewhere") is log and len(log.handlers) == 2
     log.info("hello")
     assert "| INFO | hello" in (tmp_path / "logs" / "x.log").read_text()
+
+
+def test_update_command_logs_its_steps(spark, tmp_path):
+    put(tmp_path / "corpus" / "a.pdf", "x")
+    said = cli.main(["--root", str(tmp_path / "tables"), "update", "--corpus", str(tmp_path / "corpus"), "--scan-only"], spark)
+    assert said["scan_extract"]["extraction_status_counts"] == {"NEW": 1}
+    lines = (tmp_path / "tables" / "logs" / "update.log").read_text().splitlines()
+    assert len(lines) == 1 and "| INFO | scan_extract | " in lines[0] and '"NEW": 1' in lines[0]
+
+
+def test_statuses_of_other_hands_are_counted(spark, tmp_path):
+    layout = storage.Layout(str(tmp_path))
+    rows = spark.createDataFrame([{"source_id": str(i), "extraction_status": s} for i, s in enumerate(["NEW", "NEW", "ODD", "FAILED"])], "source_id string, extraction_status string")
+    commit = storage.Commit(spark, layout.root)
+    assert update._publish(commit, rows, "extraction_status") == {"NEW": 2, "ODD": 1, "FAILED": 1}
