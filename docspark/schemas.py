@@ -15,9 +15,3 @@ NEW, EXTRACTED, FAILED, MISSING = "NEW", "EXTRACTED", "FAILED", "MISSING"
 PENDING, CHUNKED, INDEXED = "PENDING", "CHUNKED", "INDEXED"
 
 REGISTRY = T.StructType([T.StructField(f, T.StringType()) for f in REGISTRY_FIELDS])
-UNIT = T.StructType([
-    T.StructField("unit_type", T.StringType()), T.StructField("unit_index", T.IntegerType()), T.StructField("title", T.StringType()),
-    T.StructField("text", T.StringType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()),
-])
-ANSWER = T.StructType([T.StructField("answer", T.StringType()), T.StructField("citation_ids", T.ArrayType(T.StringType()))])
-CONVERSION = T.StructType([T.StructField(f, T.StringType()) for f in ("source", "destination", "status", "detail")])
