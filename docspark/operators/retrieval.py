@@ -23,8 +23,14 @@ from docspark.storage import materialize
 
 #: Questions that a task may hold (a matrix of some megabytes at most).
 QUERY_BLOCK = 1024
-#: Rows of the index that meet a block of questions in one group.
+#: Rows of the index that meet a block of questions in one group, while there are few parts.
 CELL_ROWS = 200_000
+#: Parts and blocks that a cell is dealt into: rows are sent at most once a block, and k of them a question found at most once a part, however many there are.
+MOST_PARTS, MOST_BLOCKS = 16, 8
+#: Questions that a task may hold where blocks would be larger; only beyond MOST_BLOCKS times as many do blocks become more.
+MOST_HELD = 8192
+#: Pairs of a question and a row that are compared at once.
+TILE = 2_000_000
 
 
 def by_query():
@@ -65,36 +71,81 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(squares <= TINY, np.inf, np.sqrt(np.where(squares <= TINY, 1, squares)))
 
 
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Unit rows; what is no number has none."""
+    units = unit_rows(vectors)
+    units[~np.isfinite(units).all(axis=1)] = 0
+    return units
+
+
 class Nearest:
-    """The k nearest rows of each of some questions, as batches of rows come by."""
+    """The k nearest rows of each of some questions, as batches of rows come by.
+
+    Of a question at most 2k rows are held, or those that a batch adds: what lies further away than k known rows is left out as it comes.
+    """
 
     def __init__(self, questions: list, k: int):
-        self.k, self.n, self.best = k, len(questions), None
+        self.k, self.n, self.found, self.held = k, len(questions), [], 0
+        self.worst = np.full(self.n, np.inf)  # no row further away is among the k nearest
         sizes: dict[int, list[int]] = {}
         for i, q in enumerate(questions):
             sizes.setdefault(len(q) if q is not None else 0, []).append(i)
         # by number of dimensions, as unit rows; norms are taken once
-        self.matrices = {n: (np.array(ids), unit_rows(np.array([questions[i] for i in ids], float).reshape(len(ids), n))) for n, ids in sizes.items() if n}
+        self.matrices = {n: (np.array(ids), directions(np.array([questions[i] for i in ids], float).reshape(len(ids), n))) for n, ids in sizes.items() if n}
 
     def add(self, vectors: pa.ListArray, rows: pa.Table) -> None:
-        k, n = self.k, len(vectors)
-        like = np.zeros((self.n, n))
+        order = pc.sort_indices(rows.column("chunk_id"))  # so that of equal distances the first rows count
+        vectors, rows = vectors.take(order), rows.take(order)
         sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
-        for dims, (which, unit) in self.matrices.items():
+        units = {}
+        for dims in self.matrices:
             own = np.flatnonzero(sizes == dims)
             if len(own):
-                like[np.ix_(which, own)] = unit @ unit_rows(vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), dims)).T
-        distance = np.round(1 - like, 12)
-        top = np.argpartition(distance, min(k, n) - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (self.n, 1))
-        limit = np.take_along_axis(distance, top, 1).max(axis=1)
-        q, r = np.nonzero(distance <= limit[:, None])  # ties of the last come along
-        found = rows.take(pa.array(r)).append_column("_q", pa.array(q.astype(np.int32))).append_column("distance", pa.array(distance[q, r]))
-        self.best = found if self.best is None else pa.concat_tables([self.best, found])
-        if self.best.num_rows > 4 * k * self.n:
-            self.best = _first(self.best, k)
+                units[dims] = own, directions(vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), dims))
+        step = max(1, TILE // max(1, len(vectors)))
+        for a in range(0, self.n, step):
+            q, r, distance = self._tile(a, min(a + step, self.n), units, len(vectors))
+            if len(q):
+                self.found.append(rows.take(pa.array(r)).append_column("_q", pa.array(q.astype(np.int32))).append_column("distance", pa.array(distance)))
+                self.held += len(q)
+        if self.held > 2 * self.k * self.n:
+            self._trim()
+
+    def _tile(self, a: int, b: int, units: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(question, row, distance) of the k first rows of the questions from a to b, in order, without those that are too far."""
+        k, worst = self.k, self.worst[a:b]
+        like = np.zeros((b - a, n))
+        for dims, (own, unit) in units.items():
+            which, asked = self.matrices[dims]
+            low, high = np.searchsorted(which, [a, b])
+            if len(own) == n and high - low == b - a:
+                like = asked[low:high] @ unit.T
+            else:
+                like[np.ix_(which[low:high] - a, own)] = asked[low:high] @ unit.T
+        least = 1 - worst
+        if n > k and (new := np.flatnonzero(np.isinf(worst))).size:
+            least[new] = np.partition(like[new], n - k, axis=1)[:, n - k]
+        q, r = np.nonzero(like >= (least - 1e-11)[:, None])  # distances have 12 digits; ties of the last come along
+        distance = np.round(1 - like[q, r], 12)
+        near = distance <= worst[q]
+        q, r, distance = q[near], r[near], distance[near]
+        order = np.lexsort((r, distance, q))
+        q, r, distance = q[order], r[order], distance[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == k - 1
+        worst[q[last]] = distance[last]
+        first = place < k
+        return q[first] + a, r[first], distance[first]
+
+    def _trim(self) -> None:
+        best = _first(pa.concat_tables(self.found), self.k)
+        q, distance = best.column("_q").to_numpy(), best.column("distance").to_numpy()
+        last = np.arange(len(q)) - np.searchsorted(q, q) == self.k - 1
+        self.worst[q[last]] = distance[last]
+        self.found, self.held = [best], len(q)
 
     def result(self) -> pa.Table | None:
-        return None if self.best is None else _first(self.best, self.k)
+        return _first(pa.concat_tables(self.found), self.k) if self.found else None
 
 
 def _nearest(rows: DataFrame, questions: list, k: int) -> DataFrame:
@@ -128,12 +179,15 @@ def search_cells(index: DataFrame, queries: DataFrame, k: int, cell_rows: int =
     """``index`` (cell, chunk_id, embedding, ...) and ``queries`` (cell, qid, query; a question may be in several cells): of each question the k nearest rows of its cells.
 
     One job for any number of questions. A cell's rows are dealt into parts of about ``cell_rows`` and its questions into blocks of about
-    ``block``; each part meets each block in a group of its own: rows are sent once a block, questions once a part. In a
-    task a group's questions come first and its rows stream by, so memory holds one block. There are as many cells as centroids of the index, a bounded number, whose
+    ``block``, into MOST_PARTS and MOST_BLOCKS at most, which are larger then; each part meets each block in a group of its own: rows are sent once a block, questions once a part,
+    and k rows a question come from each part, so what is shuffled grows with index and questions, not with their product. In a
+    task a group's questions come first and its rows stream by, so memory holds one block, of about MOST_HELD questions at most: of more than MOST_BLOCKS times as many, blocks are more. There are as many cells as centroids of the index, a bounded number, whose
     counts are broadcast.
     """
-    size = lambda df, name, of: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / of).cast("int").alias(name))
-    cells = F.broadcast(materialize(size(index, "_parts", cell_rows).join(size(queries, "_blocks", block), "cell"), "cells"))
+    dealt = lambda of, most: F.least(F.ceil(F.count(F.lit(1)) / of), F.lit(most))
+    size = lambda df, name, n: df.groupBy("cell").agg(n.cast("int").alias(name))
+    blocks = F.greatest(dealt(block, MOST_BLOCKS), F.ceil(F.count(F.lit(1)) / max(block, MOST_HELD)))
+    cells = F.broadcast(materialize(size(index, "_parts", dealt(cell_rows, MOST_PARTS)).join(size(queries, "_blocks", blocks), "cell"), "cells"))
     group = F.struct("cell", "_part", "_block").alias("_group")
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -143,8 +197,10 @@ def search_cells(index: DataFrame, queries: DataFrame, k: int, cell_rows: int =
     row = F.struct(*[F.col(f"`{c}`") for c in others])
     kinds = {"qid": queries.schema["qid"].dataType, "row": index.select(row.alias("row")).schema["row"].dataType}
     none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
-    both = asked.select(group, F.lit(0).alias("_side"), "qid", F.col("query").cast("array<double>").alias("vector"), none("row"))
-    both = both.unionByName(rows.select(group, F.lit(1).alias("_side"), none("qid"), F.col("embedding").cast("array<double>").alias("vector"), row.alias("row")))
+    single = all(dict(df.dtypes)[c] == "array<float>" for df, c in ((index, "embedding"), (queries, "query")))
+    vector = lambda c: F.col(c).cast("array<float>" if single else "array<double>").alias("vector")
+    both = asked.select(group, F.lit(0).alias("_side"), "qid", vector("query"), none("row"))
+    both = both.unionByName(rows.select(group, F.lit(1).alias("_side"), none("qid"), vector("embedding"), row.alias("row")))
     sorted_ = both.repartition("_group").sortWithinPartitions("_group", "_side")
 
     def run(batches):
@@ -156,17 +212,17 @@ def search_cells(index: DataFrame, queries: DataFrame, k: int, cell_rows: int =
                 yield from pa.table([qid, best.column("distance"), best.column("row")], ["qid", "distance", "row"]).combine_chunks().to_batches(10_000)
 
         for batch in batches:
-            key = [tuple(g.values()) for g in batch.column(0).to_pylist()]
-            side = batch.column(1).to_numpy()
-            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1] or side[i] != side[i - 1]), len(key)]
+            if not batch.num_rows:
+                continue
+            key = np.stack([c.to_numpy(zero_copy_only=False) for c in (*batch.column(0).flatten(), batch.column(1))])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if key[a] != now:
+                *of, side = key[:, a].tolist()
+                if of != now:
                     yield from done()
-                    now, asked, names, near = key[a], [], [], None
+                    now, asked, names, near = of, [], [], None
                 part = batch.slice(a, b - a)
-                if side[a] == 0:
+                if side == 0:
                     asked += part.column(3).to_pylist()
                     names.append(part.column(2))
                     continue

@@ -1,6 +1,7 @@
 """Searches against brute force: sent to all tasks, by cells, and through an inverted file."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,63 @@ def test_many_questions_are_one_plan(spark, monkeypatch):
     assert plan.count("MapInArrow") == 1 and "Union" in plan  # not a branch for each block
 
 
+def test_what_is_shuffled_grows_with_the_index_not_its_square(spark, monkeypatch):
+    """Twice the rows and twice the questions: at most about twice the rows dealt out and found."""
+    counted = []
+
+    def sizes(n):
+        rows, index = vectors(spark, n)
+        _, table = asked(spark, rows, n // 3)
+        found = retrieval.search_cells(index.withColumn("cell", F.lit(0)), table.withColumn("cell", F.lit(0)), 3, cell_rows=20, block=4)
+        found.collect()
+        executed, out = found._jdf.queryExecution().executedPlan(), []
+        nodes = [executed]
+        while nodes:  # rows of all exchanges of the plan that ran
+            node = nodes.pop()
+            name = node.getClass().getSimpleName()
+            if name == "AdaptiveSparkPlanExec":
+                nodes.append(node.executedPlan())
+            elif name.endswith("QueryStageExec"):
+                nodes.append(node.plan())
+            else:
+                if name == "ShuffleExchangeExec":
+                    out.append(node.metrics().apply("shuffleRecordsWritten").value())
+                nodes += [node.children().apply(i) for i in range(node.children().size())]
+        return sum(out)
+
+    counted = [sizes(n) for n in (600, 1200)]
+    assert counted[0] > 0 and counted[1] < 2.2 * counted[0], counted
+
+
+def test_blocks_hold_no_more_questions_than_a_task_may(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_HELD", 5)
+    monkeypatch.setattr(retrieval, "MOST_BLOCKS", 2)
+    monkeypatch.setattr(retrieval, "MOST_PARTS", 2)
+    rows, index = vectors(spark)
+    questions, table = asked(spark, rows)
+    assert listed(retrieval.search_cells(index.withColumn("cell", F.lit(0)), table.withColumn("cell", F.lit(0)), 6, 40, 3)) == brute(rows, questions, 6)
+
+
+def test_nearest_holds_few_rows_a_question(monkeypatch):
+    """Thousands of equal vectors and tiles of a few pairs: the first of them in order, and no more than 2k and a batch's are held."""
+    monkeypatch.setattr(retrieval, "TILE", 700)
+    rng = np.random.default_rng(3)
+    questions = [*rng.normal(size=(30, 4)).tolist(), None, [0.0] * 4, [1.0, 0, 0, 0]]
+    rows = [(f"c{i:05}", ([2.0, 0, 0, 0] if i % 3 else rng.normal(size=4).tolist())) for i in range(6000)]
+    rows[5] = ("c00005", [float("nan")] * 4)
+    near, k, most = retrieval.Nearest(questions, 5), 5, 0
+    for a in rng.permutation(range(0, 6000, 200)).tolist():
+        part = rows[a : a + 200]
+        near.add(pa.array([v for _, v in part], pa.list_(pa.float64())), pa.table({"chunk_id": [c for c, _ in part]}))
+        most = max(most, near.held)
+    assert most <= 3 * k * len(questions)
+    got = {}
+    for r in near.result().to_pylist():
+        got.setdefault(r["_q"], []).append(r["chunk_id"])
+    want = brute([(c, "", v if np.isfinite(v).all() else [0.0] * 4) for c, v in rows], list(enumerate(questions)), k)
+    assert got == want
+
+
 def test_inverted_file_holds_every_row(spark, tmp_path):
     rows, index = vectors(spark)
     questions, table = asked(spark, rows)
