@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from docspark.config import Chunking, Window
 from docspark.functions import text as X
+from docspark.functions.arrow import bounded, released
 from docspark.functions.spans import spanner
 
 #: Which code points are white space: all that are lie below the table's end.
@@ -59,7 +61,7 @@ def sections(paragraphs: DataFrame, doc: str = "doc", pos: str = "pos", text: st
 # such places, in rising order, and what belongs together is found by searching one array in another.
 
 #: Characters of texts that are worked on together (one text at least).
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 @dataclass
@@ -259,12 +261,12 @@ def _by_batch(docs: DataFrame, config: Chunking, each, schema: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = None if config.tokenizer == "whitespace" else spanner(config.tokenizer, config.vocabulary)
         for rows in batches:
-            sources, texts, units = rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2)
-            upto = np.cumsum([len(t) + 1 for t in texts]) // BATCH_CHARS
-            for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist()], [*cuts[1:], len(texts)]):
-                yield from each(read_batch(sources[a:b], texts[a:b], units.slice(a, b - a), spans)) if b > a else ()
+            upto = np.cumsum(pc.utf8_length(rows.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // BATCH_CHARS
+            for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist()], [*cuts[1:], rows.num_rows]):
+                part = rows.slice(a, b - a)
+                yield from each(read_batch(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), spans)) if b > a else ()
 
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(released(run), schema)
 
 
 def chunk(docs: DataFrame, config: Chunking = Chunking()) -> DataFrame:

@@ -5,7 +5,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docspark.config import Chunking, Window
 from docspark.operators import chunking
@@ -108,3 +110,20 @@ def test_chunks_against_brute_force(spark, monkeypatch, least, chars):
     want = [r for d in docs for r in brute(*d, config)]
     key = lambda r: (r["source_id"], r["level"], r["start_char"], r["chunk_id"])
     assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 300
+
+
+def test_memory_of_a_worker_does_not_follow_its_rows(spark):
+    """108 MB of texts in one partition: a worker holds some megabytes of them at a time."""
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").cast("string").alias("source_id"), F.repeat(F.lit("word number "), 1500).alias("text"), F.array().cast("array<struct<unit_type:string,unit_index:int,start_char:int,end_char:int>>").alias("units"))
+
+    def each(batch):
+        with open("/proc/self/status") as f:
+            kb = next(int(line.split()[1]) for line in f if line.startswith("RssAnon"))
+        yield pa.RecordBatch.from_arrays([pa.array([len(batch.joined)], pa.int32()), pa.array([len(batch.sources)], pa.int32()), pa.array([kb], pa.int32())], ["chars", "texts", "kb"])
+
+    rows = chunking._by_batch(docs, Chunking(), each, "chars int, texts int, kb int").collect()
+    assert sum(r["texts"] for r in rows) == 6000
+    assert max(r["chars"] for r in rows) <= chunking.BATCH_CHARS + 18_001
+    kb = [r["kb"] for r in rows]
+    print("MB", min(kb) // 1024, max(kb) // 1024)
+    assert max(kb) < 190 * 1024, max(kb)
