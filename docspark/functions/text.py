@@ -6,8 +6,18 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docspark.functions.spans import WHITE_SPACE, word_places
+
+#: Characters of texts that are looked at together (one text at least).
+_AT_ONCE = 1_000_000
+_SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 
 
 def normalize(text: Column) -> Column:
@@ -78,10 +88,27 @@ def token_ends(pieces: Column) -> Column:
     return running_sums(F.transform(pieces, F.length))
 
 
+@F.arrow_udf(_SPANS)
+def _token_spans(texts: pa.Array) -> pa.Array:
+    """By the batch: all its texts lie in one string, with a line break between each two; a part of the batch at a time."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(sizes + 1) // _AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
+    made = []
+    for a, b in zip(cuts, cuts[1:]):
+        part = texts.slice(a, b - a)
+        starts, ends = word_places("\n".join(pc.fill_null(part, "").to_pylist()), WHITE_SPACE)
+        base = np.r_[0, np.cumsum(sizes[a:b] + 1)]
+        first = np.searchsorted(starts, base)
+        own = np.repeat(base[:-1], np.diff(first))
+        spans = pa.StructArray.from_arrays([pa.array((x - own).astype(np.int32)) for x in (starts, ends)], ["s", "e"])
+        made.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), spans, mask=part.is_null()))
+    return pa.concat_arrays(made)
+
+
 def token_spans(text: Column) -> Column:
     """array<struct<s,e>> of whitespace tokens."""
-    tokens = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
-    return F.zip_with(tokens, token_ends(token_pieces(text)), lambda t, e: F.struct((e - F.length(t)).alias("s"), e.alias("e")))
+    return _token_spans(text)
 
 
 def chunk_id(source_id: Column, level: Column, start: Column, end: Column, text: Column) -> Column:

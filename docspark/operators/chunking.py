@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from docspark.config import Chunking, Window
 from docspark.functions import text as X
 from docspark.functions.arrow import bounded, released
-from docspark.functions.spans import spanner
+from docspark.functions.spans import spanner, word_places
 
-#: Which code points are white space: all that are lie below the table's end.
-_BLANK = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 SEPARATOR = "\n\n"
 
 
@@ -85,14 +83,6 @@ class Batch:
         return np.searchsorted(self.base, place, side="right") - 1
 
 
-def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Where the runs of other characters than white space begin and end."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = np.r_[False, ~_BLANK[np.minimum(points, len(_BLANK) - 1)], False]
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    return turns[::2], turns[1::2]
-
-
 def read_batch(sources: list[str], texts: list[str], units: pa.ListArray, spans) -> Batch:
     """Places of a batch. Units are clipped to their text, blank ones go; a text without units, or with ones that overlap, is one unit."""
     sizes = np.array([len(t) for t in texts], np.int64)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docspark import buckets, pipeline, storage
 from docspark.config import LEAF, PARENT, Chunking, Prompts, Retrieval, Window
 from docspark.functions import text as X
+from docspark.functions.arrow import bounded
 from docspark.operators import answers, chunking, index, inverted_file, registry, retrieval
 from docspark.sources import admin, files
 
@@ -89,7 +90,7 @@ y AS (SELECT doc_id, k, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS e, m FRO
 SELECT doc_id, count(*)::INT AS n_spans, sum((e - m) * k)::BIGINT AS starts, sum(e * k)::BIGINT AS ends FROM y GROUP BY 1""")
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all tokens, shown as sums that depend on each span's place and offsets."""
-    spans = load(spark, sf_dir, "documents").select("doc_id", X.token_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    spans = bounded(load(spark, sf_dir, "documents")).select("doc_id", X.token_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
     total = lambda end: F.aggregate(F.transform("spans", lambda x, i: x[end].cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return spans.select("doc_id", F.size("spans").alias("n_spans"), total("s").alias("starts"), total("e").alias("ends"))
 

@@ -153,3 +153,16 @@ def test_unit_name(spark, raw, name):
 @pytest.mark.parametrize(("label", "place"), [("C12", 12), (" C3 ", 3), ("C", 10_000), ("Cx", 10_000), ("7", 10_000), (None, 10_000)])
 def test_label_order(spark, label, place):
     assert one(spark, X.label_order(F.lit(label).cast("string"))) == place
+
+
+def test_token_spans_are_a_pass_by_batch(spark):
+    """Spans go by the batch, not by growing arrays of each text; white space is that of Spark's regular expressions, and a text with a wide character has places by code point."""
+    texts = ["a\x1cb\x1f c", "\x85x　y​z", "\U0001f600 \U0001f600 ", None, "", "w " * 600_000, "end"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", "t", X.token_spans(F.col("t")).alias("s"))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+    cut = F.transform("s", lambda x: F.substring("t", x["s"] + 1, x["e"] - x["s"]))
+    words = F.regexp_extract_all("t", F.lit(r"(?U)\S+"), F.lit(0))
+    rows = df.where("i <> 5").select("i", (cut == words).alias("same")).orderBy("i").collect()
+    assert [r["same"] for r in rows] == [True, True, True, None, True, True]
+    last = df.select("i", F.size("s").alias("n"), F.try_element_at("s", F.lit(-1)).alias("x")).orderBy("i").collect()
+    assert [(r["n"], r["x"] and tuple(r["x"])) for r in last if r["i"] in (0, 4, 5, 6)] == [(2, (5, 6)), (0, None), (600_000, (1_199_998, 1_199_999)), (1, (0, 3))]
