@@ -24,6 +24,13 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, after which a reused worker returns to the system what it has freed."""
 
@@ -32,8 +39,6 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
             yield from run(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return then_release

@@ -13,10 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.functions.arrow import give_back
 from docspark.functions.spans import WHITE_SPACE, word_places
 
 #: Characters of texts that are looked at together (one text at least).
-_AT_ONCE = 1_000_000
+_AT_ONCE = 250_000
 _SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 
 
@@ -103,6 +104,7 @@ def _token_spans(texts: pa.Array) -> pa.Array:
         own = np.repeat(base[:-1], np.diff(first))
         spans = pa.StructArray.from_arrays([pa.array((x - own).astype(np.int32)) for x in (starts, ends)], ["s", "e"])
         made.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), spans, mask=part.is_null()))
+    give_back()
     return pa.concat_arrays(made)
 
 
