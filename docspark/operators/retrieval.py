@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from docspark.config import Prompts, Retrieval
 from docspark.functions import text as X
+from docspark.functions.arrow import bounded, released
 from docspark.functions.vectors import TINY
 from docspark.storage import materialize
 
@@ -163,7 +164,7 @@ def _nearest(rows: DataFrame, questions: list, k: int) -> DataFrame:
             yield from best.select(["_q", "distance", *[f.name for f in others]]).combine_chunks().to_batches(10_000)
 
     schema = T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("distance", T.DoubleType()), *others])
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(released(run), schema)
 
 
 def _first(rows: pa.Table, k: int) -> pa.Table:
@@ -233,7 +234,7 @@ def search_cells(index: DataFrame, queries: DataFrame, k: int, cell_rows: int =
         yield from done()
 
     schema = T.StructType([T.StructField("qid", kinds["qid"]), T.StructField("distance", T.DoubleType()), T.StructField("row", kinds["row"])])
-    found = sorted_.mapInArrow(run, schema).select("qid", "distance", "row.*")
+    found = bounded(sorted_).mapInArrow(released(run), schema).select("qid", "distance", "row.*")
     near = W.partitionBy("qid").orderBy("distance", "chunk_id")
     return found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from docspark import storage
 from docspark.config import Prompts
+from docspark.functions.arrow import bounded, released
 from docspark.operators.answers import SENTINEL
 
 # HTTP statuses and error names after which a call is tried again.
@@ -117,7 +118,7 @@ def embed_texts(rows: DataFrame, make: Callable[[], Embedder], text_col: str = "
                 vectors += got
             yield pdf.assign(embedding=vectors)
 
-    return rows.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, embedding array<float>")
+    return bounded(rows).mapInPandas(released(run), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, embedding array<float>")
 
 
 def parse_answer(reply: str) -> str:
@@ -231,4 +232,5 @@ def generate_answers(questions: DataFrame, context: DataFrame, make: Callable[[]
             yield pd.DataFrame({"qid": pdf["qid"], "answer": replies})
 
     kind = dict(questions.dtypes)["qid"]
-    return questions.join(blocks, "qid", "left").select("qid", "question", "context").mapInPandas(run, f"qid {kind}, answer string")
+    asked = questions.join(blocks, "qid", "left").select("qid", "question", "context")
+    return bounded(asked).mapInPandas(released(run), f"qid {kind}, answer string")

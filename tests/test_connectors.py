@@ -133,3 +133,15 @@ def test_texts_are_paid_for_once(spark, tmp_path):
     embed().count()
     assert len(asked()) == 101 + len(first) - kept
     assert connectors.embed_once(rows.limit(3), make, ledger, "other").count() == 3 and len(asked()) > 101 + len(first) - kept
+
+
+class CountingEmbedder:
+    def embed(self, texts):
+        return [[float(len(texts)), float(sum(map(len, texts)))]] * len(texts)
+
+
+def test_an_embedding_worker_gets_bounded_batches(spark):
+    rows = spark.range(0, 8000, 1, 1).selectExpr("id", "repeat('word ', 2000) AS text")
+    got = connectors.embed_texts(rows, CountingEmbedder, batch_size=10**6).select("embedding").collect()
+    assert len(got) == 8000
+    assert max(r[0][0] for r in got) <= 3000 and max(r[0][1] for r in got) <= 20e6
